@@ -117,61 +117,68 @@ def _message(depth: int, buckets: int):
             bounds = np.searchsorted(owner[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(bounds)):
                 at = order[bounds[b] : bounds[b + 1]]
-                out.append((block, int(b), kind, keys[at].tobytes(), counts[at].astype("<i8").tobytes()))
+                out.append((block, int(b), kind, keys[at].tobytes(), counts[at].astype("<u4").tobytes()))
         return pa.Table.from_pylist([dict(zip(MESSAGE.names, x, strict=True)) for x in out], schema=MESSAGE)
 
     return send
 
 
 MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+GATHERED = pa.schema(
+    [("bucket", pa.int32()), ("keys", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary())), ("blocks", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("places", pa.list_(pa.binary()))]
+    + [("node", pa.list_(pa.int64())), *((x, pa.list_(pa.float64())) for x in ("a", "b", "children"))]
+)
 ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("values", pa.binary())])
-SUM = pa.schema([("node", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("children", pa.float64())])
-
 
-def _gathered(rows: pa.Table, kind: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
-    """Each block's keys, and all distinct keys with their total counts."""
-    asked, parts = [], []
-    for x in rows.select(["block", "kind", "keys", "counts"]).to_pylist():
-        if x["kind"] == kind:
-            keys = np.frombuffer(x["keys"], np.uint64)
-            asked.append((x["block"], keys))
-            parts.append((keys, np.frombuffer(x["counts"], "<i8")))
-    return asked, *_merge(parts)
 
+def _gather(depth: int):
+    """One row for a bucket: its keys and total counts by kind, what each block asked for as places among the keys, and what the nodes of depth 1 sum over it (words: at node -1, their total count and the number of those with a count)."""
 
-def _sums(depth: int):
     def add(rows: pa.Table) -> pa.Table:
-        _, words, counts = _gathered(rows, WORD)
-        node, a, b, children = [np.array([-1])], [np.array([counts.sum()], float)], [np.array([(counts > 0).sum()], float)], [np.zeros(1)]
-        _, keys, counts = _gathered(rows, GRAM)
-        seen = counts > 0
-        if seen.any():
-            own = tree.Tree(keys[seen], counts[seen], depth, 2)
-            above, at = np.unique(tree.shorter(own.nodes[2]), return_inverse=True)
-            node.append(above.astype(np.int64))
-            for into, x in ((a, own.zeros[2]), (b, own.ones[2]), (children, own.log_pw[2])):
-                into.append(np.bincount(at, weights=x, minlength=len(above)))
-        return pa.table([np.concatenate(x) for x in (node, a, b, children)], schema=SUM)
+        asked = [(x["block"], x["kind"], np.frombuffer(x["keys"], np.uint64), np.frombuffer(x["counts"], "<u4")) for x in rows.select(["block", "kind", "keys", "counts"]).to_pylist()]
+        if not asked:
+            return GATHERED.empty_table()
+        all_ = [_merge([(k, c.astype(np.int64)) for _, own, k, c in asked if own == kind]) for kind in (GRAM, WORD)]
+        node, a, b, children = _sums(*all_[GRAM], depth)
+        words = all_[WORD][1]
+        row = {
+            "bucket": rows["bucket"][0].as_py(),
+            "keys": [x[0].tobytes() for x in all_],
+            "counts": [x[1].astype("<i8").tobytes() for x in all_],
+            "blocks": [x[0] for x in asked],
+            "kinds": [x[1] for x in asked],
+            "places": [np.searchsorted(all_[x[1]][0], x[2]).astype("<u4").tobytes() for x in asked],
+            "node": [-1, *node.tolist()],
+            "a": [float(words.sum()), *a.tolist()],
+            "b": [float((words > 0).sum()), *b.tolist()],
+            "children": [0.0, *children.tolist()],
+        }
+        return pa.Table.from_pylist([row], schema=GATHERED)
 
     return add
 
 
+def _sums(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    seen = counts > 0
+    own = tree.Tree(keys[seen], counts[seen], depth, 2)
+    above, at = np.unique(tree.shorter(own.nodes[2]), return_inverse=True)
+    return above.astype(np.int64), *(np.bincount(at, weights=x, minlength=len(above)) for x in (own.zeros[2], own.ones[2], own.log_pw[2]))
+
+
 def _answers(depth: int, shared):
-    def reply(rows: pa.Table) -> pa.Table:
+    def reply(batches):
         above, acc, rest = shared.value
-        bucket = rows["bucket"][0].as_py() if len(rows) else 0
-        out = []
-        asked, keys, counts = _gathered(rows, GRAM)
-        if asked:
-            seen = counts > 0
-            own = tree.Tree(keys[seen], counts[seen], depth, 2)
-            up = tree.shorter(own.nodes[2]).astype(np.int64)
-            own.spread(acc[up], rest[up])
-            value = own.log2(keys, above).astype("<f4")
-            out += [(block, bucket, GRAM, value[np.searchsorted(keys, k)].tobytes()) for block, k in asked]
-        asked, keys, counts = _gathered(rows, WORD)
-        out += [(block, bucket, WORD, counts[np.searchsorted(keys, k)].astype("<i8").tobytes()) for block, k in asked]
-        return pa.Table.from_pylist([dict(zip(ANSWER.names, x, strict=True)) for x in out], schema=ANSWER)
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {x: batch.column(x)[i].as_py() for x in ("bucket", "keys", "counts", "blocks", "kinds", "places")}
+                keys, counts = ([np.frombuffer(x, kind) for x in row[name]] for name, kind in (("keys", np.uint64), ("counts", "<i8")))
+                seen = counts[GRAM] > 0
+                own = tree.Tree(keys[GRAM][seen], counts[GRAM][seen], depth, 2)
+                up = tree.shorter(own.nodes[2]).astype(np.int64)
+                own.spread(acc[up], rest[up])
+                values = {GRAM: own.log2(keys[GRAM], above).astype("<f4"), WORD: counts[WORD]}
+                out = [values[kind][np.frombuffer(places, "<u4")].tobytes() for kind, places in zip(row["kinds"], row["places"], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(row["blocks"], pa.int64()), pa.array([row["bucket"]] * len(out), pa.int32()), pa.array(row["kinds"], pa.int32()), pa.array(out, pa.binary())], schema=ANSWER)
 
     return reply
 
@@ -227,6 +234,7 @@ def _scores(depth: int, buckets: int, total: int, kinds: int):
 
 def _ddl(schema: pa.Schema) -> str:
     kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.bool_(): "boolean", pa.binary(): "binary"}
+    kinds |= {pa.list_(k): f"array<{v}>" for k, v in kinds.items()}
     return ", ".join(f"{x.name} {kinds[x.type]}" for x in schema)
 
 
@@ -243,14 +251,14 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, folds: int = 10, block_
     blocks = max(2, -(-size // block_bytes))
     docs = docs.withColumn("held_out", held_out(F.col("doc_id"), folds)).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     messages = docs.groupBy("block").applyInArrow(_message(depth, blocks), _ddl(MESSAGE))
-    messages = cut(messages.repartition(blocks, "bucket"))
-    sums = messages.groupBy("bucket").applyInArrow(_sums(depth), _ddl(SUM))
+    gathered = cut(messages.groupBy("bucket").applyInArrow(_gather(depth), _ddl(GATHERED)))
+    sums = gathered.select(F.inline(F.arrays_zip("node", "a", "b", "children")))
     sums = sums.groupBy("node").agg(*(F.sum(x).alias(x) for x in ("a", "b", "children"))).toPandas()
     words = sums[sums["node"] < 0]
     total, kinds = (int(words["a"].iloc[0]), int(words["b"].iloc[0])) if len(words) else (0, 0)
     nodes = sums[sums["node"] >= 0]
     shared = spark.sparkContext.broadcast(tree.top(*(nodes[x].to_numpy() for x in ("node", "a", "b", "children"))))
-    replies = messages.groupBy("bucket").applyInArrow(_answers(depth, shared), _ddl(ANSWER))
+    replies = gathered.mapInArrow(_answers(depth, shared), _ddl(ANSWER))
     return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scores(depth, blocks, total, kinds), _ddl(RESULT))
 
 

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faktum.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from faktum.llm.lm_scoring import op6_lm_scoring
+from faktum.llm.near_dedup import op1_near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {x.__name__: x for x in (op6_lm_scoring,)}
+    return {x.__name__: x for x in (op1_near_dedup, op4_exact_dedup, op6_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": OP4_SQL}
