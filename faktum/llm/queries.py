@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faktum.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from faktum.llm.language_id import op3_language_id
 from faktum.llm.lm_scoring import op6_lm_scoring
 from faktum.llm.near_dedup import op1_near_dedup
+from faktum.llm.packing import op10_packing
+from faktum.llm.pair_index import op7_bpe
+from faktum.llm.toxicity import op8_toxicity
+from faktum.llm.url_filter import op2_url_filter
+from faktum.llm.vector_search import OP5_SQL, op5_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: tuple[Query, ...] = (op1_near_dedup, op2_url_filter, op3_language_id, op4_exact_dedup, op5_top_k, op6_lm_scoring, op7_bpe, op8_toxicity, op10_packing)
 
 
 def queries() -> dict[str, Query]:
-    return {x.__name__: x for x in (op1_near_dedup, op4_exact_dedup, op6_lm_scoring)}
+    return {x.__name__: x for x in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_top_k": OP5_SQL}

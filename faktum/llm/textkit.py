@@ -90,6 +90,10 @@ def fold(buf: np.ndarray) -> np.ndarray:
     return _FOLD[buf]
 
 
+def is_space(buf: np.ndarray) -> np.ndarray:
+    return _SPACE[buf]
+
+
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hash, text number and bounds of each word `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased.
 
