@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faktum.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from faktum.llm.html_extraction import op9_html_extraction
 from faktum.llm.language_id import op3_language_id
 from faktum.llm.lm_scoring import op6_lm_scoring
 from faktum.llm.near_dedup import op1_near_dedup
@@ -17,7 +18,7 @@ from faktum.llm.url_filter import op2_url_filter
 from faktum.llm.vector_search import OP5_SQL, op5_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: tuple[Query, ...] = (op1_near_dedup, op2_url_filter, op3_language_id, op4_exact_dedup, op5_top_k, op6_lm_scoring, op7_bpe, op8_toxicity, op10_packing)
+QUERIES: tuple[Query, ...] = (op1_near_dedup, op2_url_filter, op3_language_id, op4_exact_dedup, op5_top_k, op6_lm_scoring, op7_bpe, op8_toxicity, op9_html_extraction, op10_packing)
 
 
 def queries() -> dict[str, Query]:
