@@ -1,6 +1,6 @@
 """All queries but those of the corpus operators."""
 
-from faktum import queries_text  # noqa: F401
+from faktum import queries_files, queries_text  # noqa: F401
 from faktum.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -38,13 +38,15 @@ def literal(value) -> str:
         return "NULL"
     if isinstance(value, bool):
         return str(value).lower()
-    if isinstance(value, (int, float)):
+    if isinstance(value, int):
         return repr(value)
+    if isinstance(value, float):
+        return f"CAST({value!r} AS DOUBLE)"
     if isinstance(value, bytes):
         return "'" + "".join(f"\\x{b:02x}" for b in value) + "'::BLOB"
     if isinstance(value, (list, tuple)):
         return "[" + ", ".join(map(literal, value)) + "]"
-    return "chr(0)".join("'" + x.replace("'", "''") + "'" for x in str(value).split("\0")) if "\0" not in str(value) else "(" + " || chr(0) || ".join("'" + x.replace("'", "''") + "'" for x in str(value).split("\0")) + ")"
+    return "'" + str(value).replace("'", "''") + "'"
 
 
 def values(columns: str, *data: tuple) -> str:
