@@ -84,13 +84,14 @@ class _Slots:
 
 @dataclass
 class Table:
-    """keys[k], value[k]: seen grams of order k and their values (a column each).  contexts[k], step[k]: seen contexts of k bytes and what backing off from them adds."""
+    """keys[k], value[k]: seen grams of order k and their values (a column each).  contexts[k], step[k]: seen contexts of k bytes and what backing off from them adds.  floor: the value of a byte below order 1."""
 
     order: int
     keys: dict[int, np.ndarray]
     value: dict[int, np.ndarray]
     contexts: dict[int, np.ndarray]
     step: dict[int, np.ndarray]
+    floor: float = 0.0
     _slots: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self):
@@ -111,6 +112,7 @@ class Table:
             at, found = self._slots[1][k - 1].find(own >> U64(8))
             out[left[found]] += self.step[k - 1][at[found]]
             own = own & low(k - 1)
+        out[left] += self.floor
         return out
 
     def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +184,7 @@ def markov(keys: np.ndarray, weights: np.ndarray, order: int, tau: float) -> Tab
     levels = {order: (keys, weights)}
     for k in range(order - 1, 0, -1):
         levels[k] = tally(levels[k + 1][0] & low(k), levels[k + 1][1])
-    table = Table(order, {k: v[0] for k, v in levels.items()}, {}, {}, {})
+    table = Table(order, {k: v[0] for k, v in levels.items()}, {}, {}, {}, float(np.log(1 / 256)))
     prob: dict[int, np.ndarray] = {}
     for k in range(1, order + 1):
         keys, own = levels[k]
