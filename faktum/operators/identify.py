@@ -114,6 +114,11 @@ def by_name(path: Column) -> Column:
     )
 
 
+def by_manifest(path: Column) -> Column:
+    """Lock files and manifests known by their whole names."""
+    return F.try_element_at(F.create_map(*(F.lit(y) for x in MANIFESTS.items() for y in x)), F.lower(basename(path)))
+
+
 def shebang(head: Column) -> Column:
     line = F.regexp_extract(F.substring(head, 1, 128), r"\A#!([^\n]*)", 1)
     rest = F.when(line.rlike(r"\A/usr/bin/env[ \t]"), F.regexp_replace(line, r"\A/usr/bin/env[ \t]+", "")).otherwise(F.regexp_replace(line, r"\A.*/", ""))
@@ -185,7 +190,7 @@ def magic(path: Column, content: Column) -> Column:
     zst = case([(ends(".xbps"), F.lit("xbps")), (ends(".tar.zst", ".tzst"), F.lit("tar.zst"))], F.lit("zst"))
     manifest = F.lower(basename(path))
     chrome = (manifest == "manifest.json") & raw.contains('"manifest_version"') & raw.rlike('"(?:permissions|content_scripts|background|host_permissions)"')
-    named = F.try_element_at(F.create_map(*(F.lit(y) for x in MANIFESTS.items() for y in x)), manifest)
+    named = by_manifest(path)
     return F.when(
         n >= 2,
         case(
@@ -264,7 +269,7 @@ def identify(files: DataFrame, peek: Column | None = None) -> DataFrame:
     peek: what an archive's compressed inside says (null: nothing); it goes before what its first bytes say.
     """
     path, content = F.col("path"), F.col("content")
-    files = files.withColumn("_magic", magic(path, content) if peek is None else F.coalesce(peek, magic(path, content))).withColumn("_ext", by_extension(path)).withColumn("_name", by_name(path))
+    files = files.withColumn("_magic", magic(path, content) if peek is None else F.coalesce(peek, magic(path, content))).withColumn("_name", by_name(path)).withColumn("_ext", F.coalesce("_name", by_manifest(path), by_extension(path)))
     files = files.withColumn("_guess", F.when(F.col("_magic").isNull() & F.col("_name").isNull() & (F.col("_ext").isNull() | F.col("_ext").isin(MAY_BE_OVERRIDDEN)) & ~extension(path).isin(DATA_FORMATS), heuristic(content)))
     head = latin(F.substring(content, 1, HEAD))
     by_bang = shebang(head).isNotNull() & (F.col("_magic") == shebang(head))
@@ -276,10 +281,11 @@ def identify(files: DataFrame, peek: Column | None = None) -> DataFrame:
         F.lit("unknown"),
     )
     source = case(
-        [(forced, F.lit("forced")), (juked, F.lit("extension-overrides-shebang")), (by_bang, F.lit("shebang")), (F.col("_magic").isNotNull(), F.lit("magic")), (F.col("_name").isNotNull(), F.lit("filename")), (F.col("_guess").isNotNull(), F.lit("heuristic")), (ext_ok, F.lit("extension"))],
+        [(forced, F.lit("forced")), (juked, F.lit("extension-overrides-shebang")), (by_bang, F.lit("shebang")), (F.col("_magic") == "github_actions", F.lit("heuristic")), ((F.col("_magic") == by_manifest(path)) | F.col("_magic").isin("chrome_manifest", "vsix_manifest"), F.lit("filename")), (F.col("_magic").isNotNull(), F.lit("magic")), (F.col("_name").isNotNull(), F.lit("filename")), (F.col("_guess").isNotNull(), F.lit("heuristic")), (ext_ok, F.lit("extension"))],
         F.lit("heuristic"),
     )
     benign = basename(path).startswith("._") | ((F.col("_ext") == "zip") & F.lower(basename(path)).endswith(".apk")) | F.col("_magic").isin("npm", "pkg_freebsd", "pkg_arch", "python_sdist", "oci_image", "xbps", "gentoo_binpkg") | ((F.col("_ext") == "html") & (F.col("_magic") == "xml") & F.lower(head).rlike("<!doctype html|<html"))
     files = files.withColumn("file_type", kind).withColumn("source", source).withColumn("extension_type", F.col("_ext"))
-    mismatch = ~forced & F.col("source").isin("magic", "shebang", "heuristic") & F.col("_ext").isNotNull() & (F.col("_ext") != F.col("file_type")) & ~F.coalesce(benign, F.lit(False))
+    decided = F.col("_magic").isNotNull() | F.col("_guess").isNotNull()
+    mismatch = ~forced & decided & F.col("source").isin("magic", "shebang", "heuristic") & F.col("_ext").isNotNull() & (F.col("_ext") != F.col("file_type")) & ~F.coalesce(benign, F.lit(False))
     return files.withColumn("extension_mismatch", F.coalesce(mismatch, F.lit(False))).drop("_magic", "_ext", "_name", "_guess")

@@ -269,7 +269,7 @@ NOW = 1_735_689_600
 
 
 @query(
-    f"""WITH r AS (SELECT user_id AS package, epoch(ts)::BIGINT AS stamp FROM events), m AS (SELECT max(stamp) AS now FROM r)
+    f"""WITH r AS (SELECT user_id AS package, CAST(floor(epoch(ts)) AS BIGINT) AS stamp FROM events), m AS (SELECT max(stamp) AS now FROM r)
 SELECT package, count(*) AS releases, count(*) FILTER (greatest(now - stamp, 0) <= 86400) AS releases_24h, count(*) FILTER (greatest(now - stamp, 0) <= 172800) AS releases_48h, (greatest(any_value(now) - min(stamp), 0) // 86400)::BIGINT AS package_age_days, (greatest(any_value(now) - max(stamp), 0) // 86400)::BIGINT AS age_days FROM r, m GROUP BY package"""
 )
 def jsn_release_bursts(spark, sf_dir):
@@ -278,7 +278,7 @@ def jsn_release_bursts(spark, sf_dir):
     return R.package_timeline(r, r.agg(F.max("at")).first()[0] or 0)
 
 
-@query("""WITH r AS (SELECT user_id AS package, epoch(ts)::BIGINT AS "at", event_id FROM events) SELECT package, "at", event_id, max("at") OVER (PARTITION BY package ORDER BY "at" RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_at FROM r""")
+@query("""WITH r AS (SELECT user_id AS package, CAST(floor(epoch(ts)) AS BIGINT) AS "at", event_id FROM events) SELECT package, "at", event_id, max("at") OVER (PARTITION BY package ORDER BY "at" RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_at FROM r""")
 def rel_previous_release(spark, sf_dir):
     """REL-J6."""
     return R.previous_release(table(spark, sf_dir, "events").select(F.col("user_id").alias("package"), F.unix_timestamp("ts").alias("at"), "event_id"))
