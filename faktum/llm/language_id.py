@@ -43,6 +43,8 @@ SAMPLE, LANGUAGES = 2048, 64
 TEXT_BYTES = 60
 KAPPA = 20.0
 LEAST = 0.5
+#: Tasks that count the sample, each sending its counts to the driver once.
+COUNTERS = 16
 UNKNOWN = "und"
 #: Sites beyond this count are joined by a shuffle instead of a broadcast.
 BROADCAST_HOSTS = 20_000
@@ -110,7 +112,7 @@ def fit(docs: DataFrame, evidence: Evidence, sample: int = SAMPLE) -> Model | No
         least = rows.filter(F.col("class") == i).select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key")).first()[0]
         own = (F.col("class") == i) & (key <= F.lit(least))
         chosen = own if chosen is None else chosen | own
-    parts = rows.filter(chosen).select("text", "class").mapInArrow(grams.count_batches(len(languages), ORDER), grams.PART_DDL).collect()
+    parts = rows.filter(chosen).select("text", "class").repartition(COUNTERS).mapInArrow(grams.count_batches(len(languages), ORDER), grams.PART_DDL).collect()
     keys, weights = grams.gather(parts, len(languages))
     last = np.bincount((keys & grams.low(1)).astype(np.int64), weights=weights.sum(axis=1), minlength=256) + 0.5
     return Model(languages, grams.markov(keys, weights, ORDER, TAU), np.log(last / last.sum()))

@@ -34,6 +34,8 @@ ORDER, SHARED = 4, 0.02
 SAMPLE = 8192
 FOLDS = 5
 PARTS = 8
+#: Tasks that count the sample, each sending its counts to the driver once.
+COUNTERS = 16
 #: Of a text's length; below 1, as a difference says more the longer the text.
 POWER = 0.75
 
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
     rows = rows.select("text", "toxic", (F.col("toxic") + 2 * F.col("part")).cast("int").alias("class"))
     n = 2 * PARTS
-    keys, weights = grams.gather(rows.select("text", "class").mapInArrow(grams.count_batches(n, ORDER), grams.PART_DDL).collect(), n)
+    keys, weights = grams.gather(rows.select("text", "class").repartition(COUNTERS).mapInArrow(grams.count_batches(n, ORDER), grams.PART_DDL).collect(), n)
     by_class = weights.reshape(-1, PARTS, 2)
     whole = by_class.sum(axis=1)
 
