@@ -15,8 +15,8 @@ The last three come from grouped aggregations over all documents of the
 language that the text alone says.  Missing evidence (null) says nothing.
 
 The text models are fitted on a bounded sample: of each of the (at most
-LANGUAGES) languages declared most often, the SAMPLE documents with the least
-hash.  The rest covers every document.  A host that holds a third of all rows
+LANGUAGES) languages declared most often, about SAMPLE documents, those with
+the least hashes of their texts.  The rest covers every document.  A host that holds a third of all rows
 is one partial sum a task; priors are broadcast only after a count of hosts.
 
 Nulls: a null or empty text is no evidence, and with none of any kind the
@@ -106,12 +106,10 @@ def fit(docs: DataFrame, evidence: Evidence, sample: int = SAMPLE) -> Model | No
         return None
     number = F.create_map(*(y for i, x in enumerate(languages) for y in (F.lit(x), F.lit(i))))
     rows = rows.filter(F.col("declared").isin(languages)).withColumn("class", number[F.col("declared")])
-    key = F.xxhash64("text")
-    chosen = None
-    for i in range(len(languages)):  # at most `sample` texts of each language
-        least = rows.filter(F.col("class") == i).select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key")).first()[0]
-        own = (F.col("class") == i) & (key <= F.lit(least))
-        chosen = own if chosen is None else chosen | own
+    count = {x["declared"]: x["count"] for x in named}
+    share = {x: min(1.0, sample / count[x]) for x in languages}  # of the hashes, so about `sample` texts of each language
+    most = F.create_map(*(y for x in languages for y in (F.lit(x), F.lit(min(2**63 - 1, int(share[x] * 2**64) - 2**63)))))
+    chosen = F.xxhash64("text") <= most[F.col("declared")]
     parts = rows.filter(chosen).select("text", "class").repartition(COUNTERS).mapInArrow(grams.count_batches(len(languages), ORDER), grams.PART_DDL).collect()
     keys, weights = grams.gather(parts, len(languages))
     last = np.bincount((keys & grams.low(1)).astype(np.int64), weights=weights.sum(axis=1), minlength=256) + 0.5
