@@ -49,3 +49,15 @@ def wide(long: DataFrame, keys: list[str]) -> DataFrame:
 def highest(files: DataFrame, k: int) -> DataFrame:
     """The k files of the greatest entropy."""
     return files.select("file_id", "path", window_facts(F.col("content"))["overall"].alias("entropy")).orderBy(F.desc("entropy"), "path").limit(k)
+
+
+def flagship(docs: DataFrame, labels: DataFrame, k: int = 20) -> DataFrame:
+    """The k documents of the greatest byte entropy with their text metrics and labels."""
+    from pyspark.sql import Window as W
+
+    facts = window_facts(F.encode("text", "UTF-8"))
+    rows = docs.filter("text <> ''").select("doc_id", "lang", "text", facts.alias("w")).orderBy(F.desc("w.overall"), "doc_id").limit(k)
+    own = {x: v for x, v in line_metrics(F.col("text")).items() if x in ("total_lines", "avg_line_length", "max_line_length")}
+    rows = rows.select("doc_id", "lang", F.round("w.overall", 6).alias("entropy"), F.round("w.peak", 6).alias("peak_region_entropy"), *(F.round(v, 6).alias(x) for x, v in own.items()))
+    out = rows.join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left")
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("entropy"), "doc_id")))

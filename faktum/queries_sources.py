@@ -24,10 +24,6 @@ _BODIES = (
     ("c1", 0, " TODO one"), ("c1", 1, " two\nlines "), ("c1", 2, " see https://x.org"), ("c1", 3, ""), ("c1", 4, " ope"), ("js", 0, " const a = function(x) { return 1 }"), ("py", 0, " FIXME"), ("py", 1, "doc\nstring"), ("py", 2, " QWxhZGRpbjpvcGVuIHNlc2FtZQ QWxhZGRpbjpvcGVu"),
     ("lua", 0, " HACK"), ("lua", 1, " XXX"), ("clj", 0, " note"), ("bat", 0, "first"), ("bat", 1, " second"),
 )
-_WANT_METRICS = (
-    ("c1", 5, 6, 41, 1, 0, 0, 0, 1, 0, 1), ("js", 1, 1, 35, 0, 0, 0, 0, 0, 1, 0), ("py", 3, 4, 59, 0, 1, 0, 0, 0, 0, 0), ("lua", 2, 2, 9, 0, 0, 1, 1, 0, 0, 0), ("clj", 1, 1, 5, 0, 0, 0, 0, 0, 0, 0), ("bat", 2, 2, 12, 0, 0, 0, 0, 0, 0, 0),
-)
-
 
 def _code(spark):
     return rows(spark, "file_id string, file_type string, text string", *CODE)
