@@ -80,9 +80,12 @@ _SCORES = "\n".join(
 )
 
 
-@query(f"WITH d AS (SELECT doc_id, left(text, 1000) AS t FROM documents WHERE strlen(text) = length(text)) SELECT doc_id, language, CAST(score AS BIGINT) AS score FROM (SELECT 0 AS doc_id, '' AS language, 0 AS score WHERE false {_SCORES}) WHERE score > 0")
+SCRIPTS = ("use strict;\nuse warnings;\nmy $x = 1;\nmy $y", "#include <a.h>\n#include \"b\"", "import os\nif __name__ == 1:\n  def f(): self.x", "FROM scratch\nRUN a\nCMD [1]", "(ns a (:require b))\n(defn f [x] (let [y 1]))", "export A=1; if [ -f x ]; then\n set -e", "Option Explicit\nWScript.Echo")
+
+
+@query(f"WITH d AS (SELECT doc_id, text AS t FROM documents UNION ALL SELECT id, s FROM {values('id, s', *((-1 - i, x) for i, x in enumerate(SCRIPTS)))}) SELECT doc_id, language, CAST(score AS BIGINT) AS score FROM (SELECT 0 AS doc_id, '' AS language, 0 AS score WHERE false {_SCORES}) WHERE score > 0")
 def id_heuristic_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("octet_length(text) = length(text)").select("doc_id", F.substring("text", 1, 1000).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")).unionByName(rows(spark, "doc_id long, t string", *((-1 - i, x) for i, x in enumerate(SCRIPTS))))
     own = {k: v for k, v in identify.scores(F.col("t")).items() if k != "javascript"}
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("language"), v.cast("long").alias("score")) for k, v in own.items())))
     return docs.select("doc_id", pairs.alias("x")).select("doc_id", "x.*").filter("score > 0")

@@ -60,7 +60,7 @@ def txt_line_metrics(spark, sf_dir):
 _CHARS = f"""
 WITH d AS (SELECT id, text, strlen(text) AS n, len(regexp_extract_all(text, '[0-9]')) AS digits, len(regexp_extract_all(text, '[A-Za-z]')) AS letters FROM {_TEXTS} WHERE text <> ''),
 r AS (SELECT id, count(*) AS runs FROM (SELECT id, g, count(*) AS k FROM (SELECT id, i, sum(CASE WHEN c = p THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS g
-  FROM (SELECT id, i, text[i] AS c, text[i - 1] AS p FROM (SELECT id, text, unnest(range(1, length(text) + 1)) AS i FROM d WHERE id < 0))) GROUP BY id, g) WHERE k >= 10 GROUP BY id)
+  FROM (SELECT id, i, c, lag(c) OVER (PARTITION BY id ORDER BY i) AS p FROM (SELECT id, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM d))) GROUP BY id, g) WHERE k >= 10 GROUP BY id)
 SELECT d.id, round(nullif(len(regexp_extract_all(text, '[{SPACES}]')) / n, 0), 6) AS whitespace_ratio,
   nullif(CAST(len(regexp_extract_all(text, '\\t')) AS DOUBLE), 0) AS tab_count, nullif(CAST(len(regexp_extract_all(text, ' ')) AS DOUBLE), 0) AS space_count,
   nullif(CAST(len(regexp_extract_all(text, '[\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]')) AS DOUBLE), 0) AS unusual_whitespace,
@@ -68,22 +68,13 @@ SELECT d.id, round(nullif(len(regexp_extract_all(text, '[{SPACES}]')) / n, 0), 6
   nullif(CAST(len(list_filter(regexp_split_to_array(text, '[{SPACES}]+'), lambda x: strlen(x) > 100)) AS DOUBLE), 0) AS long_token_count,
   CAST(runs AS DOUBLE) AS repeated_char_sequences,
   round(CASE WHEN digits > 0 THEN digits / (digits + letters) END, 6) AS digit_ratio
-FROM d LEFT JOIN r ON d.id = r.id WHERE d.id < 0
+FROM d LEFT JOIN r ON d.id = r.id
 """
 
 
 @query(_CHARS)
 def txt_char_metrics(spark, sf_dir):
-    return _texts(spark, sf_dir).filter("text <> '' AND id < 0").select("id", *_rounded(T.char_metrics(F.col("text"))))
-
-
-@query(
-    rf"""SELECT doc_id, round(len(regexp_extract_all(text, '[{SPACES}]')) / strlen(text), 6) AS whitespace_ratio, CAST(len(regexp_extract_all(text, ' ')) AS DOUBLE) AS space_count,
-  nullif(CAST(len(list_filter(regexp_split_to_array(text, '[{SPACES}]+'), lambda x: strlen(x) > 100)) AS DOUBLE), 0) AS long_token_count FROM documents WHERE text <> ''"""
-)
-def txt_document_char_metrics(spark, sf_dir):
-    own = T.char_metrics(F.col("text"))
-    return table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", *_rounded({k: own[k] for k in ("whitespace_ratio", "space_count", "long_token_count")}))
+    return _texts(spark, sf_dir).filter("text <> ''").select("id", *_rounded(T.char_metrics(F.col("text"))))
 
 
 _ESCAPES = rf"""
