@@ -242,3 +242,58 @@ def facts_errors(spark, sf_dir):
 
     bad = members(_archives(spark)).filter("error IS NOT NULL")
     return bad.select("file_id", F.lit("malformed").alias("kind"), F.substring_index("error", ":", 1).alias("stage"), F.col("error").alias("message"))
+
+
+def _package(kind: str) -> bytes:
+    out = io.BytesIO()
+    if kind == "npm":
+        with tarfile.open(fileobj=out, mode="w:gz") as t:
+            body = b'{"name": "demo", "version": "1.0.0", "author": {"name": "A", "email": "a@b"}, "scripts": {"postinstall": "x", "test": "y"}}'
+            i = tarfile.TarInfo("package/package.json")
+            i.size = len(body)
+            t.addfile(i, io.BytesIO(body))
+    else:
+        files = {
+            "whl": {"demo-1.0.dist-info/METADATA": "Metadata-Version: 2.1\nName: demo\nVersion: 1.0\nAuthor: Bo\n\nbody"}, "jar": {"META-INF/MANIFEST.MF": "Manifest-Version: 1.0\r\nImplementation-Title: de\r\n mo\r\n"},
+            "nupkg": {"demo.nuspec": "<package xmlns='x'><metadata><id>Demo</id><version>2</version><authors>C</authors></metadata></package>"},
+            "ooxml": {"[Content_Types].xml": "<a/>", "docProps/core.xml": "<c xmlns:d='u'><d:creator>D</d:creator></c>", "word/_rels/x.rels": '<r TargetMode="External"/>', "word/vbaProject.bin": "m"},
+        }[kind]
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in files.items():
+                z.writestr(name, text)
+    return out.getvalue()
+
+
+def _packages(spark):
+    kinds = ("npm", "whl", "jar", "nupkg", "ooxml")
+    manifest = b"<PackageManifest><Metadata><Identity Id='v' Version='3' Publisher='P'/></Metadata><Assets><Asset Type='T'/></Assets></PackageManifest>"
+    return rows(spark, "file_id string, file_type string, content binary", *((k, k, _package(k)) for k in kinds), ("vsix", "vsix_manifest", manifest), ("bad", "gem", b"x"))
+
+
+@query()
+def pkg_facts(spark, sf_dir):
+    """Manifest facts of packages."""
+    from faktum.sources.packages import package_facts
+
+    return package_facts(_packages(spark))
+
+
+@query()
+def idy_claims(spark, sf_dir):
+    """One row of identity claims for each package."""
+    from faktum.sources.packages import identity, package_facts
+
+    own = identity(package_facts(_packages(spark)))
+    return own.select("file_id", *(F.col(f"{c}.value").alias(c) for c in ("name", "version", "author", "url", "license")), F.col("name.source").alias("name_source"), "verified")
+
+
+TREES = (("j", "json", b'{"a": [1, 2.5, null]}'), ("t", "toml", b"when = 2020-01-02\n[a]\nb = nan\nc = [1]\n"), ("p", "plist", b"<plist version='1.0'><dict><key>k</key><data>AAE=</data></dict></plist>"), ("y", "yaml", b"1: x\nlist:\n  - a\n"), ("bad", "toml", b"= ="))
+
+
+@query()
+def jsn_trees(spark, sf_dir):
+    """JSON, TOML, plist and YAML as values that SQL can navigate."""
+    from faktum.sources.packages import trees
+
+    own = trees(rows(spark, "file_id string, kind string, content binary", *TREES))
+    return own.select("file_id", "kind", F.to_json("tree").alias("tree"), F.expr("try_variant_get(tree, '$.a.c[0]', 'string')").alias("c0"), F.substring_index("error", ":", 1).alias("stage"))

@@ -96,3 +96,29 @@ def test_entry(spark):
 
     got = __spark_entry__.entry(spark)
     assert got.count() > 0
+
+
+def test_packages(spark):
+    got = {r.file_id: r for r in Q.idy_claims(spark, "").collect()}
+    assert (got["npm"].name, got["npm"].version, got["npm"].author) == ("demo", "1.0.0", "A <a@b>")
+    assert (got["whl"].name, got["whl"].author) == ("demo", "Bo") and got["jar"].name == "demo" and got["nupkg"].name == "Demo"
+    assert (got["vsix"].name, got["vsix"].version, got["vsix"].author) == ("v", "3", "P") and got["ooxml"].author == "D" and got["bad"].name is None
+    facts = {(r.file_id, r.key): r.value for r in Q.pkg_facts(spark, "").collect()}
+    assert facts["npm", "script.postinstall"] == "x" and ("npm", "script.test") not in facts and facts["ooxml", "macro_count"] == "1" and facts["ooxml", "external_relationship_count"] == "1" and "error" in {k for i, k in facts if i == "bad"}
+
+
+def test_trees(spark):
+    import json
+
+    got = {r.file_id: r for r in Q.jsn_trees(spark, "").collect()}
+    assert json.loads(got["t"].tree) == {"when": "2020-01-02", "a": {"b": None, "c": [1]}} and got["t"].c0 == "1"
+    assert json.loads(got["p"].tree) == {"k": "AAE="} and json.loads(got["j"].tree) == {"a": [1, 2.5, None]} and got["bad"].stage == "toml-parse"
+    assert json.loads(got["y"].tree) == {"1": "x", "list": ["a"]}
+
+
+@pytest.mark.parametrize("kind", ["npm", "whl", "jar", "nupkg", "vsix", "gem", "crate", "deb", "oci_image", "crx", "rpm", "ooxml", "lnk", "dmg", "ole_doc"])
+def test_broken_packages_are_error_rows(kind):
+    from faktum.sources.packages import facts_of
+
+    for data in (b"", b"PK\3\4", b"\x1f\x8b\x08\0", bytes(600), b"\xd0\xcf\x11\xe0" + bytes(600)):
+        assert isinstance(facts_of(kind, data), list)
