@@ -29,3 +29,14 @@ def test_empty_text_gives_nothing(spark):
     assert len(own) == 34
     got = df.select(*(v.alias(k) for k, v in own.items())).collect()
     assert all(v is None for r in got[:2] for v in r) and got[2].total_lines == 1
+
+
+def test_registered_functions(spark):
+    from faktum.functions.register import register
+    from faktum.queries_sources import sample_tar
+
+    assert "archive_members" in register(spark)
+    row = spark.sql("SELECT is_hex_string('deadbeef') a, is_hex_string('xyz') b, is_likely_base64('QWxhZGRpbjpvcGVuIHNlc2FtZQ==') c, file_stem('/a/.b.tar.gz') d, file_stem('.x') e").first()
+    assert tuple(row) == (True, False, True, ".b.tar", ".x")
+    got = spark.createDataFrame([(sample_tar(),)], "content binary").createOrReplaceTempView("files") or spark.sql("SELECT m.path FROM files, LATERAL archive_members(content, 'tar') m").collect()
+    assert [r.path for r in got] == ["t/a", "t/b", "t/link"]
