@@ -1,8 +1,9 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 Vectors are cut into lists by groups of dimensions; a list holds each vector's
-partial score.  Rows lie in blocks; every block of queries meets every block of
-rows, a matrix product each.
+partial score.  Rows lie in blocks, and blocks in GROUPS groups; the blocks of
+queries, which are few, are sent to every group and meet each block of rows
+there, a matrix product each.
 
 1. Each meeting takes the k best of every list and scores these fully: local
    score lists.  The k-th best score of a query over all meetings is a lower
@@ -33,6 +34,8 @@ from faktum.llm.storage import cut, table
 
 LISTS = 4
 ROWS_A_BLOCK, QUERIES_A_BLOCK = 4096, 1024
+#: Groups of row blocks, at most; each is sent the queries once.
+GROUPS = 4096
 
 BLOCK_DDL = "block long, ids binary, vectors binary"
 
@@ -130,18 +133,20 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     rows = _quantised(vectors, scale)
     asks = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     sizes = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    n_queries = -(-max(1, sizes[1]) // QUERIES_A_BLOCK)
-    blocks = _packed(rows, sizes[0], ROWS_A_BLOCK).select(F.col("block").alias("r_block"), F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors"))
-    blocks = blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))))
+    groups = min(GROUPS, max(1, -(-sizes[0] // ROWS_A_BLOCK)))
+    blocks = _packed(rows, sizes[0], ROWS_A_BLOCK).select((F.col("block") % groups).alias("meet"), F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors"))
     queries = _packed(asks, sizes[1], QUERIES_A_BLOCK).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    queries = cut(queries)
-    meetings = cut(blocks).join(queries, "q_block")
-    local = meetings.mapInArrow(_local_lists(k), FOUND_DDL)
+    blocks, queries = cut(blocks), cut(queries)
+
+    def meetings(asked: DataFrame) -> DataFrame:
+        return blocks.join(asked.withColumn("meet", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), "meet")
+
+    local = meetings(queries).mapInArrow(_local_lists(k), FOUND_DDL)
     own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     tau = local.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") == k).select("query_id", "score")
     owner = queries.select("q_block", "q_ids").mapInArrow(_ids, "q_block long, query_id long")
     tau = owner.join(tau, "query_id").groupBy("q_block").agg(F.collect_list("query_id").alias("cut_ids"), F.collect_list("score").alias("cut_scores"))
-    found = meetings.join(cut(tau), "q_block", "left").mapInArrow(_sufficient(k), FOUND_DDL)
+    found = meetings(queries.join(cut(tau), "q_block", "left")).mapInArrow(_sufficient(k), FOUND_DDL)
     ranked = found.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
