@@ -4,8 +4,10 @@ Four kinds of evidence bear on a document's language l:
 
 * its text: log P(text | l) under byte-level variable-order Markov models, one
   for each language and one background model (`und`) of single bytes, which
-  wins where no language explains the text.  Bytes of a text depend on each
-  other, so the sum counts as that of at most TEXT_BYTES bytes;
+  wins where no language explains the text.  A byte that a language doesn't
+  expect (in a name, a key or a slip) costs it at most ODD more than the
+  background.  Bytes of a text depend on each other, so the sum counts as that
+  of at most TEXT_BYTES bytes;
 * the language its markup declares: P(declared | l);
 * the suffix of its address: P(suffix | l);
 * the prior of its host: P(l | host), smoothed by that of its site, which is
@@ -41,6 +43,7 @@ from faktum.llm.storage import cut, table
 ORDER, TAU = 4, 2.0
 SAMPLE, LANGUAGES = 2048, 64
 TEXT_BYTES = 60
+ODD = 2.3
 KAPPA = 20.0
 LEAST = 0.5
 #: Tasks that count the sample, each sending its counts to the driver once.
@@ -86,16 +89,18 @@ class Model:
 
     def texts(self, column: pa.Array) -> np.ndarray:
         """Log-likelihoods of each text: a column for each language, then the background's."""
-        sums, sizes = self.table.sums(column)
         buf, offsets = grams.textkit.utf8(column)
-        one = np.zeros(len(offsets) - 1)
+        sizes = np.diff(offsets)
+        out = np.zeros((len(sizes), len(self.languages) + 1))
         for lo, hi in grams.textkit.runs(offsets):
-            g, places = grams.byte_grams(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], 1)
+            g, places = grams.byte_grams(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ORDER)
             has = np.flatnonzero(np.diff(places))
             if len(has):
-                one[lo + has] = np.add.reduceat(self.background[g.astype(np.int64)], places[has])
+                alone = self.background[(g & grams.low(1)).astype(np.int64)]
+                each = np.column_stack([np.maximum(self.table.of(g), (alone - ODD)[:, None]), alone])
+                out[lo + has] = np.add.reduceat(each.astype(np.float64), places[has])
         scale = np.minimum(1.0, TEXT_BYTES / np.maximum(sizes, 1))
-        return np.column_stack([sums, one]) * scale[:, None]
+        return out * scale[:, None]
 
 
 def fit(docs: DataFrame, evidence: Evidence, sample: int = SAMPLE) -> Model | None:
