@@ -15,7 +15,7 @@ from functools import lru_cache
 import tiktoken
 
 #: Chunks kept by a process; when it is full the cache starts afresh.
-CACHE = 400_000
+CACHE = 200_000
 _INNER = re.compile(r"(?= \S)")
 _AMBIGUOUS = re.compile(r" (?:\s|\Z)")
 
@@ -52,6 +52,9 @@ class ByteBpe:
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        self.heads, self.tails = {}, {}
+
     def _fresh(self, chunk: str) -> bytes:
         ids = self.bpe.encode_ordinary(chunk)
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -61,7 +64,7 @@ class ByteBpe:
         if self.marks and self.marks.search(text):
             return b"".join(struct.pack("<I", self.special[x]) if x in self.special else self.encode_bytes(x) for x in self.marks.split(text) if x)
         if len(self.heads) + len(self.tails) > CACHE:
-            self.heads, self.tails = {}, {}
+            self.clear()
         if _AMBIGUOUS.search(text):
             chunks = _INNER.split(text)
             head, tails = chunks[0], [c[1:] for c in chunks[1:]]

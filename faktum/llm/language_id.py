@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faktum.llm import grams
+from faktum.llm import grams, textkit
 from faktum.llm.storage import cut, table
 
 ORDER, TAU = 4, 2.0
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, evidence: Evidence, sample: int = SAMPLE) -> Model | No
     share = {x: min(1.0, sample / count[x]) for x in languages}  # of the hashes, so about `sample` texts of each language
     most = F.create_map(*(y for x in languages for y in (F.lit(x), F.lit(min(2**63 - 1, int(share[x] * 2**64) - 2**63)))))
     chosen = F.xxhash64("text") <= most[F.col("declared")]
-    parts = rows.filter(chosen).select("text", "class").repartition(COUNTERS).mapInArrow(grams.count_batches(len(languages), ORDER), grams.PART_DDL).collect()
+    parts = rows.filter(chosen).select("text", "class").repartition(COUNTERS).mapInArrow(textkit.tidy(grams.count_batches(len(languages), ORDER)), grams.PART_DDL).collect()
     keys, weights = grams.gather(parts, len(languages))
     last = np.bincount((keys & grams.low(1)).astype(np.int64), weights=weights.sum(axis=1), minlength=256) + 0.5
     return Model(languages, grams.markov(keys, weights, ORDER, TAU), np.log(last / last.sum()))
@@ -128,7 +128,7 @@ def _with_texts(docs: DataFrame, model, schema, at: int):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * own.shape[1], pa.int32()), pa.array(own.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *batch.columns[at + 1 :], lists], names=[*[n for i, n in enumerate(batch.schema.names) if i != at], "texts"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textkit.tidy(run), schema)
 
 
 def _normal(logs: Column) -> Column:

@@ -258,7 +258,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, folds: int = 10, block_
     total, kinds = (int(words["a"].iloc[0]), int(words["b"].iloc[0])) if len(words) else (0, 0)
     nodes = sums[sums["node"] >= 0]
     shared = spark.sparkContext.broadcast(tree.top(*(nodes[x].to_numpy() for x in ("node", "a", "b", "children"))))
-    replies = gathered.mapInArrow(_answers(depth, shared), _ddl(ANSWER))
+    replies = gathered.mapInArrow(textkit.tidy(_answers(depth, shared)), _ddl(ANSWER))
     return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scores(depth, blocks, total, kinds), _ddl(RESULT))
 
 

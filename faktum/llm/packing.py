@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faktum.llm.byte_bpe import ByteBpe, default_path
+from faktum.llm import textkit
 from faktum.llm.storage import cut, table
 
 CAPACITY = 2048
@@ -150,6 +151,7 @@ def _pieces(path: str, capacity: int):
                     for into, x in zip(out, (doc_id, k, bounds[k], bounds[k + 1] - bounds[k], crc), strict=True):
                         into.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, PIECES, strict=True)], schema=PIECES)
+        bpe.clear()
 
     return cut_up
 
@@ -175,7 +177,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None) ->
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     longest = min(limits.tokens, int(limits.attention**0.5) if limits.attention else limits.tokens)
-    pieces = cut(docs.mapInArrow(_pieces(path or default_path(), longest), PIECES_DDL))
+    pieces = cut(docs.mapInArrow(textkit.tidy(_pieces(path or default_path(), longest)), PIECES_DDL))
     histogram = {x["length"]: x["count"] for x in pieces.groupBy("length").count().collect()}  # a row for each length at most
     places = np.array(sorted(_places(plan(histogram, limits))), np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(((places[:, 0] << 44) + places[:, 1], places[:, 1], places[:, 3], places[:, 4]))
@@ -186,7 +188,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None) ->
     ranked = pieces.join(offsets, ["length", "part"])
     own = W.partitionBy("length", "part").orderBy("doc_id", "piece")
     ranked = ranked.withColumn("rank", F.col("before") + F.row_number().over(own) - 1)
-    return ranked.select(*PIECES.names, F.col("rank").cast("long").alias("rank")).mapInArrow(_place(shared), PIECES_DDL + ", sequence_id long, offset long")
+    return ranked.select(*PIECES.names, F.col("rank").cast("long").alias("rank")).mapInArrow(textkit.tidy(_place(shared)), PIECES_DDL + ", sequence_id long, offset long")
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

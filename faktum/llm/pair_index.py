@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faktum.llm.byte_bpe import byte_alphabet
+from faktum.llm import textkit
 from faktum.llm.storage import table
 
 #: White space of the tokenizer's `\\s`: Unicode's White_Space.
@@ -204,6 +205,7 @@ def _digests(path: str):
                 coded = bpe.encode_texts([t or "" for t in texts[lo:hi]])
                 yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array([x[0] for x in coded], pa.int64()), pa.array([digest(x[1]) for x in coded]), pa.array([digest(x[2]) for x in coded])], schema=CODED)
                 lo = hi
+        bpe.cache = {}
 
     return run
 
@@ -215,7 +217,7 @@ def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
     empty table gives an empty result; other columns are never read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_digests(path or default_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(textkit.tidy(_digests(path or default_path())), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

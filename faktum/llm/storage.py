@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faktum.llm import textkit
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,4 +31,5 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of work that is done; else they stay until the driver happens to collect its garbage."""
     gc.collect()
+    textkit.trim()
     spark.sparkContext._jvm.System.gc()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faktum.llm import grams
+from faktum.llm import grams, textkit
 from faktum.llm.storage import table
 
 ORDER, SHARED = 4, 0.02
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
     rows = rows.select("text", "toxic", (F.col("toxic") + 2 * F.col("part")).cast("int").alias("class"))
     n = 2 * PARTS
-    keys, weights = grams.gather(rows.select("text", "class").repartition(COUNTERS).mapInArrow(grams.count_batches(n, ORDER), grams.PART_DDL).collect(), n)
+    keys, weights = grams.gather(rows.select("text", "class").repartition(COUNTERS).mapInArrow(textkit.tidy(grams.count_batches(n, ORDER)), grams.PART_DDL).collect(), n)
     by_class = weights.reshape(-1, PARTS, 2)
     whole = by_class.sum(axis=1)
 
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 x[own] = normalised(shared.value[part], batch.column("text").take(pa.array(own)))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(classes % 2)], names=["x", "y"])
 
-    both = rows.select("text", "class").mapInArrow(crossed, "x double, y long").toPandas()
+    both = rows.select("text", "class").mapInArrow(textkit.tidy(crossed), "x double, y long").toPandas()
     x, y = both["x"].to_numpy(), both["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return Model(None, 0.0, share.get(1, 0) / total)
@@ -147,7 +147,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
             p = model.value.score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(textkit.tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -159,7 +159,7 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
             at = batch.schema.get_field_index("text")
             yield batch.filter(pa.array(model.value.score(batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textkit.tidy(run), docs.schema)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from faktum.llm import textkit
 from faktum.llm.storage import cut, table
 
 LISTS = 4
@@ -141,12 +142,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     def meetings(asked: DataFrame) -> DataFrame:
         return blocks.join(asked.withColumn("meet", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), "meet")
 
-    local = meetings(queries).mapInArrow(_local_lists(k), FOUND_DDL)
+    local = meetings(queries).mapInArrow(textkit.tidy(_local_lists(k)), FOUND_DDL)
     own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     tau = local.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") == k).select("query_id", "score")
-    owner = queries.select("q_block", "q_ids").mapInArrow(_ids, "q_block long, query_id long")
+    owner = queries.select("q_block", "q_ids").mapInArrow(textkit.tidy(_ids), "q_block long, query_id long")
     tau = owner.join(tau, "query_id").groupBy("q_block").agg(F.collect_list("query_id").alias("cut_ids"), F.collect_list("score").alias("cut_scores"))
-    found = meetings(queries.join(cut(tau), "q_block", "left")).mapInArrow(_sufficient(k), FOUND_DDL)
+    found = meetings(queries.join(cut(tau), "q_block", "left")).mapInArrow(textkit.tidy(_sufficient(k)), FOUND_DDL)
     ranked = found.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
