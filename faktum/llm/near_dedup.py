@@ -5,18 +5,20 @@ set holds its distinct word shingles.  Documents are linked when
 100 * intersection >= 80 * union, and grouped by reachability.
 
 1. One pass over the texts gives each document its set's size and 128-bit
-   hash, 192 minima, 38 band keys of 5 minima each, and the low 2 bits of every
-   minimum packed into 6 longs.  A pair at the threshold misses all bands with
-   a probability below 3e-7.
+   hash, 352 minima, 50 band keys of 7 minima each, and the low 2 bits of every
+   minimum packed into 11 longs.  A pair at the threshold misses all bands with
+   a probability below 1e-5, one at 0.85 below 1e-8.
 2. Documents with the same set are one node from here on.
-3. Each band bucket has a centre, drawn by a hash that differs between buckets,
-   and its members are candidates with the centre: as many pairs as members.
+3. The members of a band bucket are candidates with its least member: as many
+   pairs as members, and in a large group mostly the same one for all bands.
    Equal low bits, counted on the packed signatures and corrected for chance
    agreement, estimate the similarity; estimates more than six standard errors
-   below the threshold are left out.  What remains is confirmed on full sets,
-   each member's two most similar centres first, then those of the others that
-   would join different components.
-4. Buckets that still hold more than one component have all their pairs across
+   below the threshold are left out.  Each member's most similar candidate and
+   its least one are confirmed on full sets.
+4. In buckets that hold more than one component, members are also candidates
+   with a centre drawn by a hash that differs between buckets; candidates of
+   different components are confirmed.
+5. Buckets that still hold more than one component have all their pairs across
    components estimated and confirmed.  No bucket and no number of partners is
    capped.
 
@@ -39,14 +41,14 @@ from faktum.llm.components import components
 from faktum.llm.storage import cut, table
 
 BITS = 2
-HASHES, BANDS, ROWS = 192, 38, 5
+HASHES, BANDS, ROWS = 352, 50, 7
 LONGS = HASHES * BITS // 64
 _CHANCE = 2.0**-BITS
 _LANES = sum(1 << i for i in range(0, 64, BITS))
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_STEP = 256
+_STEP = 128
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))])
 SIGNED_DDL = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature array<long>"
@@ -145,31 +147,31 @@ def least_estimate(percent: int) -> float:
 def groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(docs.mapInArrow(_sign(width), SIGNED_DDL))
+    signed = cut(docs.mapInArrow(textkit.tidy(_sign(width)), SIGNED_DDL))
     key = ["set_a", "set_b", "n_shingles"]
     usable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     sets = cut(usable.groupBy(*key).agg(F.min("doc_id").alias("rep")))
     nodes = usable.join(sets.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"]).dropDuplicates(["doc_id", *key]).select(F.col("doc_id").alias("rep"), "bands", "signature")
     nodes = cut(nodes)
     members = nodes.select("rep", F.explode("bands").alias("bucket")).distinct()
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("rep").bitwiseXOR(F.xxhash64("bucket"))).alias("drawn")).filter("n > 1")
-    crowded = crowded.select("bucket", F.col("drawn").bitwiseXOR(F.xxhash64("bucket")).alias("centre"))
+    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.min(F.col("rep").bitwiseXOR(F.xxhash64("bucket"))).alias("drawn")).filter("n > 1")
+    crowded = crowded.select("bucket", "least", F.col("drawn").bitwiseXOR(F.xxhash64("bucket")).alias("centre"))
     members = cut(members.join(crowded, "bucket"))
 
     signatures = nodes.select("rep", "signature")
     floor = least_estimate(percent)
 
+    def signed_by(rows: DataFrame, side: str) -> DataFrame:
+        return rows.join(signatures.select(F.col("rep").alias(side), F.col("signature").alias(f"s{side}")), side)
+
     def estimated(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose estimate isn't too low."""
-        for side in "ab":
-            pairs = pairs.join(signatures.select(F.col("rep").alias(side), F.col("signature").alias(f"s{side}")), side)
+        pairs = signed_by(signed_by(pairs.select("a", "b").distinct(), "a"), "b")
         return pairs.withColumn("estimate", similarity(F.col("sa"), F.col("sb"))).filter(F.col("estimate") >= floor).drop("sa", "sb")
 
-    starred = members.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    starred = cut(estimated(starred))
     wanted = members.select("rep").distinct()
     full = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    full = cut(full.mapInArrow(_sets_of(width), "rep long, members array<long>").filter(F.size("members") > 0))
+    full = cut(full.mapInArrow(textkit.tidy(_sets_of(width)), "rep long, members array<long>").filter(F.size("members") > 0))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         for side in "ab":
@@ -182,29 +184,35 @@ def groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
         own = found.select(F.col("node").alias(column), F.col("component").alias(label))
         return rows.join(own, column, "left").withColumn(label, F.coalesce(label, column))
 
-    def apart(found: DataFrame, pairs: DataFrame) -> DataFrame:
-        pairs = labelled(found, labelled(found, pairs, "a", "ca"), "b", "cb")
-        return pairs.filter("ca <> cb").drop("ca", "cb")
-
     def links(found: DataFrame) -> DataFrame:
         return found.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
+    def unsettled(found: DataFrame) -> DataFrame:
+        """Members, with their components, of the buckets that hold more than one component."""
+        rows = labelled(found, members, "rep", "own")
+        open_ = rows.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low < high").select("bucket")
+        return cut(rows.join(open_, "bucket"))
+
     # a document of several texts links their sets
     own = usable.join(sets, key).select("doc_id", "rep")
     several = own.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).filter("u < last").drop("last")
     bound = several.join(own, "doc_id").select("u", F.col("rep").alias("v")).filter("u <> v")
 
+    starred = estimated(members.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     best = starred.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("x"), F.min("b").alias("y"))
     best = best.select("a", F.explode(F.array_distinct(F.array("x.b", "y"))).alias("b"))
     found = components(confirmed(best).unionByName(bound))
-    found = components(links(found).unionByName(confirmed(apart(found, starred.drop("estimate")))))
 
-    mixed = labelled(found, members.select("bucket", "rep"), "rep", "own")
-    open_ = mixed.groupBy("bucket").agg(F.min("own").alias("least"), F.max("own").alias("most")).filter("least < most").select("bucket")
-    mixed = cut(mixed.join(open_, "bucket"))
-    left, right = mixed.select("bucket", F.col("rep").alias("a"), F.col("own").alias("ca")), mixed.select("bucket", F.col("rep").alias("b"), F.col("own").alias("cb"))
-    rest = left.join(right, "bucket").filter("ca < cb").select("a", "b").distinct()
-    found = components(links(found).unionByName(confirmed(estimated(rest).drop("estimate"))))
+    rows = unsettled(found)
+    centres = rows.select(F.col("rep").alias("a"), F.col("own").alias("ca"), F.explode(F.array_distinct(F.array("least", "centre"))).alias("b")).distinct()
+    across = labelled(found, centres, "b", "cb").filter("ca <> cb")
+    found = components(links(found).unionByName(confirmed(estimated(across).drop("estimate"))))
+
+    rows = unsettled(found).select("bucket", "rep", "own")
+    left, right = (signed_by(rows.select("bucket", F.col("rep").alias(x), F.col("own").alias(f"c{x}")), x) for x in "ab")
+    near = (F.col("ca") < F.col("cb")) & (similarity(F.col("sa"), F.col("sb")) >= floor)
+    rest = left.join(right, (left["bucket"] == right["bucket"]) & near).select("a", "b").distinct()
+    found = components(links(found).unionByName(confirmed(rest)))
 
     named = labelled(found, sets, "rep", "component_id").select(*key, "component_id")
     out = signed.join(named, key, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
@@ -215,7 +223,7 @@ def drop(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are kept, with all their columns; all rows of a kept doc_id stay."""
     kept = groups(docs, width, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
     unique = docs.filter("doc_id IS NOT NULL")
-    rows = unique.join(kept, unique["doc_id"].cast("long") == F.col("__id"), "left_semi")
+    rows = unique.join(kept, unique["doc_id"].cast("long") == kept["__id"], "left_semi")
     return rows.unionByName(docs.filter("doc_id IS NULL"))
 
 
