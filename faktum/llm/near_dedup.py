@@ -9,15 +9,14 @@ set holds its distinct word shingles.  Documents are linked when
    minimum packed into 11 longs.  A pair at the threshold misses all bands with
    a probability below 1e-5, one at 0.85 below 1e-8.
 2. Documents with the same set are one node from here on.
-3. The members of a band bucket are candidates with its least member: as many
-   pairs as members, and in a large group mostly the same one for all bands.
+3. Each document is first a candidate with two others: the first and the last
+   of the least members of its band buckets.
    Equal low bits, counted on the packed signatures and corrected for chance
    agreement, estimate the similarity; estimates more than six standard errors
-   below the threshold are left out.  Each member's most similar candidate and
-   its least one are confirmed on full sets.
-4. In buckets that hold more than one component, members are also candidates
-   with a centre drawn by a hash that differs between buckets; candidates of
-   different components are confirmed.
+   below the threshold are left out; the others are confirmed on full sets.
+4. In buckets that hold more than one component, members are candidates with
+   the least member and with a centre drawn by a hash that differs between
+   buckets; candidates of different components are confirmed.
 5. Buckets that still hold more than one component have all their pairs across
    components estimated and confirmed.  No bucket and no number of partners is
    capped.
@@ -198,10 +197,9 @@ def groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     several = own.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).filter("u < last").drop("last")
     bound = several.join(own, "doc_id").select("u", F.col("rep").alias("v")).filter("u <> v")
 
-    starred = estimated(members.filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    best = starred.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("x"), F.min("b").alias("y"))
-    best = best.select("a", F.explode(F.array_distinct(F.array("x.b", "y"))).alias("b"))
-    found = components(confirmed(best).unionByName(bound))
+    first = members.filter("rep <> least").groupBy(F.col("rep").alias("a")).agg(F.min("least").alias("x"), F.max("least").alias("y"))
+    first = first.select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+    found = components(confirmed(estimated(first).drop("estimate")).unionByName(bound))
 
     rows = unsettled(found)
     centres = rows.select(F.col("rep").alias("a"), F.col("own").alias("ca"), F.explode(F.array_distinct(F.array("least", "centre"))).alias("b")).distinct()
