@@ -16,10 +16,14 @@ Four kinds of evidence bear on a document's language l:
 The last three come from grouped aggregations over all documents of the
 language that the text alone says.  Missing evidence (null) says nothing.
 
-The text models are fitted on a bounded sample: of each of the (at most
-LANGUAGES) languages declared most often, about SAMPLE documents, those with
-the least hashes of their texts.  The rest covers every document.  A host that holds a third of all rows
-is one partial sum a task; priors are broadcast only after a count of hosts.
+Every declared language is modelled.  Tags count by their primary subtag
+(en-us and en_GB are en).  The text models are fitted on a bounded sample: of
+each language about SAMPLE documents, those with the least hashes of their
+texts; with more than BLOCK languages so many fewer of each that all models
+together stay as large.  A language's model doesn't depend on the others, so
+they are fitted and held in blocks of BLOCK.  The rest covers every document.
+Evidence tables are joined whole; a host that holds a third of all rows is one
+partial sum a task; tables are broadcast only after a count of their rows.
 
 Nulls: a null or empty text is no evidence, and with none of any kind the
 result is `und` with posterior 0.  Documents are kept when the best language
@@ -30,6 +34,7 @@ through `keep_known` untouched, whatever their names.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +46,7 @@ from faktum.llm import grams, textkit
 from faktum.llm.storage import cut, table
 
 ORDER, TAU = 4, 2.0
-SAMPLE, LANGUAGES = 2048, 64
+SAMPLE, BLOCK = 2048, 64
 TEXT_BYTES = 60
 ODD = 2.3
 KAPPA = 20.0
@@ -49,8 +54,8 @@ LEAST = 0.5
 #: Tasks that count the sample, each sending its counts to the driver once.
 COUNTERS = 16
 UNKNOWN = "und"
-#: Sites beyond this count are joined by a shuffle instead of a broadcast.
-BROADCAST_HOSTS = 20_000
+#: Tables of more rows with BLOCK languages (fewer rows with more languages) are joined by a shuffle instead of a broadcast.
+BROADCAST_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -63,9 +68,15 @@ class Evidence:
     suffix: Column
 
 
+def primary(tag: Column) -> Column:
+    """The primary subtag of a language tag, in lower case; private and odd tags stay whole."""
+    own = F.nullif(F.lower(F.trim(tag)), F.lit(""))
+    return F.when(own.rlike(r"\A[a-z]{2,8}[-_]"), F.regexp_extract(own, r"\A[a-z]+", 0)).otherwise(own)
+
+
 def of_documents() -> Evidence:
     """`lang` is what a document declares and `source` its host; there is no address."""
-    return Evidence(F.col("text"), F.lower(F.trim("lang")), F.col("source"), F.lit(None).cast("string"))
+    return Evidence(F.col("text"), primary(F.col("lang")), F.col("source"), F.lit(None).cast("string"))
 
 
 def of_pages() -> Evidence:
@@ -84,7 +95,7 @@ def site(host: Column) -> Column:
 @dataclass
 class Model:
     languages: list[str]
-    table: grams.Table
+    tables: list[grams.Table]  # of BLOCK languages each
     background: np.ndarray
 
     def texts(self, column: pa.Array) -> np.ndarray:
@@ -97,28 +108,36 @@ class Model:
             has = np.flatnonzero(np.diff(places))
             if len(has):
                 alone = self.background[(g & grams.low(1)).astype(np.int64)]
-                each = np.column_stack([np.maximum(self.table.of(g), (alone - ODD)[:, None]), alone])
-                out[lo + has] = np.add.reduceat(each.astype(np.float64), places[has])
+                out[lo + has, -1] = np.add.reduceat(alone.astype(np.float64), places[has])
+                for k, own in enumerate(self.tables):
+                    each = np.maximum(own.of(g), (alone - ODD)[:, None])
+                    out[lo + has, BLOCK * k : BLOCK * k + each.shape[1]] = np.add.reduceat(each.astype(np.float64), places[has])
         scale = np.minimum(1.0, TEXT_BYTES / np.maximum(sizes, 1))
         return out * scale[:, None]
 
 
 def fit(docs: DataFrame, evidence: Evidence, sample: int = SAMPLE) -> Model | None:
     rows = docs.select(evidence.text.alias("text"), evidence.declared.alias("declared")).filter("text IS NOT NULL AND text <> ''")
-    named = rows.filter("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
-    languages = sorted(x["declared"] for x in named if x["count"] >= 2 and x["declared"] not in ("", UNKNOWN))
+    count = {x["declared"]: x["count"] for x in rows.filter("declared IS NOT NULL").groupBy("declared").count().collect()}
+    languages = sorted(x for x in count if x not in ("", UNKNOWN))
     if not languages:
         return None
-    number = F.create_map(*(y for i, x in enumerate(languages) for y in (F.lit(x), F.lit(i))))
-    rows = rows.filter(F.col("declared").isin(languages)).withColumn("class", number[F.col("declared")])
-    count = {x["declared"]: x["count"] for x in named}
+    sample = min(sample, max(1, sample * BLOCK // len(languages)))
     share = {x: min(1.0, sample / count[x]) for x in languages}  # of the hashes, so about `sample` texts of each language
-    most = F.create_map(*(y for x in languages for y in (F.lit(x), F.lit(min(2**63 - 1, int(share[x] * 2**64) - 2**63)))))
-    chosen = F.xxhash64("text") <= most[F.col("declared")]
-    parts = rows.filter(chosen).select("text", "class").repartition(COUNTERS).mapInArrow(textkit.tidy(grams.count_batches(len(languages), ORDER)), grams.PART_DDL).collect()
-    keys, weights = grams.gather(parts, len(languages))
-    last = np.bincount((keys & grams.low(1)).astype(np.int64), weights=weights.sum(axis=1), minlength=256) + 0.5
-    return Model(languages, grams.markov(keys, weights, ORDER, TAU), np.log(last / last.sum()))
+    most = [(x, i, min(2**63 - 1, int(share[x] * 2**64) - 2**63)) for i, x in enumerate(languages)]
+    chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame(most, "declared string, class int, most long")), "declared")
+    chosen = chosen.filter(F.xxhash64("text") <= F.col("most")).select("text", "class")
+    if len(languages) > BLOCK:
+        chosen = cut(chosen)
+    tables, last = [], np.full(256, 0.5)
+    for lo in range(0, len(languages), BLOCK):
+        n = min(BLOCK, len(languages) - lo)
+        own = chosen.filter(F.col("class").between(lo, lo + n - 1)).select("text", (F.col("class") - lo).alias("class"))
+        parts = own.repartition(COUNTERS).mapInArrow(textkit.tidy(grams.count_batches(n, ORDER)), grams.PART_DDL).collect()
+        keys, weights = grams.gather(parts, n)
+        last += np.bincount((keys & grams.low(1)).astype(np.int64), weights=weights.sum(axis=1), minlength=256)
+        tables.append(grams.markov(keys, weights, ORDER, TAU))
+    return Model(languages, tables, np.log(last / last.sum()))
 
 
 def _with_texts(docs: DataFrame, model, schema, at: int):
@@ -161,40 +180,43 @@ def judged(docs: DataFrame, evidence: Evidence, carried: list[Column], sample: i
     tallies = cut(said.groupBy("declared", "suffix", "host", "l").agg(F.count(F.lit(1)).cast("double").alias("n")))
     overall = {x["l"]: x["n"] for x in tallies.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     total = sum(overall.values())
+    numbers = lambda own: F.from_json(F.lit(json.dumps([float(x) for x in own])), "array<double>")
     corpus = [(overall.get(i, 0.0) + 1) / (total + size) for i in range(size)]
 
-    def given(column: str) -> dict[str, list[float]]:
-        """log P(value | l) of the commonest values; the others count as one."""
-        top = [x[0] for x in tallies.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), column).limit(4 * LANGUAGES).collect()]
-        seen = tallies.filter(F.col(column).isNotNull()).groupBy(F.when(F.col(column).isin(top), F.col(column)).otherwise("").alias("v"), "l").agg(F.sum("n").alias("n")).collect()
-        kinds = [*top, ""]
-        own = np.full((len(kinds), size), 0.5)
-        for x in seen:
-            own[kinds.index(x["v"]), x["l"]] += x["n"]
-        return dict(zip(kinds, np.log(own / own.sum(axis=0)).tolist(), strict=True))
-
-    def looked_up(column: str) -> Column:
-        known = given(column)
-        value = F.when(F.col(column).isin([x for x in known if x]), F.col(column)).otherwise("")
-        found = F.lit(None).cast("array<double>")
-        for v, logs in known.items():
-            found = F.when(value == v, F.array(*map(F.lit, logs))).otherwise(found)
-        return F.when(F.col(column).isNotNull(), found).otherwise(F.array(*[F.lit(0.0)] * size))
-
-    own = [F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0.0)).alias(f"n{i}") for i in range(size)]
-    hosts = tallies.filter("host IS NOT NULL").groupBy("host").agg(*own).withColumn("site", site(F.col("host")))
-    sites = hosts.groupBy("site").agg(*(F.sum(f"n{i}").alias(f"s{i}") for i in range(size)))
+    def per_language(value: str) -> DataFrame:
+        """For each value of a column: counts by language, and their sum."""
+        own = tallies.filter(F.col(value).isNotNull()).groupBy(value, "l").agg(F.sum("n").alias("n"))
+        return own.groupBy(value).agg(F.map_from_entries(F.collect_list(F.struct(F.col("l").cast("int"), "n"))).alias("by"), F.sum("n").alias("all"))
+
+    def of(by: str, i: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.col(by), i), F.lit(0.0))
+
+    def joined(rows: DataFrame, other: DataFrame, on: str) -> DataFrame:
+        most = BROADCAST_ROWS * (BLOCK + 1) // max(size, BLOCK + 1)
+        return rows.join(F.broadcast(other) if other.limit(most + 1).count() <= most else other, on, "left")
+
+    def looked_up(rows: DataFrame, column: str) -> DataFrame:
+        """log P(value | l), as a column `of_...`; a value that no text came with is one more value."""
+        kinds = tallies.filter(F.col(column).isNotNull()).select(column).distinct().count() + 1
+        seen = {x["l"]: x["n"] for x in tallies.filter(F.col(column).isNotNull()).groupBy("l").agg(F.sum("n").alias("n")).collect()}
+        totals = [seen.get(i, 0.0) + 0.5 * kinds for i in range(size)]
+        table = per_language(column).select(column, F.transform(numbers(totals), lambda x, i: F.log((of("by", i) + 0.5) / x)).alias(f"of_{column}"))
+        rows = joined(rows, cut(table), column)
+        unseen = numbers(np.log(0.5 / np.array(totals)))
+        return rows.withColumn(f"of_{column}", F.when(F.col(column).isNotNull(), F.coalesce(f"of_{column}", unseen)).otherwise(numbers([0.0] * size)))
+
+    hosts = per_language("host").withColumn("site", site(F.col("host")))
+    sites = tallies.filter("host IS NOT NULL").groupBy(site(F.col("host")).alias("site"), "l").agg(F.sum("n").alias("n"))
+    sites = sites.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct(F.col("l").cast("int"), "n"))).alias("site_by"), F.sum("n").alias("site_all"))
     hosts = hosts.join(sites, "site")
-    h_total, s_total = (sum((F.col(f"{c}{i}") for i in range(size)), F.lit(0.0)) for c in "ns")
-    of_site = [(F.col(f"s{i}") + KAPPA * corpus[i]) / (s_total + KAPPA) for i in range(size)]
-    prior = F.array(*(F.log((F.col(f"n{i}") + KAPPA * of_site[i]) / (h_total + KAPPA)) for i in range(size)))
+    prior = F.transform(numbers(corpus), lambda c, i: F.log((of("by", i) + KAPPA * (of("site_by", i) + KAPPA * c) / (F.col("site_all") + KAPPA)) / (F.col("all") + KAPPA)))
     hosts = cut(hosts.select("host", prior.alias("prior")))
 
     scored = _with_texts(docs.select(fields[0], row.alias("row"), *fields[1:]), shared, _schema(docs, row), 0)
-    few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    scored = scored.join(F.broadcast(hosts) if few else hosts, "host", "left")
-    prior = F.coalesce("prior", F.array(*(F.lit(float(np.log(x))) for x in corpus)))
-    logs = _plus(_plus(_plus(F.col("texts"), prior), looked_up("declared")), looked_up("suffix"))
+    scored = joined(scored, hosts, "host")
+    scored = looked_up(looked_up(scored, "declared"), "suffix")
+    prior = F.coalesce("prior", numbers(np.log(corpus)))
+    logs = _plus(_plus(_plus(F.col("texts"), prior), F.col("of_declared")), F.col("of_suffix"))
     scored = scored.withColumn("p", _normal(logs))
     nothing = (F.array_max("texts") == 0) & F.col("declared").isNull() & F.col("suffix").isNull() & F.col("host").isNull()
     best = F.element_at(F.array(*map(F.lit, names)), F.expr("cast(array_position(p, array_max(p)) as int)"))

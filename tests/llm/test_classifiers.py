@@ -151,6 +151,20 @@ def test_pages_and_odd_documents(spark):
     assert keep_known(docs.withColumn("lang", F.lit(None).cast("string"))).collect() == []
 
 
+def test_every_declared_language_is_known(spark):
+    rng = np.random.default_rng(7)
+    rows, names = [], [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
+    for k, name in enumerate(names):
+        letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8, replace=False)
+        words = ["".join(rng.choice(letters, 5)) for _ in range(30)]
+        rows += [(100 * k + i, " ".join(rng.choice(words, 40)), [name, f"{name.upper()}-us", f"{name}_x"][i % 3], "h") for i in range(4 if k < 69 else 1)]
+    got = keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).count()
+    assert got == len(rows)
+    judgements = judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), of_documents(), [language_id.F.col("doc_id")]).collect()
+    assert sum(r.language == names[r.row.doc_id // 100] for r in judgements) >= 0.98 * len(rows)
+    assert {r.language for r in judgements if r.row.doc_id == 6900} == {names[69]}
+
+
 # toxicity
 
 
