@@ -1,11 +1,18 @@
 """References that manifests, lock files and sources make to other packages and files.
 
 Each text becomes an array of (locator_type, locator, kind, source, pin), all
-by expressions; JSON manifests are taken apart as maps.
+by expressions; JSON manifests are taken apart as maps.  Lock files that are
+JSON, TOML or YAML documents are read by an Arrow function; one that can't be
+read gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import tomllib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +93,22 @@ def gemfile_lock(text: Column) -> Column:
     return F.transform(rows, lambda x: _ref("dependency", "gemfile.lock", purl("gem", F.regexp_extract(x, r"\A {4}(\S+)", 1), F.regexp_extract(x, r"\(([^)]+)\)", 1))))
 
 
+#: registry, name and tag of a container action
+IMAGE = r"\Adocker://(?:([A-Za-z0-9][A-Za-z0-9._:\-]*(?:/[A-Za-z0-9][A-Za-z0-9._:\-]*)*)/)?([A-Za-z0-9._\-]+)(?::([A-Za-z0-9._\-]+))?\z"
+
+
+def _image(uses: Column) -> Column:
+    part = lambda k: F.nullif(F.regexp_extract(uses, IMAGE, k), F.lit(""))
+    marks = F.concat_ws("&", F.concat(F.lit("repository_url="), F.replace(part(1), F.lit("/"), F.lit("%2F"))), F.concat(F.lit("tag="), part(3)))
+    return F.concat(F.lit("pkg:oci/"), F.lower(part(2)), F.when(marks != "", F.concat(F.lit("?"), marks)).otherwise(""))
+
+
 def workflow(text: Column) -> Column:
     uses = F.regexp_extract_all(text, F.lit(r"""(?m)^\s*(?:-\s+)?uses:\s*['"]?([^\s'"#]+)"""), F.lit(1))
-    actions = F.filter(uses, lambda x: x.rlike(r"\A[^./][^/@]*/[^@]+@.+\z") & ~x.startswith("docker:"))
-    found = F.transform(actions, lambda x: _ref("dependency", "github_actions", F.concat(F.lit("pkg:github/"), F.array_join(F.slice(F.split(F.substring_index(x, "@", 1), "/"), 1, 2), "/"), F.lit("@"), F.substring_index(x, "@", -1))))
+    is_action = lambda x: x.rlike(r"\A[^./][^/@]*/[^@]+@.+\z") & ~x.startswith("docker:")
+    action = lambda x: F.concat(F.lit("pkg:github/"), F.array_join(F.slice(F.split(F.substring_index(x, "@", 1), "/"), 1, 2), "/"), F.lit("@"), F.substring_index(x, "@", -1))
+    used = F.filter(uses, lambda x: is_action(x) | (x.rlike(IMAGE) & ~x.contains("..")))
+    found = F.transform(used, lambda x: _ref("dependency", "github_actions", F.when(x.startswith("docker:"), _image(x)).otherwise(action(x))))
     local = F.transform(F.filter(uses, lambda x: x.startswith("./")), lambda x: _ref("local", "github_actions", x, "path"))
     return F.concat(found, local)
 
@@ -111,15 +130,96 @@ def pkgbuild(text: Column) -> Column:
     return F.concat(found, deps)
 
 
+def cargo_toml(text: Column) -> Column:
+    """The repository; dependencies are ranges, which the lock file resolves."""
+    section = F.regexp_extract(text, r"(?ms)^\[package\][ \t]*\r?$(.*?)(?=^\[|\z)", 1)
+    url = F.nullif(F.regexp_extract(section, r"""(?m)^[ \t]*repository[ \t]*=[ \t]*["']([^"'\n]+)["']""", 1), F.lit(""))
+    forge = forge_purl(url)
+    return F.when(forge.isNotNull(), F.array(_ref("repository", "cargo.toml", forge))).when(url.isNotNull(), F.array(_ref("repository", "cargo.toml", url, "url"))).otherwise(F.array().cast(_ARRAY))
+
+
+def _npm(name: str, version: str) -> str:
+    return f"pkg:npm/{name.replace('@', '%40')}@{version}"
+
+
+def _pypi(name: str, version: str) -> str:
+    return f"pkg:pypi/{re.sub('[-_.]+', '-', name.lower())}@{version}"
+
+
+def _integrity(own) -> str | None:
+    first = own.split()[0] if isinstance(own, str) and own.split() else ""
+    return first if re.match(r"sha(?:1|256|512)-.", first) else None
+
+
+def _maps(own) -> list[tuple[str, dict]]:
+    return [(k, v) for k, v in own.items() if isinstance(k, str) and isinstance(v, dict)] if isinstance(own, dict) else []
+
+
+def _packages(own) -> list[tuple[str, str]]:
+    return [(x["name"], x["version"]) for x in own if isinstance(x, dict) and isinstance(x.get("name"), str) and isinstance(x.get("version"), str)] if isinstance(own, list) else []
+
+
+def _package_lock(text: str) -> list[tuple[str, str | None]]:
+    own = json.loads(text)
+    named = [(k.rsplit("node_modules/", 1)[1], v) for k, v in _maps(own.get("packages")) if "node_modules/" in k] + _maps(own.get("dependencies"))
+    return [(_npm(k, v["version"]), _integrity(v.get("integrity"))) for k, v in named if k and isinstance(v.get("version"), str)]
+
+
+def _pnpm_lock(text: str) -> list[tuple[str, str | None]]:
+    import yaml
+
+    out = []
+    for k, v in _maps((yaml.load(text, yaml.BaseLoader) or {}).get("packages")):
+        name, _, version = k.lstrip("/").partition("(")[0].rpartition("@")
+        if name and version:
+            out.append((_npm(name, version), _integrity(dict(_maps(v)).get("resolution", {}).get("integrity"))))
+    return out
+
+
+def _poetry_lock(text: str) -> list[tuple[str, str | None]]:
+    return [(_pypi(*x), None) for x in _packages(tomllib.loads(text).get("package"))]
+
+
+def _pipfile_lock(text: str) -> list[tuple[str, str | None]]:
+    own = json.loads(text)
+    rows = [(k, v["version"].lstrip("=")) for section in ("default", "develop") for k, v in _maps(own.get(section)) if isinstance(v.get("version"), str)]
+    return [(_pypi(k, v), None) for k, v in rows if v]
+
+
+def _composer_lock(text: str) -> list[tuple[str, str | None]]:
+    own = json.loads(text)
+    return [(f"pkg:composer/{k}@{v}", None) for section in ("packages", "packages-dev") for k, v in _packages(own.get(section))]
+
+
+#: Lock files by type.
+LOCKS = {"package-lock.json": _package_lock, "pnpm-lock.yaml": _pnpm_lock, "poetry.lock": _poetry_lock, "pipfile.lock": _pipfile_lock, "composer.lock": _composer_lock}
+
+
+def locked(kind: str, text: str | None) -> list[dict]:
+    try:
+        rows = LOCKS[kind](text) if text else []
+    except Exception:  # hostile input is data
+        rows = []
+    return [{"locator_type": "purl", "locator": x, "kind": "dependency", "source": kind, "pin": pin} for x, pin in rows]
+
+
+def _locks(kind: Column, text: Column) -> Column:
+    def run(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([locked(k, t) if k in LOCKS else [] for k, t in zip(kinds, texts, strict=True)], dtype=object)
+
+    mine = kind.isin(list(LOCKS))
+    return F.pandas_udf(run, _ARRAY)(kind, F.when(mine, text))
+
+
 SOURCES = {
     "package.json": package_json, "requirements.txt": requirements, "go.mod": go_mod, "go.sum": go_sum, "yarn.lock": yarn_lock, "cargo.lock": cargo_lock, "gemfile.lock": gemfile_lock, "github_actions": workflow,
-    "javascript": relative_imports, "typescript": relative_imports, "src_info": pkgbuild,
+    "javascript": relative_imports, "typescript": relative_imports, "src_info": pkgbuild, "cargo.toml": cargo_toml,
 }
 
 
 def references(files: DataFrame) -> DataFrame:
     """files: (file_id, file_type, text) to (file_id, ord, locator_type, locator, kind, source, pin)."""
-    own = F.array().cast(_ARRAY)
+    own = F.when(F.col("file_type").isin(list(LOCKS)), _locks(F.col("file_type"), F.col("text"))).otherwise(F.array().cast(_ARRAY))
     for kind, f in SOURCES.items():
         own = F.when(F.col("file_type") == kind, f(F.col("text")).cast(_ARRAY)).otherwise(own)
     return files.select("file_id", F.posexplode(own).alias("ord", "x")).select("file_id", "ord", *(F.col(f"x.{k}").alias(k) for k in FIELDS))

@@ -122,3 +122,25 @@ def test_broken_packages_are_error_rows(kind):
 
     for data in (b"", b"PK\3\4", b"\x1f\x8b\x08\0", bytes(600), b"\xd0\xcf\x11\xe0" + bytes(600)):
         assert isinstance(facts_of(kind, data), list)
+
+
+def test_references_of_locks_and_images(spark):
+    from faktum.operators.references import references
+
+    rows = [
+        ("npm", "package-lock.json", '{"packages": {"": {"version": "1.0.0"}, "node_modules/a/node_modules/@s/b": {"version": "2.0.0", "integrity": "sha512-x"}}, "dependencies": {"c": {"version": "1.2.3"}, "d": {}}}'),
+        ("pnpm", "pnpm-lock.yaml", "packages:\n  /@s/b@2.0.0(react@18.0.0):\n    resolution: {integrity: sha512-y}\n  c@1.0.0: {}\n"),
+        ("poetry", "poetry.lock", '[[package]]\nname = "Typing_Ext"\nversion = "4.0"\n'),
+        ("pip", "pipfile.lock", '{"default": {"A.b": {"version": "==1.0"}, "g": {"git": "x"}}, "develop": {"c": {"version": "==2"}}}'),
+        ("php", "composer.lock", '{"packages": [{"name": "v/p", "version": "v1"}], "packages-dev": [{"name": "v/q", "version": "2"}]}'),
+        ("rust", "cargo.toml", '[package]\nname = "x"\nrepository = "https://github.com/O/R"\n[dependencies]\na = "1"\n'),
+        ("ci", "github_actions", "- uses: docker://ghcr.io/o/Tool:1\n- uses: docker://alpine\n- uses: a/b@v1\n- uses: docker:////evil/x\n"),
+        ("bad", "composer.lock", "{"),
+    ]
+    got: dict = {}
+    for r in references(spark.createDataFrame(rows, "file_id string, file_type string, text string")).orderBy("file_id", "ord").collect():
+        got.setdefault(r.file_id, []).append((r.locator, r.pin) if r.pin else r.locator)
+    assert got == {
+        "npm": [("pkg:npm/%40s/b@2.0.0", "sha512-x"), "pkg:npm/c@1.2.3"], "pnpm": [("pkg:npm/%40s/b@2.0.0", "sha512-y"), "pkg:npm/c@1.0.0"], "poetry": ["pkg:pypi/typing-ext@4.0"], "pip": ["pkg:pypi/a-b@1.0", "pkg:pypi/c@2"],
+        "php": ["pkg:composer/v/p@v1", "pkg:composer/v/q@2"], "rust": ["pkg:github/o/r"], "ci": ["pkg:oci/tool?repository_url=ghcr.io%2Fo&tag=1", "pkg:oci/alpine", "pkg:github/a/b@v1"],
+    }
