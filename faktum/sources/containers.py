@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes that are inflated, at most, to tell what a compressed tar holds.
-PEEK_BYTES = 8 << 20
-PEEK_MEMBERS = 512
+#: Bytes that are inflated, at most, to tell an npm package and a Python sdist (whose PKG-INFO often comes last), and members of a tar that are looked at for an image.
+NPM_BYTES = 8 << 20
+SDIST_BYTES = 64 << 20
+OCI_MEMBERS = 512
 
 MEMBERS = pa.schema(
     [("file_id", pa.string()), ("ord", pa.int64()), ("path", pa.string()), ("size_bytes", pa.int64()), ("compressed_bytes", pa.int64()), ("entry_type", pa.string()), ("method", pa.string()), ("mode", pa.int64()), ("mtime_unix", pa.int64())]
@@ -120,45 +121,98 @@ def members(files: DataFrame) -> DataFrame:
 # what lies inside compressed streams
 
 
-def _inflated(data: bytes) -> bytes:
-    if data[:2] == b"\x1f\x8b":
-        return zlib.decompressobj(31).decompress(data, PEEK_BYTES)
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
-
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(PEEK_BYTES)
-    return data
+class Limit(Exception):
+    """More was asked for than is inflated."""
+
+
+class Inflated(io.RawIOBase):
+    """A gzip stream's bytes as they are asked for, never held as a whole; past `limit` a read fails."""
+
+    def __init__(self, data: bytes, limit: int | None = None):
+        self.data, self.at, self.given, self.limit = memoryview(data), 0, 0, limit
+        self.inner = zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        if self.limit is not None and self.given >= self.limit:
+            raise Limit(f"more than {self.limit} bytes")
+        most = len(into) if self.limit is None else min(len(into), self.limit - self.given)
+        while not self.inner.eof:
+            rest = self.inner.unconsumed_tail
+            if not rest:
+                rest = self.data[self.at : self.at + 65536]
+                self.at += len(rest)
+            out = self.inner.decompress(rest, most)
+            if out:
+                into[: len(out)] = out
+                self.given += len(out)
+                return len(out)
+            if not len(rest):
+                raise EOFError("stream ends early")
+            if self.inner.eof and self.inner.unused_data[:2] == b"\x1f\x8b":
+                self.at -= len(self.inner.unused_data)
+                self.inner = zlib.decompressobj(31)
+        return 0
+
+
+def _gzip_kind(data: bytes) -> str | None:
+    """npm: every member below package/, with its manifest; sdist: one root with a PKG-INFO below it, wherever that comes."""
+    stream = Inflated(data, SDIST_BYTES)
+    roots: set[str] = set()
+    manifest = info = False
+    small = True  # all members so far end within NPM_BYTES
+    try:
+        with tarfile.open(fileobj=io.BufferedReader(stream), mode="r|") as t:
+            for m in t:
+                name = m.name.removeprefix("./").rstrip("/")
+                base = name.split("/")[-1]
+                if base.startswith("._") or not name:
+                    continue
+                small = small and m.offset_data <= NPM_BYTES
+                roots.add(name.split("/")[0])
+                if len(roots) > 1:
+                    return None
+                manifest |= small and name == "package/package.json"
+                info |= base == "PKG-INFO" and name.count("/") == 1
+                if info and roots != {"package"}:
+                    return "python_sdist"
+                t.members = []  # headers that are done aren't kept
+    except (Limit, tarfile.TarError, EOFError, zlib.error):  # cut off, or damaged: what was seen counts
+        pass
+    if manifest:
+        return "npm"
+    return "python_sdist" if info else None
 
 
 def peek_type(path: str, data: bytes) -> str | None:
     """npm, python_sdist, oci_image, pkg_freebsd or pkg_arch, if the inside says so."""
     try:
-        plain = _inflated(data)
         name = (path or "").lower()
-        if data[:4] == b"\x28\xb5\x2f\xfd" and b"+MANIFEST" in plain[:32]:
-            return "pkg_freebsd"
-        if plain[257:262] != b"ustar" and data[:2] != b"\x1f\x8b":
+        if data[:2] == b"\x1f\x8b":
+            return None if name.endswith((".apk", ".crate", ".pkg.tar.gz")) else _gzip_kind(data)
+        if data[:4] == b"\x28\xb5\x2f\xfd":
+            import zstandard
+
+            stream = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data))
+            if b"+MANIFEST" in stream.read(32):
+                return "pkg_freebsd"
+            if not name.endswith(".pkg.tar.zst"):
+                return None
+            stream = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data))
+            with tarfile.open(fileobj=stream, mode="r|") as t:
+                return "pkg_arch" if any(m.name.removeprefix("./") == ".PKGINFO" for m, _ in zip(t, range(8), strict=False)) else None
+        if data[257:262] != b"ustar" or name.endswith((".apk", ".crate", ".pkg.tar.gz")):
             return None
-        names = []
+        names = set()
         try:
-            with tarfile.open(fileobj=io.BytesIO(plain), mode="r:") as t:
-                for m in t:
-                    if not m.name.split("/")[-1].startswith("._"):
-                        names.append(m.name.removeprefix("./"))
-                    if len(names) >= PEEK_MEMBERS:
-                        break
-        except tarfile.TarError:  # cut off by the limit
+            with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as t:
+                for m, _ in zip(t, range(OCI_MEMBERS), strict=False):
+                    names.add(m.name.removeprefix("./"))
+        except tarfile.TarError:  # damaged: what was seen counts
             pass
-        if not names or name.endswith((".apk", ".crate", ".pkg.tar.gz")):
-            return None
-        if data[:2] == b"\x1f\x8b":
-            if "package/package.json" in names and all(n == "package" or n.startswith("package/") for n in names):
-                return "npm"
-            roots = {n.split("/")[0] for n in names}
-            return "python_sdist" if len(roots) == 1 and f"{min(roots)}/PKG-INFO" in names else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return "pkg_arch" if ".PKGINFO" in names[:8] and name.endswith(".pkg.tar.zst") else None
-        return "oci_image" if {"oci-layout", "index.json"} <= set(names) or ("manifest.json" in names and any(n.endswith("layer.tar") or n.startswith("blobs/") for n in names)) else None
+        return "oci_image" if {"oci-layout", "index.json"} <= names or ("manifest.json" in names and any(n.endswith("layer.tar") or n.startswith("blobs/") for n in names)) else None
     except Exception:  # hostile input is data
         return None
 

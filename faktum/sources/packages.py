@@ -1,8 +1,8 @@
 """Identity facts of packages and trees of structured documents, as rows (file_id, key, value).
 
-One Arrow pass opens a package far enough to read its one manifest.  Archives
-are read up to a limit of inflated bytes; what can't be read gives an error
-row.
+One Arrow pass opens a package far enough to read its one manifest.  npm
+packages, sdists and crates are streamed up to their manifest; what can't be read, or
+has none, gives an error row.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of one control archive or metadata, and of one manifest.
 LIMIT = 16 << 20
+MANIFEST = 1 << 20
 
 FACTS = pa.schema([("file_id", pa.string()), ("ord", pa.int64()), ("key", pa.string()), ("value", pa.string())])
 FACTS_DDL = "file_id string, ord long, key string, value string"
@@ -95,18 +97,37 @@ def _members(data: bytes) -> dict[str, bytes]:
     if data[:2] == b"PK":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             return {i.filename: z.read(i) for i in z.infolist() if i.file_size <= 1 << 20 and re.search(r"(METADATA|MANIFEST\.MF|\.nuspec|\.vsixmanifest|package\.json|manifest\.json|core\.xml|app\.xml|pom\.properties|\[Content_Types\]\.xml|AndroidManifest\.xml)$", i.filename)}
-    plain = zlib.decompressobj(31).decompress(data, LIMIT) if data[:2] == b"\x1f\x8b" else data
     out = {}
-    try:
-        with tarfile.open(fileobj=io.BytesIO(plain), mode="r:") as t:
-            for m in t:
-                if m.isfile() and m.size <= 1 << 20:
-                    out[m.name.removeprefix("./")] = t.extractfile(m).read()
-    except tarfile.TarError:  # cut off by the limit
-        pass
+    with _tar(data) as t:
+        for m in t:
+            if m.isfile() and m.size <= MANIFEST:
+                out[m.name.removeprefix("./")] = t.extractfile(m).read()
     return out
 
 
+def _tar(data: bytes):
+    from faktum.sources.containers import Inflated
+
+    return tarfile.open(fileobj=io.BufferedReader(Inflated(data)), mode="r|") if data[:2] == b"\x1f\x8b" else tarfile.open(fileobj=io.BytesIO(data), mode="r:")
+
+
+def _manifest(data: bytes, pattern: str) -> bytes:
+    """The first member of that name; a zip's or a tar's, read only as far as it takes.  Without one, or with one beyond the limit, an error."""
+    if data[:2] == b"PK":
+        own = _first(_members(data), pattern)
+        if own is None:
+            raise ValueError("no manifest")
+        return own
+    with _tar(data) as t:
+        for m in t:
+            if m.isfile() and re.search(pattern, m.name.removeprefix("./")):
+                if m.size > MANIFEST:
+                    raise ValueError(f"manifest of {m.size} bytes is beyond the limit of {MANIFEST}")
+                return t.extractfile(m).read()
+            t.members = []  # headers that are done aren't kept
+    raise ValueError("no manifest")
+
+
 def _headers(text: bytes) -> list[tuple[str, str]]:
     return [(k.lower(), str(v)) for k, v in email.parser.Parser().parsestr(text.decode("utf-8", "replace"), headersonly=True).items()]
 
@@ -125,7 +146,7 @@ def _xml(data: bytes, *names: str) -> list[tuple[str, str]]:
 
 
 def npm(data: bytes) -> list[tuple[str, str]]:
-    own = json.loads(data if data.lstrip()[:1] == b"{" else _first(_members(data), r"^package/package\.json$") or b"{}")
+    own = json.loads(data if data.lstrip()[:1] == b"{" else _manifest(data, r"^package/package\.json$"))
     out = [(k, str(own[k])) for k in ("name", "version", "homepage", "license", "description") if own.get(k)]
     repo = own.get("repository")
     out += [("repository", repo.get("url") if isinstance(repo, dict) else repo)] if repo else []
@@ -138,7 +159,7 @@ def npm(data: bytes) -> list[tuple[str, str]]:
 
 
 def python_package(data: bytes) -> list[tuple[str, str]]:
-    return _headers(_first(_members(data), r"(\.dist-info/METADATA|(^|/)PKG-INFO)$") or b"")
+    return _headers(_manifest(data, r"\.dist-info/METADATA$|(^|/)PKG-INFO$" if data[:2] == b"PK" else r"^(?:[^/]+/)?PKG-INFO$"))
 
 
 def jar(data: bytes) -> list[tuple[str, str]]:
@@ -182,7 +203,7 @@ def gem(data: bytes) -> list[tuple[str, str]]:
 
 
 def crate(data: bytes) -> list[tuple[str, str]]:
-    own = tomllib.loads((_first(_members(data), r"^[^/]+/Cargo\.toml$") or b"").decode()).get("package", {})
+    own = tomllib.loads(_manifest(data, r"^[^/]+/Cargo\.toml$").decode()).get("package", {})
     return [(k, str(own[k])) for k in ("name", "version", "repository", "homepage", "license") if own.get(k)] + [("author", a) for a in own.get("authors", [])]
 
 
@@ -196,7 +217,7 @@ def deb(data: bytes) -> list[tuple[str, str]]:
                 import zstandard
 
                 body = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(body)).read(LIMIT)
-            return _headers(_first(_members(body), r"^control$") or b"")
+            return _headers(_manifest(body, r"^control$"))
     return []
 
 

@@ -144,3 +144,28 @@ def test_references_of_locks_and_images(spark):
         "npm": [("pkg:npm/%40s/b@2.0.0", "sha512-x"), "pkg:npm/c@1.2.3"], "pnpm": [("pkg:npm/%40s/b@2.0.0", "sha512-y"), "pkg:npm/c@1.0.0"], "poetry": ["pkg:pypi/typing-ext@4.0"], "pip": ["pkg:pypi/a-b@1.0", "pkg:pypi/c@2"],
         "php": ["pkg:composer/v/p@v1", "pkg:composer/v/q@2"], "rust": ["pkg:github/o/r"], "ci": ["pkg:oci/tool?repository_url=ghcr.io%2Fo&tag=1", "pkg:oci/alpine", "pkg:github/a/b@v1"],
     }
+
+
+def test_late_manifests():
+    import io
+    import tarfile
+
+    from faktum.sources.packages import facts_of
+
+    def tar(last, body, root, count, size):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz", compresslevel=1) as t:
+            for name, data in [*((f"{root}/f{k}", bytes(size)) for k in range(count)), (f"{root}/{last}", body)]:
+                m = tarfile.TarInfo(name)
+                m.size = len(data)
+                t.addfile(m, io.BytesIO(data))
+        return out.getvalue()
+
+    info, manifest = b"Metadata-Version: 2.1\nName: p\n", b'{"name": "n"}'
+    for count, size in ((600, 10), (20, 1 << 20)):
+        data = tar("PKG-INFO", info, "p-1", count, size)
+        assert containers.peek_type("p-1.tar.gz", data) == "python_sdist" and ("name", "p") in facts_of("python_sdist", data)
+        assert ("name", "n") in facts_of("npm", tar("package.json", manifest, "package", count, size))
+    assert containers.peek_type("n.tgz", tar("package.json", manifest, "package", 600, 10)) == "npm"
+    assert facts_of("npm", tar("x", b"", "package", 1, 1))[0][0] == facts_of("python_sdist", data[: len(data) // 2])[0][0] == "error"
+    assert facts_of("npm", tar("package.json", bytes(2 << 20), "package", 1, 1))[0][0] == "error"
