@@ -9,17 +9,20 @@ set holds its distinct word shingles.  Documents are linked when
    minimum packed into 11 longs.  A pair at the threshold misses all bands with
    a probability below 1e-5, one at 0.85 below 1e-8.
 2. Documents with the same set are one node from here on.
-3. Each document is first a candidate with two others: the first and the last
-   of the least members of its band buckets.
-   Equal low bits, counted on the packed signatures and corrected for chance
-   agreement, estimate the similarity; estimates more than six standard errors
-   below the threshold are left out; the others are confirmed on full sets.
-4. In buckets that hold more than one component, members are candidates with
-   the least member and with a centre drawn by a hash that differs between
-   buckets; candidates of different components are confirmed.
-5. Buckets that still hold more than one component have all their pairs across
-   components estimated and confirmed.  No bucket and no number of partners is
-   capped.
+3. Nodes that share a band bucket are candidates.  Equal low bits, counted on
+   the packed signatures and corrected for chance agreement, estimate their
+   similarity.  A bucket's members are compared inside one task, which gives
+   out a spanning forest of what is not more than six standard errors below
+   the threshold, never its pairs.  What these edges connect is a cluster.
+4. The members of a cluster are compared on their full sets where their sizes
+   and their estimate allow a link; again a task gives out a spanning forest of
+   the links.  Their components are the groups.
+
+A large bucket or cluster is dealt out in blocks.  First each block is compared
+in itself and with the least member of all; then the members that lie outside
+the largest component go to every block.  No bucket, cluster or number of
+partners is capped, and every pair that shares a bucket is compared or already
+connected.
 
 Nulls: a null text counts as empty.  A document without words is linked with
 nothing.  A row with a null doc_id takes no part: its component is null and it
@@ -30,9 +33,11 @@ columns are never read, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faktum.llm import textkit
@@ -43,7 +48,9 @@ BITS = 2
 HASHES, BANDS, ROWS = 352, 50, 7
 LONGS = HASHES * BITS // 64
 _CHANCE = 2.0**-BITS
-_LANES = sum(1 << i for i in range(0, 64, BITS))
+_LANES = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+#: Members of a bucket, and shingles of a cluster, that one block holds at most (but for a longer text).
+BUCKET_BLOCK, CLUSTER_BLOCK = 4096, 1 << 20
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -91,14 +98,7 @@ def _sign(width: int):
                 sizes = np.diff(places)
                 has = np.flatnonzero(sizes)
                 least = np.array([minima(value[places[i] : places[i + 1]], work) for i in has], np.uint32).reshape(len(has), HASHES)
-                sums = np.zeros((2, hi - lo), np.uint64)
-                if len(has):
-                    sums[0, has] = np.add.reduceat(textkit.mix64(value ^ np.uint64(0x5851F42D4C957F2D)), places[has])
-                    sums[1, has] = np.add.reduceat(textkit.mix64(value ^ np.uint64(0x14057B7EF767814F)), places[has])
-                yield pa.RecordBatch.from_arrays(
-                    [ids[lo:hi], pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(band_keys(least), has, hi - lo), _lists(pack(least), has, hi - lo)],
-                    schema=SIGNED,
-                )
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(sizes), *_hashes(value, places), _lists(band_keys(least), has, hi - lo), _lists(pack(least), has, hi - lo)], schema=SIGNED)
 
     return sign
 
@@ -107,6 +107,17 @@ def _sets(buf: np.ndarray, offsets: np.ndarray, lo: int, hi: int, width: int) ->
     return textkit.shingles(*textkit.words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), width)
 
 
+def _hashes(value: np.ndarray, places: np.ndarray) -> list[pa.Array]:
+    """The two halves of each set's hash."""
+    has, out = np.flatnonzero(np.diff(places)), []
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        sums = np.zeros(len(places) - 1, np.uint64)
+        if len(has):
+            sums[has] = np.add.reduceat(textkit.mix64(value ^ np.uint64(salt)), places[has])
+        out.append(pa.array(sums.view(np.int64)))
+    return out
+
+
 def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     """A list for each of n rows: one of `values` for `rows`, an empty one for others."""
     sizes = np.zeros(n + 1, np.int32)
@@ -122,19 +133,16 @@ def _sets_of(width: int):
             for lo, hi in textkit.runs(offsets):
                 value, places = _sets(buf, offsets, lo, hi, width)
                 lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], lists], names=["rep", "members"])
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], *_hashes(value, places), lists], names=["rep", "set_a", "set_b", "members"])
 
     return give
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """The estimate from two packed signatures: the share of equal lanes, corrected for those equal by chance."""
-    unequal = F.lit(0)
-    for i in range(LONGS):
-        x = a[i].bitwiseXOR(b[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(_LANES)))
-    return (1 - unequal / F.lit(float(HASHES)) - _CHANCE) / (1 - _CHANCE)
+def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The estimate from packed signatures: the share of equal lanes, corrected for those equal by chance."""
+    unequal = one ^ many
+    unequal = np.bitwise_count((unequal | (unequal >> np.uint64(1))) & _LANES).sum(axis=1)
+    return (1 - unequal / HASHES - _CHANCE) / (1 - _CHANCE)
 
 
 def least_estimate(percent: int) -> float:
@@ -143,76 +151,192 @@ def least_estimate(percent: int) -> float:
     return percent / 100 - 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - _CHANCE)
 
 
-def groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(docs.mapInArrow(textkit.tidy(_sign(width)), SIGNED_DDL))
-    key = ["set_a", "set_b", "n_shingles"]
-    usable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    sets = cut(usable.groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    nodes = usable.join(sets.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"]).dropDuplicates(["doc_id", *key]).select(F.col("doc_id").alias("rep"), "bands", "signature")
-    nodes = cut(nodes)
-    members = nodes.select("rep", F.explode("bands").alias("bucket")).distinct()
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.min(F.col("rep").bitwiseXOR(F.xxhash64("bucket"))).alias("drawn")).filter("n > 1")
-    crowded = crowded.select("bucket", "least", F.col("drawn").bitwiseXOR(F.xxhash64("bucket")).alias("centre"))
-    members = cut(members.join(crowded, "bucket"))
-
-    signatures = nodes.select("rep", "signature")
-    floor = least_estimate(percent)
+def _whole_groups(batches) -> Iterator[pa.Table]:
+    """The rows of sorted batches again, none of whose (key, block) is split over two tables."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key, block = (batch.column(c).to_numpy() for c in ("key", "block"))
+        same = (key == key[-1]) & (block == block[-1])
+        at = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if held and (at or last != (key[-1], block[-1])):
+            yield pa.Table.from_batches([*held, batch.slice(0, at)])
+            held = []
+        elif at:
+            yield pa.Table.from_batches([batch.slice(0, at)])
+        held.append(batch.slice(at))
+        last = (key[-1], block[-1])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column as uint64, and n + 1 places."""
+    lists = column.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
+
+
+def _forest(label: np.ndarray, sources: np.ndarray, targets: np.ndarray | None, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links between rows of different labels, one for each two labels that they join; changes the labels.
+
+    Sources are held against the targets, or (None) against the rows after them.
+    """
+    out = []
+    for s in sources.tolist():
+        rest = np.flatnonzero(label[s + 1 :] != label[s]) + s + 1 if targets is None else targets[label[targets] != label[s]]
+        if len(rest) and len(hit := rest[near(s, rest)]):
+            joined, at = np.unique(label[hit], return_index=True)
+            label[np.isin(label, joined)] = label[s]
+            out += [(s, h) for h in hit[at].tolist()]
+    return out
+
+
+class _Sets:
+    """Counts what one set of a block has in common with others."""
 
-    def signed_by(rows: DataFrame, side: str) -> DataFrame:
-        return rows.join(signatures.select(F.col("rep").alias(side), F.col("signature").alias(f"s{side}")), side)
+    def __init__(self, flat: np.ndarray, places: np.ndarray):
+        kinds, code = np.unique(flat, return_inverse=True)
+        self.code, self.places, self.mark = code, places, np.zeros(len(kinds), bool)
 
-    def estimated(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose estimate isn't too low."""
-        pairs = signed_by(signed_by(pairs.select("a", "b").distinct(), "a"), "b")
-        return pairs.withColumn("estimate", similarity(F.col("sa"), F.col("sb"))).filter(F.col("estimate") >= floor).drop("sa", "sb")
+    def common(self, s: int, rest: np.ndarray) -> np.ndarray:
+        own = self.code[self.places[s] : self.places[s + 1]]
+        self.mark[own] = True
+        if 4 * len(rest) > len(self.places):
+            sums = np.concatenate([[0], np.cumsum(self.mark[self.code])])
+            out = sums[self.places[rest + 1]] - sums[self.places[rest]]
+        else:
+            out = np.array([np.count_nonzero(self.mark[self.code[self.places[r] : self.places[r + 1]]]) for r in rest.tolist()])
+        self.mark[own] = False
+        return out
 
-    wanted = members.select("rep").distinct()
-    full = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    full = cut(full.mapInArrow(textkit.tidy(_sets_of(width)), "rep long, members array<long>").filter(F.size("members") > 0))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(full.select(F.col("rep").alias(side), F.col("members").alias(f"m{side}")), side)
-        both = F.size(F.array_intersect("ma", "mb"))
-        pairs = pairs.select("a", "b", both.alias("both"), (F.size("ma") + F.size("mb") - both).alias("all"))
-        return pairs.filter(100 * F.col("both").cast("long") >= percent * F.col("all").cast("long")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+def _compared(percent: int, exact: bool):
+    """For mapInArrow over (key, block, rep, signature, n_shingles or members, and own, home, far where blocks meet the rest): links (u, v)."""
+    floor = least_estimate(percent)
 
-    def labelled(found: DataFrame, rows: DataFrame, column: str, label: str) -> DataFrame:
-        own = found.select(F.col("node").alias(column), F.col("component").alias(label))
-        return rows.join(own, column, "left").withColumn(label, F.coalesce(label, column))
+    def run(batches):
+        for rows in _whole_groups(batches):
+            key, block, rep = (rows[c].to_numpy() for c in ("key", "block", "rep"))
+            signature = _flat(rows["signature"])[0].reshape(-1, LONGS)
+            flat, places = _flat(rows["members"]) if exact else (None, None)
+            size = np.diff(places) if exact else rows["n_shingles"].to_numpy()
+            own, home, far = (rows[c].to_numpy(zero_copy_only=False) for c in ("own", "home", "far")) if "own" in rows.column_names else (None, None, None)
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+            bounds = np.append(first, len(key))
+
+            def similar(a, b):
+                alike = percent * np.maximum(size[a], size[b]) <= 100 * np.minimum(size[a], size[b])
+                return alike & (similarity(signature[a], signature[b]) >= floor)
+
+            u, v = [], []
+            with_first = None
+            if own is None and not exact:  # the first member of each bucket with all others, at once
+                lead = np.repeat(first, np.diff(bounds))
+                with_first = similar(lead, np.arange(len(key)))
+                at = np.flatnonzero(with_first & (lead != np.arange(len(key))))
+                u.append(lead[at])
+                v.append(at)
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if hi - lo < 2 or (with_first is not None and (hi - lo == 2 or with_first[lo:hi].all())):
+                    continue
+                sets = _Sets(flat[places[lo] : places[hi]], places[lo : hi + 1] - places[lo]) if exact else None
+
+                def near(s, rest, lo=lo, sets=sets):
+                    ok = similar(lo + s, lo + rest)
+                    if sets is not None and ok.any():
+                        left = rest[ok]
+                        both = sets.common(s, left)
+                        ok[ok] = 100 * both >= percent * (size[lo + s] + size[lo + left] - both)
+                    return ok
+
+                if own is None:
+                    label = np.arange(hi - lo)
+                    if with_first is not None:
+                        label[with_first[lo:hi]] = 0
+                    sources, targets = np.arange(hi - lo) if with_first is None else np.arange(1, hi - lo), None
+                else:
+                    label = np.unique(own[lo:hi], return_inverse=True)[1]
+                    sources, targets = np.flatnonzero(far[lo:hi]), np.flatnonzero(home[lo:hi])
+                links = np.array(_forest(label, sources, targets, near), np.int64).reshape(-1, 2) + lo
+                u.append(links[:, 0])
+                v.append(links[:, 1])
+            u, v = (rep[np.concatenate(x)] if x else rep[:0] for x in (u, v))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return run
+
+
+def _labelled(found: DataFrame, rows: DataFrame, column: str, label: str) -> DataFrame:
+    own = found.select(F.col("node").alias(column), F.col("component").alias(label))
+    return rows.join(own, column, "left").withColumn(label, F.coalesce(label, column))
+
+
+def _connected(rows: DataFrame, percent: int, exact: bool, most: int, more: DataFrame | None = None) -> DataFrame:
+    """Components of the links inside each key of rows (key, rep, least, weight of the whole key, blocks, signature, n_shingles or members) and of more links.
+
+    A block of the second round weighs at most about `most`.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["key", "block", "rep", "signature", "members" if exact else "n_shingles"]
+
+    def links(dealt: DataFrame) -> DataFrame:
+        return dealt.repartition(n, "key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(textkit.tidy(_compared(percent, exact)), "u long, v long").filter("u <> v").distinct()
+
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    first = links(rows.withColumn("block", F.explode(F.when(F.col("rep") == F.col("least"), every).otherwise(F.array(own)))).select(*columns))
+    found = components(first if more is None else first.unionByName(more))
+    wide = rows.filter("blocks > 1")
+    if wide.isEmpty():
+        return found
+    wide = _labelled(found, wide, "rep", "own")
+    by = wide.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "own"))["own"].alias("main"), F.count(F.lit(1)).alias("kinds"))
+    wide = wide.join(by.filter("kinds > 1").select("key", "main"), "key")
+    wide = wide.withColumn("blocks", F.greatest(F.ceil(F.col("weight") / most), F.ceil(F.sqrt("blocks")))).withColumn("far", F.col("own") != F.col("main"))
+    wide = wide.withColumn("block", F.explode(F.when(F.col("far"), every).otherwise(F.array(own)))).withColumn("home", F.col("block") == own)
+    second = cut(links(wide.select(*columns, "own", "home", "far")))
+    if second.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second))
 
-    def links(found: DataFrame) -> DataFrame:
-        return found.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
-    def unsettled(found: DataFrame) -> DataFrame:
-        """Members, with their components, of the buckets that hold more than one component."""
-        rows = labelled(found, members, "rep", "own")
-        open_ = rows.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low < high").select("bucket")
-        return cut(rows.join(open_, "bucket"))
+def groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = cut(docs.mapInArrow(textkit.tidy(_sign(width)), SIGNED_DDL))
+    key = ["set_a", "set_b", "n_shingles"]
+    usable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    sets = cut(usable.groupBy(*key).agg(F.min("doc_id").alias("rep")))
+    nodes = cut(usable.join(sets.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"]).dropDuplicates(["doc_id", *key]).withColumnRenamed("doc_id", "rep"))
+    members = nodes.select("rep", F.explode("bands").alias("key")).distinct()
+    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.min("rep").alias("least")).filter("weight > 1")
+    members = members.join(crowded, "key").withColumn("blocks", F.ceil(F.col("weight") / BUCKET_BLOCK))
+    found = _connected(cut(members.join(nodes.select("rep", "n_shingles", "signature"), "rep")), percent, False, BUCKET_BLOCK)
+
+    # the clusters, with their full sets
+    own = found.select(F.col("node").alias("rep"), F.col("component").alias("key"))
+    own = own.unionByName(own.select(F.col("key").alias("rep"), "key").distinct())
+    own = cut(own.join(nodes.select("rep", *key, "signature"), "rep"))
+    weights = own.groupBy("key").agg(F.sum("n_shingles").alias("weight"))
+    total = own.agg(F.sum("n_shingles")).first()[0] or 0
+    # an even share of a task, so that one cluster is dealt to as many tasks as it is worth
+    share = min(CLUSTER_BLOCK, max(1, total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = own.join(weights, "key").withColumn("least", F.col("key")).withColumn("blocks", F.ceil(F.col("weight") / share))
+    full = docs.join(own.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    full = full.mapInArrow(textkit.tidy(_sets_of(width)), "rep long, set_a long, set_b long, members array<long>")
+    rows = cut(rows.join(full, ["rep", "set_a", "set_b"]).dropDuplicates(["rep", "set_a", "set_b"]))
 
     # a document of several texts links their sets
-    own = usable.join(sets, key).select("doc_id", "rep")
-    several = own.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).filter("u < last").drop("last")
-    bound = several.join(own, "doc_id").select("u", F.col("rep").alias("v")).filter("u <> v")
-
-    first = members.filter("rep <> least").groupBy(F.col("rep").alias("a")).agg(F.min("least").alias("x"), F.max("least").alias("y"))
-    first = first.select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
-    found = components(confirmed(estimated(first).drop("estimate")).unionByName(bound))
-
-    rows = unsettled(found)
-    centres = rows.select(F.col("rep").alias("a"), F.col("own").alias("ca"), F.explode(F.array_distinct(F.array("least", "centre"))).alias("b")).distinct()
-    across = labelled(found, centres, "b", "cb").filter("ca <> cb")
-    found = components(links(found).unionByName(confirmed(estimated(across).drop("estimate"))))
-
-    rows = unsettled(found).select("bucket", "rep", "own")
-    left, right = (signed_by(rows.select("bucket", F.col("rep").alias(x), F.col("own").alias(f"c{x}")), x) for x in "ab")
-    near = (F.col("ca") < F.col("cb")) & (similarity(F.col("sa"), F.col("sb")) >= floor)
-    rest = left.join(right, (left["bucket"] == right["bucket"]) & near).select("a", "b").distinct()
-    found = components(links(found).unionByName(confirmed(rest)))
-
-    named = labelled(found, sets, "rep", "component_id").select(*key, "component_id")
+    of = usable.join(sets, key).select("doc_id", "rep")
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).filter("u < last").drop("last")
+    bound = several.join(of, "doc_id").select("u", F.col("rep").alias("v")).filter("u <> v")
+    found = _connected(rows, percent, True, CLUSTER_BLOCK, bound)
+
+    named = _labelled(found, sets, "rep", "component_id").select(*key, "component_id")
     out = signed.join(named, key, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
