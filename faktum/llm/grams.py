@@ -16,6 +16,7 @@ Below order 1 lies the uniform distribution over bytes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -115,16 +116,37 @@ class Table:
         out[left] += self.floor
         return out
 
-    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(sums of values over each whole text, bytes of each text)."""
+    def runs(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers of the texts that aren't empty, their bytes' values one after the other, n + 1 places), run by run."""
         buf, offsets = textkit.utf8(texts)
-        out = np.zeros((len(offsets) - 1, self.value[1].shape[1]))
         for lo, hi in textkit.runs(offsets):
             g, places = byte_grams(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], self.order)
             has = np.flatnonzero(np.diff(places))
             if len(has):
-                out[lo + has] = np.add.reduceat(self.of(g).astype(np.float64), places[has])
-        return out, np.diff(offsets)
+                yield lo + has, self.of(g).astype(np.float64), np.append(places[has], places[-1])
+
+    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sums of values over each whole text, bytes of each text)."""
+        out = np.zeros((len(texts), self.value[1].shape[1]))
+        for at, values, places in self.runs(texts):
+            out[at] = np.add.reduceat(values, places[:-1])
+        return out, np.diff(textkit.utf8(texts)[1])
+
+    def greatest(self, texts: pa.Array, size: int) -> np.ndarray:
+        """The greatest mean value of `size` bytes in a row (of a shorter text, its mean; 0 of an empty one), of a table with one column."""
+        out = np.zeros(len(texts))
+        for at, values, places in self.runs(texts):
+            sums = np.concatenate([[0.0], np.cumsum(values[:, 0])])
+            means = np.full(len(values), -np.inf)
+            means[: max(0, len(values) - size + 1)] = (sums[size:] - sums[:-size]) / size
+            late = (places[1:, None] - np.arange(1, size)[None, :]).ravel()  # passages that would run into the next text
+            means[late[late >= 0]] = -np.inf
+            best = np.maximum.reduceat(means, places[:-1])
+            length = np.diff(places)
+            short = length < size
+            best[short] = (sums[places[1:]] - sums[places[:-1]])[short] / length[short]
+            out[at] = best
+        return out
 
 
 def counts(texts: pa.Array, classes: np.ndarray, n_classes: int, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +166,60 @@ def counts(texts: pa.Array, classes: np.ndarray, n_classes: int, order: int) ->
     return tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
+def word_counts(texts: pa.Array, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words with the numbers of texts of each class that hold them."""
+    buf, offsets = textkit.utf8(texts)
+    parts = []
+    for lo, hi in textkit.runs(offsets):
+        h, at, _ = textkit.words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], textkit.NO_LETTER)
+        order = np.lexsort((h, at))
+        h, at = h[order], at[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1])]) if len(h) else np.zeros(0, bool)
+        h, own = h[new], classes[lo:hi][at[new]]
+        weights = np.zeros((len(h), n_classes))
+        weights[np.arange(len(h)), own] = 1
+        parts.append(tally(h, weights))
+    if not parts:
+        return np.zeros(0, U64), np.zeros((0, n_classes))
+    return tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
+@dataclass
+class Words:
+    """Seen words, ascending, with log P(class 1) - log P(class 0) of each; `unseen` is that of any other."""
+
+    keys: np.ndarray
+    value: np.ndarray
+    unseen: float
+
+    def greatest(self, texts: pa.Array) -> np.ndarray:
+        """The greatest value of each text's words; 0 without words."""
+        out = np.zeros(len(texts))
+        buf, offsets = textkit.utf8(texts)
+        for lo, hi in textkit.runs(offsets):
+            h, _, places = textkit.words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], textkit.NO_LETTER)
+            if len(h) and len(self.keys):
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                has = np.flatnonzero(np.diff(places))
+                out[lo + has] = np.maximum.reduceat(np.where(self.keys[at] == h, self.value[at], self.unseen), places[has])
+        return out
+
+
+def words_kneser_ney(keys: np.ndarray, weights: np.ndarray, shared: float) -> Words:
+    """weights: the numbers of texts of class 0 and class 1 that hold a word.
+
+    A class's discounted counts are interpolated with how surely a word belongs to the class at all: once if it has
+    it, `shared` times its count in both, and half a time whatever it is.
+    """
+    weights = np.vstack([weights, np.zeros((1, 2))])  # the last stands for any unseen word
+    kinds, total = (weights > 0).sum(axis=0), np.maximum(weights.sum(axis=0), 1)
+    lower = (weights > 0) + shared * weights.sum(axis=1, keepdims=True) + 0.5
+    lower = lower / lower.sum(axis=0)
+    p = np.maximum(weights - DISCOUNT, 0) / total + DISCOUNT * np.maximum(kinds, 1) / total * lower
+    value = np.log(p[:, 1] / p[:, 0])
+    return Words(keys, value[:-1], float(value[-1]))
+
+
 def _spans(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first key of each context, each key's context number, contexts)."""
     context = keys >> U64(8)
@@ -197,30 +273,34 @@ def markov(keys: np.ndarray, weights: np.ndarray, order: int, tau: float) -> Tab
     return table
 
 
-#: A part of the counts: keys and a row of counts for each, as bytes.
-PART = pa.schema([("keys", pa.binary()), ("weights", pa.binary())])
-PART_DDL = "keys binary, weights binary"
+#: A part of the counts: for each key and class that has one, the key, the class and the count, as bytes.
+PART = pa.schema([("keys", pa.binary()), ("classes", pa.binary()), ("weights", pa.binary())])
+PART_DDL = "keys binary, classes binary, weights binary"
 
 
 def count_batches(n_classes: int, order: int, text: str = "text", label: str = "class"):
-    """For mapInArrow over (text, class): the counts of each task, as one row."""
+    """For mapInArrow over (text, class): the counts of each task's grams (order 0: of its words), as one row."""
 
     def run(batches):
         parts = []
         for batch in batches:
             classes = np.asarray(batch.column(label).to_pylist(), np.int64)
-            parts.append(counts(batch.column(text), classes, n_classes, order))
+            parts.append(counts(batch.column(text), classes, n_classes, order) if order else word_counts(batch.column(text), classes, n_classes))
         if parts:
             keys, weights = tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([weights.astype("<f4").tobytes()])], schema=PART)
+            at, own = np.nonzero(weights)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (keys[at], own.astype("<u2"), weights[at, own].astype("<u4"))], schema=PART)
 
     return run
 
 
 def gather(rows, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
     """The sum of all parts."""
-    keys, weights = np.zeros(0, U64), np.zeros((0, n_classes))
-    for x in rows:
-        own = np.frombuffer(x["keys"], U64), np.frombuffer(x["weights"], "<f4").reshape(-1, n_classes).astype(float)
-        keys, weights = tally(np.concatenate([keys, own[0]]), np.concatenate([weights, own[1]]))
+    parts = [tuple(np.frombuffer(x[c], kind) for c, kind in (("keys", U64), ("classes", "<u2"), ("weights", "<u4"))) for x in rows]
+    if not parts:
+        return np.zeros(0, U64), np.zeros((0, n_classes))
+    keys = np.unique(np.concatenate([p[0] for p in parts]))
+    weights = np.zeros((len(keys), n_classes))
+    for own, classes, n in parts:
+        weights[np.searchsorted(keys, own), classes] += n
     return keys, weights

@@ -15,6 +15,7 @@ Four kinds of evidence bear on a document's language l:
 
 The last three come from grouped aggregations over all documents of the
 language that the text alone says.  Missing evidence (null) says nothing.
+Every text is scored once; its few numbers are written down for both uses.
 
 Every declared language is modelled.  Tags count by their primary subtag
 (en-us and en_GB are en).  The text models are fitted on a bounded sample: of
@@ -23,7 +24,8 @@ texts; with more than BLOCK languages so many fewer of each that all models
 together stay as large.  A language's model doesn't depend on the others, so
 they are fitted and held in blocks of BLOCK.  The rest covers every document.
 Evidence tables are joined whole; a host that holds a third of all rows is one
-partial sum a task; tables are broadcast only after a count of their rows.
+partial sum a task; tables are broadcast only after a count of their rows, and
+beyond it rows with evidence are dealt out by salted keys, those without apart.
 
 Nulls: a null or empty text is no evidence, and with none of any kind the
 result is `und` with posterior 0.  Documents are kept when the best language
@@ -52,8 +54,10 @@ ODD = 2.3
 KAPPA = 20.0
 LEAST = 0.5
 #: Tasks that count the sample, each sending its counts to the driver once.
-COUNTERS = 16
+COUNTERS = 8
 UNKNOWN = "und"
+#: Parts that each key of a shuffled evidence table is dealt out in.
+SALTS = 32
 #: Tables of more rows with BLOCK languages (fewer rows with more languages) are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 20_000
 
@@ -173,10 +177,11 @@ def judged(docs: DataFrame, evidence: Evidence, carried: list[Column], sample: i
     names = [*model.languages, UNKNOWN]
     size = len(names)
     shared = spark.sparkContext.broadcast(model)
-    small = _with_texts(docs.select(*fields), shared, "declared string, host string, suffix string, texts array<double>", 0)
+    scored = cut(_with_texts(docs.select(fields[0], row.alias("row"), *fields[1:]), shared, _schema(docs, row), 0))
+    shared.destroy()
 
     # grouped counts of what the texts alone say
-    said = small.filter(F.array_max("texts") < 0).select("declared", "host", "suffix", F.expr("array_position(texts, array_max(texts)) - 1").alias("l"))
+    said = scored.filter(F.array_max("texts") < 0).select("declared", "host", "suffix", F.expr("array_position(texts, array_max(texts)) - 1").alias("l"))
     tallies = cut(said.groupBy("declared", "suffix", "host", "l").agg(F.count(F.lit(1)).cast("double").alias("n")))
     overall = {x["l"]: x["n"] for x in tallies.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     total = sum(overall.values())
@@ -193,7 +198,11 @@ def judged(docs: DataFrame, evidence: Evidence, carried: list[Column], sample: i
 
     def joined(rows: DataFrame, other: DataFrame, on: str) -> DataFrame:
         most = BROADCAST_ROWS * (BLOCK + 1) // max(size, BLOCK + 1)
-        return rows.join(F.broadcast(other) if other.limit(most + 1).count() <= most else other, on, "left")
+        if other.limit(most + 1).count() <= most:
+            return rows.join(F.broadcast(other), on, "left")
+        known = rows.filter(F.col(on).isNotNull()).withColumn("salt", F.pmod(F.xxhash64("texts"), F.lit(SALTS)))
+        dealt = other.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        return known.join(dealt, [on, "salt"], "left").drop("salt").unionByName(rows.filter(F.col(on).isNull()), allowMissingColumns=True)
 
     def looked_up(rows: DataFrame, column: str) -> DataFrame:
         """log P(value | l), as a column `of_...`; a value that no text came with is one more value."""
@@ -212,7 +221,6 @@ def judged(docs: DataFrame, evidence: Evidence, carried: list[Column], sample: i
     prior = F.transform(numbers(corpus), lambda c, i: F.log((of("by", i) + KAPPA * (of("site_by", i) + KAPPA * c) / (F.col("site_all") + KAPPA)) / (F.col("all") + KAPPA)))
     hosts = cut(hosts.select("host", prior.alias("prior")))
 
-    scored = _with_texts(docs.select(fields[0], row.alias("row"), *fields[1:]), shared, _schema(docs, row), 0)
     scored = joined(scored, hosts, "host")
     scored = looked_up(looked_up(scored, "declared"), "suffix")
     prior = F.coalesce("prior", numbers(np.log(corpus)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the folder that the cluster shares (spark.checkpoint.dir) and goes on from there.
 
-    Only where that setting is missing, as in tests on one machine, a folder of this machine is taken.
+    Without that setting a folder of this machine is taken if Spark runs on this machine alone, as in tests; on a
+    cluster, where parts would land on different machines, that is an error.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|\Z)", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="faktum-"))
     out = df.checkpoint(eager=True)
     release(df.sparkSession)

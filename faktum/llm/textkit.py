@@ -20,6 +20,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All but ASCII letters and digits and the bytes of other characters.
+NO_LETTER = np.array([x < 128 and not chr(x).isalnum() for x in range(256)])
 
 
 def trim() -> None:
@@ -116,8 +118,8 @@ def is_space(buf: np.ndarray) -> np.ndarray:
     return _SPACE[buf]
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, text number and bounds of each word `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased.
+def words(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, text number and bounds of each word `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased (`gap`: what else stands between words).
 
     Returns (hash, text, first word of each text as n + 1 places).
     """
@@ -125,8 +127,8 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     hashes, owner = [], []
     for lo, hi in runs(offsets):
         a, b = int(offsets[lo]), int(offsets[hi])
-        for s, e in _pieces(buf, a, b, hi - lo == 1):
-            h, at = _words(buf[s:e], np.clip(offsets[lo : hi + 1] - s, 0, e - s))
+        for s, e in _pieces(buf, a, b, hi - lo == 1, gap):
+            h, at = _words(buf[s:e], np.clip(offsets[lo : hi + 1] - s, 0, e - s), gap)
             hashes.append(h)
             owner.append(at + lo)
     if not hashes:
@@ -135,14 +137,14 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, at, np.searchsorted(at, np.arange(n + 1))
 
 
-def _pieces(buf: np.ndarray, a: int, b: int, alone: bool) -> Iterator[tuple[int, int]]:
+def _pieces(buf: np.ndarray, a: int, b: int, alone: bool, gap: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cuts a very long text at white space, so that its arrays stay small."""
     while alone and b - a > 4 * CHUNK_BYTES:
         cut = a + CHUNK_BYTES
         while cut < b:
-            gap = np.flatnonzero(_SPACE[buf[cut : min(b, cut + 65536)]])
-            if len(gap):
-                cut += int(gap[0])
+            free = np.flatnonzero(gap[buf[cut : min(b, cut + 65536)]])
+            if len(free):
+                cut += int(free[0])
                 break
             cut = min(b, cut + 65536)
         yield a, cut
@@ -151,11 +153,11 @@ def _pieces(buf: np.ndarray, a: int, b: int, alone: bool) -> Iterator[tuple[int,
         yield a, b
 
 
-def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = len(buf)
     if size == 0:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    solid = ~_SPACE[buf]
+    solid = ~gap[buf]
     before = np.empty(size, bool)
     before[0] = False
     before[1:] = solid[:-1]

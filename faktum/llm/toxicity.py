@@ -1,17 +1,26 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two byte models, of toxic and of ordinary texts, score a whole text by the
-difference of their log-likelihoods divided by a power of its length in bytes;
-a logistic curve makes that a probability, 0.5 at the cut that is right most
-often.  The models are fitted on a bounded sample of
-labelled rows: of each class, the SAMPLE rows with the least hash of doc_id
-among those whose crc32(doc_id as text) mod 5 is not 0.  The curve is fitted
-on the same rows, each of PARTS parts scored by models of the other parts, and
-weighted to the classes' shares in all labelled rows of those folds.
+A whole text is judged by its most telling passage, as a few words make it
+toxic however long it is.  Models of toxic and of ordinary texts are compared
+at two levels: over bytes, where a passage has PASSAGE bytes in a row and the
+difference of the log-likelihoods is divided by their number; and over words,
+where it is one word.  The first knows expressions with changing endings, the
+second those that are spelled like ordinary ones.  Rare expressions are
+smoothed through back-off counts that both classes share.  A logistic curve of
+the two greatest differences makes a probability, 0.5 at the cut that is right
+most often.
+
+The models are fitted on a bounded sample of labelled rows: of each class about
+SAMPLE, those whose doc_id has the least hashes, among those whose
+crc32(doc_id as text) mod 5 is not 0.  The curve is fitted on the same rows,
+each of PARTS parts scored by models of the other parts, and weighted to the
+classes' shares in all labels of those folds.  ORDER, SHARED and PASSAGE were
+chosen by such cross-scoring, without the held-out fold.
 
 Nulls: a null text is empty (and has the difference 0); rows with a null
-doc_id are scored but never learnt from; labels with null fields are left out;
-a document with several labels is as many examples.  If the labels hold no
+doc_id are scored but never learnt from; labels with null fields are left out.
+Equal labels of a document are one example, and a doc_id of several texts is
+learnt from by one of them (that with the least hash).  If the labels hold no
 row, or none of a class, every score is the share of toxic labels (0 without
 any).  An empty table gives an empty result.  lang, source and doc_id are no
 inputs of a score, and other columns are never read by `score`.
@@ -27,53 +36,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faktum.llm import grams, textkit
-from faktum.llm.storage import table
+from faktum.llm.storage import cut, table
 
-ORDER, SHARED = 4, 0.02
-#: Labelled rows of each class that the models are fitted on, at most.
+ORDER, SHARED, PASSAGE = 4, 1.0, 16
+#: Labelled rows of each class that the models are fitted on, about.
 SAMPLE = 8192
 FOLDS = 5
-PARTS = 8
+PARTS = 4
 #: Tasks that count the sample, each sending its counts to the driver once.
-COUNTERS = 16
-#: Of a text's length; below 1, as a difference says more the longer the text.
-POWER = 0.75
+COUNTERS = 8
 
 
 @dataclass
 class Model:
     table: grams.Table | None
-    slope: float
+    words: grams.Words | None
+    weights: np.ndarray  # of the two differences
     offset: float
 
-    def probability(self, difference: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.offset, -500, 500)))
+    def differences(self, texts: pa.Array) -> np.ndarray:
+        """A row for each text: the greatest difference of its passages over bytes, and over words."""
+        return np.column_stack([self.table.greatest(texts, PASSAGE), self.words.greatest(texts)])
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.table is None:
             return np.full(len(texts), self.offset)
-        return self.probability(normalised(self.table, texts))
+        return 1 / (1 + np.exp(-np.clip(self.differences(texts) @ self.weights + self.offset, -500, 500)))
 
 
-def normalised(fitted: grams.Table, texts: pa.Array) -> np.ndarray:
-    sums, sizes = fitted.sums(texts)
-    return sums[:, 0] / np.maximum(sizes, 1) ** POWER
-
-
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with a slight ridge."""
-    scale = max(float(np.std(x)), 1e-12)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the columns of x and offset by Newton's method, with a slight ridge."""
+    scale = np.maximum(np.std(x, axis=0), 1e-12)
     design = np.column_stack([x / scale, np.ones(len(x))])
-    beta = np.zeros(2)
+    beta = np.zeros(design.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
         gradient = design.T @ (weight * (y - p)) - 1e-3 * beta
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(len(beta))
         step = np.linalg.solve(hessian, gradient)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0] / scale), float(beta[1])
+    return beta[:-1] / scale, float(beta[-1])
 
 
 def best_cut(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -91,50 +95,52 @@ def held_out(doc_id, folds: int = FOLDS):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    context = docs.sparkSession.sparkContext
     labels = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    labels = labels.filter("toxic IN (0, 1)").filter(~held_out(F.col("id")))
+    labels = labels.filter("toxic IN (0, 1)").filter(~held_out(F.col("id"))).distinct()
     share = {x["toxic"]: x["count"] for x in labels.groupBy("toxic").count().collect()}
     total = sum(share.values())
     if len(share) < 2:
-        return Model(None, 0.0, share.get(1, 0) / total if total else 0.0)
-    chosen = None
-    for c in (0, 1):  # at most `sample` ids of each class, whatever the input
-        own = labels.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(sample)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    chosen = chosen.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PARTS)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
-    rows = rows.select("text", "toxic", (F.col("toxic") + 2 * F.col("part")).cast("int").alias("class"))
+        return Model(None, None, np.zeros(2), share.get(1, 0) / total if total else 0.0)
+    most = {c: min(2**63 - 1, int(min(1.0, sample / share[c]) * 2**64) - 2**63) for c in share}  # of the hashes, so about `sample` ids of a class, whatever the input
+    chosen = labels.filter(F.xxhash64("id") <= F.when(F.col("toxic") == 1, most[1]).otherwise(most[0]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = cut(rows.select("text", (F.col("toxic") + 2 * F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PARTS))).cast("int").alias("class")))
     n = 2 * PARTS
-    keys, weights = grams.gather(rows.select("text", "class").repartition(COUNTERS).mapInArrow(textkit.tidy(grams.count_batches(n, ORDER)), grams.PART_DDL).collect(), n)
-    by_class = weights.reshape(-1, PARTS, 2)
-    whole = by_class.sum(axis=1)
-
-    def without(part: int) -> grams.Table:
-        other = whole - by_class[:, part]
-        seen = other.sum(axis=1) > 0
-        return grams.kneser_ney(keys[seen], other[seen], ORDER, SHARED)
-
-    shared = docs.sparkSession.sparkContext.broadcast([without(part) for part in range(PARTS)])
-
-    def crossed(batches):
-        for batch in batches:
-            classes = np.asarray(batch.column("class").to_pylist(), np.int64)
-            x = np.zeros(len(classes))
-            for part in np.unique(classes // 2):
-                own = np.flatnonzero(classes // 2 == part)
-                x[own] = normalised(shared.value[part], batch.column("text").take(pa.array(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(classes % 2)], names=["x", "y"])
-
-    both = rows.select("text", "class").mapInArrow(textkit.tidy(crossed), "x double, y long").toPandas()
-    x, y = both["x"].to_numpy(), both["y"].to_numpy()
+    counted = []
+    for order in (ORDER, 0):
+        keys, weights = grams.gather(rows.repartition(COUNTERS).mapInArrow(textkit.tidy(grams.count_batches(n, order)), grams.PART_DDL).collect(), n)
+        counted.append((keys, weights.reshape(-1, PARTS, 2)))
+
+    def of(parts: list[int]) -> tuple[grams.Table, grams.Words]:
+        sums = [(keys, by_class[:, parts].sum(axis=1)) for keys, by_class in counted]
+        (g, m), (w, k) = ((keys[own.sum(axis=1) > 0], own[own.sum(axis=1) > 0]) for keys, own in sums)
+        return grams.kneser_ney(g, m, ORDER, SHARED), grams.words_kneser_ney(w, k, SHARED)
+
+    found = []
+    for part in range(PARTS):  # one model at a time, as the driver's memory has to hold it
+        shared = context.broadcast(Model(*of([p for p in range(PARTS) if p != part]), np.zeros(2), 0.0))
+        own = rows.filter(F.floor(F.col("class") / 2) == part).mapInArrow(textkit.tidy(_differences(shared)), "over_bytes double, over_words double, y long")
+        found += [tuple(x) for x in own.collect()]
+        shared.destroy()
+    found = np.array(found, float).reshape(-1, 3)
+    x, y = found[:, :2], found[:, 2]
     if len(set(y.tolist())) < 2:
-        return Model(None, 0.0, share.get(1, 0) / total)
+        return Model(None, None, np.zeros(2), share[1] / total)
     weight = np.where(y == 1, share[1] / max(1, (y == 1).sum()), share[0] / max(1, (y == 0).sum()))
     weight *= len(y) / weight.sum()
-    slope, offset = logistic(x, y, weight)
-    if slope > 0:
-        offset = -slope * best_cut(x, y, weight)
-    return Model(grams.kneser_ney(keys, whole, ORDER, SHARED), slope, offset)
+    slopes, _ = logistic(x, y, weight)
+    return Model(*of(list(range(PARTS))), slopes, -best_cut(x @ slopes, y, weight))
+
+
+def _differences(model):
+    def run(batches):
+        for batch in batches:
+            x = model.value.differences(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.asarray(batch.column("class").to_pylist(), np.int64) % 2)], names=["over_bytes", "over_words", "y"])
+
+    return run
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 
 import numpy as np
@@ -60,6 +61,37 @@ def test_tables_equal_the_formulas():
             assert np.allclose(got, want, rtol=1e-4, atol=1e-4), (kind, text)
 
 
+def test_greatest_passage_and_score(spark):
+    """Scores by the definition: byte after byte, passage after passage."""
+    docs, labels, truth = made_up(spark, 240)
+    model = toxicity.fit(docs, labels)
+    taught = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    keys, weights = grams.counts(pa.array([r.text for r in taught]), np.array([truth[r.doc_id] for r in taught]), 2, toxicity.ORDER)
+    table = grams.kneser_ney(keys, weights, toxicity.ORDER, toxicity.SHARED)
+    has = [set(re.findall(r"[a-z0-9]+", r.text)) for r in taught]
+    n = [{w: sum(w in own for own, r in zip(has, taught, strict=True) if truth[r.doc_id] == c) for w in set().union(*has)} for c in (0, 1)]
+    kinds, total = [sum(x > 0 for x in own.values()) for own in n], [sum(own.values()) for own in n]
+
+    def word(w):
+        both = sum(own.get(w, 0) for own in n)
+        p = []
+        for c in (0, 1):
+            lower = ((n[c].get(w, 0) > 0) + toxicity.SHARED * both + 0.5) / (kinds[c] + toxicity.SHARED * sum(total) + 0.5 * (len(n[c]) + 1))
+            p.append(max(n[c].get(w, 0) - grams.DISCOUNT, 0) / total[c] + grams.DISCOUNT * kinds[c] / total[c] * lower)
+        return math.log(p[1] / p[0])
+
+    texts = [r.text for r in docs.limit(20).collect()] + ["", "short", "exactly sixteen.", "é" * 40, "..., !!", "blixx--Ha"]
+    for text in texts:
+        own = b" " * (toxicity.ORDER - 1) + text.lower().encode()
+        grown = [int.from_bytes(own[i : i + toxicity.ORDER], "big") for i in range(len(own) - toxicity.ORDER + 1)]
+        values = [float(table.of(np.array([g], np.uint64))[0, 0]) for g in grown]
+        size = min(len(values), toxicity.PASSAGE)
+        want = [max((sum(values[i : i + size]) / size for i in range(len(values) - size + 1)), default=0.0) if size else 0.0, max(map(word, re.findall(r"[a-z0-9é]+", text.lower())), default=0.0)]
+        assert np.allclose(model.differences(pa.array([text]))[0], want, atol=1e-5), text
+        assert np.isclose(model.score(pa.array([text]))[0], 1 / (1 + math.exp(-(model.weights @ want + model.offset))), atol=1e-4)
+    assert np.allclose(model.differences(pa.array(texts)), [model.differences(pa.array([t]))[0] for t in texts], atol=1e-6)
+
+
 # urls
 
 URLS = [
@@ -93,7 +125,7 @@ def test_urls_equal_brute_force(spark):
     rows = {r.page_id: r for r in op2_url_filter(spark, larger).collect()}
     pages = spark.read.parquet(f"{larger}/pages.parquet").collect()
     assert len(rows) == len(pages)
-    taught = [(by_hand(p.url)[0] + by_hand(p.url)[1], by_hand(p.url)[3]) for p in pages if by_hand(p.url)[3]]
+    taught = sorted({(by_hand(p.url)[0] + by_hand(p.url)[1], by_hand(p.url)[3]) for p in pages if by_hand(p.url)[3]})
     keys, weights = grams.counts(pa.array([t for t, _ in taught]), np.array([int(v == "allow") for _, v in taught]), 2, url_filter.ORDER)
     fitted = grams.markov(keys, weights, url_filter.ORDER, url_filter.TAU)
     free = [p for p in pages if by_hand(p.url)[3] is None]
@@ -124,6 +156,54 @@ def test_languages(spark):
     assert all(r.kept for r in got if r.language == lang[r.doc_id])
 
 
+def posteriors(rows, model):
+    """{row number: (language, posterior)} by the definition, for rows of (text, declared, host, suffix)."""
+    names = [*model.languages, language_id.UNKNOWN]
+    logs = [model.texts(pa.array([t or ""]))[0] for t, *_ in rows]
+    said = [int(np.argmax(x)) if x.max() < 0 else None for x in logs]
+    size, kappa = len(names), language_id.KAPPA
+    site = lambda h: ".".join(h.split(".")[-2:])
+    at = lambda own, of: [sum(1 for r, l in zip(rows, said, strict=True) if l == i and of(r) == own) for i in range(size)]
+    every = at(0, lambda r: 0)
+    corpus = [(n + 1) / (sum(every) + size) for n in every]
+    out = {}
+    for k, (text, declared, host, suffix) in enumerate(rows):
+        if not text and declared is None and host is None and suffix is None:
+            out[k] = (language_id.UNKNOWN, 0.0)
+            continue
+        if host is None or not any(at(host, lambda r: r[2])):
+            prior = corpus
+        else:
+            own, near = at(host, lambda r: r[2]), at(site(host), lambda r: r[2] and site(r[2]))
+            prior = [(n + kappa * (m + kappa * c) / (sum(near) + kappa)) / (sum(own) + kappa) for n, m, c in zip(own, near, corpus, strict=True)]
+        sums = logs[k] + np.log(prior)
+        for value, place in ((declared, 1), (suffix, 3)):
+            if value is not None:
+                kinds = len({r[place] for r, l in zip(rows, said, strict=True) if r[place] is not None and l is not None}) + 1
+                all_ = [sum(1 for r, l in zip(rows, said, strict=True) if l == i and r[place] is not None) for i in range(size)]
+                sums = sums + np.log([(n + 0.5) / (t + 0.5 * kinds) for n, t in zip(at(value, lambda r: r[place]), all_, strict=True)])
+        p = np.exp(sums - sums.max())
+        out[k] = (names[int(np.argmax(p))], p.max() / p.sum())
+    return out
+
+
+def test_posteriors_equal_the_definition(spark, monkeypatch):
+    F = language_id.F
+    docs = [(r.text[:300], r.lang, r.doc_id) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    rows = [(t, [l, None, "xx"][i % 3 if i % 7 else 0], [None, "a.b.com", "c.b.com", "b.com", f"h{i}.org"][i % 5], [None, "com", l][i % 3]) for i, (t, l, i) in enumerate(docs)]
+    rows += [(None, None, None, None), ("", None, "a.b.com", None), (None, "de", None, None), ("12 34 !!", None, None, "zz"), ("le", None, "new.net", None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, text string, declared string, host string, suffix string")
+    evidence = Evidence(F.col("text"), F.col("declared"), F.col("host"), F.col("suffix"))
+    want = posteriors(rows, language_id.fit(df, evidence))
+    for most in (language_id.BROADCAST_ROWS, 0):  # by broadcast and by salted shuffle
+        monkeypatch.setattr(language_id, "BROADCAST_ROWS", most)
+        got = judged(df, evidence, [F.col("k")]).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert np.isclose(r.posterior, want[r.row.k][1], atol=1e-5), (rows[r.row.k], r, want[r.row.k])
+            assert r.language == want[r.row.k][0] or r.posterior < 0.6
+
+
 def test_text_outweighs_a_wrong_declaration(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     wrong = docs.filter("lang = 'fr' AND n_chars > 300").limit(3).collect()
