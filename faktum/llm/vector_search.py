@@ -5,21 +5,27 @@ partial score.  Rows lie in blocks, and blocks in GROUPS groups; the blocks of
 queries, which are few, are sent to every group and meet each block of rows
 there, a matrix product each.
 
-1. Each meeting takes the k best of every list and scores these fully: local
-   score lists.  The k-th best score of a query over all meetings is a lower
-   bound of its true k-th best: the safe cutoff tau.
+1. Each meeting computes the first list alone, takes its k best vectors and
+   scores these fully: local score lists.  The k-th best score of a query over
+   all meetings is a lower bound of its true k-th best: the safe cutoff tau,
+   which goes to the queries' blocks.
 2. A vector that scores tau or more has at least tau / m in one of its m lists.
-   Each meeting collects the entries that reach it, adds the lists' greatest
-   values for what is unknown, and drops those whose bound is under tau.
-3. What is left is scored fully, and the k best of each meeting go to the
+   In each list it has at most the product of the two norms there.  Vectors
+   whose norms reach tau / m in no list, or whose bounds add up to less than
+   tau, are never multiplied; the others' lists are computed one after the
+   other, and a vector goes as soon as what is known and the bounds of the rest
+   add up to less than tau.
+3. What is left then is scored fully, and the k best of each meeting go to the
    query's final ranking.
 
 Components become floor(scale * x) with x as double, so scores are integers
-and exact.  Vectors that are null, empty, hold null or non-finite components,
-have a null id or another length than the commonest take no part.  Ties go to
-the smaller id.  Rows that repeat an id are candidates each; a query never
-meets rows of its own id.  Components are expected to keep every product sum
-within 2**53, which is checked.  Empty tables give an empty result.
+and exact: in doubles below 2**53, else in 64-bit integers; a score that could
+pass 2**63 raises an OverflowError.  Vectors that are null, empty, hold null or
+non-finite components, have a null id or another length than the commonest take
+no part.  Ties go to the smaller id.  Rows that repeat an id are candidates
+each (of equal rows k are enough); a query never meets rows of its own id, and
+of different vectors of one query id the least asks.  Empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -53,15 +59,13 @@ def _quantised(vectors: DataFrame, scale: int) -> DataFrame:
 
 
 def _packed(rows: DataFrame, n: int, size: int) -> DataFrame:
-    """Blocks of about `size` of the n rows: ids and vectors as bytes."""
+    """Blocks of about `size` of the n rows (vec_id, v, copy): ids and vectors as bytes."""
     blocks = max(1, -(-n // size))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", "copy"), F.lit(blocks)))
 
     def pack(group: pa.Table) -> pa.Table:
         ids = group["vec_id"].to_numpy().astype("<i8")
         flat = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        if np.abs(flat).max(initial=0) ** 2 * flat.shape[1] >= 2.0**53:
-            raise ValueError("components are too large for exact scores")
         return pa.table({"block": group["block"][:1], "ids": pa.array([ids.tobytes()]), "vectors": pa.array([flat.astype("<f8").tobytes()])})
 
     return rows.groupBy("block").applyInArrow(pack, BLOCK_DDL)
@@ -72,14 +76,53 @@ def _arrays(batch, i: int, prefix: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(batch.column(f"{prefix}_vectors")[i].as_py(), "<f8").reshape(len(ids), -1)
 
 
-def _partial(q: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+def _lists(q: np.ndarray, v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The lists' parts of both sides, in a type that keeps every score exact."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
+    if most >= 2.0**63:
+        raise OverflowError("scores can pass 2**63")
+    kind = np.float64 if most < 2.0**53 else np.int64
+    q, v = q.astype(kind), v.astype(kind)
     cuts = np.linspace(0, q.shape[1], min(LISTS, q.shape[1]) + 1).astype(int)
-    return [q[:, a:b] @ v[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
-def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, rows: np.ndarray, columns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query among (row, column) pairs."""
-    value = scores[rows, columns]
+    return [(q[:, a:b], v[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    """A little more than the norms of the rows, so that rounding loses nothing."""
+    x = x.astype(np.float64)
+    return np.sqrt(np.einsum("ij,ij->i", x, x)) * (1 + 1e-12)
+
+
+def _full(lists, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    return sum(np.einsum("ij,ij->i", q[rows], v[columns]) for q, v in lists)
+
+
+def survivors(lists, tau: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(rows, columns, scores) of the allowed pairs that score their row's tau or more, and how many list products were computed for that."""
+    m = len(lists)
+    bounds = [_norms(q)[:, None] * _norms(v)[None, :] for q, v in lists]
+    rest = sum(bounds)
+    slack = np.abs(tau) * 1e-12 + 1e-6
+    some = allowed & (rest >= tau - slack) & np.logical_or.reduce([x >= tau / m - slack for x in bounds])
+    rows, columns = np.nonzero(some)
+    known = np.zeros(len(rows), lists[0][0].dtype)
+    computed = 0
+    for (q, v), bound in zip(lists, bounds, strict=True):
+        rest = rest - bound
+        if 4 * len(rows) > some.size:
+            known = known + (q @ v.T)[rows, columns]
+            computed += some.size
+        else:
+            known = known + np.einsum("ij,ij->i", q[rows], v[columns])
+            computed += len(rows)
+        keep = known + np.maximum(rest[rows, columns], 0) * (1 + 1e-12) >= tau[rows, 0] - slack[rows, 0]
+        rows, columns, known = rows[keep], columns[keep], known[keep]
+    hit = known >= tau[rows, 0]
+    return rows[hit], columns[hit], known[hit], computed
+
+
+def _best(query: np.ndarray, ids: np.ndarray, value: np.ndarray, rows: np.ndarray, columns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query among (row, column) pairs with their scores."""
     order = np.lexsort((ids[columns], -value, rows))
     rows, columns, value = rows[order], columns[order], value[order]
     first = np.searchsorted(rows, rows)
@@ -96,15 +139,15 @@ def _local_lists(k: int):
         for batch in batches:
             for i in range(len(batch)):
                 (query, q), (ids, v) = _arrays(batch, i, "q"), _arrays(batch, i, "r")
-                lists = _partial(q, v)
+                lists = _lists(q, v)
                 own = query[:, None] == ids[None, :]
-                chosen = np.zeros(own.shape, bool)
                 top = min(k, len(ids))
-                for part in lists:
-                    part = np.where(own, -np.inf, part)
-                    np.put_along_axis(chosen, np.argpartition(part, len(ids) - top, axis=1)[:, len(ids) - top :], True, axis=1)
-                rows, columns = np.nonzero(chosen & ~own)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(query, ids, sum(lists), rows, columns, k)], schema=FOUND)
+                part = np.where(own, -np.inf, lists[0][0] @ lists[0][1].T)
+                columns = np.argpartition(part, len(ids) - top, axis=1)[:, len(ids) - top :].ravel()
+                rows = np.repeat(np.arange(len(query)), top)
+                other = ~own[rows, columns]
+                rows, columns = rows[other], columns[other]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(query, ids, _full(lists, rows, columns), rows, columns, k)], schema=FOUND)
 
     return run
 
@@ -115,25 +158,21 @@ def _sufficient(k: int):
             for i in range(len(batch)):
                 (query, q), (ids, v) = _arrays(batch, i, "q"), _arrays(batch, i, "r")
                 tau = dict(zip(batch.column("cut_ids")[i].as_py() or [], batch.column("cut_scores")[i].as_py() or [], strict=True))
-                tau = np.array([tau.get(x, -np.inf) for x in query.tolist()])[:, None]
-                lists = _partial(q, v)
-                reached = [part >= tau / len(lists) for part in lists]
-                bound = sum(np.where(hit, part, np.minimum(part.max(axis=1, keepdims=True), tau / len(lists))) for hit, part in zip(reached, lists, strict=True))
-                some = np.logical_or.reduce(reached) & (np.nan_to_num(bound, nan=np.inf) >= tau) & (query[:, None] != ids[None, :])
-                rows, columns = np.nonzero(some)
-                scores = np.zeros(some.shape)
-                scores[rows, columns] = sum(part[rows, columns] for part in lists)
-                hit = scores[rows, columns] >= tau[rows, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(query, ids, scores, rows[hit], columns[hit], k)], schema=FOUND)
+                lists = _lists(q, v)
+                least = -float(2**63)  # of a query that has no k-th best yet
+                tau = np.array([tau.get(x, least) for x in query.tolist()], np.float64)[:, None]
+                rows, columns, scores, _ = survivors(lists, tau, query[:, None] != ids[None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(query, ids, scores, rows, columns, k)], schema=FOUND)
 
     return run
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row whose vec_id is divisible by `every`."""
-    rows = _quantised(vectors, scale)
-    asks = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    sizes = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
+    rows = cut(_quantised(vectors, scale).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n")))
+    asks = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("copy", F.lit(1))
+    rows = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy"))
+    sizes = rows.agg(F.count(F.lit(1)), F.countDistinct(F.when(F.col("vec_id") % every == 0, F.col("vec_id")))).first()
     groups = min(GROUPS, max(1, -(-sizes[0] // ROWS_A_BLOCK)))
     blocks = _packed(rows, sizes[0], ROWS_A_BLOCK).select((F.col("block") % groups).alias("meet"), F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors"))
     queries = _packed(asks, sizes[1], QUERIES_A_BLOCK).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))

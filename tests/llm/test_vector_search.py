@@ -29,6 +29,24 @@ def test_small_blocks_ties_and_odd_rows(spark, monkeypatch):
     assert {tuple(r) for r in got} == want
 
 
+def test_survivors_are_those_at_the_cutoff():
+    rng = np.random.default_rng(8)
+    q, v = rng.integers(-300, 300, (7, 24)).astype(float), np.vstack([rng.integers(-300, 300, (40, 24)), rng.integers(-20, 20, (400, 24))]).astype(float)
+    scores = q @ v.T
+    tau = np.sort(scores, axis=1)[:, -5:-4]
+    rows, columns, found, computed = vector_search.survivors(vector_search._lists(q, v), tau, np.ones(scores.shape, bool))
+    assert set(zip(rows.tolist(), columns.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(scores >= tau)), strict=True))
+    assert (found == scores[rows, columns]).all()
+    assert computed < 0.25 * vector_search.LISTS * scores.size  # most products are never made
+
+
+def test_large_components_and_repeats(spark):
+    rows = [(50, [2.0**22, 1.0]), (1, [2.0**21, 3.0]), (2, [2.0**21, 1.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", vector_search.F.lit(1)).withColumn("block", vector_search.F.lit(1))).collect()
+    whole = sorted(((-sum(int(256 * a) * int(256 * b) for a, b in zip(rows[0][1], v, strict=True)), i) for i, v in rows[1:]))[:5]
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(k + 1, i, -s) for k, (s, i) in enumerate(whole)]
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in top_k(df).collect()] == [(0, 1, 1, 256 * 512)]
