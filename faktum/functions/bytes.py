@@ -28,15 +28,47 @@ _BLANK = [9, 10, 13, 32]
 _ODD = np.array([(b < 32 and b not in (9, 10, 13)) or b == 127 for b in range(256)])
 
 
+#: Values whose histograms are made at once.
+TOGETHER = 2048
+
+
+def histograms(values: list[bytes]) -> np.ndarray:
+    """A row of 256 counts for each value, by one count over all their bytes."""
+    sizes = [len(x) for x in values]
+    if max(sizes, default=0) > 1 << 16:
+        return np.array([histogram(x) for x in values])
+    cells = np.repeat(np.arange(len(values)) * 256, sizes) + np.frombuffer(b"".join(values), np.uint8)
+    return np.bincount(cells, minlength=256 * len(values)).reshape(-1, 256)
+
+
 def _facts(values: pd.Series) -> pd.DataFrame:
-    rows = []
-    for data in values:
-        h = histogram(data or b"")
+    own = [x or b"" for x in values]
+    parts = [np.zeros((0, 7))]
+    for lo in range(0, len(own), TOGETHER):
+        h = histograms(own[lo : lo + TOGETHER])
+        n = h.sum(axis=1, keepdims=True)
+        p = h / np.maximum(n, 1)
+        entropy = -(p * np.log2(np.where(h > 0, p, 1.0))).sum(axis=1) + 0.0
         shown = h.copy()
-        shown[_BLANK] = 0
-        top = 255 - int(np.argmax(shown[::-1])) if shown.any() else -1
-        rows.append((shannon(h), int((h > 0).sum()), top, int(shown[top]) if top >= 0 else 0, int(h[128:].sum()), int(h[_ODD].sum()), int(h[0])))
-    return pd.DataFrame(rows, columns=["entropy", "kinds", "common", "common_count", "high", "odd", "zeros"])
+        shown[:, _BLANK] = 0
+        top = 255 - np.argmax(shown[:, ::-1], axis=1)
+        count = shown[np.arange(len(h)), top]
+        parts.append(np.column_stack([entropy, (h > 0).sum(axis=1), np.where(count > 0, top, -1), count, h[:, 128:].sum(axis=1), h[:, _ODD].sum(axis=1), h[:, 0]]))
+    out = pd.DataFrame(np.concatenate(parts), columns=["entropy", "kinds", "common", "common_count", "high", "odd", "zeros"])
+    return out.astype({c: "int64" for c in out.columns if c != "entropy"})
+
+
+def _byte_counts(values: pd.Series) -> pd.Series:
+    rows = []
+    for x in values:
+        h = histogram(x or b"")
+        rows.append([{"byte_hex": f"{b:02X}", "n": int(h[b])} for b in np.flatnonzero(h)])
+    return pd.Series(rows)
+
+
+def byte_counts(content: Column) -> Column:
+    """Each byte that occurs, in hex, with its count."""
+    return F.pandas_udf(_byte_counts, "array<struct<byte_hex:string,n:bigint>>")(content)
 
 
 def byte_facts(content: Column) -> Column:

@@ -41,7 +41,9 @@ def line_metrics(text: Column) -> dict[str, Column]:
     sizes = F.transform(rows, F.octet_length)
     total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
     mean = total / n
-    spread = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    squares = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
+    # n * squares - total * total, in longs where these hold it
+    spread = F.coalesce(F.try_subtract(F.try_multiply(F.size(rows).cast("long"), squares), F.try_multiply(total, total)).cast("double"), n * squares - total.cast("double") * total) / n
     filled = F.filter(rows, lambda x: trimmed(x) != "")
     over = lambda k: positive(F.size(F.filter(sizes, lambda x: x > k)))
     lead = lambda x: F.regexp_extract(x, r"\A[ \t]*", 0)

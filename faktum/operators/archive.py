@@ -90,6 +90,13 @@ def member_metrics(members: DataFrame) -> DataFrame:
     )
 
 
+def symlink_escapes(members: DataFrame) -> DataFrame:
+    """members with linkname, of archives that keep it (tar): links to absolute targets or through `..`, for each file."""
+    target = F.col("linkname")
+    out = (F.col("entry_type") == "symlink") & (target.startswith("/") | F.array_contains(F.split(target, "/"), ".."))
+    return members.groupBy("file_id").agg(F.count_if(out).alias("symlink_escape_count"))
+
+
 def histogram(members: DataFrame, column: str) -> DataFrame:
     """Members by entry type or compression method."""
     return members.groupBy("file_id", F.replace(F.col(column), F.lit("-"), F.lit("_")).alias(column)).agg(F.count(F.lit(1)).alias("n"))

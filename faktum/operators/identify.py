@@ -18,7 +18,7 @@ from faktum.operators import file_types as T
 #: First bytes, in hexadecimal, in the order of their tests.
 MAGIC = [
     ("0061736D01000000", "wasm"), ("7F454C46", "elf"), ("4D5A", "pe"), ("4D534346", "cab"), ("FEEDFACE", "macho"), ("FEEDFACF", "macho"), ("CEFAEDFE", "macho"), ("CFFAEDFE", "macho"), ("BEBAFECA", "macho"),
-    ("FFD8FF", "jpeg"), ("89504E470D0A1A0A", "png"), ("4C00000001140200000000C000000000000046"[:8], "lnk"), ("52617221", "rar"), ("46617364", "applescript"), ("49545346", "chm"), ("7B5C727466", "rtf"), ("255044462D", "pdf"),
+    ("FFD8FF", "jpeg"), ("89504E470D0A1A0A", "png"), ("4C0000000114020000000000C000000000000046", "lnk"), ("52617221", "rar"), ("46617364", "applescript"), ("49545346", "chm"), ("7B5C727466", "rtf"), ("255044462D", "pdf"),
     ("62706C697374", "plist"), ("78617221", "pkg_macos"), ("43723234", "crx"), ("EDABEEDB", "rpm"), ("377ABCAF271C", "7z"), ("3C3F706870", "php"),
 ]
 #: Interpreters.
@@ -214,6 +214,7 @@ def magic(path: Column, content: Column) -> Column:
                 (head.startswith("<") & is_plist(head), F.lit("plist")),
                 (head.startswith("<") & markup(head).isNotNull(), markup(head)),
                 (F.substring(hexes, 3, 6) == "0D0D0A", F.lit("python_bytecode")),
+                (tampered_pe(content), F.lit("pe")),
                 (~head.startswith("<") & F.substring(head, 1, 64).contains("<") & is_plist(head), F.lit("plist")),
                 (is_workflow(path, head), F.lit("github_actions")),
                 (chrome, F.lit("chrome_manifest")),
@@ -224,6 +225,19 @@ def magic(path: Column, content: Column) -> Column:
     )
 
 
+def tampered_pe(content: Column) -> Column:
+    """Whether a portable executable begins at one of the bytes 1 to 62: its mark there, and its signature where it says."""
+    hexes = F.hex(F.substring(content, 1, 130))
+    byte = lambda i: F.conv(F.substring(hexes, 2 * i + 1, 2), 16, 10).cast("long")
+
+    def begins(i: Column) -> Column:
+        at = byte(i + 60) + 256 * byte(i + 61) + 65_536 * byte(i + 62) + 16_777_216 * byte(i + 63)
+        near = (F.octet_length(content) - i >= 64) & (at + i + 4 <= F.octet_length(content))
+        return (F.substring(hexes, 2 * i + 1, 4) == "4D5A") & near & (F.hex(F.substring(content, (at + i + 1).cast("int"), F.lit(4))) == "50450000")
+
+    return F.substring(hexes, 3, 126).contains("4D5A") & F.exists(F.sequence(F.lit(1), F.lit(62)), begins)
+
+
 def _overlaps(text: Column, needle: str) -> Column:
     import re
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faktum.operators.names import entropy
@@ -32,6 +33,8 @@ def function_metrics(functions: DataFrame, sources: DataFrame) -> DataFrame:
     """functions: (file_id, ord, name, line, end_line, depth, params); sources: (file_id, text)."""
     from faktum.functions.text import lines
 
+    inside = F.lead("depth").over(W.partitionBy("file_id").orderBy("ord")) > F.col("depth")  # symbols come in the order of their text
+    functions = functions.withColumn("holds", F.coalesce(inside, F.lit(False)))
     f = functions.withColumn("size", F.col("end_line") - F.col("line") + 1).withColumn("n", F.size("params")).withColumn("e", entropy(F.coalesce("name", F.lit(""))))
     count = lambda test: F.count_if(test)
     sizes = F.transform("params", F.octet_length)
@@ -39,6 +42,7 @@ def function_metrics(functions: DataFrame, sources: DataFrame) -> DataFrame:
     out = f.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("count"),
         count(F.col("name").isNull()).alias("anonymous"),
+        count(F.col("holds")).alias("nested_functions"),
         count(F.col("size") > 100).alias("over_100_lines"),
         count(F.col("size") > 500).alias("over_500_lines"),
         count(F.col("size") <= 1).alias("one_liners"),

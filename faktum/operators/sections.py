@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from faktum.functions.bytes import byte_facts
+
 #: Section names that compilers and linkers make, without leading dots.
 STANDARD = (
     "text data bss rdata rodata idata edata pdata xdata reloc rsrc tls init fini plt got got.plt dynsym dynstr dynamic symtab strtab shstrtab interp comment eh_frame eh_frame_hdr init_array fini_array ctors dtors "
@@ -40,6 +42,7 @@ def section_metrics(sections: DataFrame, files: DataFrame) -> DataFrame:
         F.count_if(F.col("x") & F.col("w")).alias("executable_writable_count"),
         F.when(code > 0, code).alias("code_size"),
         F.count_if(~bare.isin(STANDARD)).alias("nonstandard_count"),
+        F.array_join(F.collect_list("name"), "").alias("_names"),
         F.when(F.count("entropy") >= 2, F.round(F.var_pop("entropy"), 6)).alias("entropy_variance"),
         weighted(F.col("x")).alias("code_entropy"),
         weighted(F.col("w") & ~F.col("x")).alias("data_entropy"),
@@ -50,6 +53,7 @@ def section_metrics(sections: DataFrame, files: DataFrame) -> DataFrame:
     over = F.col("length") - F.col("_end")
     return agg.join(files.select("file_id", "length"), "file_id").select(
         *(c for c in agg.columns if not c.startswith("_")),
+        F.when(F.col("_names") != "", F.round(byte_facts(F.encode("_names", "UTF-8"))["entropy"], 6)).alias("name_entropy"),
         F.round(F.try_divide("_largest", "length"), 6).alias("largest_section_ratio"),
         F.when(over > 0, 1.0).alias("has_overlay"),
         F.when(over > 0, over).alias("overlay_size"),

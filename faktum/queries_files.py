@@ -182,8 +182,9 @@ a AS (SELECT file_id, count(*) AS count, round(max(entropy), 6) AS entropy_max,
   nullif(coalesce(sum(file_size) FILTER (x), 0), 0)::BIGINT AS code_size, count(*) FILTER (bare NOT IN {_KNOWN}) AS nonstandard_count, round(CASE WHEN count(entropy) >= 2 THEN var_pop(entropy) END, 6) AS entropy_variance,
   round(sum(entropy * file_size) FILTER (x AND entropy IS NOT NULL) / nullif(sum(file_size) FILTER (x AND entropy IS NOT NULL), 0), 6) AS code_entropy,
   round(sum(entropy * file_size) FILTER (w AND NOT x AND entropy IS NOT NULL) / nullif(sum(file_size) FILTER (w AND NOT x AND entropy IS NOT NULL), 0), 6) AS data_entropy,
-  round(coalesce(sum(file_size) FILTER (x), 0) / nullif(coalesce(sum(file_size) FILTER (x), 0) + coalesce(sum(file_size) FILTER (w AND NOT x), 0), 0), 6) AS code_to_data_ratio, max(file_size) AS largest, max(file_offset + file_size) AS fin FROM s GROUP BY file_id)
-SELECT a.* EXCLUDE (largest, fin), round(largest / length, 6) AS largest_section_ratio, CASE WHEN length > fin THEN 1.0::DOUBLE END AS has_overlay, CASE WHEN length > fin THEN CAST(length - fin AS BIGINT) END AS overlay_size, round(CASE WHEN length > fin THEN (length - fin) / length END, 6) AS overlay_ratio FROM a JOIN {values("file_id, length", *LENGTHS)} ON a.file_id = t.file_id"""
+  round(coalesce(sum(file_size) FILTER (x), 0) / nullif(coalesce(sum(file_size) FILTER (x), 0) + coalesce(sum(file_size) FILTER (w AND NOT x), 0), 0), 6) AS code_to_data_ratio, max(file_size) AS largest, max(file_offset + file_size) AS fin FROM s GROUP BY file_id),
+b AS (SELECT file_id, x, count(*) AS k FROM (SELECT file_id, unnest(regexp_extract_all(hex(encode(name)), '..')) AS x FROM s) GROUP BY ALL), ne AS (SELECT file_id, round(-sum((k / m) * log2(k / m)) + 0.0, 6) AS name_entropy FROM (SELECT *, sum(k) OVER (PARTITION BY file_id) AS m FROM b) GROUP BY file_id)
+SELECT a.* EXCLUDE (largest, fin), name_entropy, round(largest / length, 6) AS largest_section_ratio, CASE WHEN length > fin THEN 1.0::DOUBLE END AS has_overlay, CASE WHEN length > fin THEN CAST(length - fin AS BIGINT) END AS overlay_size, round(CASE WHEN length > fin THEN (length - fin) / length END, 6) AS overlay_ratio FROM a JOIN {values("file_id, length", *LENGTHS)} ON a.file_id = t.file_id LEFT JOIN ne ON ne.file_id = a.file_id"""
 )
 def agg_sections(spark, sf_dir):
     s = rows(spark, "file_id long, ord long, name string, file_offset long, file_size long, flags array<string>, entropy double", *SECTIONS)

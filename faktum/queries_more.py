@@ -115,3 +115,78 @@ def str_daily_windows(spark, sf_dir):
     """Releases in windows of a day; the same expression runs over a stream."""
     e = table(spark, sf_dir, "events")
     return e.groupBy("user_id", F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("releases")).select("user_id", F.col("window.start").alias("window_start"), "releases")
+
+
+# sinks, grouping, layouts and odd files
+
+
+@query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars}) AS json FROM documents")
+def snk_json(spark, sf_dir):
+    """SNK-1: rows as JSON documents."""
+    from faktum.plans.views import json_documents
+
+    return json_documents(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+
+
+@query(
+    """WITH m AS (SELECT doc_id AS file_id, unnest(['file.size_bytes', 'text.total_lines', 'text.space_count', 'plain']) AS key, unnest([strlen(text), len(string_split(text, chr(10))), len(regexp_extract_all(text, ' ')), 1]) AS value FROM documents)
+SELECT file_id, CASE WHEN contains(key, '.') THEN split_part(key, '.', 1) ELSE '' END AS namespace, CASE WHEN contains(key, '.') THEN regexp_replace(key, '^[^.]*\\.', '') ELSE key END AS name, CAST(value AS DOUBLE) AS value FROM m WHERE value > 0"""
+)
+def snk_metric_groups(spark, sf_dir):
+    """SNK-3: metrics by the namespace in their keys."""
+    from faktum.plans.views import by_namespace
+
+    own = {"file.size_bytes": F.octet_length("text"), "text.total_lines": F.size(F.split("text", "\n", -1)), "text.space_count": F.regexp_count("text", F.lit(" ")), "plain": F.lit(1)}
+    facts = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in own.items()))
+    long = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.inline(facts)).filter("value > 0")
+    return by_namespace(long)
+
+
+def _zip_cases() -> tuple:
+    import io
+    import zipfile
+
+    def made(comment=b"", wide=False):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            with z.open(zipfile.ZipInfo("a.txt", (2020, 1, 1, 0, 0, 0)), "w", force_zip64=wide) as f:
+                f.write(b"hello")
+            z.comment = comment
+        return out.getvalue()
+
+    return ("plain", made()), ("note", made(b"five!")), ("front", b"0123456789" + made()), ("back", made(b"xy") + b"tail...")
+
+
+@query("SELECT * FROM " + values("file_id, comment_size, has_comment, uses_zip64, prefix_bytes, trailing_bytes", ("plain", 0, 0, 0, 0, 0), ("note", 5, 1, 0, 0, 0), ("front", 0, 0, 0, 10, 0), ("back", 2, 1, 0, 0, 7)))
+def arc_zip_layout(spark, sf_dir):
+    """ARC-1, 30, 31, 45 and 46."""
+    from faktum.sources.containers import zip_layout
+
+    return rows(spark, "file_id string, content binary", *_zip_cases()).select("file_id", zip_layout(F.col("content")).alias("z")).select("file_id", *(F.col(f"z.{x}").cast("int").alias(x) for x in ("comment_size", "has_comment", "uses_zip64", "prefix_bytes", "trailing_bytes")))
+
+
+LINKS = ((1, "symlink", "/etc/passwd"), (1, "symlink", "a/../b"), (1, "symlink", "a..b/c"), (1, "file", "/x"), (2, "symlink", ".."), (2, "hardlink", "../x"), (2, "symlink", None), (3, "file", None))
+
+
+@query(f"SELECT file_id, count(*) FILTER (entry_type = 'symlink' AND (linkname LIKE '/%' OR list_contains(string_split(linkname, '/'), '..'))) AS symlink_escape_count FROM {values('file_id, entry_type, linkname', *LINKS)} GROUP BY file_id")
+def arc_symlink_escapes(spark, sf_dir):
+    """ARC-19, of tars."""
+    from faktum.operators.archive import symlink_escapes
+
+    return symlink_escapes(rows(spark, "file_id int, entry_type string, linkname string", *LINKS))
+
+
+_CLSID = bytes.fromhex("0114020000000000C000000000000046")
+_PE = b"MZ" + bytes(58) + (64).to_bytes(4, "little") + b"PE\0\0rest"
+ODD_FILES = (
+    ("link", b"L\0\0\0" + _CLSID + b"more", "lnk"), ("near", b"L\0\0\0" + _CLSID[:-1] + b"\x47more", None), ("short", b"L\0\0\0", None), ("front", b"\x01" * 7 + _PE, "pe"), ("late", b"\x01" * 62 + _PE, "pe"), ("later", b"\x01" * 63 + _PE, None),
+    ("unsigned", b"\x01" * 7 + _PE.replace(b"PE\0\0", b"PF\0\0"), None), ("second", b"\x01MZ\x01" + _PE, "pe"), ("cut", b"\x01" + _PE[:66], None),
+)
+
+
+@query("SELECT * FROM " + values("path, type", *((p, t) for p, _, t in ODD_FILES)))
+def id_shifted_and_near(spark, sf_dir):
+    """ID-1's shell links with near misses, and ID-12."""
+    from faktum.operators.identify import magic
+
+    return rows(spark, "path string, content binary", *((p, c) for p, c, _ in ODD_FILES)).select("path", magic(F.col("path"), F.col("content")).alias("type"))

@@ -116,8 +116,7 @@ def txt_byte_metrics(spark, sf_dir):
 SELECT doc_id, x AS byte_hex, count(*) AS n FROM b GROUP BY ALL"""
 )
 def byt_histogram(spark, sf_dir):
-    pairs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))).alias("byte_hex"))
-    return pairs.groupBy("doc_id", "byte_hex").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(B.byte_counts(F.encode("text", "UTF-8"))))
 
 
 _WINDOWS = """
@@ -193,6 +192,29 @@ def lit_classifiers(spark, sf_dir):
     return words.unionByName(rows(spark, "s string", *((x,) for x in STRINGS))).distinct().select("s", *(f(s).alias(k) for k, f in tests.items()))
 
 
+_LITERALS = rf"""
+WITH s AS (SELECT p_partkey AS file_id, unnest(string_split(p_name || '  ' || p_brand || ' ' || p_type, ' ')) AS s FROM part UNION ALL SELECT -1, s FROM {values("s", *((x,) for x in STRINGS))} UNION ALL SELECT -2, repeat(chr(97 + (i % 26)::INT) || i || 'Qz', 40) FROM range(30) AS r(i)),
+e AS (SELECT s, -sum((k / n) * log2(k / n)) + 0.0 AS e FROM (SELECT s, strlen(s) AS n, x, count(*) AS k FROM (SELECT s, unnest(regexp_extract_all(hex(encode(s)), '..')) AS x FROM (SELECT DISTINCT s FROM s)) GROUP BY ALL) GROUP BY s),
+c AS ({_CLASSES.replace("SELECT unnest(string_split(text, ' ')) AS s FROM documents UNION ALL", "SELECT DISTINCT s FROM s UNION ALL")})
+SELECT file_id, count(*) AS total, sum(strlen(s.s))::BIGINT AS total_bytes, round(avg(strlen(s.s)), 6) AS avg_length, max(strlen(s.s)) AS max_length, count(*) FILTER (s.s = '') AS empty_count, round(avg(e) FILTER (s.s <> ''), 6) AS avg_entropy,
+  round(stddev_pop(e) FILTER (s.s <> ''), 6) AS entropy_stddev, count(*) FILTER (round(e, 9) > 5.0) AS high_entropy_count, count(*) FILTER (round(e, 9) > 6.5) AS very_high_entropy_count, count(*) FILTER (strlen(s.s) > 1000) AS very_long_strings,
+  count(*) FILTER (base64) AS base64_candidates, count(*) FILTER (hex) AS hex_strings, count(*) FILTER (url_encoded) AS url_encoded_strings, count(*) FILTER (unicode_heavy) AS unicode_heavy_strings, count(*) FILTER (url) AS url_count, count(*) FILTER (path) AS path_count,
+  count(*) FILTER (ip) AS ip_count, count(*) FILTER (email) AS email_count, count(*) FILTER (domain) AS domain_count, count(*) FILTER (embedded_code) AS embedded_code_candidates, count(*) FILTER (shell) AS shell_command_strings, count(*) FILTER (sql) AS sql_strings
+FROM s LEFT JOIN e ON s.s = e.s JOIN c ON s.s = c.s GROUP BY file_id
+"""
+
+
+@query(_LITERALS)
+def lit_metrics(spark, sf_dir):
+    """The counts of a file's string literals."""
+    from faktum.operators.names import literal_metrics
+
+    words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.explode(F.split(F.concat(F.col("p_name"), F.lit("  "), F.col("p_brand"), F.lit(" "), F.col("p_type")), " ", -1)).alias("value"))
+    odd = rows(spark, "value string", *((x,) for x in STRINGS)).select(F.lit(-1).cast("long").alias("file_id"), "value")
+    long_ = spark.range(30).select(F.lit(-2).cast("long").alias("file_id"), F.expr("repeat(concat(chr(97 + id % 26), id, 'Qz'), 40)").alias("value"))
+    return literal_metrics(words.unionByName(odd).unionByName(long_))
+
+
 TARGETS = ("ls", "/usr/bin/x", "$CC", "${VAR}", "b$@u", "$A$B", "b${X}u${Y}n", "python${VER}", "\\b\\u\\n", "\\rm", "$(command -v python)", "$(echo bun)", "$(printf '\\x62')", "$(echo \"$x\" | sed s/a/b/)", "`id`", "\"$VAR\"", "eval a b", "$(base64 -d)")
 
 _TARGETS = rf"""
@@ -219,7 +241,7 @@ e AS (SELECT s, -sum((k / n) * log2(k / n)) + 0.0 AS e FROM (SELECT s, strlen(s)
 t AS (SELECT file_id, count(*) AS total FROM w WHERE s <> '' GROUP BY file_id)
 SELECT u.file_id, CAST(any_value(total) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS unique_count, round(count(*) / any_value(total), 6) AS reuse_ratio, round(avg(strlen(u.s)), 6) AS avg_length,
   CAST(min(strlen(u.s)) AS DOUBLE) AS min_length, CAST(max(strlen(u.s)) AS DOUBLE) AS max_length, round(stddev_pop(strlen(u.s)), 6) AS length_stddev,
-  CAST(count(*) FILTER (strlen(u.s) = 1) AS DOUBLE) AS single_char_count, round(count(*) FILTER (regexp_full_match(u.s, '[a-z_]*')) / count(*), 6) AS all_lowercase_ratio,
+  CAST(count(*) FILTER (strlen(u.s) = 1) AS DOUBLE) AS single_char_count, round(count(*) FILTER (strlen(u.s) = 1) / count(*), 6) AS single_char_ratio, round(count(*) FILTER (regexp_full_match(u.s, '[a-z_]*')) / count(*), 6) AS all_lowercase_ratio,
   round(count(*) FILTER (regexp_full_match(u.s, '[A-Z_]*')) / count(*), 6) AS all_uppercase_ratio, round(count(*) FILTER (regexp_matches(u.s, '[0-9]')) / count(*), 6) AS has_digit_ratio,
   CAST(count(*) FILTER (u.s LIKE '\_%' ESCAPE '\') AS DOUBLE) AS underscore_prefix_count, CAST(count(*) FILTER (regexp_full_match(u.s, '__.+__')) AS DOUBLE) AS double_underscore_count,
   CAST(count(*) FILTER (regexp_full_match(u.s, '.*[A-Za-z].*[0-9]')) AS DOUBLE) AS numeric_suffix_count,
@@ -228,7 +250,7 @@ SELECT u.file_id, CAST(any_value(total) AS DOUBLE) AS total, CAST(count(*) AS DO
   CAST(count(*) FILTER (regexp_full_match(u.s, '[A-Za-z][0-9]?|(?i:{"|".join(S.SEQUENCE_STEMS)})[0-9]')) AS DOUBLE) AS sequential_names,
   CAST(count(*) FILTER (regexp_matches(lower(u.s), '{"|".join(S.KEYBOARD)}')) AS DOUBLE) AS keyboard_pattern_names,
   CAST(count(*) FILTER (strlen(u.s) >= 3 AND replace(u.s, left(u.s, 1), '') = '') AS DOUBLE) AS repeated_char_names,
-  round(avg(e), 6) AS avg_entropy, CAST(count(*) FILTER (round(e, 9) > 3.5) AS DOUBLE) AS high_entropy_count
+  round(avg(e), 6) AS avg_entropy, CAST(count(*) FILTER (round(e, 9) > 3.5) AS DOUBLE) AS high_entropy_count, round(count(*) FILTER (round(e, 9) > 3.5) / count(*), 6) AS high_entropy_ratio
 FROM u JOIN e ON u.s = e.s JOIN t ON u.file_id = t.file_id GROUP BY u.file_id
 """
 

@@ -56,7 +56,7 @@ def elf(data: bytes) -> list[dict]:
         out.append({"view": "section", "ord": k - 1, "name": _text(data, strings + s[0]), "start": s[4], "size": held, "address": s[3], "flags": flags, "entropy": _entropy(data, s[4], held)})
     for s in sections:
         if s[1] in (2, 11) and s[9] and s[6] < len(sections):
-            for k in range(1, min(s[5] // s[9], 1_000_000)):
+            for k in range(1, min(s[5], max(0, len(data) - s[4])) // s[9]):
                 x = struct.unpack_from(end + ("IBBHQQ" if wide else "IIIBBH"), data, s[4] + k * s[9])
                 name, info, at, value = (x[0], x[1], x[3], x[4]) if wide else (x[0], x[3], x[5], x[1])
                 if name:
@@ -131,7 +131,7 @@ def pe(data: bytes) -> list[dict]:
     if dirs and dirs[0][0]:
         e = place(dirs[0][0])
         base, n_functions, n_names, functions, names_, ordinals = struct.unpack_from("<IIIIII", data, e + 16)
-        for k in range(min(n_names, 1_000_000)):
+        for k in range(min(n_names, len(data) // 4)):
             o, = struct.unpack_from("<H", data, place(ordinals) + 2 * k)
             rva, = struct.unpack_from("<I", data, place(functions) + 4 * o)
             out.append({"view": "export", "ord": base + o, "name": _text(data, place(struct.unpack_from("<I", data, place(names_) + 4 * k)[0])), "address": rva})

@@ -15,7 +15,7 @@ import zlib
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that are inflated, at most, to tell an npm package and a Python sdist (whose PKG-INFO often comes last), and members of a tar that are looked at for an image.
@@ -50,6 +50,33 @@ def _zip(data: bytes) -> list[dict]:
     return out
 
 
+def _layout(data: bytes) -> tuple[int, int, int, int, int]:
+    """(comment's bytes, whether it has one, whether ZIP64 is used, bytes before the first member, bytes after the end record) of a ZIP."""
+    first, end = data.find(b"PK\x03\x04"), data.rfind(b"PK\x05\x06")
+    if end < 0 or end + 22 > len(data):
+        return 0, 0, 0, max(first, 0), 0
+    count, size, start, comment = struct.unpack_from("<HIIH", data, end + 10)
+    wide = count == 0xFFFF or 0xFFFFFFFF in (size, start)
+    at = end - size  # of the directory, also where something stands before the archive
+    while not wide and 0 <= at <= end - 46 and data[at : at + 4] == b"PK\x01\x02":
+        packed, full = struct.unpack_from("<II", data, at + 20)
+        name, extra, note = struct.unpack_from("<HHH", data, at + 28)
+        tags, k = data[at + 46 + name : at + 46 + name + extra], 0
+        while k + 4 <= len(tags) and not wide:
+            tag, n = struct.unpack_from("<HH", tags, k)
+            wide, k = tag == 1, k + 4 + n
+        wide = wide or 0xFFFFFFFF in (packed, full)
+        at += 46 + name + extra + note
+    return comment, int(comment > 0), int(wide), max(first, 0), max(0, len(data) - end - 22 - comment)
+
+
+def zip_layout(content: Column) -> Column:
+    """comment_size, has_comment, uses_zip64, prefix_bytes, trailing_bytes of a ZIP's bytes."""
+    names = ["comment_size", "has_comment", "uses_zip64", "prefix_bytes", "trailing_bytes"]
+    run = lambda values: pd.DataFrame([_layout(x or b"") for x in values], columns=names)
+    return F.pandas_udf(run, ", ".join(f"{x} long" for x in names))(content)
+
+
 def _tar(data: bytes) -> list[dict]:
     out = []
     with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as t:
