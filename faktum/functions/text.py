@@ -35,8 +35,16 @@ def trimmed(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
 
 
+def line_facts(text: Column) -> Column:
+    """All line metrics as one struct, for which a text is cut into lines once; to be selected before its fields are."""
+    return F.transform(F.array(lines(text)), lambda rows: F.struct(*(v.alias(k) for k, v in _of_lines(rows).items())))[0]
+
+
 def line_metrics(text: Column) -> dict[str, Column]:
-    rows = lines(text)
+    return _of_lines(lines(text))
+
+
+def _of_lines(rows: Column) -> dict[str, Column]:
     n = F.size(rows).cast("double")
     sizes = F.transform(rows, F.octet_length)
     total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)

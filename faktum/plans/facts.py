@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faktum.functions.bytes import byte_facts, window_facts
-from faktum.functions.text import char_metrics, escape_metrics, line_metrics
+from faktum.functions.text import char_metrics, escape_metrics, line_facts, line_metrics
 from faktum.operators.identify import identify
 from faktum.sources.containers import peek
 
@@ -27,7 +27,8 @@ def metrics(files: DataFrame) -> DataFrame:
     utf8 = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     rows = files.select("file_id", "content", F.col("length").cast("double").alias("length"), utf8.alias("text"), window_facts(F.col("content")).alias("w"), byte_facts(F.col("content")).alias("b"))
     t = F.col("text")
-    text = {f"text.{k}": v for k, v in (line_metrics(t) | char_metrics(t) | escape_metrics(t)).items()}
+    rows = rows.withColumn("l", line_facts(t))
+    text = {f"text.{k}": v for k, v in ({k: F.col(f"l.{k}") for k in rows.schema["l"].dataType.names} | char_metrics(t) | escape_metrics(t)).items()}
     own: dict[str, Column] = {
         "file.size_bytes": F.col("length"),
         "file.entropy": F.col("w.overall"),

@@ -10,7 +10,7 @@ from faktum.operators import archive as A
 from faktum.operators import file_types, identify
 from faktum.operators import records as R
 from faktum.operators import sections as S
-from faktum.registry import literal, query, rows, table, values
+from faktum.registry import literal, query, rows, spread, table, values
 
 FILES = (
     ("a.wasm", b"\0asm\x01\0\0\0"), ("x", b"\x7fELF\x02\x01"), ("setup.txt", b"MZ\x90\0"), ("d.cab", b"MSCF\0\0"), ("A.class", b"\xca\xfe\xba\xbe\0\0\0\x34"), ("fat", b"\xca\xfe\xba\xbe\0\0\0\x02"), ("m", b"\xcf\xfa\xed\xfe\x07\0"),
@@ -85,7 +85,7 @@ SCRIPTS = ("use strict;\nuse warnings;\nmy $x = 1;\nmy $y", "#include <a.h>\n#in
 
 @query(f"WITH d AS (SELECT doc_id, text AS t FROM documents UNION ALL SELECT id, s FROM {values('id, s', *((-1 - i, x) for i, x in enumerate(SCRIPTS)))}) SELECT doc_id, language, CAST(score AS BIGINT) AS score FROM (SELECT 0 AS doc_id, '' AS language, 0 AS score WHERE false {_SCORES}) WHERE score > 0")
 def id_heuristic_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")).unionByName(rows(spark, "doc_id long, t string", *((-1 - i, x) for i, x in enumerate(SCRIPTS))))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))).unionByName(rows(spark, "doc_id long, t string", *((-1 - i, x) for i, x in enumerate(SCRIPTS))))
     own = {k: v for k, v in identify.scores(F.col("t")).items() if k != "javascript"}
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("language"), v.cast("long").alias("score")) for k, v in own.items())))
     return docs.select("doc_id", pairs.alias("x")).select("doc_id", "x.*").filter("score > 0")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from faktum.operators import comments as C
 from faktum.operators import references as R
-from faktum.registry import query, rows, table, values
+from faktum.registry import query, rows, spread, table, values
 
 CODE = (
     ("c1", "c", 'int a; // TODO one\nchar *s = "// no /* no */"; /* two\nlines */ int b; // see https://x.org\n//\n/* open'),
@@ -232,7 +232,7 @@ def facts_long_metrics(spark, sf_dir):
     from faktum.plans.facts import metrics
     from faktum.sources.files import from_documents, from_pages
 
-    return metrics(from_documents(table(spark, sf_dir, "documents")).unionByName(from_pages(table(spark, sf_dir, "pages"))))
+    return metrics(from_documents(spread(table(spark, sf_dir, "documents"))).unionByName(from_pages(spread(table(spark, sf_dir, "pages")))))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faktum.functions import bytes as B
 from faktum.functions import strings as S
 from faktum.functions import text as T
-from faktum.registry import literal, query, rows, table, values
+from faktum.registry import literal, query, rows, spread, table, values
 
 SPACES = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -25,7 +25,7 @@ def _rounded(columns: dict) -> list:
 
 
 def _texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return docs.unionByName(rows(spark, "id long, text string", *((-1 - i, s) for i, s in enumerate(SAMPLES))))
 
 
@@ -54,7 +54,8 @@ FROM m
 
 @query(_LINES)
 def txt_line_metrics(spark, sf_dir):
-    return _texts(spark, sf_dir).filter("text <> ''").select("id", *_rounded(T.line_metrics(F.col("text"))))
+    facts = _texts(spark, sf_dir).filter("text <> ''").select("id", T.line_facts(F.col("text")).alias("l"))
+    return facts.select("id", *_rounded({k: F.col(f"l.{k}") for k in facts.schema["l"].dataType.names}))
 
 
 _CHARS = f"""
@@ -144,7 +145,7 @@ def byt_windowed_entropy(spark, sf_dir):
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (strlen(line) >= 12 AND len(regexp_extract_all(line, ' ')) >= 2 AND len(ts) >= 3 AND len(list_filter(ts, lambda x: len(regexp_extract_all(x, '\pL')) >= 2)) >= 2) AS n_sentences FROM t GROUP BY doc_id"""
 )
 def byt_sentence_like(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(T.sentence_like(F.col("line"))).alias("n_sentences"))
 
 
@@ -183,7 +184,7 @@ FROM (SELECT DISTINCT s FROM (SELECT unnest(string_split(text, ' ')) AS s FROM d
 
 @query(_CLASSES)
 def lit_classifiers(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ", -1)).alias("s"))
+    words = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(F.split("text", " ", -1)).alias("s"))
     s = F.col("s")
     tests = {
         "base64": S.is_likely_base64, "hex": S.is_hex_string, "url_encoded": S.has_url_encoding, "unicode_heavy": S.has_unicode_heavy, "url": S.is_url, "path": S.is_file_path, "ip": S.is_ip_address,

@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as the cluster runs at once, for work that is heavier than its input.
+
+    A small table in one row group is one task; a large one has more tasks than that and stays as it is.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def rows(spark: SparkSession, schema: str, *values: tuple) -> DataFrame:
     return spark.createDataFrame(list(values), schema)
 
