@@ -4,7 +4,11 @@ Statistics are gathered by messages, never broadcast with the corpus: texts
 lie in blocks of bounded size; a block sends its distinct grams and words with
 their training counts to the buckets that own them; a bucket adds up all
 blocks' counts, weights its part of the trees, and answers each block with the
-values of what that block asked for.  Only the nodes of depths 0 and 1 (at
+values of what that block asked for.  Buckets are bounded in number, as
+distinct grams grow ever slower than the texts, so messages grow with the
+input.  Beyond REGION blocks, a bucket's messages are added up region by
+region, the regions' sums as a tree of FAN branches, and each region answers
+its own blocks from the totals.  Only the nodes of depths 0 and 1 (at
 most 65,280, whatever the input) pass through the driver.
 
 Nulls: a null text is empty, a null id belongs to training.  An empty text
@@ -30,6 +34,8 @@ from faktum.llm.storage import cut, table
 DEPTH = 5
 BLOCK_BYTES = 24 << 20
 RUN_BYTES = 2 << 20
+#: Buckets, at most; blocks whose messages to a bucket one task holds; sums that one task adds up.
+BUCKETS, REGION, FAN = 4096, 256, 32
 GRAM, WORD = 0, 1
 #: Stands among the word hashes for the end of a text.
 END_WORD = np.uint64(0)
@@ -125,7 +131,7 @@ def _message(depth: int, buckets: int):
 
 MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 GATHERED = pa.schema(
-    [("bucket", pa.int32()), ("keys", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary())), ("blocks", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("places", pa.list_(pa.binary()))]
+    [("bucket", pa.int32()), ("region", pa.int64()), ("keys", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary())), ("blocks", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("places", pa.list_(pa.binary()))]
     + [("node", pa.list_(pa.int64())), *((x, pa.list_(pa.float64())) for x in ("a", "b", "children"))]
 )
 ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("values", pa.binary())])
@@ -139,25 +145,44 @@ def _gather(depth: int):
         if not asked:
             return GATHERED.empty_table()
         all_ = [_merge([(k, c.astype(np.int64)) for _, own, k, c in asked if own == kind]) for kind in (GRAM, WORD)]
-        node, a, b, children = _sums(*all_[GRAM], depth)
-        words = all_[WORD][1]
-        row = {
-            "bucket": rows["bucket"][0].as_py(),
-            "keys": [x[0].tobytes() for x in all_],
-            "counts": [x[1].astype("<i8").tobytes() for x in all_],
+        row = _totals(rows, all_, depth) | {
             "blocks": [x[0] for x in asked],
             "kinds": [x[1] for x in asked],
             "places": [np.searchsorted(all_[x[1]][0], x[2]).astype("<u4").tobytes() for x in asked],
-            "node": [-1, *node.tolist()],
-            "a": [float(words.sum()), *a.tolist()],
-            "b": [float((words > 0).sum()), *b.tolist()],
-            "children": [0.0, *children.tolist()],
         }
         return pa.Table.from_pylist([row], schema=GATHERED)
 
     return add
 
 
+def _totals(rows: pa.Table, all_: list[tuple[np.ndarray, np.ndarray]], depth: int) -> dict:
+    node, a, b, children = _sums(*all_[GRAM], depth)
+    words = all_[WORD][1]
+    return {
+        "bucket": rows["bucket"][0].as_py(),
+        "region": rows["region"][0].as_py(),
+        "keys": [x[0].tobytes() for x in all_],
+        "counts": [x[1].astype("<i8").tobytes() for x in all_],
+        "node": [-1, *node.tolist()],
+        "a": [float(words.sum()), *a.tolist()],
+        "b": [float((words > 0).sum()), *b.tolist()],
+        "children": [0.0, *children.tolist()],
+    }
+
+
+def _added(depth: int):
+    """One row for a bucket's sums of several regions."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        if not len(rows):
+            return GATHERED.empty_table()
+        parts = rows.select(["keys", "counts"]).to_pylist()
+        all_ = [_merge([(np.frombuffer(x["keys"][kind], np.uint64), np.frombuffer(x["counts"][kind], "<i8")) for x in parts]) for kind in (GRAM, WORD)]
+        return pa.Table.from_pylist([dict.fromkeys(GATHERED.names) | _totals(rows, all_, depth)], schema=GATHERED)
+
+    return add
+
+
 def _sums(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     seen = counts > 0
     own = tree.Tree(keys[seen], counts[seen], depth, 2)
@@ -165,18 +190,41 @@ def _sums(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray,
     return above.astype(np.int64), *(np.bincount(at, weights=x, minlength=len(above)) for x in (own.zeros[2], own.ones[2], own.log_pw[2]))
 
 
+def _valued(row: dict, depth: int, shared) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A bucket's keys and their values, by kind."""
+    above, acc, rest = shared.value
+    keys, counts = ([np.frombuffer(x, kind) for x in row[name]] for name, kind in (("keys", np.uint64), ("counts", "<i8")))
+    seen = counts[GRAM] > 0
+    own = tree.Tree(keys[GRAM][seen], counts[GRAM][seen], depth, 2)
+    up = tree.shorter(own.nodes[2]).astype(np.int64)
+    own.spread(acc[up], rest[up])
+    return keys, [own.log2(keys[GRAM], above).astype("<f4"), counts[WORD]]
+
+
+def _values(depth: int, shared):
+    def give(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {x: batch.column(x)[i].as_py() for x in ("bucket", "keys", "counts")}
+                keys, values = _valued(row, depth, shared)
+                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int32()), *(pa.array([[x.tobytes() for x in own]], pa.list_(pa.binary())) for own in (keys, values))], names=["bucket", "all_keys", "all_values"])
+
+    return give
+
+
 def _answers(depth: int, shared):
+    """Replies to the blocks of each row; the values are its own, or (without `shared`) come with the bucket's total."""
+
     def reply(batches):
-        above, acc, rest = shared.value
         for batch in batches:
             for i in range(len(batch)):
-                row = {x: batch.column(x)[i].as_py() for x in ("bucket", "keys", "counts", "blocks", "kinds", "places")}
-                keys, counts = ([np.frombuffer(x, kind) for x in row[name]] for name, kind in (("keys", np.uint64), ("counts", "<i8")))
-                seen = counts[GRAM] > 0
-                own = tree.Tree(keys[GRAM][seen], counts[GRAM][seen], depth, 2)
-                up = tree.shorter(own.nodes[2]).astype(np.int64)
-                own.spread(acc[up], rest[up])
-                values = {GRAM: own.log2(keys[GRAM], above).astype("<f4"), WORD: counts[WORD]}
+                row = {x: batch.column(x)[i].as_py() for x in batch.schema.names}
+                if shared is not None:
+                    values = _valued(row, depth, shared)[1]
+                else:
+                    every = [np.frombuffer(x, np.uint64) for x in row["all_keys"]]
+                    values = [np.frombuffer(x, "<f4" if kind == GRAM else "<i8") for kind, x in enumerate(row["all_values"])]
+                    values = [v[np.searchsorted(k, np.frombuffer(own, np.uint64))] for k, v, own in zip(every, values, row["keys"], strict=True)]
                 out = [values[kind][np.frombuffer(places, "<u4")].tobytes() for kind, places in zip(row["kinds"], row["places"], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["blocks"], pa.int64()), pa.array([row["bucket"]] * len(out), pa.int32()), pa.array(row["kinds"], pa.int32()), pa.array(out, pa.binary())], schema=ANSWER)
 
@@ -250,16 +298,27 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, folds: int = 10, block_
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(2, -(-size // block_bytes))
     docs = docs.withColumn("held_out", held_out(F.col("doc_id"), folds)).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    messages = docs.groupBy("block").applyInArrow(_message(depth, blocks), _ddl(MESSAGE))
-    gathered = cut(messages.groupBy("bucket").applyInArrow(_gather(depth), _ddl(GATHERED)))
-    sums = gathered.select(F.inline(F.arrays_zip("node", "a", "b", "children")))
+    buckets, regions = min(blocks, BUCKETS), -(-blocks // REGION)
+    messages = docs.groupBy("block").applyInArrow(_message(depth, buckets), _ddl(MESSAGE))
+    messages = messages.withColumn("region", F.floor(F.col("block") / REGION))
+    gathered = totals = cut(messages.groupBy("bucket", "region").applyInArrow(_gather(depth), _ddl(GATHERED)))
+    left = regions
+    while left > 1:
+        part = totals.select("bucket", F.floor(F.col("region") / FAN).alias("region"), "keys", "counts")
+        totals, left = cut(part.groupBy("bucket", "region").applyInArrow(_added(depth), _ddl(GATHERED))), -(-left // FAN)
+    sums = totals.select(F.inline(F.arrays_zip("node", "a", "b", "children")))
     sums = sums.groupBy("node").agg(*(F.sum(x).alias(x) for x in ("a", "b", "children"))).toPandas()
     words = sums[sums["node"] < 0]
     total, kinds = (int(words["a"].iloc[0]), int(words["b"].iloc[0])) if len(words) else (0, 0)
     nodes = sums[sums["node"] >= 0]
     shared = spark.sparkContext.broadcast(tree.top(*(nodes[x].to_numpy() for x in ("node", "a", "b", "children"))))
-    replies = gathered.mapInArrow(textkit.tidy(_answers(depth, shared)), _ddl(ANSWER))
-    return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scores(depth, blocks, total, kinds), _ddl(RESULT))
+    asked = ["bucket", "keys", "blocks", "kinds", "places"]
+    if regions == 1:
+        replies = gathered.select(*asked, "counts").mapInArrow(textkit.tidy(_answers(depth, shared)), _ddl(ANSWER))
+    else:
+        values = totals.select("bucket", "keys", "counts").mapInArrow(textkit.tidy(_values(depth, shared)), "bucket int, all_keys array<binary>, all_values array<binary>")
+        replies = gathered.select(*asked).join(values, "bucket").mapInArrow(textkit.tidy(_answers(depth, None)), _ddl(ANSWER))
+    return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scores(depth, buckets, total, kinds), _ddl(RESULT))
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from faktum.llm import context_tree as tree
-from faktum.llm import textkit
+from faktum.llm import lm_scoring, textkit
 from faktum.llm.lm_scoring import op6_lm_scoring, score_documents
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +77,14 @@ def test_equals_the_definition(spark, depth):
         assert got[i].score == pytest.approx(want, rel=1e-5), texts[i]
 
 
+def test_regions_and_few_buckets(spark, monkeypatch):
+    """Counts that are added up region by region, as a tree, score alike."""
+    monkeypatch.setattr(lm_scoring, "REGION", 2)
+    monkeypatch.setattr(lm_scoring, "FAN", 2)
+    monkeypatch.setattr(lm_scoring, "BUCKETS", 3)
+    test_equals_the_definition(spark, 3)
+
+
 def test_base_and_counts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     got = {r.doc_id: r for r in op6_lm_scoring(spark, SF).collect()}
