@@ -86,3 +86,15 @@ def runs(rows: DataFrame, key: str, order: str, value: Column) -> DataFrame:
 def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
     """Range join of addresses and the spans that hold them, within a file."""
     return points.join(spans, [points[key] == spans[key], points[at] >= spans[start], points[at] < spans[end]], "left").drop(spans[key])
+
+
+def inflated(sections: DataFrame) -> DataFrame:
+    """Sections that take more than four times their bytes of the file in memory; sections: (file_id, ord, name, file_size, virtual_size)."""
+    return sections.filter((F.col("file_size") != 0) & (F.col("virtual_size") > 4 * F.col("file_size")))
+
+
+def table_anomalies(sections: DataFrame) -> DataFrame:
+    """Of each file: names that several sections have, and whether code or constants can be written to; sections: (file_id, name, flags)."""
+    by = sections.withColumn("w", F.coalesce(writable(F.col("flags")), F.lit(False))).groupBy("file_id", "name").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
+    is_ = lambda name: F.max((F.col("name") == name) & F.col("w"))
+    return by.groupBy("file_id").agg(F.count_if(F.col("n") > 1).alias("duplicate_section_name_count"), is_(".text").alias("text_section_writable"), is_(".rodata").alias("rodata_writable"), F.count_if(F.col("name").startswith(".debug")).alias("debug_name_count"))

@@ -190,3 +190,29 @@ def id_shifted_and_near(spark, sf_dir):
     from faktum.operators.identify import magic
 
     return rows(spark, "path string, content binary", *((p, c) for p, c, _ in ODD_FILES)).select("path", magic(F.col("path"), F.col("content")).alias("type"))
+
+
+LOADED = (
+    (1, 0, ".text", 512, 600, ["write", "execinstr"]), (1, 1, ".data", 512, 2049, ["write"]), (1, 2, ".data", 512, 2048, ["write"]), (1, 3, ".bss", 0, 9000, ["write"]), (2, 0, ".rodata", 10, 41, []), (2, 1, ".debug_info", 10, 10, []), (2, 2, ".debug_line", 10, 0, []), (2, 3, ".rodata", 10, 40, ["write"]),
+)
+_LOADED = values("file_id, ord, name, file_size, virtual_size, flags", *LOADED)
+_LOADED_DDL = "file_id int, ord int, name string, file_size int, virtual_size int, flags array<string>"
+
+
+@query(f"SELECT file_id, ord, name FROM {_LOADED} WHERE file_size <> 0 AND virtual_size > 4 * file_size")
+def anm_inflated_sections(spark, sf_dir):
+    """ANM-13."""
+    from faktum.operators.sections import inflated
+
+    return inflated(rows(spark, _LOADED_DDL, *LOADED)).select("file_id", "ord", "name")
+
+
+@query(
+    f"""WITH n AS (SELECT file_id, name, count(*) AS n, bool_or(list_contains(flags, 'write')) AS w FROM {_LOADED} GROUP BY ALL)
+SELECT file_id, count(*) FILTER (n > 1) AS duplicate_section_name_count, bool_or(name = '.text' AND w) AS text_section_writable, bool_or(name = '.rodata' AND w) AS rodata_writable, count(*) FILTER (starts_with(name, '.debug')) AS debug_name_count FROM n GROUP BY file_id"""
+)
+def anm_section_table(spark, sf_dir):
+    """ANM-6 in part: duplicate names, writable code and constants, debug sections."""
+    from faktum.operators.sections import table_anomalies
+
+    return table_anomalies(rows(spark, _LOADED_DDL, *LOADED))

@@ -233,6 +233,13 @@ def cal_target_kinds(spark, sf_dir):
     return rows(spark, "t string", *((x,) for x in TARGETS)).select("t", S.call_target_kind(F.col("t")).alias("kind"))
 
 
+@query(f"SELECT count(*) AS total, count(*) FILTER (kind = 'obfuscated') AS obfuscated_target_count, count(*) FILTER (kind = 'dynamic') AS dynamic_target_count FROM ({_TARGETS})")
+def cal_metrics(spark, sf_dir):
+    """CAL-1 and CAL-2 as counts of a file."""
+    kinds = cal_target_kinds(spark, sf_dir)
+    return kinds.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("kind") == "obfuscated").alias("obfuscated_target_count"), F.count_if(F.col("kind") == "dynamic").alias("dynamic_target_count"))
+
+
 NAMES = ("x", "tmp1", "a1", "__init__", "_private", "CONST_A", "camelCase", "deadbeef", "qwerty_key", "aaa", "_", "Base64Name1", "var9", "Zürich", "i", "abc123def", "zzzz", "item7", "K9", "x10")
 
 _NAMES_SQL = rf"""
