@@ -32,12 +32,12 @@ EXTENSIONS = {
     "zip": "apk epub aar phar pyz msix appx msixbundle appxbundle aab apks xapk cbz", "7z": "cb7", "rar": "cbr", "deb": "udeb", "static-lib": "a", "rpm": "srpm", "pkg_macos": "pkg", "cab": "msu", "applescript": "scpt", "plist": "resx",
     "ole_doc": "doc msg dot ppt pps pot ppa xls xlt xla", "msi": "msp mst msm", "ooxml": "docx xlsx pptx docm xlsm pptm dotx dotm xltx xltm xlam ppam potx potm ppsx ppsm sldx sldm", "jpeg": "jpg jpe jfif", "pickle": "pkl joblib",
     "html": "htm", "markdown": "md rmd qmd rnw", "makefile": "mk mak", "dockerfile": "containerfile", "odf": "odt ods odp odg ott ots otp odm oth otg odb odc odi",
-    "text": "css scss sass less styl vim lsp lisp el sql patch diff m4 txt", "data": "dat bin payload raw",
+    "text": "css scss sass less styl pcss postcss vim lsp lisp el cl scm ptl ml mli mll mly mld eliom eliomi sql ddl dml cypher cql smali patch diff m4 types symbols baseline proto txt b64 base64", "data": "dat bin payload raw",
 }
-#: Endings of more than one part.
+#: Endings of more than one part, in the order of their tests.
 COMPOUND = {
-    ".pkg.tar.gz": "pkg_arch", ".pkg.tar.xz": "pkg_arch", ".pkg.tar.zst": "pkg_arch", ".tar.gz": "tar.gz", ".tgz": "tar.gz", ".tar.bz2": "tar.bz2", ".tbz2": "tar.bz2", ".tbz": "tar.bz2",
-    ".tar.xz": "tar.xz", ".txz": "tar.xz", ".tar.zst": "tar.zst", ".tzst": "tar.zst", ".crate": "crate", ".xbps": "xbps", ".gem": "gem", ".tar": "tar", ".jar": "jar", ".war": "jar", ".ear": "jar", ".gpkg.tar": "gentoo_binpkg",
+    ".gpkg.tar": "gentoo_binpkg", ".pkg.tar": "pkg_arch", ".pkg.tar.gz": "pkg_arch", ".pkg.tar.xz": "pkg_arch", ".pkg.tar.zst": "pkg_arch", ".tar.gz": "tar.gz", ".tgz": "tar.gz", ".tar.bz2": "tar.bz2", ".tbz2": "tar.bz2", ".tbz": "tar.bz2",
+    ".tar.xz": "tar.xz", ".txz": "tar.xz", ".tar.zst": "tar.zst", ".tzst": "tar.zst", ".crate": "crate", ".xbps": "xbps", ".gem": "gem", ".tar": "tar", ".jar": "jar", ".war": "jar", ".ear": "jar",
 }
 #: Labels that are no extensions of themselves.
 _NOT_SELF = {"macho", "pe", "shell", "batch", "python", "javascript", "typescript", "rust", "ruby", "perl", "csharp", "powershell", "kotlin", "elixir", "clojure", "makefile", "text", "data", "unknown", "npm", "tar", "gem", "crate", "xbps", "jar", "registry"}

@@ -38,6 +38,8 @@ NAMES = {
 XML_STARTS = ["<rss ", "<feed ", "<RDF ", "<configuration>", "<configuration ", "<manifest ", "<Configuration "]
 HTML_MARKS = ["<!doctype html", "<html", "<head", "<body", "<script", "<div", "<span", "<p>", "<meta"]
 DATA_FORMATS = "yaml yml json toml ini cfg conf properties txt text md markdown rst adoc csv tsv log svg xml service erl hrl elv nu fish".split()
+#: Languages whose extension goes before a shell's interpreter line.
+JUKED = ["javascript", "typescript", "python", "ruby", "php", "perl", "lua"]
 MAY_BE_OVERRIDDEN = ["zip", "jar", "xpi", "whl", "ooxml", "odf", "cab", "chm", "rar", "7z"]
 #: What speaks for a language, by weight.
 PATTERNS = {
@@ -93,7 +95,8 @@ def by_extension(path: Column) -> Column:
     table = F.create_map(*(F.lit(y) for x in T.by_extension().items() for y in x))
     ext = extension(path)
     plain = F.when(F.length(ext) <= 15, F.try_element_at(table, ext))
-    return case([*compound, (lower.rlike(r"\.so\.[0-9.]+\z"), F.lit("elf"))], plain)
+    drop_in = path.rlike(r"\.service\.d[/\\]") & lower.endswith(".conf")
+    return case([(drop_in, F.lit("systemd_service")), *compound, (lower.rlike(r"\.so\.[0-9.]+\z"), F.lit("elf"))], plain)
 
 
 def by_name(path: Column) -> Column:
@@ -108,6 +111,7 @@ def by_name(path: Column) -> Column:
             (name.rlike(r"\A(?:Dockerfile\z|[Dd]ockerfile\.|Containerfile(?:\z|\.))"), "dockerfile"),
             (name.rlike(r"\A(?:GNU)?[Mm]akefile") & name.rlike(r"\A(?:Makefile|GNUmakefile)"), "makefile"),
             (name == "PKGBUILD", "shell"),
+            (path.rlike(r"(?is)\.github[/\\]workflows[/\\].*\.ya?ml\z") & path.rlike(r"\.github[/\\]workflows[/\\]"), "github_actions"),
             (F.regexp_extract(lower, r"\A[^.\-]*", 0).isin("license", "licence", "copying") & (ext.isNull() | (ext == "text")), "text"),
         ],
         F.try_element_at(table, lower),
@@ -280,6 +284,9 @@ def heuristic(content: Column) -> Column:
 def identify(files: DataFrame, peek: Column | None = None) -> DataFrame:
     """files (path, content, forced_type) with file_type, source, extension_type and extension_mismatch.
 
+    extension_type is the name's type where it differs from what the bytes say; where the extension goes before an
+    interpreter line, it is the type that this line claims.  An extension that nobody knows misleads as well.
+
     peek: what an archive's compressed inside says (null: nothing); it goes before what its first bytes say.
     """
     path, content = F.col("path"), F.col("content")
@@ -287,7 +294,7 @@ def identify(files: DataFrame, peek: Column | None = None) -> DataFrame:
     files = files.withColumn("_guess", F.when(F.col("_magic").isNull() & F.col("_name").isNull() & (F.col("_ext").isNull() | F.col("_ext").isin(MAY_BE_OVERRIDDEN)) & ~extension(path).isin(DATA_FORMATS), heuristic(content)))
     head = latin(F.substring(content, 1, HEAD))
     by_bang = shebang(head).isNotNull() & (F.col("_magic") == shebang(head))
-    juked = by_bang & (F.col("_magic") == "shell") & F.col("_ext").isin("python", "javascript", "ruby", "perl", "php", "lua", "powershell", "batch", "vbs")
+    juked = F.coalesce(by_bang & (F.col("_magic") == "shell") & F.col("_ext").isin(JUKED), F.lit(False))
     ext_ok = F.col("_ext").isNotNull() & ~((F.col("_ext") == "html") & ~looks_like_html(head))
     forced = F.col("forced_type").isNotNull()
     kind = case(
@@ -299,7 +306,12 @@ def identify(files: DataFrame, peek: Column | None = None) -> DataFrame:
         F.lit("heuristic"),
     )
     benign = basename(path).startswith("._") | ((F.col("_ext") == "zip") & F.lower(basename(path)).endswith(".apk")) | F.col("_magic").isin("npm", "pkg_freebsd", "pkg_arch", "python_sdist", "oci_image", "xbps", "gentoo_binpkg") | ((F.col("_ext") == "html") & (F.col("_magic") == "xml") & F.lower(head).rlike("<!doctype html|<html"))
-    files = files.withColumn("file_type", kind).withColumn("source", source).withColumn("extension_type", F.col("_ext"))
-    decided = F.col("_magic").isNotNull() | F.col("_guess").isNotNull()
-    mismatch = ~forced & decided & F.col("source").isin("magic", "shebang", "heuristic") & F.col("_ext").isNotNull() & (F.col("_ext") != F.col("file_type")) & ~F.coalesce(benign, F.lit(False))
+    files = files.withColumn("file_type", kind).withColumn("source", source)
+    # only what the bytes decided can differ from the name
+    by_content = ~forced & (F.col("_magic").isNotNull() | F.col("_guess").isNotNull()) & F.col("source").isin("magic", "shebang", "heuristic")
+    differs = F.when(juked & ~forced, F.col("_magic")).when(by_content & (F.col("_ext") != F.col("file_type")), F.col("_ext"))
+    workflow = (F.col("file_type") == "github_actions") & extension(path).isin("yml", "yaml")
+    unknown = by_content & F.col("_ext").isNull() & basename(path).rlike(r"(?s)\A.+\.[^.]*\z") & ~workflow
+    files = files.withColumn("extension_type", differs)
+    mismatch = (F.col("extension_type").isNotNull() | unknown) & ~F.coalesce(benign, F.lit(False))
     return files.withColumn("extension_mismatch", F.coalesce(mismatch, F.lit(False))).drop("_magic", "_ext", "_name", "_guess")

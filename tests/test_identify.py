@@ -13,7 +13,7 @@ WANT = {
 def test_truth_table(spark):
     got = {r.path: r for r in QUERIES["id_identify"](spark, "").collect()}
     assert {k: got[k].file_type for k in WANT} == WANT
-    assert {k for k, r in got.items() if r.extension_mismatch} == {"setup.txt", "i2.xml", "q.zip"}
+    assert {k for k, r in got.items() if r.extension_mismatch} == {"setup.txt", "i2.xml", "q.zip", "s2.py"}
     assert got["s2.py"].source == "extension-overrides-shebang" and got["s"].source == "shebang" and got["package.json"].source == "filename"
 
 
