@@ -19,11 +19,25 @@ CODE = (
     ("js", "javascript", "const u = `// no`; // const a = function(x) { return 1 }\nimport x from './a.js'; require('../b'); import('./a.js')"),
     ("py", "python", 'x = "# no"  # FIXME\n"""doc\nstring"""\n# QWxhZGRpbjpvcGVuIHNlc2FtZQ QWxhZGRpbjpvcGVu'),
     ("lua", "lua", "a = '-- no' -- HACK\nb = 1 -- XXX"), ("clj", "clojure", '(def a "; no") ; note'), ("bat", "batch", "@echo off\nREM first\n:: second\nremark no"), ("txt", "text", "// none"),
+    ("go", "go", "// aB3$kL9#mN2@pQ7!xZ5%wV8^\n// \t\n// ftp://h/x todo Hack\n// if (a) return b\n// if (a)\ncode()\ncode()\n"),
 )
 _BODIES = (
     ("c1", 0, " TODO one"), ("c1", 1, " two\nlines "), ("c1", 2, " see https://x.org"), ("c1", 3, ""), ("c1", 4, " ope"), ("js", 0, " const a = function(x) { return 1 }"), ("py", 0, " FIXME"), ("py", 1, "doc\nstring"), ("py", 2, " QWxhZGRpbjpvcGVuIHNlc2FtZQ QWxhZGRpbjpvcGVu"),
     ("lua", 0, " HACK"), ("lua", 1, " XXX"), ("clj", 0, " note"), ("bat", 0, "first"), ("bat", 1, " second"),
+    ("go", 0, " aB3$kL9#mN2@pQ7!xZ5%wV8^"), ("go", 1, " \t"), ("go", 2, " ftp://h/x todo Hack"), ("go", 3, " if (a) return b"), ("go", 4, " if (a)"),
 )
+_COUNT_LINES = lambda x: f"(CASE WHEN {x} = '' THEN 0 ELSE len(string_split(regexp_replace({x}, '\\n$', ''), chr(10))) END)"
+_CMT_METRICS = f"""
+WITH b AS (SELECT file_id, ord, body, trim(body, chr(9) || chr(10) || chr(13) || ' ') AS bare FROM {values("file_id, ord, body", *_BODIES)}),
+e AS (SELECT file_id, ord, -sum((k / n) * log2(k / n)) AS e FROM (SELECT file_id, ord, n, x, count(*) AS k FROM (SELECT file_id, ord, strlen(bare) AS n, unnest(regexp_extract_all(hex(encode(bare)), '..')) AS x FROM b) GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT b.file_id, body, bare, bare <> '' AS filled, coalesce(e, 0) AS e, lower(bare) AS low FROM b LEFT JOIN e ON b.file_id = e.file_id AND b.ord = e.ord),
+m AS (SELECT file_id, count(*) AS total, sum({_COUNT_LINES('body')})::BIGINT AS lines, sum(strlen(body))::BIGINT AS chars, count(*) FILTER (contains(low, 'todo')) AS todo_count, count(*) FILTER (contains(low, 'fixme')) AS fixme_count,
+  count(*) FILTER (contains(low, 'hack')) AS hack_count, count(*) FILTER (contains(low, 'xxx')) AS xxx_count, count(*) FILTER (NOT filled) AS empty_comments, count(*) FILTER (e > 4.5 AND strlen(bare) > 20) AS high_entropy_comments,
+  count(*) FILTER (len(list_filter(['function(', 'def ', 'class ', 'if (', 'for (', 'while (', 'return ', 'import ', 'require(', 'var ', 'let ', 'const ', 'eval(', 'exec(', '= function', '=> {{'], lambda p: contains(low, p))) >= 2) AS code_in_comments,
+  count(*) FILTER (regexp_matches(bare, '(http|https|ftp)://')) AS url_in_comments,
+  count(*) FILTER (len(list_filter(regexp_split_to_array(bare, '\\s+'), lambda w: strlen(w) >= 20 AND length(regexp_replace(w, '[^A-Za-z0-9+/=]', '', 'g')) * 10 > strlen(w) * 9 AND regexp_matches(w, '[A-Z]') AND regexp_matches(w, '[a-z]'))) > 0) AS base64_in_comments FROM t GROUP BY file_id)
+SELECT m.*, round(CASE WHEN n > lines THEN lines / (n - lines) END, 6) AS to_code_ratio FROM m JOIN (SELECT file_id, {_COUNT_LINES('text')} AS n FROM {values("file_id, file_type, text", *CODE)}) c ON m.file_id = c.file_id
+"""
 
 def _code(spark):
     return rows(spark, "file_id string, file_type string, text string", *CODE)
@@ -34,7 +48,7 @@ def cmt_bodies(spark, sf_dir):
     return C.comments(_code(spark))
 
 
-@query()
+@query(_CMT_METRICS)
 def cmt_metrics(spark, sf_dir):
     return C.metrics(C.comments(_code(spark)), _code(spark))
 
@@ -125,7 +139,15 @@ def _archives(spark):
     return rows(spark, "file_id string, archive_format string, content binary", ("z", "zip", sample_zip()), ("t", "tar", sample_tar()), ("a", "ar", sample_ar()), ("bad", "zip", b"PK\3\4 cut"), ("none", "rar", b"Rar!"))
 
 
-@query()
+_MEMBERS = (
+    ("a", 0, "debian-binary", 4, 4, "file", "stored", 0o100644 & 0o7777, 1_600_000_000, None, False, 0, 0, None, None, None, 8, None), ("a", 1, "data.tar", 3, 3, "file", "stored", 0o644, 1_600_000_000, None, False, 0, 0, None, None, None, 72, None),
+    ("bad", -1, *[None] * 15, "zip-parse: File is not a zip file"), ("t", 0, "t/a", 3, 3, "file", "stored", 0o644, 1_600_000_000, None, False, 0, 0, None, "u", None, 0, None), ("t", 1, "t/b", 3, 3, "file", "stored", 0o4755, 1_600_000_000, None, False, 0, 0, None, "u", None, 1024, None),
+    ("t", 2, "t/link", 0, 0, "symlink", "stored", 0o644, None, None, False, 0, 0, "../../etc/passwd", None, None, 2048, None), ("z", 0, "d/", 0, 0, "directory", "stored", 0o600, 1_577_934_246, 0, False, 0, 0, None, None, None, 0, None),
+    ("z", 1, "d/a.txt", 120, 11, "file", "deflate", 0o600, 1_577_934_246, zlib.crc32(b"hello " * 20), False, 0, 0, None, None, None, 32, None), ("z", 2, "d/report.pdf.exe", 1, 1, "file", "stored", 0o600, None, 0x8CDC1683, False, 0, 0, None, None, None, 80, None),
+)
+
+
+@query("SELECT * FROM " + values('file_id, ord, path, size_bytes, compressed_bytes, entry_type, method, mode, mtime_unix, crc32, encrypted, extra_bytes, comment_bytes, linkname, uname, gname, "offset", error', *_MEMBERS))
 def arc_members(spark, sf_dir):
     """Members of a ZIP, a tar and an ar archive, and the error of one that is cut off."""
     from faktum.sources.containers import members
@@ -142,7 +164,7 @@ def arc_metrics_of_files(spark, sf_dir):
     return member_metrics(members(_archives(spark)).filter("error IS NULL"))
 
 
-@query()
+@query("SELECT * FROM " + values("path, file_type, source, extension_type, extension_mismatch", ("x.tgz", "npm", "magic", "tar.gz", False), ("y.tar.gz", "python_sdist", "magic", "tar.gz", False), ("z.tar.gz", "tar.gz", "magic", None, False), ("i.tar", "oci_image", "magic", "tar", False), ("t.tar", "tar", "extension", None, False)))
 def id_peeked(spark, sf_dir):
     """Packages known by what lies inside their compressed stream."""
     from faktum.operators.identify import identify
@@ -172,6 +194,33 @@ PYTHON = (
 )
 
 
+_FUNCTIONS = PYTHON + (
+    ("d", "import importlib.util\nfrom os.path import *\nimport numpy as np\nimport requests\nfrom .. import q as r\n"),
+    ("e", "def outer(a, bb):\n    def inner1(c):\n        return c\n    g = lambda: 0\n    return inner1\n\ndef abcdefghijklmnop(p1, p2, p3, p4, p5, p6, p7, p8): pass\n"),
+    ("f", "def long():\n" + "    pass\n" * 100),
+)
+#: (file_id, name, alias, whether the language's own library has it)
+_IMPORTED = (("a", "os", None, True), ("a", "sys", "s", True), ("a", ".x", None, False), ("a", ".y.z", None, False), ("d", "importlib.util", None, True), ("d", "os.path.*", None, True), ("d", "numpy", "np", False), ("d", "requests", None, False), ("d", "..q", "r", False))
+#: (file_id, name, first line, last line, functions around it, parameters, whether it holds another)
+_DEFINED = (
+    ("a", "f", 5, 6, 0, "a b", False), ("a", "g", 8, 9, 0, "", False), ("a", "m", 12, 15, 0, "self", False), ("e", "outer", 1, 5, 0, "a bb", True), ("e", "inner1", 2, 3, 1, "c", False), ("e", None, 4, 4, 1, "", False), ("e", "abcdefghijklmnop", 7, 7, 0, "p1 p2 p3 p4 p5 p6 p7 p8", False), ("f", "long", 1, 101, 0, "", False),
+)
+_IMP_METRICS = f"""SELECT file_id, count(DISTINCT name) AS unique_modules, count(*) FILTER (known) AS stdlib_count, count(*) FILTER (NOT known AND name NOT LIKE '.%') AS third_party_count, count(*) FILTER (name LIKE '.%') AS relative_imports,
+  count(*) FILTER (regexp_matches(name, '__import__|importlib|require')) AS dynamic_imports, count(*) FILTER (contains(name, '*')) AS wildcard_imports, count(alias) AS aliased_imports,
+  round(count(*) FILTER (known) / count(*), 6) AS stdlib_ratio, round(count(*) FILTER (NOT known AND name NOT LIKE '.%') / count(*), 6) AS third_party_ratio, round(count(*) FILTER (name LIKE '.%') / count(*), 6) AS relative_ratio FROM {values("file_id, name, alias, known", *_IMPORTED)} GROUP BY file_id"""
+_FUN_METRICS = f"""
+WITH f AS (SELECT *, b - a + 1 AS size, CASE WHEN p = '' THEN [] ELSE string_split(p, ' ') END AS params FROM {values("file_id, name, a, b, depth, p, holds", *_DEFINED)}),
+e AS (SELECT name, -sum((k / n) * log2(k / n)) AS e FROM (SELECT name, strlen(name) AS n, c, count(*) AS k FROM (SELECT DISTINCT name, unnest(range(1, strlen(name) + 1)) AS i, name[i] AS c FROM f WHERE name IS NOT NULL) GROUP BY ALL) GROUP BY name),
+n AS (SELECT file_id, {_COUNT_LINES('text')} AS n FROM {values("file_id, text", *_FUNCTIONS)})
+SELECT f.file_id, count(*) AS count, count(*) FILTER (f.name IS NULL) AS anonymous, count(*) FILTER (holds) AS nested_functions, count(*) FILTER (size > 100) AS over_100_lines, count(*) FILTER (size > 500) AS over_500_lines, count(*) FILTER (size <= 1) AS one_liners,
+  count(*) FILTER (p = '') AS no_params_count, count(*) FILTER (len(params) > 7) AS many_params_count, count(*) FILTER (strlen(f.name) = 1) AS single_char_names, count(*) FILTER (e > 3.5) AS high_entropy_names, count(*) FILTER (regexp_matches(f.name, '[A-Za-z][0-9]+$')) AS numeric_suffix_names,
+  round(avg(size), 6) AS avg_length_lines, max(size)::BIGINT AS max_length_lines, min(size)::BIGINT AS min_length_lines, round(stddev_pop(size), 6) AS length_stddev, round(avg(len(params)), 6) AS avg_params, max(len(params))::INTEGER AS max_params,
+  round(sum(strlen(replace(p, ' ', ''))) / nullif(sum(len(params)), 0), 6) AS avg_param_name_length, sum(len(list_filter(params, lambda x: strlen(x) = 1)))::BIGINT AS single_char_params, round(avg(strlen(f.name)), 6) AS avg_name_length,
+  max(depth)::BIGINT AS max_nesting_depth, round(avg(depth), 6) AS avg_nesting_depth, round(100 * count(*) / any_value(n), 6) AS density_per_100_lines, round(sum(size) / any_value(n), 6) AS code_in_functions_ratio
+FROM f JOIN n ON f.file_id = n.file_id LEFT JOIN e ON f.name = e.name GROUP BY f.file_id
+"""
+
+
 @query()
 def src_python_symbols(spark, sf_dir):
     """Imports, functions, calls, binds, members, literals and tree metrics of Python."""
@@ -180,23 +229,23 @@ def src_python_symbols(spark, sf_dir):
     return symbols(rows(spark, "file_id string, text string", *PYTHON))
 
 
-@query()
+@query(_IMP_METRICS)
 def imp_metrics(spark, sf_dir):
     """Import metrics over the symbols of Python sources."""
     from faktum.operators.imports import import_metrics
     from faktum.sources.python_source import stdlib, symbols
 
-    found = symbols(rows(spark, "file_id string, text string", *PYTHON)).filter("kind = 'import'").select("file_id", "name", "alias")
+    found = symbols(rows(spark, "file_id string, text string", *_FUNCTIONS)).filter("kind = 'import'").select("file_id", "name", "alias")
     return import_metrics(found, stdlib())
 
 
-@query()
+@query(_FUN_METRICS)
 def fun_metrics(spark, sf_dir):
     """Function metrics over the symbols of Python sources."""
     from faktum.operators.imports import function_metrics
     from faktum.sources.python_source import symbols
 
-    sources = rows(spark, "file_id string, text string", *PYTHON)
+    sources = rows(spark, "file_id string, text string", *_FUNCTIONS)
     return function_metrics(symbols(sources).filter("kind = 'function'"), sources)
 
 
@@ -235,7 +284,7 @@ def facts_long_metrics(spark, sf_dir):
     return metrics(from_documents(spread(table(spark, sf_dir, "documents"))).unionByName(from_pages(spread(table(spark, sf_dir, "pages")))))
 
 
-@query()
+@query("SELECT * FROM " + values("file_id, kind, stage, message", ("bad", "malformed", "zip-parse", "zip-parse: File is not a zip file")))
 def facts_errors(spark, sf_dir):
     """The dead-letter view: what could not be read, by stage."""
     from faktum.sources.containers import members
@@ -270,7 +319,18 @@ def _packages(spark):
     return rows(spark, "file_id string, file_type string, content binary", *((k, k, _package(k)) for k in kinds), ("vsix", "vsix_manifest", manifest), ("bad", "gem", b"x"))
 
 
-@query()
+_FACTS = (
+    ("bad", 0, "error", "gem-parse: ReadError truncated header"), ("jar", 0, "manifest-version", "1.0"), ("jar", 1, "implementation-title", "demo"), ("npm", 0, "name", "demo"), ("npm", 1, "version", "1.0.0"), ("npm", 2, "author", "A <a@b>"), ("npm", 3, "script.postinstall", "x"),
+    ("nupkg", 0, "id", "Demo"), ("nupkg", 1, "version", "2"), ("nupkg", 2, "authors", "C"), ("ooxml", 0, "creator", "D"), ("ooxml", 1, "macro_count", "1"), ("ooxml", 2, "embedded_count", "0"), ("ooxml", 3, "control_count", "0"), ("ooxml", 4, "external_relationship_count", "1"),
+    ("vsix", 0, "identity.id", "v"), ("vsix", 1, "identity.publisher", "P"), ("vsix", 2, "identity.version", "3"), ("vsix", 3, "asset", "T"), ("whl", 0, "metadata-version", "2.1"), ("whl", 1, "name", "demo"), ("whl", 2, "version", "1.0"), ("whl", 3, "author", "Bo"),
+)
+_CLAIMS = (
+    ("bad", None, None, None, None, None, None, False), ("jar", "demo", None, None, None, None, "implementation-title", False), ("npm", "demo", "1.0.0", "A <a@b>", None, None, "name", False), ("nupkg", "Demo", "2", "C", None, None, "id", False),
+    ("ooxml", None, None, "D", None, None, None, False), ("vsix", "v", "3", "P", None, None, "identity.id", False), ("whl", "demo", "1.0", "Bo", None, None, "name", False),
+)
+
+
+@query("SELECT * FROM " + values("file_id, ord, key, value", *_FACTS))
 def pkg_facts(spark, sf_dir):
     """Manifest facts of packages."""
     from faktum.sources.packages import package_facts
@@ -278,7 +338,7 @@ def pkg_facts(spark, sf_dir):
     return package_facts(_packages(spark))
 
 
-@query()
+@query("SELECT * FROM " + values("file_id, name, version, author, url, license, name_source, verified", *_CLAIMS))
 def idy_claims(spark, sf_dir):
     """One row of identity claims for each package."""
     from faktum.sources.packages import identity, package_facts
@@ -290,7 +350,10 @@ def idy_claims(spark, sf_dir):
 TREES = (("j", "json", b'{"a": [1, 2.5, null]}'), ("t", "toml", b"when = 2020-01-02\n[a]\nb = nan\nc = [1]\n"), ("p", "plist", b"<plist version='1.0'><dict><key>k</key><data>AAE=</data></dict></plist>"), ("y", "yaml", b"1: x\nlist:\n  - a\n"), ("bad", "toml", b"= ="))
 
 
-@query()
+_TREES = (("bad", "toml", None, None, "toml-parse"), ("j", "json", '{"a":[1,2.5,null]}', None, None), ("p", "plist", '{"k":"AAE="}', None, None), ("t", "toml", '{"a":{"b":null,"c":[1]},"when":"2020-01-02"}', "1", None), ("y", "yaml", '{"1":"x","list":["a"]}', None, None))
+
+
+@query("SELECT * FROM " + values("file_id, kind, tree, c0, stage", *_TREES))
 def jsn_trees(spark, sf_dir):
     """JSON, TOML, plist and YAML as values that SQL can navigate."""
     from faktum.sources.packages import trees
