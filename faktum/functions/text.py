@@ -107,8 +107,10 @@ def escape_metrics(text: Column) -> dict[str, Column]:
 
 def byte_metrics(text: Column) -> dict[str, Column]:
     """From the histogram of bytes, made once by an Arrow pass."""
-    facts = byte_facts(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
+    return metrics_of_bytes(byte_facts(F.encode(text, "UTF-8")), F.octet_length(text))
+
+
+def metrics_of_bytes(facts: Column, n: Column) -> dict[str, Column]:
     return {
         "char_entropy": facts["entropy"],
         "unique_chars": facts["kinds"].cast("double"),

@@ -50,7 +50,7 @@ def function_metrics(functions: DataFrame, sources: DataFrame) -> DataFrame:
         count(F.col("n") > 7).alias("many_params_count"),
         count(F.octet_length("name") == 1).alias("single_char_names"),
         count(F.col("e") > 3.5).alias("high_entropy_names"),
-        count(F.col("name").rlike(r"[A-Za-z].*[0-9]\z")).alias("numeric_suffix_names"),
+        count(F.col("name").rlike(r"[A-Za-z][0-9]\z")).alias("numeric_suffix_names"),
         F.round(F.avg("size"), 6).alias("avg_length_lines"),
         F.max("size").alias("max_length_lines"),
         F.min("size").alias("min_length_lines"),

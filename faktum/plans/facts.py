@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faktum.functions.bytes import byte_facts, window_facts
-from faktum.functions.text import char_metrics, escape_metrics, line_facts, line_metrics
+from faktum.functions.text import char_metrics, escape_metrics, line_facts, line_metrics, metrics_of_bytes
 from faktum.operators.identify import identify
 from faktum.sources.containers import peek
 
@@ -28,14 +28,12 @@ def metrics(files: DataFrame) -> DataFrame:
     rows = files.select("file_id", "content", F.col("length").cast("double").alias("length"), utf8.alias("text"), window_facts(F.col("content")).alias("w"), byte_facts(F.col("content")).alias("b"))
     t = F.col("text")
     rows = rows.withColumn("l", line_facts(t))
-    text = {f"text.{k}": v for k, v in ({k: F.col(f"l.{k}") for k in rows.schema["l"].dataType.names} | char_metrics(t) | escape_metrics(t)).items()}
+    text = {f"text.{k}": v for k, v in ({k: F.col(f"l.{k}") for k in rows.schema["l"].dataType.names} | char_metrics(t) | escape_metrics(t) | metrics_of_bytes(F.col("b"), F.col("length"))).items()}
     own: dict[str, Column] = {
         "file.size_bytes": F.col("length"),
         "file.entropy": F.col("w.overall"),
         "binary.overall_entropy": F.col("w.overall"),
         "binary.peak_region_bytes": F.col("w.peak_bytes").cast("double"),
-        "text.unique_chars": F.when(t != "", F.col("b.kinds").cast("double")),
-        "text.char_entropy": F.when(t != "", F.col("b.entropy")),
     } | {k: F.when(t != "", v) for k, v in text.items()}
     none = F.array().cast(SPANS)
     facts = [F.struct(F.lit(k).alias("key"), v.alias("value"), none.alias("spans")) for k, v in own.items()]

@@ -110,7 +110,7 @@ def _members(spark):
 
 
 _ARC = rf"""
-WITH b AS (SELECT *, split_part(path, '/', -1) AS base FROM {_MEMBERS}),
+WITH b AS (SELECT *, split_part(path, '/', -1) AS base FROM {{members}}),
 e AS (SELECT *, CASE WHEN contains(base, '.') THEN split_part(lower(base), '.', -1) ELSE '' END AS ext, regexp_extract(lower(base), '\.([^.]*)\.[^.]*$', 1) AS inner_ext, entry_type <> 'directory' AS file FROM b),
 c AS (SELECT *, ext IN {_LIST(A.EXECUTABLE)} AS ex, CASE WHEN ext IN ('so', 'dylib') AND NOT {_PREFIX(A.IN_LIB)} THEN true WHEN ext IN ('exe', 'dll', 'sys', 'scr') THEN NOT contains(lower(path), 'bin/') WHEN ext IN ('bin', 'elf') THEN NOT {_PREFIX(A.IN_BIN)} ELSE false END AS mis FROM e)
 SELECT file_id, count(*) AS member_count, count(*) FILTER (file) AS file_count, count(*) FILTER (NOT file) AS directory_count, sum(size_bytes)::BIGINT AS total_uncompressed, sum(compressed_bytes)::BIGINT AS total_compressed,
@@ -130,7 +130,11 @@ SELECT file_id, count(*) AS member_count, count(*) FILTER (file) AS file_count,
 """
 
 
-@query(_ARC)
+def member_metrics_sql(members: str) -> str:
+    return _ARC.replace("{members}", members)
+
+
+@query(member_metrics_sql(_MEMBERS))
 def arc_member_metrics(spark, sf_dir):
     return A.member_metrics(_members(spark))
 

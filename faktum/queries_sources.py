@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from faktum.operators import comments as C
 from faktum.operators import references as R
+from faktum.queries_files import member_metrics_sql
+from faktum.queries_text import long_metrics_sql
 from faktum.registry import query, rows, spread, table, values
 
 CODE = (
@@ -155,7 +157,10 @@ def arc_members(spark, sf_dir):
     return members(_archives(spark))
 
 
-@query()
+_FOUND = "(SELECT * FROM " + values("file_id, path, size_bytes, compressed_bytes, entry_type, mode, mtime_unix, crc32, encrypted, extra_bytes, comment_bytes", *((m[0], *m[2:6], *m[7:13]) for m in _MEMBERS)) + " WHERE path IS NOT NULL)"
+
+
+@query(member_metrics_sql(_FOUND))
 def arc_metrics_of_files(spark, sf_dir):
     """From bytes to the aggregates, in one plan."""
     from faktum.operators.archive import member_metrics
@@ -197,13 +202,13 @@ PYTHON = (
 _FUNCTIONS = PYTHON + (
     ("d", "import importlib.util\nfrom os.path import *\nimport numpy as np\nimport requests\nfrom .. import q as r\n"),
     ("e", "def outer(a, bb):\n    def inner1(c):\n        return c\n    g = lambda: 0\n    return inner1\n\ndef abcdefghijklmnop(p1, p2, p3, p4, p5, p6, p7, p8): pass\n"),
-    ("f", "def long():\n" + "    pass\n" * 100),
+    ("f", "def long():\n" + "    pass\n" * 100 + "def item12(): pass\ndef _7(): pass\n"),
 )
 #: (file_id, name, alias, whether the language's own library has it)
 _IMPORTED = (("a", "os", None, True), ("a", "sys", "s", True), ("a", ".x", None, False), ("a", ".y.z", None, False), ("d", "importlib.util", None, True), ("d", "os.path.*", None, True), ("d", "numpy", "np", False), ("d", "requests", None, False), ("d", "..q", "r", False))
 #: (file_id, name, first line, last line, functions around it, parameters, whether it holds another)
 _DEFINED = (
-    ("a", "f", 5, 6, 0, "a b", False), ("a", "g", 8, 9, 0, "", False), ("a", "m", 12, 15, 0, "self", False), ("e", "outer", 1, 5, 0, "a bb", True), ("e", "inner1", 2, 3, 1, "c", False), ("e", None, 4, 4, 1, "", False), ("e", "abcdefghijklmnop", 7, 7, 0, "p1 p2 p3 p4 p5 p6 p7 p8", False), ("f", "long", 1, 101, 0, "", False),
+    ("a", "f", 5, 6, 0, "a b", False), ("a", "g", 8, 9, 0, "", False), ("a", "m", 12, 15, 0, "self", False), ("e", "outer", 1, 5, 0, "a bb", True), ("e", "inner1", 2, 3, 1, "c", False), ("e", None, 4, 4, 1, "", False), ("e", "abcdefghijklmnop", 7, 7, 0, "p1 p2 p3 p4 p5 p6 p7 p8", False), ("f", "long", 1, 101, 0, "", False), ("f", "item12", 102, 102, 0, "", False), ("f", "_7", 103, 103, 0, "", False),
 )
 _IMP_METRICS = f"""SELECT file_id, count(DISTINCT name) AS unique_modules, count(*) FILTER (known) AS stdlib_count, count(*) FILTER (NOT known AND name NOT LIKE '.%') AS third_party_count, count(*) FILTER (name LIKE '.%') AS relative_imports,
   count(*) FILTER (regexp_matches(name, '__import__|importlib|require')) AS dynamic_imports, count(*) FILTER (contains(name, '*')) AS wildcard_imports, count(alias) AS aliased_imports,
@@ -213,7 +218,7 @@ WITH f AS (SELECT *, b - a + 1 AS size, CASE WHEN p = '' THEN [] ELSE string_spl
 e AS (SELECT name, -sum((k / n) * log2(k / n)) AS e FROM (SELECT name, strlen(name) AS n, c, count(*) AS k FROM (SELECT DISTINCT name, unnest(range(1, strlen(name) + 1)) AS i, name[i] AS c FROM f WHERE name IS NOT NULL) GROUP BY ALL) GROUP BY name),
 n AS (SELECT file_id, {_COUNT_LINES('text')} AS n FROM {values("file_id, text", *_FUNCTIONS)})
 SELECT f.file_id, count(*) AS count, count(*) FILTER (f.name IS NULL) AS anonymous, count(*) FILTER (holds) AS nested_functions, count(*) FILTER (size > 100) AS over_100_lines, count(*) FILTER (size > 500) AS over_500_lines, count(*) FILTER (size <= 1) AS one_liners,
-  count(*) FILTER (p = '') AS no_params_count, count(*) FILTER (len(params) > 7) AS many_params_count, count(*) FILTER (strlen(f.name) = 1) AS single_char_names, count(*) FILTER (e > 3.5) AS high_entropy_names, count(*) FILTER (regexp_matches(f.name, '[A-Za-z][0-9]+$')) AS numeric_suffix_names,
+  count(*) FILTER (p = '') AS no_params_count, count(*) FILTER (len(params) > 7) AS many_params_count, count(*) FILTER (strlen(f.name) = 1) AS single_char_names, count(*) FILTER (e > 3.5) AS high_entropy_names, count(*) FILTER (regexp_matches(f.name, '[A-Za-z][0-9]$')) AS numeric_suffix_names,
   round(avg(size), 6) AS avg_length_lines, max(size)::BIGINT AS max_length_lines, min(size)::BIGINT AS min_length_lines, round(stddev_pop(size), 6) AS length_stddev, round(avg(len(params)), 6) AS avg_params, max(len(params))::INTEGER AS max_params,
   round(sum(strlen(replace(p, ' ', ''))) / nullif(sum(len(params)), 0), 6) AS avg_param_name_length, sum(len(list_filter(params, lambda x: strlen(x) = 1)))::BIGINT AS single_char_params, round(avg(strlen(f.name)), 6) AS avg_name_length,
   max(depth)::BIGINT AS max_nesting_depth, round(avg(depth), 6) AS avg_nesting_depth, round(100 * count(*) / any_value(n), 6) AS density_per_100_lines, round(sum(size) / any_value(n), 6) AS code_in_functions_ratio
@@ -275,13 +280,14 @@ def doc_rtf(spark, sf_dir):
     return rows(spark, "file_id string, text string", *(x[:2] for x in RTFS)).select("file_id", *(v.alias(k) for k, v in own.items()))
 
 
-@query()
+@query(long_metrics_sql("SELECT 2 * doc_id AS id, text FROM documents UNION ALL SELECT 2 * page_id + 1, html FROM pages"))
 def facts_long_metrics(spark, sf_dir):
-    """The wide extraction over documents and pages as files, as the long table of metrics."""
+    """The wide extraction over documents and pages as files, as the long table of metrics, spans by their number and the first."""
     from faktum.plans.facts import metrics
     from faktum.sources.files import from_documents, from_pages
 
-    return metrics(from_documents(spread(table(spark, sf_dir, "documents"))).unionByName(from_pages(spread(table(spark, sf_dir, "pages")))))
+    long = metrics(from_documents(spread(table(spark, sf_dir, "documents"))).unionByName(from_pages(spread(table(spark, sf_dir, "pages")))))
+    return long.select("file_id", "key", F.round("value", 6).alias("value"), F.size("spans").alias("n_spans"), F.try_element_at("spans", F.lit(1))["offset"].alias("first_offset"))
 
 
 @query("SELECT * FROM " + values("file_id, kind, stage, message", ("bad", "malformed", "zip-parse", "zip-parse: File is not a zip file")))

@@ -270,3 +270,23 @@ def idn_metrics(spark, sf_dir):
     words = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.explode(F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type"), " ")).alias("name"))
     words = words.unionByName(rows(spark, "name string", *((x,) for x in NAMES)).select(F.lit(-1).cast("long").alias("file_id"), "name"))
     return identifier_metrics(words)
+
+
+def long_metrics_sql(files: str) -> str:
+    """The long table of metrics of files: `files` gives (id, text)."""
+    own = lambda sql: "(" + sql.replace(_TEXTS, "f") + ")"
+    families = " UNION ALL ".join(f"SELECT id, 'text.' || key AS key, value, 0 AS n_spans, NULL AS first_offset FROM (UNPIVOT {own(x)} ON COLUMNS(* EXCLUDE id) INTO NAME key VALUE value)" for x in (_LINES, _CHARS, _ESCAPES, _BYTES))
+    return f"""
+WITH f AS MATERIALIZED ({files}),
+b AS (SELECT id, n, unnest(range(0, n)) AS i, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM (SELECT id, text, strlen(text) AS n FROM f WHERE text <> '')),
+h AS MATERIALIZED (SELECT id, n, i // 1024 AS w, x, count(*) AS k FROM b GROUP BY ALL),
+e AS (SELECT id, n, w, least(1024, n - w * 1024) AS size, -sum((k / least(1024, n - w * 1024)) * log2(k / least(1024, n - w * 1024))) + 0.0 AS e FROM h GROUP BY ALL),
+p AS (SELECT *, max(e) OVER (PARTITION BY id) AS peak FROM e),
+g AS (SELECT *, w - row_number() OVER (PARTITION BY id ORDER BY w) AS g FROM p WHERE round(e, 9) >= round(peak - 0.5, 9)),
+r AS (SELECT id, any_value(peak) AS peak, min(w) * 1024 AS off, sum(size) AS len FROM g GROUP BY id, g),
+o AS (SELECT id, -sum((k / n) * log2(k / n)) + 0.0 AS overall FROM (SELECT id, n, x, sum(k) AS k FROM h GROUP BY ALL) GROUP BY id),
+s AS (SELECT id, any_value(peak) AS peak, sum(len) AS bytes, least(64, count(*)) AS n_spans, min_by(off, -len * 1e9 + off) AS first_offset FROM r GROUP BY id),
+a AS (SELECT f.id, strlen(text) AS size, coalesce(overall, 0) AS overall, coalesce(peak, 0) AS peak, coalesce(bytes, 0) AS bytes, coalesce(n_spans, 0) AS n_spans, first_offset FROM f LEFT JOIN o ON f.id = o.id LEFT JOIN s ON f.id = s.id),
+m AS (SELECT id, 'file.size_bytes' AS key, size::DOUBLE AS value, 0 AS n_spans, NULL AS first_offset FROM a UNION ALL SELECT id, unnest(['file.entropy', 'binary.overall_entropy']), round(overall, 6), 0, NULL FROM a
+  UNION ALL SELECT id, 'binary.peak_region_bytes', bytes::DOUBLE, 0, NULL FROM a UNION ALL SELECT id, 'binary.peak_region_entropy', round(peak, 6), n_spans, first_offset FROM a UNION ALL {families})
+SELECT sha256(f.text) AS file_id, key, round(value, 6) AS value, CAST(n_spans AS INTEGER) AS n_spans, CAST(first_offset AS BIGINT) AS first_offset FROM m JOIN f ON m.id = f.id"""
