@@ -26,6 +26,15 @@ def pdf_counts(content: Column) -> dict[str, Column]:
     }
 
 
+def pdf_ratios(content: Column) -> dict[str, Column]:
+    """Pages, annotations and links, and the latter two by page; without pages there are no ratios."""
+    raw = F.decode(content, "ISO-8859-1")
+    count = lambda key, name: F.regexp_count(raw, F.lit(rf"/{key}\s*/{name}(?![A-Za-z0-9])"))
+    pages, notes, links = count("Type", "Page"), count("Type", "Annot"), count("S", "URI")
+    by_page = lambda n: F.when(pages > 0, F.round(n / pages, 6))
+    return {"page_count": pages, "annotation_count": notes, "uri_action_count": links, "annotations_per_page": by_page(notes), "uri_actions_per_page": F.when(links > 0, by_page(links))}
+
+
 def rtf_facts(text: Column) -> dict[str, Column]:
     group = lambda name: F.nullif(F.trim(F.regexp_extract(text, rf"(?s)\{{\\{name} ([^{{}}]*)\}}", 1)), F.lit(""))
     count = lambda p: F.regexp_count(text, F.lit(p))

@@ -67,6 +67,8 @@ def elf(data: bytes) -> list[dict]:
                 tag, value = struct.unpack_from(end + ("qQ" if wide else "iI"), data, at)
                 if tag == 0:
                     break
+                if tag in ARRAYS and value:
+                    out.append(_metric(f"elf.{ARRAYS[tag]}_array_count", value // (8 if wide else 4)))
                 if tag in (1, 14, 15, 29):
                     out.append({"view": {1: "needed", 14: "soname", 15: "rpath", 29: "runpath"}[tag], "ord": at, "name": _text(data, sections[s[6]][4] + value)})
     loads = [s for s in segments if s[0] == 1]
@@ -85,6 +87,12 @@ def elf(data: bytes) -> list[dict]:
     return out
 
 
+#: Sizes of an executable's arrays of functions, by dynamic tag.
+ARRAYS = {27: "init", 28: "fini", 33: "preinit"}
+#: Load commands that are facts by being there.
+COMMANDS = {0x80000034: "has_chained_fixups", 0x22: "has_dyld_info_legacy", 0x80000022: "has_dyld_info_legacy", 0x24: "uses_legacy_version_min", 0x25: "uses_legacy_version_min", 0x2F: "uses_legacy_version_min", 0x30: "uses_legacy_version_min", 0x80000028: "has_main_command", 0x5: "has_unixthread_command"}
+
+
 def pe(data: bytes) -> list[dict]:
     head = struct.unpack_from("<I", data, 0x3C)[0]
     if data[head : head + 4] != b"PE\0\0":
@@ -170,7 +178,8 @@ def macho(data: bytes) -> list[dict]:
     wide = 0xCF in (data[0], data[3])
     cpu, _, kind, count, _, flags = struct.unpack_from(end + "IIIIII", data, 4)
     out = [_metric("macho.cpu", cpu), _metric("macho.filetype", kind), _metric("macho.flags", flags)]
-    at, k, wx = 32 if wide else 28, 0, 0
+    at, k, wx, entry = 32 if wide else 28, 0, 0, 0
+    segments, marks = [], {}
     for c in range(count):
         cmd, size = struct.unpack_from(end + "II", data, at)
         out.append({"view": "load_command", "ord": c, "name": hex(cmd), "start": at, "size": size})
@@ -181,6 +190,7 @@ def macho(data: bytes) -> list[dict]:
             _, initial, n, _ = struct.unpack_from(end + "IIII", data, base)
             rights = [x for bit, x in ((1, "read"), (2, "writable"), (4, "executable")) if initial & bit]
             wx += initial & 6 == 6
+            segments.append((va, vsize, initial))
             out.append({"view": "segment", "ord": c, "name": name, "start": off, "size": fsize, "address": va, "flags": rights, "value": float(vsize)})
             for s in range(n):
                 p = base + 16 + s * (80 if cmd == 0x19 else 68)
@@ -190,7 +200,20 @@ def macho(data: bytes) -> list[dict]:
                 k += 1
         elif cmd in (0xC, 0xD, 0x80000018, 0x8000001F):
             out.append({"view": "needed" if cmd != 0xD else "soname", "ord": c, "name": _text(data, at + struct.unpack_from(end + "I", data, at + 8)[0])})
+        elif cmd == 0x80000028:
+            # an offset in the file, which is compared with addresses all the same
+            entry, = struct.unpack_from(end + "Q", data, at + 8)
+        elif cmd in (0x21, 0x2C):
+            marks["has_encrypted_section"] = marks.get("has_encrypted_section", 0) or int(struct.unpack_from(end + "I", data, at + 16)[0] != 0)
+        elif cmd == 0x29:
+            marks["data_in_code_count"] = struct.unpack_from(end + "I", data, at + 12)[0] // 8
+        if cmd in COMMANDS:
+            marks[COMMANDS[cmd]] = 1
         at += size
+    if entry:
+        inside = [s for s in segments if s[0] <= entry < s[0] + s[1]]
+        marks |= {"entry_outside_segments": int(not inside), "entry_in_writable_segment": int(any(s[2] & 2 for s in inside))}
+    out += [_metric(f"macho.{name}", value) for name, value in marks.items() if value]
     return [*out, _metric("macho.wx_segment_count", wx)]
 
 
