@@ -103,3 +103,57 @@ def superseded(names: DataFrame, current: int) -> DataFrame:
     """names: (name) of stored versions to those `v<number>` that are older than the current one."""
     number = F.try_to_number(F.regexp_extract("name", r"\Av\+?([0-9]{1,10})\z", 1), F.lit("9999999999"))
     return names.filter((number < current) & (number <= 4_294_967_295)).select("name")
+
+
+def certificate_trust(self_issued: Column, common_name: Column, organisation: Column, subject: Column, issuer: Column) -> Column:
+    """`self_signed`, `developer_id`, `platform` or `ca_signed`."""
+    names = F.lower(F.concat_ws(" ", organisation, subject, issuer))
+    return (
+        F.when(self_issued, "self_signed")
+        .when(F.coalesce(common_name.startswith("Developer ID"), F.lit(False)), "developer_id")
+        .when(names.contains("apple") | names.contains("microsoft"), "platform")
+        .otherwise("ca_signed")
+    )
+
+
+#: Bytes of a source's head; endings of files that old configure scripts name in place of a package.
+HEAD = 8192
+SOURCE_ENDINGS = ["c", "h", "cc", "cpp", "cxx", "in", "sh", "am", "ac", "m4"]
+
+
+def wordpress_header(text: Column) -> Column:
+    """(plugin_name, theme_name, text_domain, version) of the header in a source's head, null without plugin and theme; the first of each field counts."""
+    head = F.decode(F.substring(F.encode(text, "UTF-8"), 1, HEAD), "UTF-8")
+    rows = F.transform(F.split(head, r"\r?\n"), lambda x: trimmed(F.regexp_replace(x, r"(?U)\A\s*[*#/]*", "")))
+
+    def first(name: str) -> Column:
+        own = F.transform(F.filter(rows, lambda x: F.lower(trimmed(F.substring_index(x, ":", 1))).eqNullSafe(F.lit(name)) & x.contains(":")), lambda x: trimmed(F.regexp_replace(x, r"(?s)\A[^:]*:", "")))
+        return F.try_element_at(F.filter(own, lambda x: x != ""), F.lit(1))
+
+    plugin, theme = first("plugin name"), first("theme name")
+    found = F.struct(plugin.alias("plugin_name"), F.when(plugin.isNull(), theme).alias("theme_name"), first("text domain").alias("text_domain"), first("version").alias("version"))
+    return F.when(plugin.isNotNull() | theme.isNotNull(), found)
+
+
+def autoconf_package(text: Column) -> Column:
+    """(name, version) that configure.ac gives to AC_INIT, null where it gives none or a source file's name."""
+    inside = F.regexp_extract(text, r"(?sU)\A(?:(?!AC_INIT).)*AC_INIT\s*\(([^)]*)\)", 1)
+    args = F.transform(F.split(inside, ",", -1), lambda x: trimmed(F.regexp_replace(trimmed(x), r"\A[\[\]]+|[\[\]]+\z", "")))
+    name, version = args[0], F.try_element_at(args, F.lit(2))
+    plain = lambda x: (x != "") & ~x.contains("$") & ~x.startswith("m4_")
+    file = name.contains("/") | (name.contains(".") & F.substring_index(name, ".", -1).isin(SOURCE_ENDINGS))
+    return F.when(plain(name) & ~file, F.struct(name.alias("name"), F.when(plain(version), version).alias("version")))
+
+
+def configured_package(text: Column) -> Column:
+    """(name, version) that a generated configure script assigns in its head; the last of each counts."""
+    head = F.substring(text, 1, HEAD)
+
+
+    def last(key: str) -> Column:
+        rows = F.regexp_extract_all(head, F.lit(rf"(?m)^[ \t]*PACKAGE_{key}=([^\r\n]*)"), F.lit(1))
+        bare = F.transform(rows, lambda x: trimmed(F.regexp_replace(trimmed(x), r"\A['\"]+|['\"]+\z", "")))
+        return F.try_element_at(F.filter(bare, lambda x: x != ""), F.lit(-1))
+
+    name, version = last("TARNAME"), last("VERSION")
+    return F.when(name.isNotNull() | version.isNotNull(), F.struct(name.alias("name"), version.alias("version")))

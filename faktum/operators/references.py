@@ -43,7 +43,13 @@ def package_json(text: Column) -> Column:
     deps = F.concat(_entries(text, "dependencies"), _entries(text, "optionalDependencies"))
     found = F.transform(deps, lambda e: _ref("dependency", "package.json", purl("npm", e["key"], _exact(e["value"]))))
     repo = F.coalesce(F.get_json_object(text, "$.repository.url"), F.get_json_object(text, "$.repository"))
-    entry = F.filter(F.array(*(F.get_json_object(text, f"$.{k}") for k in ("main", "module"))), lambda x: x.isNotNull())
+    at = lambda k: F.get_json_object(text, f"$.{k}")
+    none = F.array().cast("array<string>")
+    # values that are paths of files, wherever they stand; keys are followed by a colon
+    exported = F.when(at("exports").startswith("./"), F.array(at("exports"))).otherwise(F.regexp_extract_all(at("exports"), F.lit(r'"(\./[^"\\]*)"(?=\s*[,\]}])'), F.lit(1)))
+    programs = F.when(at("bin").startswith("{"), F.map_values(F.from_json(at("bin"), "map<string,string>"))).otherwise(F.array(at("bin")))
+    entry = F.concat(F.array(at("main"), at("module")), F.coalesce(exported, none), F.coalesce(programs, none))
+    entry = F.array_distinct(F.filter(entry, lambda x: x.isNotNull() & (x != "") & ~x.contains("*")))
     local = F.transform(entry, lambda x: _ref("local", "package.json", x, "path"))
     forge = forge_purl(repo)
     return F.concat(found, local, F.when(forge.isNotNull(), F.array(_ref("repository", "package.json", forge))).otherwise(F.array().cast(_ARRAY)))

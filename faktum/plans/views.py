@@ -25,3 +25,18 @@ def by_namespace(metrics: DataFrame) -> DataFrame:
 def namespaces(metrics: DataFrame) -> DataFrame:
     """How many metrics of each namespace a file has."""
     return by_namespace(metrics).groupBy("file_id", "namespace").agg(F.count(F.lit(1)).alias("n"))
+
+
+def previews(rows: DataFrame, keys: list[str], item: str, limit: int) -> DataFrame:
+    """(keys, shown, hidden): the first `limit` items of each list, ascending, and the number of the others.
+
+    Lists are cut within each partition before they are shuffled, so no list is ever held whole.
+    """
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(item))
+    first = rows.select(*keys, item).withColumn("place", place).filter(F.col("place") <= limit)
+    shown = first.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("shown"))
+    total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    same = [shown[k].eqNullSafe(total[k]) for k in keys]
+    return shown.join(total, same).select(*(shown[k] for k in keys), "shown", F.greatest(F.col("n") - limit, F.lit(0)).alias("hidden"))

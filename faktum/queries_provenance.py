@@ -120,3 +120,63 @@ def doc_pdf_ratios(spark, sf_dir):
 
     own = pdf_ratios(F.col("content"))
     return rows(spark, "file_id string, content binary", *PAGED).select("file_id", *(v.alias(k) for k, v in own.items()))
+
+
+CERTIFICATES = (
+    (1, True, "Developer ID Application: X", "Apple Inc.", "s", "s"), (2, False, "Developer ID Application: X", None, "s", "i"), (3, False, "Microsoft Windows", "Microsoft Corporation", "s", "i"), (4, False, None, None, "CN=x", "CN=Apple Root CA"), (5, False, "x", "Acme", "CN=x", "CN=Some CA"), (6, False, None, None, None, None), (7, None, "a Developer ID", None, "s", "i"),
+)
+
+
+@query(
+    f"""SELECT id, CASE WHEN self_issued THEN 'self_signed' WHEN common_name LIKE 'Developer ID%' THEN 'developer_id' WHEN regexp_matches(lower(coalesce(organisation, '') || ' ' || coalesce(subject, '') || ' ' || coalesce(issuer, '')), 'apple|microsoft') THEN 'platform' ELSE 'ca_signed' END AS trust
+FROM {values('id, self_issued, common_name, organisation, subject, issuer', *CERTIFICATES)}"""
+)
+def idy_certificate_trust(spark, sf_dir):
+    """IDY-22: the tier of a signature's certificate."""
+    own = rows(spark, "id int, self_issued boolean, common_name string, organisation string, subject string, issuer string", *CERTIFICATES)
+    return own.select("id", P.certificate_trust(*(F.col(c) for c in own.columns[1:])).alias("trust"))
+
+
+HEADERS = (
+    ("plugin", "<?php\n/**\n * Plugin Name: My Tool\n * plugin name: Second\n * Version:  1.2\n * Text Domain: my-tool\n */"), ("theme", "/*\nTheme Name: Blue\nVersion: 3\n*/"), ("neither", "/*\nVersion: 3\n*/"), ("both", "# Theme Name: T\n// Plugin Name: P: x\n"), ("empty", "Plugin Name:\nPlugin Name: later"), ("none", None),
+)
+
+
+@query("SELECT * FROM " + values("file_id, plugin_name, theme_name, text_domain, version", ("plugin", "My Tool", None, "my-tool", "1.2"), ("theme", None, "Blue", None, "3"), ("both", "P: x", None, None, None), ("empty", "later", None, None, None)))
+def pkg_wordpress_headers(spark, sf_dir):
+    """PKG-15: who a plugin or theme says it is."""
+    own = rows(spark, "file_id string, text string", *HEADERS).select("file_id", P.wordpress_header(F.col("text")).alias("w"))
+    return own.filter("w IS NOT NULL").select("file_id", "w.*")
+
+
+INITS = (
+    ("quoted", "dnl x\nAC_INIT([GNU Tool], [2.1], [bugs@x])\n"), ("plain", "AC_INIT( tool ,1.0 )"), ("macro", "AC_INIT([t], m4_esyscmd([git describe]))"), ("old", "AC_INIT(dsniff.c)"), ("m4", "AC_INIT([m4], [1.4])"), ("path", "AC_INIT(src/x)"), ("shell", "AC_INIT($NAME, 1)"), ("bare", "AC_INIT\n"), ("later", "AC_INIT\nAC_INIT([x], [1])"), ("none", None),
+)
+
+
+@query("SELECT * FROM " + values("file_id, name, version", ("quoted", "GNU Tool", "2.1"), ("plain", "tool", "1.0"), ("macro", "t", None), ("m4", "m4", "1.4")))
+def pkg_autoconf_names(spark, sf_dir):
+    """PKG-15: the package that configure.ac names."""
+    own = rows(spark, "file_id string, text string", *INITS).select("file_id", P.autoconf_package(F.col("text")).alias("a"))
+    return own.filter("a IS NOT NULL").select("file_id", "a.*")
+
+
+SCRIPTS = (("set", "#!/bin/sh\nPACKAGE_NAME='x'\nPACKAGE_TARNAME='openssh'\nPACKAGE_VERSION='9.1'\n"), ("blank", "PACKAGE_TARNAME=\nPACKAGE_VERSION=\n"), ("half", "PACKAGE_TARNAME='a'\nPACKAGE_VERSION=''\n"), ("twice", '  PACKAGE_TARNAME="a"\nPACKAGE_TARNAME=b \nx PACKAGE_VERSION=1\n'), ("version", "PACKAGE_VERSION=2\n"), ("no", None))
+
+
+@query("SELECT * FROM " + values("file_id, name, version", ("set", "openssh", "9.1"), ("half", "a", None), ("twice", "b", None), ("version", None, "2")))
+def pkg_configured_names(spark, sf_dir):
+    """PKG-15: the package that a generated script was made for."""
+    own = rows(spark, "file_id string, text string", *SCRIPTS).select("file_id", P.configured_package(F.col("text")).alias("a"))
+    return own.filter("a IS NOT NULL").select("file_id", "a.*")
+
+
+@query(
+    """WITH k AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS place, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events)
+SELECT user_id, event_type, list(event_id ORDER BY place) FILTER (place <= 3) AS shown, any_value(greatest(n - 3, 0)) AS hidden FROM k GROUP BY user_id, event_type"""
+)
+def snk_previews(spark, sf_dir):
+    """SNK-2: the first few of each list and how many more there are."""
+    from faktum.plans.views import previews
+
+    return previews(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", 3)

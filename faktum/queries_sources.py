@@ -66,7 +66,8 @@ def cmt_markup(spark, sf_dir):
 
 MANIFESTS = (
     ("pkg", "package.json", '{"main": "index.js", "repository": {"url": "git+https://github.com/O/R.git"}, "dependencies": {"a": "1.2.3", "@s/b": "^2"}, "optionalDependencies": {"c": "0.0.1-rc.1"}}'),
-    ("req", "requirements.txt", "A_b==1.0  # pin\nc>=2\nd[x]==3.* \ne == 4.0 --hash=sha256:" + "a" * 64 + "\n"), ("mod", "go.mod", "module m\ngo 1.20\nrequire (\n\tgithub.com/a/b v1.2.3 // indirect\n)\nrequire x.org/y v0.1.0\nreplace z.org/q => ./q\n"),
+    ("pkg2", "package.json", '{"main": "./index.js", "module": "./m.mjs", "exports": {".": {"require": "./index.js", "import": "./m.mjs"}, "./sub": ["./s.js", "other"], "./*": "./*.js"}, "bin": {"a": "bin/cli.js", "b": "bin/dev.js"}}'),
+    ("pkg3", "package.json", '{"exports": "./only.js", "bin": "cli.js"}'), ("req", "requirements.txt", "A_b==1.0  # pin\nc>=2\nd[x]==3.* \ne == 4.0 --hash=sha256:" + "a" * 64 + "\n"), ("mod", "go.mod", "module m\ngo 1.20\nrequire (\n\tgithub.com/a/b v1.2.3 // indirect\n)\nrequire x.org/y v0.1.0\nreplace z.org/q => ./q\n"),
     ("sum", "go.sum", "github.com/a/b v1.2.3 h1:abc=\ngithub.com/a/b v1.2.3/go.mod h1:def=\n"), ("yarn", "yarn.lock", '# yarn lockfile v1\n\n\n"@s/b@^2", "@s/b@2.x":\n  version "2.1.0"\n  integrity sha512-xyz\n\nlodash@4:\n  version "4.17.21"\n'),
     ("cargo", "cargo.lock", 'version = 3\n\n[[package]]\nname = "serde"\nversion = "1.0.1"\nchecksum = "beef"\n\n[[package]]\nname = "own"\nversion = "0.1.0"\n'), ("gem", "gemfile.lock", "GEM\n  remote: x\n  specs:\n    rake (13.0)\n      dep (>= 1)\n    rack (2.2.3)\n\nPLATFORMS\n  ruby\n"),
     ("gha", "github_actions", "on: push\njobs:\n  a:\n    steps:\n      - uses: actions/checkout@v4\n      - uses: ./local\n      - uses: o/r/sub@abc # pin\n"), ("js", "javascript", "import x from './a.js'; require('../b'); import('./a.js'); import 'pkg'"),
@@ -74,6 +75,7 @@ MANIFESTS = (
 )
 _REFERENCES = (
     ("pkg", 0, "purl", "pkg:npm/a@1.2.3", "dependency", None), ("pkg", 1, "purl", "pkg:npm/%40s/b", "dependency", None), ("pkg", 2, "purl", "pkg:npm/c@0.0.1-rc.1", "dependency", None), ("pkg", 3, "path", "index.js", "local", None), ("pkg", 4, "purl", "pkg:github/o/r", "repository", None),
+    ("pkg2", 0, "path", "./index.js", "local", None), ("pkg2", 1, "path", "./m.mjs", "local", None), ("pkg2", 2, "path", "./s.js", "local", None), ("pkg2", 3, "path", "bin/cli.js", "local", None), ("pkg2", 4, "path", "bin/dev.js", "local", None), ("pkg3", 0, "path", "./only.js", "local", None), ("pkg3", 1, "path", "cli.js", "local", None),
     ("req", 0, "purl", "pkg:pypi/a-b@1.0", "dependency", None), ("req", 1, "purl", "pkg:pypi/e@4.0", "dependency", "a" * 64), ("mod", 0, "purl", "pkg:golang/github.com/a/b@v1.2.3", "dependency", None), ("mod", 1, "purl", "pkg:golang/x.org/y@v0.1.0", "dependency", None), ("sum", 0, "purl", "pkg:golang/github.com/a/b@v1.2.3", "dependency", "abc="),
     ("yarn", 0, "purl", "pkg:npm/%40s/b@2.1.0", "dependency", "sha512-xyz"), ("yarn", 1, "purl", "pkg:npm/lodash@4.17.21", "dependency", None), ("cargo", 0, "purl", "pkg:cargo/serde@1.0.1", "dependency", "beef"), ("cargo", 1, "purl", "pkg:cargo/own@0.1.0", "dependency", None), ("gem", 0, "purl", "pkg:gem/rake@13.0", "dependency", None), ("gem", 1, "purl", "pkg:gem/rack@2.2.3", "dependency", None),
     ("gha", 0, "purl", "pkg:github/actions/checkout@v4", "dependency", None), ("gha", 1, "purl", "pkg:github/o/r@abc", "dependency", None), ("gha", 2, "path", "./local", "local", None), ("js", 0, "path", "./a.js", "local", None), ("js", 1, "path", "../b", "local", None), ("src", 0, "url", "https://x.org/a.tgz", "url_fetch", "abc"), ("src", 1, "purl", "pkg:alpm/arch/glibc", "dependency", None),
