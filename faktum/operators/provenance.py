@@ -149,7 +149,6 @@ def configured_package(text: Column) -> Column:
     """(name, version) that a generated configure script assigns in its head; the last of each counts."""
     head = F.substring(text, 1, HEAD)
 
-
     def last(key: str) -> Column:
         rows = F.regexp_extract_all(head, F.lit(rf"(?m)^[ \t]*PACKAGE_{key}=([^\r\n]*)"), F.lit(1))
         bare = F.transform(rows, lambda x: trimmed(F.regexp_replace(trimmed(x), r"\A['\"]+|['\"]+\z", "")))

@@ -229,3 +229,12 @@ def references(files: DataFrame) -> DataFrame:
     for kind, f in SOURCES.items():
         own = F.when(F.col("file_type") == kind, f(F.col("text")).cast(_ARRAY)).otherwise(own)
     return files.select("file_id", F.posexplode(own).alias("ord", "x")).select("file_id", "ord", *(F.col(f"x.{k}").alias(k) for k in FIELDS))
+
+
+def package_references(facts: DataFrame) -> DataFrame:
+    """facts of gem and vsix packages (file_id, ord, key, value) to what they depend on, as references without versions; names of extensions are `publisher.name`."""
+    publisher, name = F.substring_index("value", ".", 1), F.expr("substring(value, instr(value, '.') + 1)")
+    extension = F.when(F.col("value").contains(".") & (publisher != "") & (name != ""), F.concat(F.lit("pkg:vscode/"), publisher, F.lit("/"), name))
+    locator = F.when(F.col("key") == "runtime_dependency", F.concat(F.lit("pkg:gem/"), F.nullif("value", F.lit("")))).when(F.col("key") == "dependency", extension)
+    source = F.when(F.col("key") == "dependency", "vsix.dependencies").otherwise("gem.runtime_dependencies")
+    return facts.select("file_id", "ord", F.lit("purl").alias("locator_type"), locator.alias("locator"), F.lit("dependency").alias("kind"), source.alias("source")).filter("locator IS NOT NULL")

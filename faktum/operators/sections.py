@@ -94,7 +94,8 @@ def inflated(sections: DataFrame) -> DataFrame:
 
 
 def table_anomalies(sections: DataFrame) -> DataFrame:
-    """Of each file: names that several sections have, and whether code or constants can be written to; sections: (file_id, name, flags)."""
-    by = sections.withColumn("w", F.coalesce(writable(F.col("flags")), F.lit(False))).groupBy("file_id", "name").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
+    """Of each file: names that several sections have, whether code or constants can be written to, debug and compressed sections, and whether both kinds of hash table are there; sections: (file_id, name, flags)."""
+    packed = F.count_if(F.coalesce(F.array_contains("flags", "compressed"), F.lit(False)))
+    by = sections.withColumn("w", F.coalesce(writable(F.col("flags")), F.lit(False))).groupBy("file_id", "name").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"), packed.alias("c"))
     is_ = lambda name: F.max((F.col("name") == name) & F.col("w"))
-    return by.groupBy("file_id").agg(F.count_if(F.col("n") > 1).alias("duplicate_section_name_count"), is_(".text").alias("text_section_writable"), is_(".rodata").alias("rodata_writable"), F.count_if(F.col("name").startswith(".debug")).alias("debug_name_count"))
+    return by.groupBy("file_id").agg(F.count_if(F.col("n") > 1).alias("duplicate_section_name_count"), is_(".text").alias("text_section_writable"), is_(".rodata").alias("rodata_writable"), F.count_if(F.col("name").startswith(".debug")).alias("debug_name_count"), F.sum("c").alias("compressed_sections_count"), (F.max(F.col("name") == ".hash") & F.max(F.col("name") == ".gnu.hash")).alias("has_both_hash_tables"))

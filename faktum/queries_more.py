@@ -194,6 +194,7 @@ def id_shifted_and_near(spark, sf_dir):
 
 LOADED = (
     (1, 0, ".text", 512, 600, ["write", "execinstr"]), (1, 1, ".data", 512, 2049, ["write"]), (1, 2, ".data", 512, 2048, ["write"]), (1, 3, ".bss", 0, 9000, ["write"]), (2, 0, ".rodata", 10, 41, []), (2, 1, ".debug_info", 10, 10, []), (2, 2, ".debug_line", 10, 0, []), (2, 3, ".rodata", 10, 40, ["write"]),
+    (2, 4, ".hash", 8, 8, []), (3, 0, ".hash", 8, 8, ["alloc"]), (3, 1, ".gnu.hash", 8, 8, ["alloc"]), (3, 2, ".debug_str", 8, 8, ["compressed"]), (3, 3, ".debug_str", 8, 8, ["compressed"]), (3, 4, ".note", 8, 8, None),
 )
 _LOADED = values("file_id, ord, name, file_size, virtual_size, flags", *LOADED)
 _LOADED_DDL = "file_id int, ord int, name string, file_size int, virtual_size int, flags array<string>"
@@ -208,11 +209,11 @@ def anm_inflated_sections(spark, sf_dir):
 
 
 @query(
-    f"""WITH n AS (SELECT file_id, name, count(*) AS n, bool_or(list_contains(flags, 'write')) AS w FROM {_LOADED} GROUP BY ALL)
-SELECT file_id, count(*) FILTER (n > 1) AS duplicate_section_name_count, bool_or(name = '.text' AND w) AS text_section_writable, bool_or(name = '.rodata' AND w) AS rodata_writable, count(*) FILTER (starts_with(name, '.debug')) AS debug_name_count FROM n GROUP BY file_id"""
+    f"""WITH n AS (SELECT file_id, name, count(*) AS n, coalesce(bool_or(list_contains(flags, 'write')), false) AS w, count(*) FILTER (list_contains(flags, 'compressed')) AS c FROM {_LOADED} GROUP BY ALL)
+SELECT file_id, count(*) FILTER (n > 1) AS duplicate_section_name_count, bool_or(name = '.text' AND w) AS text_section_writable, bool_or(name = '.rodata' AND w) AS rodata_writable, count(*) FILTER (starts_with(name, '.debug')) AS debug_name_count, sum(c)::BIGINT AS compressed_sections_count, bool_or(name = '.hash') AND bool_or(name = '.gnu.hash') AS has_both_hash_tables FROM n GROUP BY file_id"""
 )
 def anm_section_table(spark, sf_dir):
-    """ANM-6 in part: duplicate names, writable code and constants, debug sections."""
+    """ANM-6: duplicate names, writable code and constants, debug and compressed sections, hash tables."""
     from faktum.operators.sections import table_anomalies
 
     return table_anomalies(rows(spark, _LOADED_DDL, *LOADED))

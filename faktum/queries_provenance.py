@@ -180,3 +180,30 @@ def snk_previews(spark, sf_dir):
     from faktum.plans.views import previews
 
     return previews(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", 3)
+
+
+def _gem() -> bytes:
+    import gzip
+    import io
+    import tarfile
+
+    dependency = "- !ruby/object:Gem::Dependency\n  name: {}\n  type: :{}\n"
+    body = gzip.compress(("--- !ruby/object:Gem::Specification\nname: tool\nversion: !ruby/object:Gem::Version\n  version: 1.2.0\ndependencies:\n" + dependency.format("rake", "development") + dependency.format("rack", "runtime") + dependency.format("faraday-multipart", "runtime")).encode())
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        i = tarfile.TarInfo("metadata.gz")
+        i.size = len(body)
+        t.addfile(i, io.BytesIO(body))
+    return out.getvalue()
+
+
+_VSIX = b"<PackageManifest><Metadata><Identity Id='v'/></Metadata><Dependencies><Dependency Id='ms.python'/><Dependency Id='plain'/><Dependency Id='.x'/><Dependency Id='a.b.c'/></Dependencies></PackageManifest>"
+
+
+@query("SELECT * FROM " + values("file_id, locator_type, locator, kind, source", ("g", "purl", "pkg:gem/rack", "dependency", "gem.runtime_dependencies"), ("g", "purl", "pkg:gem/faraday-multipart", "dependency", "gem.runtime_dependencies"), ("v", "purl", "pkg:vscode/ms/python", "dependency", "vsix.dependencies"), ("v", "purl", "pkg:vscode/a/b.c", "dependency", "vsix.dependencies")))
+def ref_packages(spark, sf_dir):
+    """REF-7: what gems and editor extensions depend on, from their bytes."""
+    from faktum.operators.references import package_references
+    from faktum.sources.packages import package_facts
+
+    return package_references(package_facts(rows(spark, "file_id string, file_type string, content binary", ("g", "gem", _gem()), ("v", "vsix_manifest", _VSIX)))).drop("ord")

@@ -51,7 +51,7 @@ def elf(data: bytes) -> list[dict]:
     for k, s in enumerate(sections):
         if not k:
             continue
-        flags = [n for bit, n in ((1, "writable"), (2, "alloc"), (4, "executable")) if s[2] & bit]
+        flags = [n for bit, n in ((1, "writable"), (2, "alloc"), (4, "executable"), (0x800, "compressed")) if s[2] & bit]
         held = 0 if s[1] == 8 else s[5]
         out.append({"view": "section", "ord": k - 1, "name": _text(data, strings + s[0]), "start": s[4], "size": held, "address": s[3], "flags": flags, "entropy": _entropy(data, s[4], held)})
     for s in sections:

@@ -182,6 +182,8 @@ def vsix(data: bytes) -> list[tuple[str, str]]:
             out.append((f"property.{e.get('Id')}", e.get("Value") or ""))
         elif name == "Asset":
             out.append(("asset", e.get("Type") or ""))
+        elif name == "Dependency" and e.get("Id"):
+            out.append(("dependency", e.get("Id")))
         elif name in ("DisplayName", "Description", "Tags") and (e.text or "").strip():
             out.append((name.lower(), e.text.strip()))
     return out
@@ -199,7 +201,8 @@ def gem(data: bytes) -> list[tuple[str, str]]:
     deps = own.get("dependencies") or []
     out = [(k, str(own[k])) for k in ("name", "homepage", "email", "summary") if own.get(k)] + [("version", str(version.get("version") if isinstance(version, dict) else version))]
     out += [("author", str(a)) for a in own.get("authors") or []] + [("license", str(x)) for x in own.get("licenses") or []]
-    return out + [("dependency_count", str(len(deps))), ("runtime_dependency_count", str(sum(d.get("type") in (":runtime", "runtime") for d in deps)))]
+    runtime = [str(d.get("name")) for d in deps if d.get("type") in (":runtime", "runtime") and d.get("name")]
+    return out + [("runtime_dependency", x) for x in runtime] + [("dependency_count", str(len(deps))), ("runtime_dependency_count", str(len(runtime)))]
 
 
 def crate(data: bytes) -> list[tuple[str, str]]:
