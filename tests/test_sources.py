@@ -72,8 +72,8 @@ def test_comment_metrics(spark):
         own = [b for i, _, b in Q._BODIES if i == file_id]
         assert (r.total, r.lines, r.chars) == (len(own), sum(len(b.splitlines()) for b in own), sum(map(len, own))), file_id
     count = lambda name: {i: r[name] for i, r in got.items() if r[name]}
-    assert count("todo_count") == {"c1": 1} and count("fixme_count") == {"py": 1} and count("hack_count") == {"lua": 1} and count("xxx_count") == {"lua": 1}
-    assert count("empty_comments") == {"c1": 1} and count("code_in_comments") == {"js": 1} and count("url_in_comments") == {"c1": 1}
+    assert count("todo_count") == {"c1": 1, "go": 1} and count("fixme_count") == {"py": 1} and count("hack_count") == {"lua": 1, "go": 1} and count("xxx_count") == {"lua": 1}
+    assert count("empty_comments") == {"c1": 1, "go": 1} and count("code_in_comments") == {"js": 1, "go": 1} and count("url_in_comments") == {"c1": 1, "go": 1} and count("high_entropy_comments") == {"go": 1}
     assert got["py"].base64_in_comments == 1
 
 
