@@ -182,16 +182,32 @@ def id_peeked(spark, sf_dir):
     return identify(own, peek(F.col("path"), F.col("content"))).drop("content", "forced_type")
 
 
-@query()
+_METRICS = (
+    ("class", "class.constant_pool_size", 4), ("class", "class.interface_count", 0), ("class", "class.major_version", 52), ("elf", "elf.entry", 0x1010), ("elf", "elf.entry_in_last_segment", 0), ("elf", "elf.entry_in_writable_segment", 0), ("elf", "elf.entry_outside_segments", 0), ("elf", "elf.machine", 62),
+    ("elf", "elf.nx_enabled", 1), ("elf", "elf.type", 2), ("elf", "elf.wx_segment_count", 1), ("pkl", "pickle.op.appends", 1), ("pkl", "pickle.op.binput", 3), ("pkl", "pickle.op.binunicode", 1), ("pkl", "pickle.op.empty_list", 1), ("pkl", "pickle.op.global", 1), ("pkl", "pickle.op.mark", 1), ("pkl", "pickle.op.proto", 1), ("pkl", "pickle.op.stop", 1),
+    ("png", "png.bit_depth", 8), ("png", "png.color_type", 2), ("png", "png.height", 2), ("png", "png.trailing_bytes", 4), ("png", "png.width", 3), ("pyc", "pyc.flags", 0), ("pyc", "pyc.magic", 3531), ("pyc", "pyc.mtime", 1_600_000_000), ("pyc", "pyc.source_size", 7),
+)
+_PLACES = (
+    ("bad", "error", None, "pe-parse", None, None, None, None, None, None), ("class", "function", 0, "run", None, None, None, None, None, 9.0), ("class", "reference", 0, "Main", None, None, None, None, None, None),
+    ("elf", "section", 0, ".text", 176, 64, 4096, ["alloc", "executable"], 6.0, None), ("elf", "section", 1, ".data", 240, 32, 4160, ["writable", "alloc"], 0.0, None), ("elf", "section", 2, ".shstrtab", 272, 23, 4192, [], 3.170544, None), ("elf", "segment", 0, "1", 0, 256, 4096, ["read", "executable"], None, 256.0), ("elf", "segment", 1, "1", 256, 64, 8192, ["read", "writable", "executable"], None, 64.0),
+    ("pkl", "import", 6, "__builtin__.len", None, None, None, None, None, None), ("png", "chunk", 0, "IHDR", 16, 13, None, [], 1.35203, None), ("png", "chunk", 2, "IEND", 64, 0, None, [], None, None), ("wasm", "export", 0, "e", None, None, None, [], None, None), ("wasm", "import", 0, "f", None, None, None, ["m"], None, None),
+    ("wasm", "section", 0, "import", 10, 7, None, None, 1.842371, None), ("wasm", "section", 1, "export", 19, 5, None, None, 1.521928, None),
+)
+
+
+@query(
+    "SELECT * FROM " + values("file_id, view, ord, name, start, size, address, flags, entropy, value", *_PLACES) + f" UNION ALL SELECT file_id, 'metric', NULL, name, NULL, NULL, NULL, NULL, NULL, CAST(value AS DOUBLE) FROM {values('file_id, name, value', *_METRICS)}"
+)
 def bin_facts(spark, sf_dir):
-    """Sections, segments, chunks and header metrics."""
+    """Sections, segments, chunks and header metrics; of the packed chunk, whose bytes are the compressor's own, nothing."""
     import pickle
 
     from faktum.sources.binaries import facts
 
     wasm = b"\0asm\1\0\0\0" + b"\2\7\1\1m\1f\0\0" + b"\7\5\1\1e\0\0"
     files = (("elf", "elf", sample_elf()), ("png", "png", sample_png()), ("class", "java_class", sample_class()), ("wasm", "wasm", wasm), ("pkl", "pickle", pickle.dumps([len, "x"], 2)), ("pyc", "python_bytecode", b"\xcb\r\r\n" + struct.pack("<III", 0, 1_600_000_000, 7)), ("bad", "pe", b"MZ"), ("text", "text", b"x"))
-    return facts(rows(spark, "file_id string, file_type string, content binary", *files))
+    own = facts(rows(spark, "file_id string, file_type string, content binary", *files)).filter("name <> 'IDAT'")
+    return own.withColumn("name", F.when(F.col("view") == "error", F.substring_index("name", ":", 1)).otherwise(F.col("name"))).withColumn("entropy", F.round("entropy", 6))
 
 
 PYTHON = (
