@@ -13,13 +13,14 @@ from faktum.llm.lm_scoring import op6_lm_scoring
 from faktum.llm.near_dedup import op1_near_dedup
 from faktum.llm.packing import op10_packing
 from faktum.llm.pair_index import op7_bpe
+from faktum.llm.phrases import OP12_SQL, op12_phrases
 from faktum.llm.toxicity import op8_toxicity
 from faktum.llm.url_filter import op2_url_filter
 from faktum.llm.vector_codes import OP13_SQL, op13_vector_codes
 from faktum.llm.vector_search import OP5_SQL, op5_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: tuple[Query, ...] = (op1_near_dedup, op2_url_filter, op3_language_id, op4_exact_dedup, op5_top_k, op6_lm_scoring, op7_bpe, op8_toxicity, op9_html_extraction, op10_packing, op13_vector_codes)
+QUERIES: tuple[Query, ...] = (op1_near_dedup, op2_url_filter, op3_language_id, op4_exact_dedup, op5_top_k, op6_lm_scoring, op7_bpe, op8_toxicity, op9_html_extraction, op10_packing, op12_phrases, op13_vector_codes)
 
 
 def queries() -> dict[str, Query]:
@@ -27,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op5_top_k": OP5_SQL, "op13_vector_codes": OP13_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_top_k": OP5_SQL, "op12_phrases": OP12_SQL, "op13_vector_codes": OP13_SQL}

@@ -216,3 +216,25 @@ def shingles(h: np.ndarray, at: np.ndarray, first: np.ndarray, width: int) -> tu
             kept.append(own)
             sizes[i + 1] = len(own)
     return (np.concatenate(kept) if kept else np.zeros(0, U64)), np.cumsum(sizes)
+
+
+def located(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `words`, with the first byte of each word and the one after its last: (hash, text, start, end)."""
+    out = []
+    for s, e in _pieces(buf, int(offsets[0]), int(offsets[-1]), True, gap):
+        own = np.clip(offsets - s, 0, e - s)
+        solid = ~gap[buf[s:e]]
+        edge = np.zeros(e - s + 1, bool)
+        edge[own] = True  # a text's end parts words too
+        turn = np.flatnonzero(np.concatenate([solid[:1], solid[1:] != solid[:-1], [True]]) | edge)
+        first = turn[:-1][solid[turn[:-1]]]
+        last = turn[1:][solid[turn[:-1]]]
+        power, inverse = _power_tables(e - s)
+        sums = np.zeros(e - s + 1, U64)
+        np.cumsum(_BYTE[_FOLD[buf[s:e]]] * power[: e - s], out=sums[1:])
+        h = mix64((sums[last] - sums[first]) * inverse[first] ^ ((last - first).astype(U64) * U64(0xA24BAED4963EE407)))
+        out.append((h, first + s, last + s))
+    if not out:
+        return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3))
+    h, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+    return h, np.searchsorted(offsets, first, "right") - 1, first, last
