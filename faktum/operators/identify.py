@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faktum.functions import languages
 from faktum.operators import file_types as T
 
 #: First bytes, in hexadecimal, in the order of their tests.
@@ -41,26 +42,7 @@ DATA_FORMATS = "yaml yml json toml ini cfg conf properties txt text md markdown
 #: Languages whose extension goes before a shell's interpreter line.
 JUKED = ["javascript", "typescript", "python", "ruby", "php", "perl", "lua"]
 MAY_BE_OVERRIDDEN = ["zip", "jar", "xpi", "whl", "ooxml", "odf", "cab", "chm", "rar", "7z"]
-#: What speaks for a language, by weight.
-PATTERNS = {
-    "shell": {5: ["export ", "set -e", "if [", "case $", "; then\n", "; do\n", "cd $", "curl -O http", "xattr -c "], 10: [" && curl ", " && chmod +x ", "post_install() {", "pre_install() {", "post_upgrade() {", "pre_upgrade() {", "post_remove() {", "pre_remove() {"]},
-    "python": {10: ["if __name__", "import os", "base64.b64decode"], 5: ["def ", "except ", "exec(", "subprocess.", "self."]},
-    "powershell": {10: ["$ErrorActionPreference", "[System.Convert]", " -bxor "], 5: ["Write-Host", "Invoke-", "New-Object"]},
-    "perl": {10: ["use strict;", "use warnings;", "use strict\n", "use warnings\n"], 5: ["my $", "chomp"]},
-    "php": {10: ["<?php", "$_SERVER", "$_POST", "$_GET", "add_filter(", "add_action("], 5: ["esc_html(", "preg_replace("]},
-    "batch": {10: ["@echo", "@ECHO", "%~dp0"], 5: ["SETLOCAL", "GOTO ", "IF EXIST"]},
-    "vbs": {10: ["WScript.", "Option Explicit"], 5: ["CreateObject(", "End Sub", "End Function"]},
-    "lua": {10: ["setmetatable", "getmetatable", "getfenv", "setfenv"], 5: ["ipairs(", "pairs(", "elseif "]},
-    "javascript": {10: ["module.exports"], 5: ["(function(", "console.log(", "addEventListener", "var ", "let ", "const "]},
-    "c": {10: ["#include <", '#include "', "section .text", "[BITS 32]"]},
-    "kotlin": {5: ["package ", "fun main(", "val "], 10: ["import kotlin", "suspend fun "]},
-    "dockerfile": {10: ["\nFROM ", "FROM scratch", "\nCMD [", "\nENTRYPOINT", "\nHEALTHCHECK"], 5: ["\nRUN ", "\nWORKDIR ", "\nCOPY ", "\nEXPOSE ", "\nVOLUME "]},
-    "clojure": {10: ["(defn ", "(defn- ", "(defmacro ", "(defprotocol ", "(defmethod ", "(defmulti ", "(defrecord ", "(deftype ", "(ns ", ":require ", ":require\n", "#?(:clj", "#?(:cljs"], 5: ["(let [", "(if-let [", "(when-let [", "(fn [", "#'"]},
-    "applescript": {10: ["do shell script", 'tell application "', "quoted form of", "POSIX path of", "with hidden answer"], 5: ["end tell", "end repeat", "on run"]},
-}
-#: JavaScript marks that ask for something around them.
-JAVASCRIPT_MARKS = [r"(?<!=)===(?!=)", r"document\.(?=[a-z])", r"window\.(?=[a-z])"]
-HEAD, TAIL, LEAST_SCORE = 4096, 2048, 10
+HEAD = languages.HEAD
 
 
 def case(pairs: list[tuple[Column, Column | str]], other: Column | None = None) -> Column:
@@ -155,7 +137,7 @@ def is_workflow(path: Column, head: Column) -> Column:
 def zip_kind(path: Column, raw: Column) -> Column:
     ext = extension(path)
     same = [x for x in ("xpi", "whl", "conda", "egg", "nupkg", "ipa", "vsix")]
-    ooxml = T.EXTENSIONS["ooxml"].split()[:10]
+    ooxml = "docx xlsx pptx docm xlsm pptm dotx dotm xltx xltm".split()
     odf = [*T.EXTENSIONS["odf"].split(), "odf"]
     plain = [*T.EXTENSIONS["zip"].split(), "zip", "jar", "war", "ear", *same]
     return case(
@@ -242,45 +224,6 @@ def tampered_pe(content: Column) -> Column:
     return F.substring(hexes, 3, 126).contains("4D5A") & F.exists(F.sequence(F.lit(1), F.lit(62)), begins)
 
 
-def _overlaps(text: Column, needle: str) -> Column:
-    import re
-
-    return F.regexp_count(text, F.lit(re.escape(needle).replace("\\\n", "\\n")))
-
-
-def scores(text: Column) -> dict[str, Column]:
-    """What the patterns add up to for each language."""
-    out = {}
-    for language, own in PATTERNS.items():
-        terms = [weight * _overlaps(text, x) for weight, xs in own.items() for x in xs]
-        if language == "javascript":
-            terms += [5 * F.regexp_count(text, F.lit(x)) for x in JAVASCRIPT_MARKS]
-        out[language] = reduce(lambda a, b: a + b, terms)
-    return out
-
-
-def structured(head: Column) -> Column:
-    """Whether text is data rather than a script: JSON, or mostly YAML keys and items."""
-    body = F.ltrim(head)
-    rows = F.filter(F.transform(F.split(head, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
-    yaml = F.filter(rows, lambda x: x.rlike(r"""\A(?:---\z|\.\.\.\z|--- |-\z|- |[A-Za-z0-9_\-./"']+:(?: |\z))"""))
-    return ~head.startswith("#!") & ((body.rlike(r"\A[{\[]") & body.contains('":')) | ((F.size(rows) >= 4) & (F.size(yaml) * 10 >= F.size(rows) * 7)))
-
-
-def heuristic(content: Column) -> Column:
-    """The language of a script without other signs, or null."""
-    head = latin(F.substring(content, 1, HEAD))
-    own = scores(head)
-    ranked = F.sort_array(F.array(*(F.struct(v.alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("language")) for i, (k, v) in enumerate(own.items()))), asc=False)
-    best, second = ranked[0], ranked[1]
-    sure = (best["score"] >= LEAST_SCORE) & ~((second["score"] > 0) & (F.floor(second["score"] * 100 / best["score"]) > 60))
-    language = best["language"]
-    first = F.regexp_extract(head, r"\A(?:\s*(?:#[^\n]*)?\n)*\s*([^\s#]*)", 1)
-    php = F.regexp_replace(head, r"(?i)<\?xml", "").contains("<?") | (~head.rlike(r"(?i)<\?xml") & head.contains("?>"))
-    gate = F.when(language == "javascript", head.rlike("[;{}]")).when(language == "dockerfile", F.upper(first).isin("FROM", "ARG")).when(language == "php", php).otherwise(True)
-    return F.when((F.octet_length(content) >= 4) & ~structured(head) & sure & gate, language)
-
-
 def identify(files: DataFrame, peek: Column | None = None) -> DataFrame:
     """files (path, content, forced_type) with file_type, source, extension_type and extension_mismatch.
 
@@ -291,7 +234,8 @@ def identify(files: DataFrame, peek: Column | None = None) -> DataFrame:
     """
     path, content = F.col("path"), F.col("content")
     files = files.withColumn("_magic", magic(path, content) if peek is None else F.coalesce(peek, magic(path, content))).withColumn("_name", by_name(path)).withColumn("_ext", F.coalesce("_name", by_manifest(path), by_extension(path)))
-    files = files.withColumn("_guess", F.when(F.col("_magic").isNull() & F.col("_name").isNull() & (F.col("_ext").isNull() | F.col("_ext").isin(MAY_BE_OVERRIDDEN)) & ~extension(path).isin(DATA_FORMATS), heuristic(content)))
+    open_still = F.col("_magic").isNull() & F.col("_name").isNull() & (F.col("_ext").isNull() | F.col("_ext").isin(MAY_BE_OVERRIDDEN)) & ~extension(path).isin(DATA_FORMATS)
+    files = files.withColumn("_guess", languages.language(F.when(open_still, content)))
     head = latin(F.substring(content, 1, HEAD))
     by_bang = shebang(head).isNotNull() & (F.col("_magic") == shebang(head))
     juked = F.coalesce(by_bang & (F.col("_magic") == "shell") & F.col("_ext").isin(JUKED), F.lit(False))

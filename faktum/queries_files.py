@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faktum.functions import identity as I
+from faktum.functions import languages
 from faktum.operators import archive as A
 from faktum.operators import file_types, identify
 from faktum.operators import records as R
@@ -75,20 +76,66 @@ def id_file_types(spark, sf_dir):
     return file_types.file_types(spark).select("label", "grp", "archive_format", "compression")
 
 
-_SCORES = "\n".join(
-    "UNION ALL SELECT doc_id, " + literal(language) + ", " + " + ".join(f"{w} * (length(t) - length(replace(t, {literal(x)}, ''))) // {len(x)}" for w, xs in own.items() for x in xs) + " FROM d" for language, own in identify.PATTERNS.items() if language not in ("javascript",)
-)
+def _count(needle: str) -> str:
+    """How often a needle stands in t, overlaps included: where it begins and ends with the same character, that one is doubled in t and inside the needle, so that neighbours share nothing."""
+    edge = needle[0]
+    assert not any(needle.startswith(needle[-k:]) for k in range(2, len(needle)))
+    text, inner = ("t", needle) if needle[-1] != edge else (f"replace(t, {literal(edge)}, {literal(2 * edge)})", edge + needle[1:-1].replace(edge, 2 * edge) + edge)
+    return f"(length({text}) - length(replace({text}, {literal(inner)}, ''))) // {len(inner)}"
+
+
+#: JavaScript's marks that ask for something around them.
+_AROUND = {"===": "len(list_filter(regexp_extract_all(t, '=+'), lambda x: length(x) = 3))", "document.": r"len(regexp_extract_all(t, 'document\.[a-z]'))", "window.": r"len(regexp_extract_all(t, 'window\.[a-z]'))"}
+_SCORES = ", ".join(f"least(65535, {' + '.join(f'{w} * ' + (_AROUND.get(x) or _count(x)) for w, xs in own.items() for x in xs)}) AS {language}" for language, own in languages.PATTERNS.items())
+#: Three marks of languages by a document's number, before its text; every fifth time behind it, after much white space.
+_MARKS = [x for own in languages.PATTERNS.values() for xs in own.values() for x in xs]
+_MARKED = "concat(m[1 + doc_id % {n}], ' x ', m[1 + (doc_id * 31) % {n}], '; ', m[1 + (doc_id // 7) % {n}], 'y')".format(n=len(_MARKS))
+_BOTH = f"""SELECT 'documents' AS source, doc_id AS id, text AS t FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages
+  UNION ALL SELECT 'marked', doc_id, CASE WHEN doc_id % 5 = 0 THEN concat(repeat(' ', 4200), text, ' ', {_MARKED}) ELSE concat({_MARKED}, ' ', text) END FROM documents, (SELECT {literal(_MARKS)} AS m)"""
 
 
-SCRIPTS = ("use strict;\nuse warnings;\nmy $x = 1;\nmy $y", "#include <a.h>\n#include \"b\"", "import os\nif __name__ == 1:\n  def f(): self.x", "FROM scratch\nRUN a\nCMD [1]", "(ns a (:require b))\n(defn f [x] (let [y 1]))", "export A=1; if [ -f x ]; then\n set -e", "Option Explicit\nWScript.Echo")
+def _contents(spark, sf_dir):
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    marks, n = F.array(*map(F.lit, _MARKS)), len(_MARKS)
+    own = F.concat(*(F.element_at(marks, (1 + k % n).cast("int")) if not isinstance(k, str) else F.lit(k) for k in (F.col("doc_id"), " x ", F.col("doc_id") * 31, "; ", F.floor(F.col("doc_id") / 7), "y")))
+    text = F.coalesce("text", F.lit(""))
+    marked = F.when(F.col("doc_id") % 5 == 0, F.concat(F.repeat(F.lit(" "), 4200), text, F.lit(" "), own)).otherwise(F.concat(own, F.lit(" "), text))
+    plain = docs.select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return spread(plain.unionByName(pages.select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("t"))).unionByName(docs.select(F.lit("marked").alias("source"), F.col("doc_id").alias("id"), marked.alias("t"))))
 
 
-@query(f"WITH d AS (SELECT doc_id, text AS t FROM documents UNION ALL SELECT id, s FROM {values('id, s', *((-1 - i, x) for i, x in enumerate(SCRIPTS)))}) SELECT doc_id, language, CAST(score AS BIGINT) AS score FROM (SELECT 0 AS doc_id, '' AS language, 0 AS score WHERE false {_SCORES}) WHERE score > 0")
+@query(f"WITH d AS ({_BOTH}), s AS (SELECT source, id, {_SCORES} FROM d) SELECT source, id, language, CAST(score AS BIGINT) AS score FROM (UNPIVOT s ON {', '.join(languages.LANGUAGES)} INTO NAME language VALUE score) WHERE score > 0")
 def id_heuristic_scores(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))).unionByName(rows(spark, "doc_id long, t string", *((-1 - i, x) for i, x in enumerate(SCRIPTS))))
-    own = {k: v for k, v in identify.scores(F.col("t")).items() if k != "javascript"}
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("language"), v.cast("long").alias("score")) for k, v in own.items())))
-    return docs.select("doc_id", pairs.alias("x")).select("doc_id", "x.*").filter("score > 0")
+    """REL-J3: overlapping hits of all patterns in whole texts, by language."""
+    return _contents(spark, sf_dir).select("source", "id", F.explode(languages.scores(F.encode("t", "UTF-8"))).alias("x")).select("source", "id", "x.*")
+
+
+_WHOLE = lambda cut: "coalesce(" + ", ".join(f"try(decode(b[{cut(k)}]))" for k in range(4)) + ")"  # noqa: E731  # a cut may part a character
+_WHITE = r"[ \t\n\x0C\r]"
+_TRIM = rf"regexp_replace(regexp_replace(x, '^{_WHITE}+', ''), '{_WHITE}+$', '')"
+_PHP = r"(len(list_filter(regexp_extract_all(x, '(?s)<\?.{0,3}'), lambda y: lower(y) <> '<?xml')) > 0 OR (NOT regexp_matches(x, '(?i)<\?xml') AND contains(x, '?>')))"
+_DECIDED = rf"""
+WITH d AS ({_BOTH}), b AS (SELECT source, id, t, encode(t) AS b FROM d WHERE t IS NOT NULL),
+h AS (SELECT source, id, octet_length(b) AS n, {_WHOLE(lambda k: f"1:{languages.HEAD - k}")} AS head, {_WHOLE(lambda k: f"greatest(octet_length(b) - {languages.TAIL - 1 - k}, 1):octet_length(b)")} AS tail FROM b),
+l AS (SELECT *, n > {languages.HEAD} AND length(regexp_replace(head, '{_WHITE}', '', 'g')) < {languages.LITTLE} AS little,
+      list_filter(list_transform(string_split(CASE WHEN n >= {languages.HEAD} THEN regexp_replace(head, '(?s)(\A|\n)[^\n]*\z', '') ELSE head END, chr(10)), lambda x: {_TRIM}), lambda x: x <> '' AND NOT x LIKE '#%') AS lines,
+      list_filter(list_transform(string_split(head, chr(10)), lambda x: {_TRIM}), lambda x: x <> '' AND NOT x LIKE '#%')[1] AS line FROM h),
+p AS (SELECT source, id, head AS t FROM l UNION ALL SELECT source, id, tail FROM l WHERE little),
+s AS (SELECT source, id, {_SCORES} FROM p),
+u AS (SELECT source, id, language, max(score) AS score FROM (UNPIVOT s ON {', '.join(languages.LANGUAGES)} INTO NAME language VALUE score) GROUP BY ALL),
+r AS (SELECT source, id, arg_max(language, score) AS language, max(score) AS best, max(score, 2)[2] AS second FROM u GROUP BY ALL),
+g AS (SELECT *, CASE WHEN little THEN [head, tail] ELSE [head] END AS parts FROM r JOIN l USING (source, id))
+SELECT source, id, language FROM g WHERE n >= 4 AND best >= {languages.LEAST_SCORE} AND second * 100 // best <= {languages.NEAR}
+  AND (head LIKE '#!%' OR NOT ((regexp_matches(head, '^{_WHITE}*[{{\[]') AND contains(head, '":')) OR (len(lines) >= 5 AND 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^(---$|\.\.\.$|-$|--- |- |[A-Za-z0-9_\-./"'']+:( |$))'))) >= 7 * len(lines))))
+  AND CASE language WHEN 'javascript' THEN len(list_filter(parts, lambda x: regexp_matches(x, '[;{{}}]'))) > 0 WHEN 'php' THEN len(list_filter(parts, lambda x: {_PHP})) > 0
+      WHEN 'dockerfile' THEN upper(regexp_extract(line, '^[^ \t\x0C\r]*')) IN ('FROM', 'ARG') ELSE true END
+"""
+
+
+@query(_DECIDED)
+def id_heuristic_types(spark, sf_dir):
+    """ID-18: the language that the beginning (or else the end) of a text decides for, if any."""
+    return _contents(spark, sf_dir).select("source", "id", languages.language(F.encode("t", "UTF-8")).alias("language")).filter("language IS NOT NULL")
 
 
 # archives

@@ -28,13 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes a task that Spark's own splits are left alone from.
+A_TASK = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many tasks as the cluster runs at once, for work that is heavier than its input.
+    """df over as many tasks as the cluster runs at once, for work that is heavier than its input.
 
-    A small table in one row group is one task; a large one has more tasks than that and stays as it is.
+    A small table may lie in one row group, and then in one task, however many splits are made; a large one, by the size
+    that the plan knows, has more row groups than tasks and stays as it is.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size < n * A_TASK else df
 
 
 def rows(spark: SparkSession, schema: str, *values: tuple) -> DataFrame:
