@@ -12,10 +12,12 @@
 3. A task sorts its rows, so the occurrences of a prefix lie in one range.
    `grow` extends a prefix to the right, depth first: each next word that is
    frequent in the range gives a phrase and a range to go on with.
-4. A prefix that is common (a share of all words of at least 1 / HOT, or an
-   eighth of a task) is dealt out over all tasks by its whole rows.  Whole rows
-   are counted in one place still; shorter phrases come as partial counts from
-   each task and are added up after.
+4. A word is common if it has half of a task's rows and at least 1 / HOT of all
+   words.  Common prefixes are parted: a row goes to the task of its shortest
+   prefix that ends in a word that isn't common, or of the whole row, so no key
+   has more rows than such a word.  Phrases with such a word, and whole rows, are
+   counted in one place; phrases of common words alone come as partial counts
+   from several tasks and are added up after.
 5. Scores are integer divisions of 38-digit decimals.  A phrase is compared with
    the longer ones around it by grouping their parts, and each language's first
    are ranked in levels: salted parts, then parts of parts.
@@ -45,8 +47,8 @@ _GAP = _PART.copy()
 _GAP[[0x20, 0x09]] = True
 #: Texts are counted in runs of about this many bytes.
 RUN_BYTES = 2 << 20
-#: Projected rows of a task, about, and common prefixes that are listed, at most.
-ROWS_A_TASK, HOT = 1 << 20, 1 << 18
+#: Projected rows of a task, at most about, and common words that are listed, at most.
+ROWS_A_TASK, HOT = 1 << 18, 1 << 18
 #: Places of the bitmap of frequent words.
 PLACES = 1 << 24
 #: Rows of a language that one task ranks, about.
@@ -144,10 +146,13 @@ def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], count
 
 
-def _spread_hash(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), textkit.U64)
-    for column in range(rows.shape[1]):
-        out = textkit.mix64(out * textkit.U64(0x9E3779B97F4A7C15) + rows[:, column])
+def _owner(rows: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """A hash of each row's shortest prefix that ends in a word that isn't common."""
+    out = textkit.mix64(rows[:, 0])
+    on = np.isin(rows[:, 0], hot)
+    for column in range(1, rows.shape[1]):
+        out[on] = textkit.mix64(out[on] * textkit.U64(0x9E3779B97F4A7C15) + rows[on, column])
+        on &= np.isin(rows[:, column], hot)
     return out
 
 
@@ -170,8 +175,7 @@ def _projected(seed: int, bits: np.ndarray, hot: np.ndarray, tasks: int, longest
             if not len(rows):
                 continue
             rows, count = distinct_rows(rows)
-            common = np.isin(rows[:, 0], hot)
-            task = np.where(common, _spread_hash(rows), textkit.mix64(rows[:, 0])) % textkit.U64(tasks)
+            task = _owner(rows, hot) % textkit.U64(tasks)
             order = np.argsort(task, kind="stable")
             task, rows, count = task[order].astype(np.int64), rows[order], count[order]
             first = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1])
@@ -183,21 +187,22 @@ def _projected(seed: int, bits: np.ndarray, hot: np.ndarray, tasks: int, longest
     return run
 
 
-def grow(columns: np.ndarray, counts: np.ndarray, lo: int, hi: int, prefix: tuple[int, ...], least: int, whole: bool, out: list) -> None:
+def grow(columns: np.ndarray, counts: np.ndarray, lo: int, hi: int, prefix: tuple[int, ...], least: int, hot: np.ndarray, whole: bool, out: list) -> None:
     """Extends `prefix`, whose occurrences are the sorted rows lo to hi, to the right: appends (phrase, count) for each
-    phrase that has `least` occurrences, depth first.  Where the rows are a part of the prefix's only (`whole` is false),
-    all phrases are given but the longest, whose rows are never parted."""
+    phrase that has `least` occurrences, depth first.  Where `prefix` has common words only (`whole` is false), the rows
+    may be some of its rows: then phrases of common words are all given, but for the longest, whose rows are never parted."""
     depth = len(prefix)
     own = columns[depth, lo:hi]
     first = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
-    total = np.add.reduceat(counts[lo:hi], first)
-    needed = least if whole or depth + 1 == len(columns) else 1
     last = np.append(first[1:], hi - lo)
-    for k in np.flatnonzero((total >= needed) & (own[first] != 0)).tolist():
-        phrase = (*prefix, int(own[first[k]]))
+    total = np.add.reduceat(counts[lo:hi], first)
+    words = own[first]
+    all_here = np.ones(len(words), bool) if whole or depth + 1 == len(columns) else ~np.isin(words, hot)
+    for k in np.flatnonzero((words != 0) & ((total >= least) | ~all_here)).tolist():
+        phrase = (*prefix, int(words[k]))
         out.append((phrase, int(total[k])))
         if depth + 1 < len(columns):
-            grow(columns, counts, lo + int(first[k]), lo + int(last[k]), phrase, least, whole, out)
+            grow(columns, counts, lo + int(first[k]), lo + int(last[k]), phrase, least, hot, bool(all_here[k]), out)
 
 
 def _grown(hot: np.ndarray, longest: int, least: int):
@@ -213,7 +218,7 @@ def _grown(hot: np.ndarray, longest: int, least: int):
         out: list = []
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(counts)], strict=True):
             prefix = int(columns[0, lo])
-            grow(columns, counts, lo, hi, (prefix,), least, prefix not in common, out)
+            grow(columns, counts, lo, hi, (prefix,), least, hot, prefix not in common, out)
         flat = np.array([x for phrase, _ in out for x in phrase], textkit.U64).view(np.int64)
         ends = np.cumsum([0] + [len(phrase) for phrase, _ in out]).astype(np.int32)
         return pa.table({"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "a": pa.array([a for _, a in out], pa.int64())})
@@ -229,7 +234,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10) -> tupl
     totals = cut(words.groupBy("lang").agg(F.sum("n").alias("n")))
     n = totals.agg(F.sum("n")).first()[0] or 0
     frequent = words.filter(F.col("n") >= least)
-    common = frequent.filter(F.col("n") > max(ROWS_A_TASK // 8, n // HOT)).select("id").toArrow()["id"]
+    common = frequent.filter(F.col("n") > max(ROWS_A_TASK // 2, n // HOT)).select("id").toArrow()["id"]
     hot = np.sort(common.to_numpy().view(textkit.U64))
     tasks = max(n // ROWS_A_TASK + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.mapInArrow(textkit.tidy(_projected(seed, _bitmap(frequent), hot, tasks, longest)), "task long, rows binary, counts binary")
