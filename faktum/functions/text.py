@@ -16,6 +16,7 @@ SPACE = r"(?U)\s"
 #: White space other than the plain kinds, and characters that show nothing.
 UNUSUAL = "[\u00a0\u2000-\u200a\u202f\u205f\u3000]"
 INVISIBLE = "[\ufe00-\ufe0f\u200b-\u200d\u2060\ufeff]|[\\x{E0100}-\\x{E01EF}]|[\\x{E0001}-\\x{E007F}]"
+SPANS, SPAN_CAP = "array<struct<offset:bigint,len:bigint>>", 64
 ART = r"[=\-*#+|/\\_.]"
 
 
@@ -74,6 +75,33 @@ def _of_lines(rows: Column) -> dict[str, Column]:
     }
 
 
+def longest_line_spans(text: Column) -> Column:
+    """The place of the first of the longest lines, in bytes of UTF-8, terminators counted; empty if all lines are."""
+    raw = F.split(text, "\n", -1)
+    sizes = F.transform(raw, lambda x: F.octet_length(F.regexp_replace(x, r"\r\z", "")))
+    most = F.array_max(sizes)
+    before = F.slice(raw, F.lit(1), (F.array_position(sizes, most) - 1).cast("int"))
+    start = F.aggregate(before, F.lit(0).cast("long"), lambda at, x: at + F.octet_length(x) + 1)
+    return F.when(most > 0, F.array(F.struct(start.alias("offset"), most.cast("long").alias("len")))).otherwise(F.array().cast(SPANS))
+
+
+def invisible_spans(text: Column) -> Column:
+    """Where runs of invisible characters stand, in bytes of UTF-8: the first SPAN_CAP.  A leading byte order mark is none."""
+    shown = F.when(text.startswith("\ufeff"), F.concat(F.lit("\u20ac"), F.substr(text, F.lit(2)))).otherwise(text)
+    pattern = f"(?:{INVISIBLE})+"
+    hidden = F.slice(F.regexp_extract_all(shown, F.lit(pattern), F.lit(0)), 1, SPAN_CAP)
+    between = F.split(shown, pattern, SPAN_CAP + 1)
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
+
+    def step(state: Column, i: Column) -> Column:
+        start = state["at"] + F.octet_length(F.get(between, i))
+        size = F.octet_length(F.get(hidden, i)).cast("long")
+        return F.struct((start + size).alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("offset"), size.alias("len")))).alias("spans"))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.size(hidden) - 1), empty, step, lambda state: state["spans"])
+    return F.when(F.size(hidden) > 0, found).otherwise(F.array().cast(SPANS))
+
+
 def char_metrics(text: Column) -> dict[str, Column]:
     n = F.octet_length(text)
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))

@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faktum.functions.bytes import byte_facts, window_facts
-from faktum.functions.text import char_metrics, escape_metrics, line_facts, line_metrics, metrics_of_bytes
+from faktum.functions.text import SPANS, char_metrics, escape_metrics, invisible_spans, line_facts, line_metrics, longest_line_spans, metrics_of_bytes
 from faktum.operators.identify import identify
 from faktum.sources.containers import peek
 
-SPANS = "array<struct<offset:bigint,len:bigint>>"
-
 
 def identified(files: DataFrame) -> DataFrame:
     return identify(files, peek(F.col("path"), F.col("content")))
@@ -36,7 +34,8 @@ def metrics(files: DataFrame) -> DataFrame:
         "binary.peak_region_bytes": F.col("w.peak_bytes").cast("double"),
     } | {k: F.when(t != "", v) for k, v in text.items()}
     none = F.array().cast(SPANS)
-    facts = [F.struct(F.lit(k).alias("key"), v.alias("value"), none.alias("spans")) for k, v in own.items()]
+    located = {"text.max_line_length": longest_line_spans(t), "text.invisible_chars": F.when(own["text.invisible_chars"] > 0, invisible_spans(t))}
+    facts = [F.struct(F.lit(k).alias("key"), v.alias("value"), F.coalesce(located.get(k, none), none).alias("spans")) for k, v in own.items()]
     facts.append(F.struct(F.lit("binary.peak_region_entropy").alias("key"), F.col("w.peak").alias("value"), F.col("w.spans").cast(SPANS).alias("spans")))
     return rows.select("file_id", F.inline(F.array(*facts))).filter("value IS NOT NULL")
 

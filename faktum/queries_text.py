@@ -272,6 +272,11 @@ def idn_metrics(spark, sf_dir):
     return identifier_metrics(words)
 
 
+#: Characters that show nothing, and a text without its leading byte order mark, which is none of them.
+_HIDDEN = r"\x{fe00}-\x{fe0f}\x{200b}-\x{200d}\x{2060}\x{feff}\x{e0100}-\x{e01ef}\x{e0001}-\x{e007f}"
+_SHOWN = "CASE WHEN starts_with(text, chr(65279)) THEN '\u20ac' || text[2:] ELSE text END"
+
+
 def long_metrics_sql(files: str) -> str:
     """The long table of metrics of files: `files` gives (id, text)."""
     own = lambda sql: "(" + sql.replace(_TEXTS, "f") + ")"
@@ -284,9 +289,82 @@ e AS (SELECT id, n, w, least(1024, n - w * 1024) AS size, -sum((k / least(1024,
 p AS (SELECT *, max(e) OVER (PARTITION BY id) AS peak FROM e),
 g AS (SELECT *, w - row_number() OVER (PARTITION BY id ORDER BY w) AS g FROM p WHERE round(e, 9) >= round(peak - 0.5, 9)),
 r AS (SELECT id, any_value(peak) AS peak, min(w) * 1024 AS off, sum(size) AS len FROM g GROUP BY id, g),
+z AS (SELECT id, ls[i] AS l, list_sum(list_transform(ls[: i - 1], lambda x: strlen(x) + 1)) AS off FROM (SELECT id, ls, list_position(ns, list_max(ns)) AS i FROM (SELECT id, string_split(text, chr(10)) AS ls, list_transform(ls, lambda x: strlen(regexp_replace(x, '\\r$', ''))) AS ns FROM f))),
 o AS (SELECT id, -sum((k / n) * log2(k / n)) + 0.0 AS overall FROM (SELECT id, n, x, sum(k) AS k FROM h GROUP BY ALL) GROUP BY id),
 s AS (SELECT id, any_value(peak) AS peak, sum(len) AS bytes, least(64, count(*)) AS n_spans, min_by(off, -len * 1e9 + off) AS first_offset FROM r GROUP BY id),
 a AS (SELECT f.id, strlen(text) AS size, coalesce(overall, 0) AS overall, coalesce(peak, 0) AS peak, coalesce(bytes, 0) AS bytes, coalesce(n_spans, 0) AS n_spans, first_offset FROM f LEFT JOIN o ON f.id = o.id LEFT JOIN s ON f.id = s.id),
 m AS (SELECT id, 'file.size_bytes' AS key, size::DOUBLE AS value, 0 AS n_spans, NULL AS first_offset FROM a UNION ALL SELECT id, unnest(['file.entropy', 'binary.overall_entropy']), round(overall, 6), 0, NULL FROM a
   UNION ALL SELECT id, 'binary.peak_region_bytes', bytes::DOUBLE, 0, NULL FROM a UNION ALL SELECT id, 'binary.peak_region_entropy', round(peak, 6), n_spans, first_offset FROM a UNION ALL {families})
-SELECT sha256(f.text) AS file_id, key, round(value, 6) AS value, CAST(n_spans AS INTEGER) AS n_spans, CAST(first_offset AS BIGINT) AS first_offset FROM m JOIN f ON m.id = f.id"""
+SELECT sha256(f.text) AS file_id, key, round(value, 6) AS value,
+  CAST(CASE key WHEN 'text.max_line_length' THEN 1 WHEN 'text.invisible_chars' THEN least(64, len(regexp_extract_all({_SHOWN}, '[{_HIDDEN}]+'))) ELSE n_spans END AS INTEGER) AS n_spans,
+  CAST(CASE key WHEN 'text.max_line_length' THEN coalesce(off, 0) WHEN 'text.invisible_chars' THEN strlen(regexp_extract({_SHOWN}, '^[^{_HIDDEN}]*')) ELSE first_offset END AS BIGINT) AS first_offset
+FROM m JOIN f ON m.id = f.id JOIN z ON z.id = f.id WHERE value IS NOT NULL"""
+
+
+_MARKED = "replace(replace(replace(text, '. ', '.\u200b\u2060 '), ', ', ',\ufeff '), 'th', 'th\r\n')"
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(65279) || {_MARKED} ELSE {_MARKED} END AS text FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, regexp_split_to_array({_SHOWN}, '[{_HIDDEN}]+') AS p, regexp_extract_all({_SHOWN}, '[{_HIDDEN}]+') AS h FROM t),
+s AS (SELECT doc_id, list_transform(range(1, least(len(h), 64) + 1), lambda i: {{'o': CAST(list_sum(list_transform(p[1 : i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(h[1 : i - 1], lambda x: strlen(x))), 0) AS BIGINT), 'n': strlen(h[i])}}) AS s FROM c),
+z AS (SELECT doc_id, i, ls, ns FROM (SELECT *, list_position(ns, list_max(ns)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, list_transform(string_split(text, chr(10)), lambda x: strlen(regexp_replace(x, '\r$', ''))) AS ns FROM t)))
+SELECT doc_id, CAST(len(s) AS INTEGER) AS n_spans, s[1].o AS first_offset, s[-1].o AS last_offset, CAST(list_sum(list_transform(s, lambda x: x.n)) AS BIGINT) AS covered,
+  CAST(coalesce(list_sum(list_transform(ls[: i - 1], lambda x: strlen(x) + 1)), 0) AS BIGINT) AS line_offset, CAST(ns[i] AS BIGINT) AS line_bytes FROM s JOIN z USING (doc_id)"""
+)
+def txt_located(spark, sf_dir):
+    """TXT-12, TXT-27: where invisible characters and the longest line stand, in documents with such characters and line ends put in."""
+    marked = F.replace(F.replace(F.replace("text", F.lit(". "), F.lit(".\u200b\u2060 ")), F.lit(", "), F.lit(",\ufeff ")), F.lit("th"), F.lit("th\r\n"))
+    docs = spread(table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\ufeff"), marked)).otherwise(marked).alias("text"))
+    docs = docs.select("doc_id", T.invisible_spans(F.col("text")).alias("s"), T.longest_line_spans(F.col("text"))[0].alias("l"))
+    covered = F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + x["len"])
+    return docs.select("doc_id", F.size("s").alias("n_spans"), F.get("s", F.lit(0))["offset"].alias("first_offset"), F.try_element_at("s", F.lit(-1))["offset"].alias("last_offset"), F.when(F.size("s") > 0, covered).alias("covered"), F.col("l.offset").alias("line_offset"), F.col("l.len").alias("line_bytes"))
+
+
+# contents in chunks: the documents of a source, one after the other
+
+_CHUNKED = """b AS MATERIALIZED (SELECT source, doc_id, base, i, x, base + i AS pos FROM (SELECT source, doc_id, base, unnest(range(0, strlen(text))) AS i, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM (
+  SELECT source, doc_id, text, coalesce(sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM documents)))"""
+
+
+@query(
+    f"""WITH {_CHUNKED},
+h AS MATERIALIZED (SELECT source, pos // 1024 AS w, x, count(*) AS k FROM b GROUP BY ALL),
+e AS (SELECT source, w, sum(k) AS size, round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 9) + 0.0 AS e FROM h GROUP BY ALL),
+g AS (SELECT *, w - row_number() OVER (PARTITION BY source ORDER BY w) AS g FROM (SELECT *, max(e) OVER (PARTITION BY source) AS peak FROM e) WHERE e >= round(peak - 0.5, 9)),
+r AS (SELECT source, any_value(peak) AS peak, min(w) * 1024 AS off, sum(size) AS len, row_number() OVER (PARTITION BY source ORDER BY sum(size) DESC, min(w)) AS place FROM g GROUP BY source, g),
+o AS (SELECT source, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS overall, sum(k) AS size FROM (SELECT source, x, sum(k) AS k FROM h GROUP BY ALL) GROUP BY source)
+SELECT source, round(overall, 6) AS overall_entropy, CAST(size AS BIGINT) AS size_bytes, round(any_value(peak), 6) AS peak_region_entropy, CAST(sum(len) AS BIGINT) AS peak_region_bytes, count(*) AS n_runs,
+  CAST(least(64, count(*)) AS INTEGER) AS n_spans, CAST(max(off) FILTER (place = 1) AS BIGINT) AS longest_offset, CAST(max(len) FILTER (place = 1) AS BIGINT) AS longest_bytes, CAST(max(off) FILTER (place = least(64, n)) AS BIGINT) AS last_offset
+FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM r) JOIN o USING (source) GROUP BY source, overall, size"""
+)
+def byt_chunked_entropy(spark, sf_dir):
+    """BYT-3, 4 over contents of many rows: windows, histograms and runs go over the borders of chunks."""
+    from faktum.operators.located import peak_regions
+
+    docs = spread(table(spark, sf_dir, "documents").select("source", "doc_id", F.encode("text", "UTF-8").alias("content")))
+    found = peak_regions(docs, ["source"], "doc_id", "content")
+    last = F.element_at("spans", F.lit(-1))["offset"]
+    return found.select("source", F.round("overall", 6).alias("overall_entropy"), F.col("size").alias("size_bytes"), F.round("peak", 6).alias("peak_region_entropy"), F.col("covered").alias("peak_region_bytes"), "n_runs", F.size("spans").alias("n_spans"), F.col("spans")[0]["offset"].alias("longest_offset"), F.col("spans")[0]["len"].alias("longest_bytes"), last.alias("last_offset"))
+
+
+@query(
+    f"""WITH {_CHUNKED},
+p AS (SELECT *, i - row_number() OVER (PARTITION BY source, doc_id ORDER BY i) AS g FROM b WHERE x BETWEEN '20' AND '7E' OR x = '09'),
+c AS (SELECT source, doc_id, g, x, count(*) AS k, min(pos) AS pos FROM p GROUP BY ALL),
+s AS (SELECT source, min(pos) AS off, sum(k) AS len, round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 9) AS e FROM c GROUP BY source, doc_id, g HAVING sum(k) >= 4),
+h AS (SELECT source, off, len, sum(CASE WHEN before = off THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY off) AS run FROM (SELECT *, lag(off + len) OVER (PARTITION BY source ORDER BY off) AS before FROM s WHERE e >= 4.2)),
+r AS (SELECT source, run, min(off) AS off, sum(len) AS len, count(*) OVER (PARTITION BY source) AS n FROM h GROUP BY source, run),
+q AS (SELECT source, any_value(n) AS n_runs, max(off) FILTER (run = least(64, n)) AS last_offset, min(off) AS first_offset, sum(len) FILTER (run <= 64) AS covered FROM r GROUP BY source)
+SELECT s.source, count(*) AS string_count, CAST(max(len) AS BIGINT) AS max_string_length, CAST(arg_max(off, len * 1e12 - off) AS BIGINT) AS max_offset, count(*) FILTER (e >= 4.2) AS high_entropy_count,
+  any_value(n_runs) AS n_runs, CAST(any_value(first_offset) AS BIGINT) AS first_offset, CAST(any_value(last_offset) AS BIGINT) AS last_offset, CAST(any_value(covered) AS BIGINT) AS covered FROM s LEFT JOIN q ON s.source = q.source GROUP BY s.source"""
+)
+def agg_located_strings(spark, sf_dir):
+    """AGG-11, 14: the longest string and those of high entropy with their places, over contents of many rows (threshold as a parameter: prose has 4.2)."""
+    from faktum.operators.located import string_facts
+
+    docs = spread(table(spark, sf_dir, "documents").select("source", "doc_id", F.encode("text", "UTF-8").alias("content")))
+    found = string_facts(docs, ["source"], "doc_id", "content", 4.2)
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["len"])
+    return found.select("source", "string_count", "max_string_length", "max_offset", "high_entropy_count", "n_runs", F.get("spans", F.lit(0))["offset"].alias("first_offset"), F.try_element_at("spans", F.lit(-1))["offset"].alias("last_offset"), covered.alias("covered"))
