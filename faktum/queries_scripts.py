@@ -127,3 +127,24 @@ def idn_scripts(spark, sf_dir):
 
     own = _nodes(spark, sf_dir).filter("kind = 'identifier'").select(F.when(F.col("source") == "orders", F.col("id")).otherwise(-1 - F.col("id")).alias("file_id"), "name")
     return identifier_metrics(own)
+
+
+#: Patterns by name; the last two can't be read.
+_IN_PAGES = {"links of menus": "nav//li/a", "bold paragraphs": "article/p[b]", "scripts beside styles": "head[style]/script", "broken lines": "body[footer]//p[.//br]", "no step": "nav[//", "no end": "ul[li"}
+_IN_SCRIPTS = {"xor with modulo": "binary:^//binary:%", "returned names": "declaration/declare[function[params/identifier]]//return/identifier", "added strings": "declare/binary:+[.//string]"}
+
+
+@query(
+    f"""WITH {_LINES}, c AS (SELECT page_id AS id, len(regexp_extract_all(html, '<li><a')) AS a, len(regexp_extract_all(html, '<p><b>')) AS b FROM pages)
+SELECT pattern, source, id, CAST(n AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS error FROM (SELECT 'links of menus' AS pattern, 'pages' AS source, id, a AS n FROM c UNION ALL SELECT 'bold paragraphs', 'pages', id, b FROM c UNION ALL SELECT 'broken lines', 'pages', id, b FROM c
+  UNION ALL SELECT 'scripts beside styles', 'pages', id, 1 FROM c UNION ALL SELECT 'xor with modulo', 'orders', id, x FROM l UNION ALL SELECT unnest(['returned names', 'added strings']), 'orders', id, 1 FROM l) WHERE n > 0
+UNION ALL SELECT 'no step', NULL, NULL, NULL, 'a step is missing at 4' UNION ALL SELECT 'no end', NULL, NULL, NULL, 'a bracket is not closed'"""
+)
+def src_tree_patterns(spark, sf_dir):
+    """§2.18: tree patterns over the elements of pages and the scripts of orders; those that can't be read give an error row."""
+    from faktum.operators.twigs import match_all
+    from faktum.sources import markup
+
+    pages = markup.nodes(spread(table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "html")), ["source", "id"], "html")
+    scripts = _nodes(spark, sf_dir).filter("source = 'orders'")
+    return match_all(pages, ["source", "id"], _IN_PAGES).unionByName(match_all(scripts, ["source", "id"], _IN_SCRIPTS))
