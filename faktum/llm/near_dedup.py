@@ -19,10 +19,14 @@ set holds its distinct word shingles.  Documents are linked when
    the links.  Their components are the groups.
 
 A large bucket or cluster is dealt out in blocks.  First each block is compared
-in itself and with the least member of all; then the members that lie outside
-the largest component go to every block.  No bucket, cluster or number of
-partners is capped, and every pair that shares a bucket is compared or already
-connected.
+in itself and with the least member of all.  Then a bucket's members that lie
+outside the largest component go to every block.  A cluster is parted before
+that, as clusters of what looks alike can be wide and hold few links: sets at
+the threshold share one of their first shingles in any order (prefix filtering),
+so members meet by these, the rarer shingles first, and only those that a shared
+one, their sizes and its places allow to be linked stay together.  No bucket,
+cluster or number of partners is capped, and every pair that shares a bucket is
+compared, already connected, or can't be linked.
 
 Nulls: a null text counts as empty.  A document without words is linked with
 nothing.  A row with a null doc_id takes no part: its component is null and it
@@ -270,6 +274,98 @@ def _compared(percent: int, exact: bool):
     return run
 
 
+#: Counters of shingles, by which a cluster's rarer ones go first; several shingles may share one.
+COUNTERS = 1 << 18
+
+
+def _counted(batches) -> Iterator[pa.RecordBatch]:
+    """How often the shingles of each counter stand in the rows of a task."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        flat, _ = _flat(pa.chunked_array([batch.column("members")]))
+        total += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    slot = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+
+
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """Of a set of n, how many first shingles it shares one with any larger set at the threshold, and with any smaller one."""
+    return n + 1 - -(-2 * percent * n // (100 + percent)), n + 1 - -(-percent * n // 100)
+
+
+def _prefixes(percent: int, counts: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            key, rep = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "rep"))
+            flat, places = _flat(pa.chunked_array([batch.column("members")]))
+            token, size, place, first, of = [], [], [], [], []
+            for i in range(len(rep)):
+                own = flat[places[i] : places[i + 1]]
+                small, large = prefix_lengths(len(own), percent)
+                order = np.lexsort((own, counts[(own % np.uint64(COUNTERS)).astype(np.int64)]))[:large]
+                token.append(textkit.mix64(own[order] ^ textkit.mix64(key[i : i + 1])))
+                size.append(np.full(len(order), len(own)))
+                place.append(np.arange(len(order)))
+                first.append(np.arange(len(order)) < small)
+                of.append(np.full(len(order), rep[i]))
+            if of:
+                columns = [np.concatenate(x) for x in (token, of, size, place, first)]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1].view(np.int64)), *(pa.array(c) for c in columns[2:])], names=["key", "rep", "n", "place", "first"])
+
+    return run
+
+
+def _allowed(percent: int):
+    """For mapInArrow over (key, block, rep, n, place, first, own, travels, home): links (u, v) between different labels that a shared shingle allows."""
+
+    def run(batches):
+        for rows in _whole_groups(batches):
+            key, block, rep, n, place, own = (rows[c].to_numpy() for c in ("key", "block", "rep", "n", "place", "own"))
+            first, travels, home = (rows[c].to_numpy(zero_copy_only=False) for c in ("first", "travels", "home"))
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+            u, v = [rep[:0]], [rep[:0]]
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                if hi - lo < 2 or (own[lo:hi] == own[lo]).all():
+                    continue
+
+                def near(s, rest, lo=lo):
+                    a, b = lo + s, lo + rest
+                    alike = percent * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b])
+                    common = np.minimum(n[a] - place[a], n[b] - place[b])  # at most, if this is the first one that they share
+                    return alike & (first[a] | first[b]) & ((100 + percent) * common >= percent * (n[a] + n[b]))
+
+                label = np.unique(own[lo:hi], return_inverse=True)[1]
+                links = np.array(_forest(label, np.flatnonzero(travels[lo:hi]), np.flatnonzero(home[lo:hi]), near), np.int64).reshape(-1, 2) + lo
+                u.append(rep[links[:, 0]])
+                v.append(rep[links[:, 1]])
+            u, v = np.concatenate(u), np.concatenate(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return run
+
+
+def _linkable(rows: DataFrame, labels: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (u, v) between members of one key and different labels that prefix filtering leaves, as forests.
+
+    labels: (rep, own, far).  Two members with different labels are never both of the main one.  A row travels to all
+    blocks of its shingle if it is far and one of the first ones of its set; and for what is left, far rows against first
+    ones of the main label, either those far rows or these first ones travel, whichever are fewer.
+    """
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in rows.select("members").mapInArrow(textkit.tidy(_counted), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        counts[r["slot"]] = r["n"]
+    tokens = rows.select("key", "rep", "members").mapInArrow(textkit.tidy(_prefixes(percent, counts)), "key long, rep long, n long, place long, first boolean")
+    tokens = cut(tokens.join(labels, "rep"))
+    sums = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("weight"), F.count_if("far").alias("fars"), F.count_if(~F.col("far") & F.col("first")).alias("mains"))
+    tokens = tokens.join(sums.filter("weight > 1 AND fars > 0"), "key").withColumn("blocks", F.ceil(F.col("weight") / BUCKET_BLOCK))
+    moves = F.when(F.col("far") & F.col("first"), True).when(F.col("far"), F.col("fars") <= F.col("mains")).otherwise(F.col("first") & (F.col("fars") > F.col("mains")))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    dealt = tokens.withColumn("travels", moves).withColumn("block", F.explode(F.when(F.col("travels"), every).otherwise(F.array(own)))).withColumn("home", F.col("block") == own)
+    dealt = dealt.select("key", "block", "rep", "n", "place", "first", "own", "travels", "home")
+    return dealt.repartition(n, "key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(textkit.tidy(_allowed(percent)), "u long, v long").filter("u <> v").distinct()
+
+
 def _labelled(found: DataFrame, rows: DataFrame, column: str, label: str) -> DataFrame:
     own = found.select(F.col("node").alias(column), F.col("component").alias(label))
     return rows.join(own, column, "left").withColumn(label, F.coalesce(label, column))
@@ -293,6 +389,8 @@ def _connected(rows: DataFrame, percent: int, exact: bool, most: int, more: Data
     wide = rows.filter("blocks > 1")
     if wide.isEmpty():
         return found
+    if exact:
+        return _connected_wide(wide, found, percent, most, links, n)
     wide = _labelled(found, wide, "rep", "own")
     by = wide.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "own"))["own"].alias("main"), F.count(F.lit(1)).alias("kinds"))
     wide = wide.join(by.filter("kinds > 1").select("key", "main"), "key")
@@ -304,6 +402,36 @@ def _connected(rows: DataFrame, percent: int, exact: bool, most: int, more: Data
     return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second))
 
 
+def _mains(labels: DataFrame) -> DataFrame:
+    """labels (key, rep, own) of the keys with several labels, with far: outside the commonest one."""
+    by = labels.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "own"))["own"].alias("main"), F.count(F.lit(1)).alias("kinds"))
+    return labels.join(by.filter("kinds > 1").select("key", "main"), "key").withColumn("far", F.col("own") != F.col("main")).drop("main")
+
+
+def _connected_wide(wide: DataFrame, found: DataFrame, percent: int, most: int, links: Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
+    """Components of the links in clusters of several blocks, whose blocks have been compared in themselves.
+
+    Full sets move once more only with the members of what prefix filtering leaves together and isn't connected yet.
+    """
+    labels = cut(_mains(_labelled(found, wide.select("key", "rep").distinct(), "rep", "own")))
+    if labels.isEmpty():
+        return found
+    edges = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    several = wide.join(labels.select("key").distinct(), "key", "left_semi")
+    loose = components(edges.unionByName(_linkable(several, labels.drop("key"), percent, n)))
+    parts = _mains(_labelled(loose, labels.select("rep", "own"), "rep", "key"))
+    sizes = wide.groupBy("rep").agg(F.sum(F.size("members")).alias("size"), F.max("blocks").alias("before"))
+    parts = cut(parts.join(sizes, "rep"))
+    weights = parts.groupBy("key").agg(F.sum("size").alias("weight"), F.max("before").alias("before"))
+    parts = parts.drop("before").join(weights, "key").withColumn("blocks", F.greatest(F.ceil(F.col("weight") / most), F.ceil(F.sqrt("before"))))
+    rows = wide.select("rep", "signature", "members").join(parts.select("key", "rep", "own", "far", "blocks"), "rep")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    rows = rows.withColumn("block", F.explode(F.when(F.col("far"), every).otherwise(F.array(own)))).withColumn("home", F.col("block") == own)
+    second = cut(links(rows.select("key", "block", "rep", "signature", "members", "own", "home", "far")))
+    return found if second.isEmpty() else components(edges.unionByName(second))
+
+
 def groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

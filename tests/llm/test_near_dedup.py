@@ -71,6 +71,67 @@ def test_small_blocks(spark, monkeypatch):
     test_chains_and_large_groups(spark)
 
 
+def look_alikes(n, seed=11):
+    """Documents of 60 words, each with 2 of them changed: alike enough for one cluster, few of them linked."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k in rng.sample(range(60), 2):
+            own[k] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_clusters_of_look_alikes(spark, monkeypatch):
+    """Parted by prefix filtering, in small blocks: no link is lost, and few full sets meet again."""
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 64)
+    monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 4000)
+    seen = []
+    real = near_dedup._linkable
+    monkeypatch.setattr(near_dedup, "_linkable", lambda *a: seen.append(a[1].count()) or real(*a))
+    check(spark, look_alikes(700))
+    assert seen and seen[0] > 350
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_prefixes_lose_no_link(percent):
+    rng = np.random.default_rng(12)
+    counts = np.zeros(near_dedup.COUNTERS, np.int64)
+    for _ in range(400):
+        universe = rng.choice(10**6, 60, replace=False).astype(np.uint64)
+        x, y = (np.sort(rng.choice(universe, rng.integers(1, 60), replace=False)) for _ in range(2))
+        x = np.unique(np.concatenate([x, y[: rng.integers(0, len(y) + 1)]]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both < percent * (len(x) + len(y) - both):
+            continue
+        (small, large) = sorted((x, y), key=len)
+        order = lambda s: s[np.lexsort((s, counts[(s % np.uint64(near_dedup.COUNTERS)).astype(np.int64)]))]
+        a, b = order(small)[: near_dedup.prefix_lengths(len(small), percent)[0]].tolist(), order(large)[: near_dedup.prefix_lengths(len(large), percent)[1]].tolist()
+        shared = [(i, b.index(t)) for i, t in enumerate(a) if t in b]
+        assert shared
+        i, j = shared[0]
+        assert (100 + percent) * min(len(small) - i, len(large) - j) >= percent * (len(small) + len(large))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just above the threshold, on all documents of sf0.1: those at 0.80 to 0.82 are all connected."""
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.component_id for r in groups(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
+    sets, having, near = {}, collections.defaultdict(list), []
+    for i, text in docs:
+        w = (text or "").encode().lower().split()
+        own = frozenset(hash(tuple(w[k : k + 4])) for k in range(max(1, len(w) - 3))) if w else frozenset()
+        shared = collections.Counter(j for s in own for j in having[s])
+        near += [(i, j, both / (len(own) + len(sets[j]) - both)) for j, both in shared.items() if 100 * both >= 80 * (len(own) + len(sets[j]) - both)]
+        sets[i] = own
+        for s in own:
+            having[s].append(i)
+    assert sum(x <= 0.82 for _, _, x in near) >= 10
+    assert all(got[i] == got[j] for i, j, _ in near)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "  "), (4, "one"), (5, "One"), (6, "one two"), (7, "a b c d"), (8, "A\tB c  d"), (9, "long " * 200_000), (10, "a b c d"), (10, "a b c d"), (11, "x"), (12, "é É")]
     check(spark, rows)
