@@ -13,6 +13,8 @@ given back and not stored.  All paths go through Hadoop's file systems.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -128,3 +130,13 @@ def run(store: Store, stream: DataFrame, compute: Callable[[DataFrame], DataFram
     return stream.writeStream.foreachBatch(lambda rows, batch: store.add(rows, batch, compute)).option("checkpointLocation", checkpoint)
 
 
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the whole cluster sees: below spark.checkpoint.dir, or on this machine if Spark runs on it alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+    return tempfile.mkdtemp(prefix="faktum-")
