@@ -71,3 +71,49 @@ def rel_overlap_counts(spark, sf_dir):
 
     spans = _spans(spark, sf_dir)
     return overlap_counts(spans, spans, ["o_custkey"], ("a", "b"), "o_orderkey")
+
+
+def _talks(spark, sf_dir):
+    """(source, id, json): a conversation as one document, and the properties of events."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    json = F.to_json(F.struct(F.col("conv_id").alias("id"), F.struct(F.size("turns").alias("n")).alias("meta"), "turns"))
+    talks = talks.select(F.lit("conversations").alias("source"), F.col("conv_id").alias("id"), json.alias("json"))
+    return talks.unionByName(table(spark, sf_dir, "events").select(F.lit("events").alias("source"), F.col("event_id").alias("id"), F.col("props").alias("json")))
+
+
+_TURNS = "t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS nr, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"
+
+
+@query(
+    f"""WITH {_TURNS},
+c AS (SELECT DISTINCT conv_id, n FROM t)
+SELECT 'conversations' AS source, conv_id AS id, unnest(['', 'id', 'meta', 'meta.n', 'turns']) AS path, unnest(['object', 'number', 'object', 'number', 'array']) AS kind, unnest([NULL, conv_id::VARCHAR, NULL, n::VARCHAR, NULL]) AS value FROM c
+UNION ALL SELECT 'conversations', conv_id, unnest(['turns.[' || nr || ']', 'turns.[' || nr || '].turn', 'turns.[' || nr || '].role', 'turns.[' || nr || '].text']), unnest(['object', 'number', 'string', 'string']), unnest([NULL, turn::VARCHAR, role, text]) FROM t
+UNION ALL SELECT 'events', event_id, '', 'object', NULL FROM events UNION ALL SELECT 'events', event_id, 'k', 'number', json_extract_string(props, '$.k') FROM events"""
+)
+def jsn_tree_rows(spark, sf_dir):
+    """JSN-1: documents flattened to a row for each node."""
+    from faktum.operators.trees import flatten
+
+    return flatten(_talks(spark, sf_dir), ["source", "id"], "json").select("source", "id", F.array_join("path", ".").alias("path"), "kind", "value")
+
+
+@query(
+    f"""WITH {_TURNS},
+s AS (SELECT conv_id, n, string_agg('{{"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || turn || '}}', ',' ORDER BY nr) AS turns, max(role) FILTER (nr = 0) AS first_role, max(turn) FILTER (nr = 1) AS second_turn FROM t GROUP BY conv_id, n)
+SELECT 'conversations' AS source, conv_id AS id, first_role, CAST(second_turn AS VARCHAR) AS second_turn, CAST(n AS VARCHAR) AS n,
+  '{{"id":{{"value":7}},"meta":{{"from":{{"table":"talks"}},"n":' || n || '}},"turns":[' || turns || ']}}' AS json FROM s
+UNION ALL SELECT 'events', event_id, NULL, NULL, NULL, '{{"id":{{"value":7}},"k":' || json_extract_string(props, '$.k') || ',"meta":{{"from":{{"table":"talks"}}}}}}' FROM events"""
+)
+def jsn_tree_edits(spark, sf_dir):
+    """JSN-11: looked up by dotted paths with places, inserted with objects on the way and over a number, and put together again."""
+    from faktum.operators.trees import assemble, flatten, insert, lookup
+
+    keys = ["source", "id"]
+    nodes = flatten(_talks(spark, sf_dir), keys, "json").persist()  # asked for at every level and by each look-up
+    changed = insert(insert(nodes, keys, "meta.from.table", "string", F.lit("talks")), keys, "id.value", "number", F.lit(7)).persist()
+    out = assemble(changed, keys)
+    for name, path in (("first_role", "turns[0].role"), ("second_turn", "turns[1].turn"), ("n", "meta.n")):
+        out = out.join(lookup(nodes, keys, path).select(*keys, F.col("value").alias(name)), keys, "left")
+    return out.select(*keys, "first_role", "second_turn", "n", "json")
