@@ -117,3 +117,28 @@ def jsn_tree_edits(spark, sf_dir):
     for name, path in (("first_role", "turns[0].role"), ("second_turn", "turns[1].turn"), ("n", "meta.n")):
         out = out.join(lookup(nodes, keys, path).select(*keys, F.col("value").alias(name)), keys, "left")
     return out.select(*keys, "first_role", "second_turn", "n", "json")
+
+
+_PAIRS = """p AS (SELECT page_id, html || html AS t, regexp_extract_all(html || html, '<a href="[^"]*">') AS e FROM pages),
+q AS (SELECT page_id, t, CASE WHEN page_id % 3 = 1 THEN list_reverse(e) ELSE e END AS e FROM p),
+i AS (SELECT page_id, t, list_transform(e, lambda x: CASE WHEN page_id % 3 = 2 AND ends_with(x, 'e">') THEN x || '!' ELSE x END) AS e, list_transform(e, lambda x: x[10:-3]) AS a FROM q WHERE len(e) > 0)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PAIRS},
+s AS (SELECT page_id, 0 AS k, 1 AS cursor, 0 AS spot FROM i
+  UNION ALL SELECT page_id, k + 1, CASE WHEN spot > 0 THEN spot ELSE cursor END, spot FROM (SELECT s.page_id, k, cursor, CASE WHEN instr(substring(t, cursor), e[k + 1]) > 0 THEN cursor + instr(substring(t, cursor), e[k + 1]) - 1
+    WHEN instr(t, e[k + 1]) > 0 THEN instr(t, e[k + 1]) ELSE instr(t, a[k + 1]) END AS spot FROM s JOIN i ON s.page_id = i.page_id WHERE k < len(e)))
+SELECT s.page_id, CAST(k - 1 AS INTEGER) AS ord, a[k] AS href, CAST(CASE WHEN spot > 0 THEN strlen(left(t, spot - 1)) ELSE 0 END AS BIGINT) AS "offset" FROM s JOIN i ON s.page_id = i.page_id WHERE k > 0"""
+)
+def ref_link_offsets(spark, sf_dir):
+    """REF-10, 11: links of pages that stand there twice, in their order, in reverse, and with evidence that isn't there, each with its place."""
+    from faktum.functions.locate import locate
+
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", "html").alias("t"))
+    pages = pages.withColumn("e", F.regexp_extract_all("t", F.lit('<a href="[^"]*">'), F.lit(0)))
+    pages = pages.withColumn("e", F.when(F.col("page_id") % 3 == 1, F.reverse("e")).otherwise(F.col("e")))
+    pages = pages.withColumn("a", F.transform("e", lambda x: F.substring(x, F.lit(10), F.length(x) - 11)))
+    pages = pages.withColumn("e", F.transform("e", lambda x: F.when((F.col("page_id") % 3 == 2) & x.endswith('e">'), F.concat(x, F.lit("!"))).otherwise(x)))
+    found = pages.select("page_id", F.posexplode(F.arrays_zip(F.col("a"), locate(F.col("t"), F.col("e"), F.col("a")).alias("o"))).alias("ord", "x"))
+    return found.select("page_id", "ord", F.col("x.a").alias("href"), F.col("x.o").alias("offset"))
