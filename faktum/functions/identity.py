@@ -35,7 +35,7 @@ def person(s: Column) -> Column:
 def dn_attribute(dn: Column, attribute: str) -> Column:
     """A part of a distinguished name; commas and plus signs that are escaped don't end one."""
     marked = F.regexp_replace(F.regexp_replace(dn, r"\\,", ""), r"\\\+", "")
-    parts = F.filter(F.transform(F.split(marked, "[,+]"), F.trim), lambda x: F.lower(F.trim(F.substring_index(x, "=", 1))).eqNullSafe(F.lit(attribute.lower())) & x.contains("="))
+    parts = F.filter(F.transform(F.split(marked, "[,+]"), lambda x: F.trim(x)), lambda x: F.lower(F.trim(F.substring_index(x, "=", 1))).eqNullSafe(F.lit(attribute.lower())) & x.rlike(r"=\s*[^\s]"))
     value = F.trim(F.regexp_replace(F.try_element_at(parts, F.lit(1)), r"\A[^=]*=", ""))
     return F.nullif(F.regexp_replace(F.translate(value, "", ",+"), r"\\(.)", "$1"), F.lit(""))
 

@@ -40,3 +40,39 @@ def previews(rows: DataFrame, keys: list[str], item: str, limit: int) -> DataFra
     total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     same = [shown[k].eqNullSafe(total[k]) for k in keys]
     return shown.join(total, same).select(*(shown[k] for k in keys), "shown", F.greatest(F.col("n") - limit, F.lit(0)).alias("hidden"))
+
+
+#: The views that a caller can ask for one of, and the kind of symbols that some of them are.
+PARTS = ("fileid", "values", "text", "literals", "metrics", "sections", "symbols", "identity", "errors")
+SYMBOLS = {"imports": "import", "exports": "export", "functions": "function", "calls": "call", "members": "member", "binds": "bind", "identifiers": "identifier"}
+SCHEMA_VERSION = "8"
+
+
+def chosen(views: list[str]) -> str:
+    """The one view that selectors name; `all` without any.  A ValueError tells unknown ones and several different ones."""
+    for view in views:
+        if view not in PARTS and view not in SYMBOLS and view != "all":
+            raise ValueError(f"unknown view: {view}")
+    if len(set(views)) > 1:
+        raise ValueError(f"one view at a time: {', '.join(sorted(set(views)))}")
+    return views[0] if views else "all"
+
+
+def view_json(bundles: DataFrame, views: list[str], key: str = "file_id") -> DataFrame:
+    """(key, json) of the view that is asked for.
+
+    bundles has a column for each of PARTS that it knows; `symbols` is an array of structs with a kind.  Of all views each
+    known part is a field; a part that bundles lacks, or that is null, is an empty list.  Only the columns that a view
+    needs are read.
+    """
+    view = chosen(views)
+    part = lambda name: F.coalesce(F.to_json(F.col(name)), F.lit("[]")) if name in bundles.columns else F.lit("[]")
+    if view in SYMBOLS:
+        own = F.filter("symbols", lambda x: x["kind"] == SYMBOLS[view]) if "symbols" in bundles.columns else None
+        text = F.lit("[]") if own is None else F.coalesce(F.to_json(own), F.lit("[]"))
+    elif view == "all":
+        fields = [x for name in PARTS for x in (F.lit(f',"{name}":'), part(name))]
+        text = F.concat(F.lit(f'{{"schema_version":"{SCHEMA_VERSION}"'), *fields, F.lit("}"))
+    else:
+        text = part(view)
+    return bundles.select(key, text.alias("json"))

@@ -32,11 +32,13 @@ _ARMS = " ".join(f"WHEN h LIKE '{x}%' THEN '{label}'" for x, label in identify.M
 
 @query(
     f"""SELECT path, CASE {_ARMS} END AS first_bytes_type, regexp_extract(path, '[^/]*$') AS basename,
-  lower(regexp_extract(regexp_extract(path, '[^/]*$'), '.\\.([^.]*)$', 1)) AS ext, octet_length(content) AS length FROM (SELECT path, content, hex(content[1:64]) AS h FROM (SELECT path, content FROM {_MAGIC}))"""
+  lower(regexp_extract(regexp_extract(path, '[^/]*$'), '.\\.([^.]*)$', 1)) AS ext, octet_length(content) AS length FROM (SELECT path, content, hex(content[1:64]) AS h FROM (SELECT doc_id || '/' || path AS path, content || encode(coalesce(text, '')) AS content FROM documents JOIN (SELECT row_number() OVER () - 1 AS k, * FROM {_MAGIC}) ON doc_id % {len(FILES)} = k))"""
 )
 def id_first_bytes(spark, sf_dir):
-    """The table of first bytes alone, with the parts of the path."""
-    files = rows(spark, "path string, content binary", *FILES)
+    """The table of first bytes alone, with the parts of the path, on documents behind first bytes of files."""
+    cases = F.broadcast(rows(spark, "k long, case string, head binary", *((k, *x) for k, x in enumerate(FILES))))
+    files = table(spark, sf_dir, "documents").join(cases, F.col("doc_id") % len(FILES) == F.col("k"))
+    files = files.select(F.concat("doc_id", F.lit("/"), "case").alias("path"), F.concat("head", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
     h = F.hex(F.substring("content", 1, 64))
     arms = identify.case([(h.startswith(x), F.lit(label)) for x, label in identify.MAGIC])
     return files.select("path", arms.alias("first_bytes_type"), identify.basename(F.col("path")).alias("basename"), identify.extension(F.col("path")).alias("ext"), F.octet_length("content").alias("length"))
@@ -63,10 +65,12 @@ LINES = ("#!/bin/sh", "#!/usr/bin/env python3 -u", "#!/usr/bin/env\tnode", "#!/u
 
 
 @query(
-    rf"""SELECT s, CASE {_INTERPRETERS} END AS language FROM (SELECT s, regexp_extract(CASE WHEN regexp_matches(s, '^#!/usr/bin/env[ \t]') THEN regexp_replace(s, '^#!/usr/bin/env[ \t]+', '') ELSE regexp_replace(s[3:], '^.*/', '') END, '^[^ \t]*') AS n FROM {values("s", *((x,) for x in LINES))} WHERE s LIKE '#!%')"""
+    rf"""SELECT doc_id, s, CASE {_INTERPRETERS} END AS language FROM (SELECT doc_id, s, regexp_extract(CASE WHEN regexp_matches(s, '^#!/usr/bin/env[ \t]') THEN regexp_replace(s, '^#!/usr/bin/env[ \t]+', '') ELSE regexp_replace(s[3:], '^.*/', '') END, '^[^ \t]*') AS n FROM (SELECT doc_id, {literal(LINES)}[1 + doc_id % {len(LINES)}] AS s FROM documents) WHERE s LIKE '#!%')"""
 )
 def id_shebang(spark, sf_dir):
-    return rows(spark, "s string", *((x,) for x in LINES)).filter("s LIKE '#!%'").select("s", identify.shebang(F.col("s")).alias("language"))
+    """ID-15: documents behind first lines of scripts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _picked(LINES, F.col("doc_id")).alias("s"), "text").filter("s LIKE '#!%'")
+    return docs.select("doc_id", "s", identify.shebang(F.concat("s", F.lit("\n"), F.coalesce("text", F.lit("")))).alias("language"))
 
 
 @query(
@@ -147,13 +151,34 @@ MEMBERS = (
     (2, 4, "__MACOSX/._a", 1, 1, "file", "stored", None, None, None, False, 0, 0), (2, 5, "ln", 0, 0, "symlink", "stored", 0o777, None, None, False, 0, 0), (2, 6, "bin/tool.exe", 3, 1, "file", "lzma-x", None, 8, 9, False, 0, 0), (3, 0, "only", 0, 0, "file", "stored", None, None, None, False, 0, 0),
 )
 _MEMBER_COLUMNS = "file_id, ord, path, size_bytes, compressed_bytes, entry_type, method, mode, mtime_unix, crc32, encrypted, extra_bytes, comment_bytes"
-_MEMBERS = values(_MEMBER_COLUMNS, *MEMBERS)
+#: What a line of an order becomes as a member of an archive: parts of its path and its mode, by its numbers.
+_FOLDERS = ("", "bin/", "lib/", "../", ".cfg/", "usr/lib/x/", "__MACOSX/", "a/b/", "/abs/")
+_ENDINGS = (".txt", ".exe", ".so", ".sh", ".pdf.exe", ".zip", ".py", "", ".jpg.scr", ".DLL", "\u0430.js", "\u202egnp.exe")
+_MODES = (None, 0o644, 0o755, 0o4755, 0o666, 0o2755, 0o1777)
+_LINE_MEMBERS = f"""SELECT l_orderkey AS file_id, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey AS ord, {literal(_FOLDERS)}[1 + l_suppkey % {len(_FOLDERS)}] || 'm' || (l_partkey % 7) || {literal(_ENDINGS)}[1 + l_partkey % {len(_ENDINGS)}] AS path,
+  CAST(l_quantity AS BIGINT) * 10 AS size_bytes, CAST(l_quantity AS BIGINT) * 10 // l_linenumber AS compressed_bytes, CASE WHEN l_partkey % 11 = 0 THEN 'symlink' WHEN l_suppkey % 9 = 0 THEN 'directory' ELSE 'file' END AS entry_type,
+  CASE l_linestatus WHEN 'O' THEN 'deflate' ELSE 'lzma-x' END AS method, {literal(_MODES)}[1 + (l_partkey + l_suppkey) % {len(_MODES)}] AS mode, CASE WHEN l_linenumber % 5 = 4 THEN NULL WHEN l_partkey % 13 = 0 THEN 4200000000 ELSE epoch(l_shipdate)::BIGINT // 5184000 END AS mtime_unix,
+  CASE WHEN l_linenumber % 6 < 5 THEN l_partkey % 50 END AS crc32, l_returnflag = 'R' AS encrypted, l_linenumber % 3 AS extra_bytes, l_linenumber % 2 * 5 AS comment_bytes FROM lineitem"""
+_MEMBERS = f"(SELECT * FROM {values(_MEMBER_COLUMNS, *MEMBERS)} UNION ALL {_LINE_MEMBERS}) AS t"
 _LIST = lambda xs: "(" + ", ".join(literal(x) for x in xs) + ")"
 _PREFIX = lambda xs: "(" + " OR ".join(f"starts_with(path, {literal(x)})" for x in xs) + ")"
 
 
-def _members(spark):
-    return rows(spark, "file_id long, ord long, path string, size_bytes long, compressed_bytes long, entry_type string, method string, mode long, mtime_unix long, crc32 long, encrypted boolean, extra_bytes long, comment_bytes long", *MEMBERS)
+def _picked(xs: tuple, number) -> "F.Column":
+    return F.element_at(F.array(*map(F.lit, xs)), (1 + number % len(xs)).cast("int"))
+
+
+def _members(spark, sf_dir):
+    """Typed members, and the lines of orders as members of archives."""
+    line, part, supplier = F.col("l_linenumber").cast("long"), F.col("l_partkey"), F.col("l_suppkey")
+    size = F.col("l_quantity").cast("long") * 10
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("file_id"), (line * 1_000_000_000 + part * 10_000 + supplier).alias("ord"), F.concat(_picked(_FOLDERS, supplier), F.lit("m"), part % 7, _picked(_ENDINGS, part)).alias("path"), size.alias("size_bytes"), F.floor(size / line).alias("compressed_bytes"),
+        F.when(part % 11 == 0, "symlink").when(supplier % 9 == 0, "directory").otherwise("file").alias("entry_type"), F.when(F.col("l_linestatus") == "O", "deflate").otherwise("lzma-x").alias("method"), _picked(_MODES, part + supplier).cast("long").alias("mode"),
+        F.when(line % 5 == 4, F.lit(None)).when(part % 13 == 0, 4_200_000_000).otherwise(F.floor(F.unix_timestamp("l_shipdate") / 5_184_000)).cast("long").alias("mtime_unix"), F.when(line % 6 < 5, part % 50).alias("crc32"),
+        (F.col("l_returnflag") == "R").alias("encrypted"), (line % 3).alias("extra_bytes"), (line % 2 * 5).alias("comment_bytes"),
+    )
+    return rows(spark, "file_id long, ord long, path string, size_bytes long, compressed_bytes long, entry_type string, method string, mode long, mtime_unix long, crc32 long, encrypted boolean, extra_bytes long, comment_bytes long", *MEMBERS).unionByName(lines)
 
 
 _ARC = rf"""
@@ -183,12 +208,12 @@ def member_metrics_sql(members: str) -> str:
 
 @query(member_metrics_sql(_MEMBERS))
 def arc_member_metrics(spark, sf_dir):
-    return A.member_metrics(_members(spark))
+    return A.member_metrics(_members(spark, sf_dir))
 
 
 @query(f"SELECT file_id, 'entry_type' AS what, replace(entry_type, '-', '_') AS kind, count(*) AS n FROM {_MEMBERS} GROUP BY ALL UNION ALL SELECT file_id, 'method', replace(method, '-', '_'), count(*) FROM {_MEMBERS} GROUP BY ALL")
 def arc_histograms(spark, sf_dir):
-    m = _members(spark)
+    m = _members(spark, sf_dir)
     own = lambda c: A.histogram(m, c).select("file_id", F.lit(c).alias("what"), F.col(c).alias("kind"), "n")
     return own("entry_type").unionByName(own("method"))
 
@@ -200,7 +225,7 @@ SELECT {key}, b AS dominant, n AS dominant_count, round(n / m, 6) AS dominant_fr
 
 @query(_dominant(_MEMBERS, "file_id", "mtime_unix"))
 def arc_dominant_mtime(spark, sf_dir):
-    return A.dominant(_members(spark), "file_id", "mtime_unix")
+    return A.dominant(_members(spark, sf_dir), "file_id", "mtime_unix")
 
 
 @query(_dominant("lineitem", "l_suppkey", "date_trunc('month', l_shipdate)"))
@@ -211,10 +236,10 @@ def rel_dominant_month(spark, sf_dir):
 
 @query(
     f"""WITH c AS (SELECT file_id, mtime_unix AS b, count(*) AS n FROM {_MEMBERS} GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, b DESC NULLS LAST) AS r, sum(n) OVER (PARTITION BY file_id) AS m FROM c)
-SELECT x.file_id, x.path, CAST(row_number() OVER (PARTITION BY x.file_id ORDER BY ord) AS INTEGER) AS rank FROM {_MEMBERS.replace(" AS t(", " AS x(")} JOIN t ON x.file_id = t.file_id AND t.r = 1 WHERE t.n / t.m > 0.5 AND t.n < t.m AND x.mtime_unix IS DISTINCT FROM t.b"""
+SELECT x.file_id, x.path, CAST(row_number() OVER (PARTITION BY x.file_id ORDER BY ord) AS INTEGER) AS rank FROM {_MEMBERS.removesuffix(" AS t")} AS x JOIN t ON x.file_id = t.file_id AND t.r = 1 WHERE t.n / t.m > 0.5 AND t.n < t.m AND x.mtime_unix IS DISTINCT FROM t.b"""
 )
 def arc_outliers(spark, sf_dir):
-    return A.outliers(_members(spark), "file_id", "mtime_unix", "ord").select("file_id", "path", "rank")
+    return A.outliers(_members(spark, sf_dir), "file_id", "mtime_unix", "ord").select("file_id", "path", "rank")
 
 
 # sections
@@ -223,23 +248,34 @@ SECTIONS = (
     (1, 0, ".text", 1024, 4096, ["executable", "read"], 6.1), (1, 1, ".data", 5120, 1024, ["writable", "read"], 3.2), (1, 2, "UPX0", 6144, 512, ["executable", "writable"], 7.9), (1, 3, ".bss", 6656, 0, ["writable"], None), (2, 0, "__TEXT,__text", 0, 100, ["execinstr"], 5.0), (2, 1, "__DATA,__odd", 100, 300, ["write"], 5.0), (3, 0, ".rodata", 10, 20, [], None),
 )
 LENGTHS = ((1, 9000), (2, 400), (3, 64))
-_SECTIONS = values("file_id, ord, name, file_offset, file_size, flags, entropy", *SECTIONS)
+_SECTION_NAMES = (".text", ".data", "UPX0", "__DATA,__odd", ".rodata", ".bss")
+_FLAGS = (["executable", "read"], ["writable", "read"], ["executable", "writable"], ["read"], ["execinstr"])
+_SECTIONS = f"""(SELECT * FROM {values("file_id, ord, name, file_offset, file_size, flags, entropy", *SECTIONS)} UNION ALL SELECT l_orderkey, l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey, {literal(_SECTION_NAMES)}[1 + l_partkey % {len(_SECTION_NAMES)}], l_linenumber * 700, CAST(l_quantity AS BIGINT) * 10,
+  {literal(_FLAGS)}[1 + l_suppkey % {len(_FLAGS)}], CASE WHEN l_linenumber % 4 < 3 THEN (l_partkey % 80)::DOUBLE / 9.7::DOUBLE END FROM lineitem WHERE l_orderkey > 9) AS t"""
+_LENGTHS = f"(SELECT * FROM {values('file_id, length', *LENGTHS)} UNION ALL SELECT o_orderkey, 2000 + o_custkey FROM orders WHERE o_orderkey > 9) AS t"
 _KNOWN = _LIST(S.STANDARD)
 
 
 @query(
     rf"""WITH s AS (SELECT *, list_has_any(flags, ['executable', 'execinstr']) AS x, list_has_any(flags, ['writable', 'write']) AS w, regexp_replace(regexp_replace(name, '^.*,', ''), '^[._]+', '') AS bare FROM {_SECTIONS}),
-a AS (SELECT file_id, count(*) AS count, round(max(entropy), 6) AS entropy_max, arg_max(name, entropy * 1000 - ord) AS entropy_max_section, round(avg(entropy), 6) AS entropy_mean, count(*) FILTER (x) AS executable_count, count(*) FILTER (w) AS writable_count, count(*) FILTER (x AND w) AS executable_writable_count,
+a AS (SELECT file_id, count(*) AS count, round(max(entropy), 6) AS entropy_max, (list(name ORDER BY entropy DESC, ord) FILTER (entropy IS NOT NULL))[1] AS entropy_max_section, round(avg(entropy), 6) AS entropy_mean, count(*) FILTER (x) AS executable_count, count(*) FILTER (w) AS writable_count, count(*) FILTER (x AND w) AS executable_writable_count,
   nullif(coalesce(sum(file_size) FILTER (x), 0), 0)::BIGINT AS code_size, count(*) FILTER (bare NOT IN {_KNOWN}) AS nonstandard_count, round(CASE WHEN count(entropy) >= 2 THEN var_pop(entropy) END, 6) AS entropy_variance,
   round(sum(entropy * file_size) FILTER (x AND entropy IS NOT NULL) / nullif(sum(file_size) FILTER (x AND entropy IS NOT NULL), 0), 6) AS code_entropy,
   round(sum(entropy * file_size) FILTER (w AND NOT x AND entropy IS NOT NULL) / nullif(sum(file_size) FILTER (w AND NOT x AND entropy IS NOT NULL), 0), 6) AS data_entropy,
   round(coalesce(sum(file_size) FILTER (x), 0) / nullif(coalesce(sum(file_size) FILTER (x), 0) + coalesce(sum(file_size) FILTER (w AND NOT x), 0), 0), 6) AS code_to_data_ratio, max(file_size) AS largest, max(file_offset + file_size) AS fin FROM s GROUP BY file_id),
 b AS (SELECT file_id, x, count(*) AS k FROM (SELECT file_id, unnest(regexp_extract_all(hex(encode(name)), '..')) AS x FROM s) GROUP BY ALL), ne AS (SELECT file_id, round(-sum((k / m) * log2(k / m)) + 0.0, 6) AS name_entropy FROM (SELECT *, sum(k) OVER (PARTITION BY file_id) AS m FROM b) GROUP BY file_id)
-SELECT a.* EXCLUDE (largest, fin), name_entropy, round(largest / length, 6) AS largest_section_ratio, CASE WHEN length > fin THEN 1.0::DOUBLE END AS has_overlay, CASE WHEN length > fin THEN CAST(length - fin AS BIGINT) END AS overlay_size, round(CASE WHEN length > fin THEN (length - fin) / length END, 6) AS overlay_ratio FROM a JOIN {values("file_id, length", *LENGTHS)} ON a.file_id = t.file_id LEFT JOIN ne ON ne.file_id = a.file_id"""
+SELECT a.* EXCLUDE (largest, fin), name_entropy, round(largest / length, 6) AS largest_section_ratio, CASE WHEN length > fin THEN 1.0::DOUBLE END AS has_overlay, CASE WHEN length > fin THEN CAST(length - fin AS BIGINT) END AS overlay_size, round(CASE WHEN length > fin THEN (length - fin) / length END, 6) AS overlay_ratio FROM a JOIN {_LENGTHS} ON a.file_id = t.file_id LEFT JOIN ne ON ne.file_id = a.file_id"""
 )
 def agg_sections(spark, sf_dir):
+    """AGG over typed sections, and over the lines of orders as sections of files."""
     s = rows(spark, "file_id long, ord long, name string, file_offset long, file_size long, flags array<string>, entropy double", *SECTIONS)
-    return S.section_metrics(s, rows(spark, "file_id long, length long", *LENGTHS))
+    line, part = F.col("l_linenumber").cast("long"), F.col("l_partkey")
+    flags = F.element_at(F.array(*(F.array(*map(F.lit, x)) for x in _FLAGS)), (1 + F.col("l_suppkey") % len(_FLAGS)).cast("int"))
+    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey > 9").select(
+        F.col("l_orderkey").alias("file_id"), (line * 1_000_000_000 + part * 10_000 + F.col("l_suppkey")).alias("ord"), _picked(_SECTION_NAMES, part).alias("name"), (line * 700).alias("file_offset"), (F.col("l_quantity").cast("long") * 10).alias("file_size"), flags.alias("flags"), F.when(line % 4 < 3, part % 80 / F.lit(9.7)).alias("entropy")
+    )
+    lengths = table(spark, sf_dir, "orders").filter("o_orderkey > 9").select(F.col("o_orderkey").alias("file_id"), (2000 + F.col("o_custkey")).alias("length"))
+    return S.section_metrics(s.unionByName(lines), rows(spark, "file_id long, length long", *LENGTHS).unionByName(lengths))
 
 
 @query(
@@ -258,11 +294,17 @@ WHOLES = ((1, 64), (2, 10), (3, 100))
 
 
 @query(
-    f"""WITH r AS (SELECT id, s, e FROM {values("id, s, e", *EXTENTS)} UNION ALL SELECT id, size, size FROM {values("id, size", *WHOLES)}), g AS (SELECT id, s, coalesce(max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM r)
+    f"""WITH x AS (SELECT -id AS id, s, e FROM {values("id, s, e", *EXTENTS)} UNION ALL SELECT o_custkey, epoch(o_orderdate)::BIGINT // 86400, epoch(o_orderdate)::BIGINT // 86400 + 30 FROM orders),
+r AS (SELECT id, s, e FROM x UNION ALL SELECT -id, size, size FROM {values("id, size", *WHOLES)} UNION ALL SELECT c_custkey, 30000, 30000 FROM customer), g AS (SELECT id, s, coalesce(max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM r)
 SELECT id, b AS gap_start, s - b AS gap_bytes FROM g WHERE s - b >= 1"""
 )
 def anm_unclaimed(spark, sf_dir):
-    return S.unclaimed(rows(spark, "id long, s long, e long", *EXTENTS), "id", "s", "e", rows(spark, "id long, size long", *WHOLES), "size")
+    """ANM-6: what no extent covers, of typed files, and of the days that a customer's orders leave."""
+    day = F.floor(F.unix_timestamp("o_orderdate") / 86_400)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), day.alias("s"), (day + 30).alias("e"))
+    extents = rows(spark, "id long, s long, e long", *((-i, a, b) for i, a, b in EXTENTS)).unionByName(orders)
+    whole = rows(spark, "id long, size long", *((-i, n) for i, n in WHOLES)).unionByName(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(30_000).cast("long").alias("size")))
+    return S.unclaimed(extents, "id", "s", "e", whole, "size")
 
 
 @query(
@@ -397,33 +439,44 @@ BASES = ("foo-1.2.3.tar.gz", "2020-01-15-bar_v2.zip", "2020-vision.tar.gz", "nov
 _NAMED = (("foo-1.2.3.tar.gz", "foo", "1.2.3"), ("2020-01-15-bar_v2.zip", "bar", "v2"), ("2020-vision.tar.gz", None, None), ("noversion.zip", None, None), ("a-b-3.4rc1.tar.bz2", "a-b", "3.4rc1"), ("x.y-1.0.whl", "x.y", "1.0"), ("plain.txt", None, None), ("-1.0.zip", "-1", "0"), ("lib.2.TGZ", "lib", "2"), ("foo-1.0!.zip", None, None))
 
 
-@query("SELECT * FROM " + values("base, name, version", *_NAMED))
+@query("SELECT * FROM " + values("base, name, version", *_NAMED) + " UNION ALL SELECT 'part' || p_partkey || '-kit-' || p_size || '.' || p_partkey % 10 || '.tar.gz', 'part' || p_partkey || '-kit', p_size || '.' || p_partkey % 10 FROM part")
 def idy_name_version(spark, sf_dir):
-    return rows(spark, "base string", *((x,) for x in BASES)).select("base", I.name_version(F.col("base")).alias("x")).select("base", "x.name", "x.version")
+    """Typed names, and names of archives made of parts and their sizes."""
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("part"), "p_partkey", F.lit("-kit-"), "p_size", F.lit("."), F.col("p_partkey") % 10, F.lit(".tar.gz")).alias("base"))
+    return rows(spark, "base string", *((x,) for x in BASES)).unionByName(parts).select("base", I.name_version(F.col("base")).alias("x")).select("base", "x.name", "x.version")
 
 
 PEOPLE = (("Ann Lee <ann@x.org> (https://x.org)", "Ann Lee", "ann@x.org", "https://x.org"), ("Bo", "Bo", None, None), ("<c@d>", None, "c@d", None), ("E ( u )", "E", None, "u"), ("", None, None, None))
 
 
-@query("SELECT * FROM " + values("s, name, email, url", *PEOPLE))
+@query("SELECT * FROM " + values("s, name, email, url", *PEOPLE) + " UNION ALL SELECT c_name || ' <c' || c_custkey || '@' || lower(c_mktsegment) || '.example> (https://' || c_nationkey || '.example)', c_name, 'c' || c_custkey || '@' || lower(c_mktsegment) || '.example', 'https://' || c_nationkey || '.example' FROM customer")
 def idy_person(spark, sf_dir):
-    return rows(spark, "s string", *((x[0],) for x in PEOPLE)).select("s", I.person(F.col("s")).alias("x")).select("s", "x.*")
+    """Typed persons, and customers with addresses."""
+    who = table(spark, sf_dir, "customer").select(F.concat("c_name", F.lit(" <c"), "c_custkey", F.lit("@"), F.lower("c_mktsegment"), F.lit(".example> (https://"), "c_nationkey", F.lit(".example)")).alias("s"))
+    return rows(spark, "s string", *((x[0],) for x in PEOPLE)).unionByName(who).select("s", I.person(F.col("s")).alias("x")).select("s", "x.*")
 
 
 NAMES_DN = (("CN=Acme\\, Inc.,O=Acme + L=Oslo", "Acme, Inc.", "Acme", "Oslo"), ("O = Sole", None, "Sole", None), ("CN=", None, None, None))
 
 
-@query("SELECT * FROM " + values("dn, cn, o, l", *NAMES_DN))
+@query("SELECT * FROM " + values("dn, cn, o, l", *NAMES_DN) + " UNION ALL SELECT 'CN=' || s_name || '\\, Ltd.,O=' || s_suppkey || ' + L=' || n_name, s_name || ', Ltd.', s_suppkey::VARCHAR, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def idy_dn_attributes(spark, sf_dir):
-    return rows(spark, "dn string", *((x[0],) for x in NAMES_DN)).select("dn", *(I.dn_attribute(F.col("dn"), a).alias(a) for a in ("cn", "o", "l")))
+    """Typed names, and suppliers with their nations."""
+    who = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("CN="), "s_name", F.lit("\\, Ltd.,O="), "s_suppkey", F.lit(" + L="), "n_name").alias("dn"))
+    return rows(spark, "dn string", *((x[0],) for x in NAMES_DN)).unionByName(who).select("dn", *(I.dn_attribute(F.col("dn"), a).alias(a) for a in ("cn", "o", "l")))
 
 
 URLS = (("git+https://github.com/Own/Repo.git#main", "pkg:github/own/repo"), ("https://gitlab.com/a/b/-/tree", "pkg:gitlab/a/b"), ("ssh://git@github.com/x/y", "pkg:github/x/y"), ("https://example.com/a/b", None))
 
 
-@query("SELECT * FROM " + values("url, purl", *URLS))
+_FORGES = ("git+https://github.com/", "https://gitlab.com/", "https://forge.example/")
+
+
+@query(f"SELECT * FROM {values('url, purl', *URLS)} UNION ALL SELECT {literal(_FORGES)}[1 + o_orderkey % 3] || 'Own' || o_custkey || '/Repo' || o_orderkey || '.git', CASE o_orderkey % 3 WHEN 0 THEN 'pkg:github/own' WHEN 1 THEN 'pkg:gitlab/own' END || o_custkey || '/repo' || o_orderkey FROM orders")
 def ref_forge_purl(spark, sf_dir):
-    return rows(spark, "url string", *((x[0],) for x in URLS)).select("url", I.forge_purl(F.col("url")).alias("purl"))
+    """Typed addresses, and addresses made of orders and their customers."""
+    made = table(spark, sf_dir, "orders").select(F.concat(_picked(_FORGES, F.col("o_orderkey")), F.lit("Own"), "o_custkey", F.lit("/Repo"), "o_orderkey", F.lit(".git")).alias("url"))
+    return rows(spark, "url string", *((x[0],) for x in URLS)).unionByName(made).select("url", I.forge_purl(F.col("url")).alias("purl"))
 
 
 @query("""SELECT c_nationkey, md5(array_to_string(list_sort(list_distinct(list(lower(c_mktsegment)))), ',')) AS segments_hash, md5(array_to_string(list_sort(list_distinct(list(lower(c_name)))), ',')) AS names_hash FROM customer GROUP BY c_nationkey""")
@@ -438,8 +491,11 @@ DOS = ((0x5A21, 0x6000), (0x0021, 0), (0, 5), (0x50CF, 0xBF7D))
 
 
 @query(
-    f"""SELECT d, t, CASE WHEN d > 0 THEN (epoch(make_date(1980 + (d >> 9), (d >> 5) & 15, d & 31))::BIGINT + (t >> 11) * 3600 + ((t >> 5) & 63) * 60 + (t & 31) * 2)::BIGINT END AS unix, ((d::BIGINT * 10000000 + 116444736000000000) // 10000000 - 11644473600)::BIGINT AS from_filetime FROM {values("d, t", *DOS)}"""
+    f"""SELECT d, t, CASE WHEN d > 0 THEN (epoch(make_date(1980 + (d >> 9), (d >> 5) & 15, d & 31))::BIGINT + (t >> 11) * 3600 + ((t >> 5) & 63) * 60 + (t & 31) * 2)::BIGINT END AS unix, ((d::BIGINT * 10000000 + 116444736000000000) // 10000000 - 11644473600)::BIGINT AS from_filetime FROM (SELECT * FROM {values("d, t", *DOS)} UNION ALL SELECT ((year(l_shipdate) - 1980) << 9) + (month(l_shipdate) << 5) + day(l_shipdate), (CAST(l_quantity AS BIGINT) % 24 << 11) + (l_partkey % 60 << 5) + l_suppkey % 30 FROM lineitem)"""
 )
 def dt_conversions(spark, sf_dir):
+    """Typed times, and the days of shipments with times of their numbers."""
     d, t = F.col("d"), F.col("t")
-    return rows(spark, "d int, t int", *DOS).select("d", "t", I.dos_time(d, t).alias("unix"), I.filetime(d.cast("long") * 10_000_000 + 116_444_736_000_000_000).alias("from_filetime"))
+    day = (F.year("l_shipdate") - 1980) * 512 + F.month("l_shipdate") * 32 + F.dayofmonth("l_shipdate")
+    lines = table(spark, sf_dir, "lineitem").select(day.alias("d"), ((F.col("l_quantity").cast("long") % 24) * 2048 + (F.col("l_partkey") % 60) * 32 + F.col("l_suppkey") % 30).cast("int").alias("t"))
+    return rows(spark, "d int, t int", *DOS).unionByName(lines).select("d", "t", I.dos_time(d, t).alias("unix"), I.filetime(d.cast("long") * 10_000_000 + 116_444_736_000_000_000).alias("from_filetime"))

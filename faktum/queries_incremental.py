@@ -142,3 +142,26 @@ def ref_link_offsets(spark, sf_dir):
     pages = pages.withColumn("e", F.transform("e", lambda x: F.when((F.col("page_id") % 3 == 2) & x.endswith('e">'), F.concat(x, F.lit("!"))).otherwise(x)))
     found = pages.select("page_id", F.posexplode(F.arrays_zip(F.col("a"), locate(F.col("t"), F.col("e"), F.col("a")).alias("o"))).alias("ord", "x"))
     return found.select("page_id", "ord", F.col("x.a").alias("href"), F.col("x.o").alias("offset"))
+
+
+_RECORDS = """r AS (SELECT p_partkey, p_name, p_brand, p_size, max(epoch(l_shipdate)::BIGINT) AS last, min(epoch(l_shipdate)::BIGINT) AS first, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS total, count(DISTINCT l_suppkey) AS suppliers FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL),
+f AS (SELECT p_partkey, unnest(['ecosystem', 'name', 'version', 'author', 'title', 'deprecated']) AS key, unnest(['npm', p_name, p_size || '.0', p_brand, CASE WHEN p_partkey % 3 > 0 THEN p_name END, CASE p_partkey % 5 WHEN 0 THEN 'old' WHEN 1 THEN '' END]) AS text, NULL::DOUBLE AS number FROM r
+UNION ALL SELECT p_partkey, unnest(['published_at', 'first_published_at', 'previous_published_at', 'release_count', 'downloads_total', 'maintainers', 'rating', 'rating_count', 'has_install_script', 'publisher_verified', 'is_deprecated', 'days_since_previous_release']), NULL,
+  unnest([last, first, CASE WHEN n > 1 THEN first + 7 * p_size END, n, total, suppliers, (p_size / 10)::FLOAT::DOUBLE, p_size, (p_size % 2 = 0)::INTEGER, CASE WHEN p_partkey % 2 = 0 THEN 1 END, (p_partkey % 5 < 2)::INTEGER, CASE WHEN n > 1 THEN greatest(last - first - 7 * p_size, 0) // 86400 END]::DOUBLE[]) FROM r)"""
+
+
+@query(f"WITH {_RECORDS} SELECT p_partkey, 'registry.' || key AS key, text, number FROM f WHERE text <> '' OR number IS NOT NULL")
+def jsn_registry_records(spark, sf_dir):
+    """JSN-8: records of parts as packages, whose releases are their shipments."""
+    from faktum.operators.registry_records import facts
+
+    at = F.unix_timestamp("l_shipdate")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max(at).alias("last"), F.min(at).alias("first"), F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("total"), F.countDistinct("l_suppkey").alias("suppliers"))
+    rows = table(spark, sf_dir, "part").join(lines, F.col("p_partkey") == F.col("l_partkey"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    record = F.struct(
+        F.lit("npm").alias("ecosystem"), F.col("p_name").alias("name"), F.concat(size, F.lit(".0")).alias("version"), F.col("p_brand").alias("author"), F.when(key % 3 > 0, F.col("p_name")).alias("title"), F.when(key % 5 == 0, "old").when(key % 5 == 1, "").alias("deprecated"),
+        F.col("last").alias("published_at"), F.col("first").alias("first_published_at"), F.when(F.col("n") > 1, F.col("first") + 7 * size).alias("previous_published_at"), F.col("n").alias("release_count"), F.col("total").alias("downloads_total"), F.col("suppliers").alias("maintainers"),
+        (size / 10).alias("rating"), size.alias("rating_count"), (size % 2 == 0).alias("has_install_script"), F.when(key % 2 == 0, True).alias("publisher_verified"), F.lit("more").alias("unknown_field"),
+    )
+    return facts(rows.select("p_partkey", F.to_json(record).alias("json")), ["p_partkey"], "json")

@@ -148,3 +148,34 @@ def src_tree_patterns(spark, sf_dir):
     pages = markup.nodes(spread(table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "html")), ["source", "id"], "html")
     scripts = _nodes(spark, sf_dir).filter("source = 'orders'")
     return match_all(pages, ["source", "id"], _IN_PAGES).unionByName(match_all(scripts, ["source", "id"], _IN_SCRIPTS))
+
+
+#: What all scripts of pages have in common; the call's argument is their own.
+_PAGE_SYMBOLS = '{"kind":"bind","name":"t","offset":4},{"kind":"identifier","name":"t","offset":4},{"kind":"call","name":"track()","offset":13},{"kind":"identifier","name":"track","offset":13}'
+_PAGE_VIEWS = ("fileid", "literals", "metrics", "sections", "symbols", "calls", "binds", "identifiers", "exports", "all")
+
+
+@query(
+    f"""WITH v AS (SELECT page_id, '{{"path":"' || url || '","type":"html"}}' AS f, '{{"size_bytes":' || strlen(html) || ',"scripts":1}}' AS m FROM pages)
+SELECT page_id, view, CASE view WHEN 'fileid' THEN f WHEN 'literals' THEN '["</p>"]' WHEN 'metrics' THEN m WHEN 'symbols' THEN '[{_PAGE_SYMBOLS}]' WHEN 'calls' THEN '[{{"kind":"call","name":"track()","offset":13}}]' WHEN 'binds' THEN '[{{"kind":"bind","name":"t","offset":4}}]'
+  WHEN 'identifiers' THEN '[{{"kind":"identifier","name":"t","offset":4}},{{"kind":"identifier","name":"track","offset":13}}]' WHEN 'all' THEN '{{"schema_version":"8","fileid":' || f || ',"values":[],"text":[],"literals":["</p>"],"metrics":' || m || ',"sections":[],"symbols":[{_PAGE_SYMBOLS}],"identity":[],"errors":[]}}' ELSE '[]' END AS json
+FROM v, (SELECT unnest({list(_PAGE_VIEWS)!r}) AS view)"""
+)
+def snk_views(spark, sf_dir):
+    """SNK-1: views of pages as JSON, by selector: what they are, measures, and literals and symbols of their scripts."""
+    from functools import reduce
+
+    from faktum.plans.views import view_json
+    from faktum.sources.scripts import elements, nodes
+
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = nodes(elements(pages, "page_id", "html").filter("kind = 'script'"), ["page_id", "ord"], "body")
+    kind = F.when(F.col("kind").isin("assign", "declare"), "bind").otherwise(F.col("kind"))
+    symbol = F.when(F.col("name").isNotNull() & kind.isin("bind", "identifier", "call", "member", "function"), F.struct("ord", "node", kind.alias("kind"), "name", F.col("start").alias("offset")))
+    literal_ = F.when(F.col("kind") == "string", F.struct("ord", "node", "name"))
+    by_page = found.groupBy("page_id").agg(F.array_sort(F.collect_list(symbol)).alias("s"), F.array_sort(F.collect_list(literal_)).alias("l"), F.count_distinct("ord").alias("scripts"))
+    symbols = F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["name"].alias("name"), x["offset"].alias("offset")))
+    bundles = pages.join(by_page, "page_id", "left").select(
+        "page_id", F.struct(F.col("url").alias("path"), F.lit("html").alias("type")).alias("fileid"), F.struct(F.octet_length("html").alias("size_bytes"), "scripts").alias("metrics"), F.col("l.name").alias("literals"), symbols.alias("symbols")
+    )
+    return reduce(lambda a, b: a.unionByName(b), (view_json(bundles, [v], "page_id").select("page_id", F.lit(v).alias("view"), "json") for v in _PAGE_VIEWS))
