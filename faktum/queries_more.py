@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faktum.functions import bytes as B
 from faktum.functions import text as T
 from faktum.operators.names import entropy
-from faktum.registry import query, rows, table, values
+from faktum.registry import lines, lines_sql, query, rows, table, values
 
 
 def string_metrics(strings):
@@ -39,7 +39,7 @@ def agg_strings(spark, sf_dir):
 
 
 RECTANGLES = ((1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 5.0, 5.0, 15.0, 15.0), (1, 2, 10.0, 10.0, 20.0, 20.0), (1, 3, 9.0, 9.0, 1.0, 1.0), (2, 0, 0.0, 0.0, 0.0, 0.0), (2, 1, 0.0, 0.0, 5.0, 5.0))
-_RECTANGLES = values("file_id, ord, x1, y1, x2, y2", *RECTANGLES)
+_RECTANGLES = f"(SELECT * FROM {values('file_id, ord, x1, y1, x2, y2', *RECTANGLES)} UNION ALL SELECT 1000 + l_orderkey, l_linenumber, l_partkey % 50, l_suppkey % 40, l_quantity, l_suppkey % 40 - l_linenumber * 3 FROM lineitem) AS t"
 
 
 @query(
@@ -48,7 +48,9 @@ SELECT p.file_id, count(*) AS overlapping_pairs FROM r p JOIN r q ON p.file_id =
 )
 def anm_overlapping_fields(spark, sf_dir):
     """ANM-22: pairs of a form's rectangles that overlap, among its first 2,000 fields (the operator's own limit)."""
-    r = rows(spark, "file_id long, ord long, x1 double, y1 double, x2 double, y2 double", *RECTANGLES).filter("ord < 2000")
+    r = rows(spark, "file_id long, ord long, x1 double, y1 double, x2 double, y2 double", *RECTANGLES)
+    line = table(spark, sf_dir, "lineitem").select((1000 + F.col("l_orderkey")).alias("file_id"), F.col("l_linenumber").cast("long").alias("ord"), (F.col("l_partkey") % 50).cast("double").alias("x1"), (F.col("l_suppkey") % 40).cast("double").alias("y1"), F.col("l_quantity").alias("x2"), (F.col("l_suppkey") % 40 - F.col("l_linenumber") * 3).cast("double").alias("y2"))
+    r = r.unionByName(line).filter("ord < 2000")
     r = r.selectExpr("file_id", "ord", "least(x1, x2) a", "greatest(x1, x2) b", "least(y1, y2) c", "greatest(y1, y2) d")
     p, q = r.alias("p"), r.alias("q")
     hit = p.join(q, F.expr("p.file_id = q.file_id AND p.ord < q.ord AND p.a < q.b AND q.a < p.b AND p.c < q.d AND q.c < p.d"))
@@ -60,12 +62,12 @@ NEEDED = ((1, "needed", "libc.so.6"), (1, "needed", "/opt/x/liby.so"), (1, "need
 
 @query(
     f"""SELECT file_id, count(*) FILTER (view = 'needed') AS dependencies, count(*) FILTER (view = 'needed' AND name LIKE '/%') AS abs_path_count, count(*) FILTER (view = 'needed' AND contains(name, '../')) AS traversal_count,
-  bool_or(view = 'needed' AND regexp_matches(name, '^ld-')) AS has_direct_loader_dep, bool_or(view IN ('runpath', 'rpath') AND contains(name, '$ORIGIN')) AS runpath_uses_origin FROM {values("file_id, view, name", *NEEDED)} GROUP BY file_id"""
+  bool_or(view = 'needed' AND regexp_matches(name, '^ld-')) AS has_direct_loader_dep, bool_or(view IN ('runpath', 'rpath') AND contains(name, '$ORIGIN')) AS runpath_uses_origin FROM {lines_sql("file_id, view, name", *NEEDED)} GROUP BY file_id"""
 )
 def anm_dependencies(spark, sf_dir):
     """ANM-8: predicates over needed libraries and search paths."""
     n, needed = F.col("name"), F.col("view") == "needed"
-    return rows(spark, "file_id long, view string, name string", *NEEDED).groupBy("file_id").agg(
+    return lines(spark, sf_dir, "file_id long, view string, name string", *NEEDED).groupBy("file_id").agg(
         F.count_if(needed).alias("dependencies"),
         F.count_if(needed & n.startswith("/")).alias("abs_path_count"),
         F.count_if(needed & n.contains("../")).alias("traversal_count"),
@@ -78,15 +80,16 @@ SPANS = ((1, 0, 4), (1, 4, 2), (1, 10, 1), (1, 11, 3), (1, 20, 0), (2, 5, 5))
 
 
 @query(
-    f"""WITH s AS (SELECT file_id, off, n FROM {values("file_id, off, n", *SPANS)} WHERE n > 0), g AS (SELECT *, sum(CASE WHEN off = prior THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY off) AS run FROM (SELECT *, lag(off + n) OVER (PARTITION BY file_id ORDER BY off) AS prior FROM s))
+    f"""WITH s AS (SELECT file_id, off, n FROM {values("file_id, off, n", *SPANS)} WHERE n > 0 UNION ALL SELECT DISTINCT 1000 + o_custkey, epoch(o_orderdate)::BIGINT // 864000 * 10, 10 FROM orders), g AS (SELECT *, sum(CASE WHEN off = prior THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY off) AS run FROM (SELECT *, lag(off + n) OVER (PARTITION BY file_id ORDER BY off) AS prior FROM s))
 SELECT file_id, min(off) AS start, sum(n)::BIGINT AS len FROM g GROUP BY file_id, run"""
 )
 def rel_coalesced_spans(spark, sf_dir):
     """D7: empty spans go, and those that touch become one."""
-    s = rows(spark, "file_id long, off long, n long", *SPANS).filter("n > 0")
-    w = W.partitionBy("file_id").orderBy("off")
-    s = s.withColumn("prior", F.lag(F.col("off") + F.col("n")).over(w)).withColumn("run", F.sum(F.when(F.col("off") == F.col("prior"), 0).otherwise(1)).over(w))
-    return s.groupBy("file_id", "run").agg(F.min("off").alias("start"), F.sum("n").alias("len")).drop("run")
+    from faktum.operators.located import runs
+
+    days = table(spark, sf_dir, "orders").select((1000 + F.col("o_custkey")).alias("file_id"), (F.floor(F.unix_timestamp("o_orderdate") / 864_000) * 10).alias("off"), F.lit(10).cast("long").alias("n")).distinct()
+    found = runs(rows(spark, "file_id long, off long, n long", *SPANS).unionByName(days), ["file_id"], "off", "n")
+    return found.select("file_id", F.col("offset").alias("start"), "len")
 
 
 @query("""SELECT e.user_id, event_type AS kind, count(*) AS n, count(DISTINCT date_trunc('day', ts)) AS days FROM events e GROUP BY ALL""")
@@ -168,12 +171,12 @@ def arc_zip_layout(spark, sf_dir):
 LINKS = ((1, "symlink", "/etc/passwd"), (1, "symlink", "a/../b"), (1, "symlink", "a..b/c"), (1, "file", "/x"), (2, "symlink", ".."), (2, "hardlink", "../x"), (2, "symlink", None), (3, "file", None))
 
 
-@query(f"SELECT file_id, count(*) FILTER (entry_type = 'symlink' AND (linkname LIKE '/%' OR list_contains(string_split(linkname, '/'), '..'))) AS symlink_escape_count FROM {values('file_id, entry_type, linkname', *LINKS)} GROUP BY file_id")
+@query(f"SELECT file_id, count(*) FILTER (entry_type = 'symlink' AND (linkname LIKE '/%' OR list_contains(string_split(linkname, '/'), '..'))) AS symlink_escape_count FROM {lines_sql('file_id, entry_type, linkname', *LINKS)} GROUP BY file_id")
 def arc_symlink_escapes(spark, sf_dir):
     """ARC-19, of tars."""
     from faktum.operators.archive import symlink_escapes
 
-    return symlink_escapes(rows(spark, "file_id int, entry_type string, linkname string", *LINKS))
+    return symlink_escapes(lines(spark, sf_dir, "file_id int, entry_type string, linkname string", *LINKS))
 
 
 _CLSID = bytes.fromhex("0114020000000000C000000000000046")
@@ -196,7 +199,7 @@ LOADED = (
     (1, 0, ".text", 512, 600, ["write", "execinstr"]), (1, 1, ".data", 512, 2049, ["write"]), (1, 2, ".data", 512, 2048, ["write"]), (1, 3, ".bss", 0, 9000, ["write"]), (2, 0, ".rodata", 10, 41, []), (2, 1, ".debug_info", 10, 10, []), (2, 2, ".debug_line", 10, 0, []), (2, 3, ".rodata", 10, 40, ["write"]),
     (2, 4, ".hash", 8, 8, []), (3, 0, ".hash", 8, 8, ["alloc"]), (3, 1, ".gnu.hash", 8, 8, ["alloc"]), (3, 2, ".debug_str", 8, 8, ["compressed"]), (3, 3, ".debug_str", 8, 8, ["compressed"]), (3, 4, ".note", 8, 8, None),
 )
-_LOADED = values("file_id, ord, name, file_size, virtual_size, flags", *LOADED)
+_LOADED = lines_sql("file_id, ord, name, file_size, virtual_size, flags", *LOADED)
 _LOADED_DDL = "file_id int, ord int, name string, file_size int, virtual_size int, flags array<string>"
 
 
@@ -205,7 +208,7 @@ def anm_inflated_sections(spark, sf_dir):
     """ANM-13."""
     from faktum.operators.sections import inflated
 
-    return inflated(rows(spark, _LOADED_DDL, *LOADED)).select("file_id", "ord", "name")
+    return inflated(lines(spark, sf_dir, _LOADED_DDL, *LOADED)).select("file_id", "ord", "name")
 
 
 @query(
@@ -216,4 +219,4 @@ def anm_section_table(spark, sf_dir):
     """ANM-6: duplicate names, writable code and constants, debug and compressed sections, hash tables."""
     from faktum.operators.sections import table_anomalies
 
-    return table_anomalies(rows(spark, _LOADED_DDL, *LOADED))
+    return table_anomalies(lines(spark, sf_dir, _LOADED_DDL, *LOADED))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faktum.operators import provenance as P
-from faktum.registry import query, rows, table, values
+from faktum.registry import lines, lines_sql, query, rows, table, values
 
 PATHS = (
     (1, 0, "/build/a", "elf.dwarf.comp_dirs"), (1, 1, "/home/me/a", "elf.dwarf.comp_dirs"), (1, 2, "/Users/x", "strings"), (2, 0, "/src/b", "elf.dwarf.comp_dirs"), (2, 1, "D:\\b\\b.pdb", "pe.debug.pdb.path"), (2, 2, "/home/z", "strings"),
@@ -14,29 +14,29 @@ PATHS = (
 
 
 @query(
-    rf"""WITH c AS (SELECT *, regexp_matches(lower(path), '/users/|/home/|\\users\\') AS home, CASE source WHEN 'pe.debug.pdb.path' THEN 1 WHEN 'elf.dwarf.comp_dirs' THEN 2 ELSE 3 END AS r FROM {values('file_id, ord, path, source', *PATHS)} WHERE path IS NOT NULL),
+    rf"""WITH c AS (SELECT *, regexp_matches(lower(path), '/users/|/home/|\\users\\') AS home, CASE source WHEN 'pe.debug.pdb.path' THEN 1 WHEN 'elf.dwarf.comp_dirs' THEN 2 ELSE 3 END AS r FROM {lines_sql('file_id, ord, path, source', *PATHS)} WHERE path IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY r = 3, NOT home, r, ord) AS n FROM c) SELECT file_id, path AS build_path, source FROM k WHERE n = 1"""
 )
 def idy_build_path(spark, sf_dir):
     """IDY-21."""
-    return P.build_path(rows(spark, "file_id int, ord int, path string, source string", *PATHS))
+    return P.build_path(lines(spark, sf_dir, "file_id int, ord int, path string, source string", *PATHS))
 
 
 AUTHORS = ((1, 0, "A", "a@x", "author"), (1, 1, "A", "a@x", "owner"), (1, 2, "A", None, "maintainer"), (1, 3, None, "a@x", "owner"), (1, 4, None, None, "owner"), (1, 5, "B", "b@x", "owner"), (2, 0, None, "z@y", "author"), (2, 1, None, "z@y", "owner"), (2, 2, "C", None, "owner"), (2, 3, "C", None, "author"))
-_AUTHORS = values("file_id, ord, name, email, role", *AUTHORS)
+_AUTHORS = lines_sql("file_id, ord, name, email, role", *AUTHORS)
 _AUTHORS_DDL = "file_id int, ord int, name string, email string, role string"
 
 
-@query(f"SELECT file_id, ord, name, email, role FROM {_AUTHORS} a WHERE (name IS NOT NULL OR email IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM {_AUTHORS.replace(' AS t(', ' AS b(')} WHERE b.file_id = t.file_id AND b.ord < t.ord AND b.name IS NOT DISTINCT FROM t.name AND b.email IS NOT DISTINCT FROM t.email)".replace(") AS t(file_id, ord, name, email, role) a WHERE", ") AS t(file_id, ord, name, email, role) WHERE"))
+@query(f"SELECT file_id, ord, name, email, role FROM {_AUTHORS} WHERE name IS NOT NULL OR email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id, name, email ORDER BY ord) = 1")
 def idy_parties(spark, sf_dir):
     """IDY-25: a party that comes again, in another role, is one."""
-    return P.parties(rows(spark, _AUTHORS_DDL, *AUTHORS))
+    return P.parties(lines(spark, sf_dir, _AUTHORS_DDL, *AUTHORS))
 
 
 @query(f"SELECT file_id, list(email ORDER BY o) AS emails FROM (SELECT file_id, email, min(ord) AS o FROM {_AUTHORS} WHERE email IS NOT NULL GROUP BY ALL) GROUP BY file_id")
 def idy_emails(spark, sf_dir):
     """IDY-25: the list of addresses."""
-    return P.emails(P.parties(rows(spark, _AUTHORS_DDL, *AUTHORS)))
+    return P.emails(P.parties(lines(spark, sf_dir, _AUTHORS_DDL, *AUTHORS)))
 
 
 RECIPES = (
@@ -68,12 +68,12 @@ _HAS = lambda x: f"coalesce(bool_or(path = '{x}'), false)"
 
 
 @query(
-    f"""WITH g AS (SELECT file_id, {_HAS('META-INF/mozilla.sf')} AND {_HAS('META-INF/mozilla.rsa')} AS pkcs7, {_HAS('META-INF/cose.manifest')} AND {_HAS('META-INF/cose.sig')} AS cose, {_HAS('manifest.json')} AS has_web_extension_manifest, {_HAS('install.rdf')} AS has_install_rdf, {_HAS('chrome.manifest')} AS has_chrome_manifest FROM {values('file_id, path', *ADDONS)} GROUP BY file_id)
+    f"""WITH g AS (SELECT file_id, {_HAS('META-INF/mozilla.sf')} AND {_HAS('META-INF/mozilla.rsa')} AS pkcs7, {_HAS('META-INF/cose.manifest')} AND {_HAS('META-INF/cose.sig')} AS cose, {_HAS('manifest.json')} AS has_web_extension_manifest, {_HAS('install.rdf')} AS has_install_rdf, {_HAS('chrome.manifest')} AS has_chrome_manifest FROM {lines_sql('file_id, path', *ADDONS)} GROUP BY file_id)
 SELECT *, has_install_rdf OR has_chrome_manifest AS legacy_xul_shape, has_web_extension_manifest AND NOT pkcs7 AND NOT cose AS unsigned_shape FROM g"""
 )
 def pkg_addon_shape(spark, sf_dir):
     """PKG-9: signing schemes and shapes."""
-    return P.addon_shape(rows(spark, "file_id string, path string", *ADDONS))
+    return P.addon_shape(lines(spark, sf_dir, "file_id string, path string", *ADDONS))
 
 
 ADDON_MANIFESTS = (("a", '{"author": "Me", "name": "Tool", "version": "2.0", "homepage_url": "https://x.org"}'), ("b", '{"author": "", "name": "__MSG_name__"}'), ("c", "not json"))
@@ -101,10 +101,10 @@ def agg_overlays(spark, sf_dir):
 VERSIONS = (("v1",), ("v12",), ("v13",), ("v012",), ("v",), ("vx",), ("w1",), ("v-1",), ("v99999999999",), (None,))
 
 
-@query(f"SELECT name FROM {values('name', *VERSIONS)} WHERE regexp_full_match(name, 'v[0-9]+') AND TRY_CAST(name[2:] AS UINTEGER) < 13")
+@query(f"SELECT name FROM (SELECT * FROM {values('name', *VERSIONS)} UNION ALL SELECT CASE p_partkey % 3 WHEN 0 THEN 'w' ELSE 'v' END || p_size FROM part) WHERE regexp_full_match(name, 'v[0-9]+') AND TRY_CAST(name[2:] AS UINTEGER) < 13")
 def inc_superseded(spark, sf_dir):
     """INC-5."""
-    return P.superseded(rows(spark, "name string", *VERSIONS), 13)
+    return P.superseded(rows(spark, "name string", *VERSIONS).unionByName(table(spark, sf_dir, "part").select(F.concat(F.when(F.col("p_partkey") % 3 == 0, "w").otherwise("v"), "p_size").alias("name"))), 13)
 
 
 PAGED = (
@@ -127,13 +127,23 @@ CERTIFICATES = (
 )
 
 
+#: Typed ones, and suppliers' with their nations.
+_CERTIFICATES = f"""(SELECT * FROM {values('id, self_issued, common_name, organisation, subject, issuer', *CERTIFICATES)} UNION ALL SELECT 1000 + s_suppkey, s_suppkey % 5 = 0, CASE WHEN s_suppkey % 3 = 0 THEN 'Developer ID: ' || s_name ELSE s_name END,
+  CASE WHEN s_suppkey % 4 = 0 THEN 'Apple Inc.' END, 'CN=' || s_name, CASE WHEN s_suppkey % 7 = 0 THEN 'CN=Microsoft Root' ELSE 'CN=' || s_nationkey END FROM supplier)"""
+
+
 @query(
     f"""SELECT id, CASE WHEN self_issued THEN 'self_signed' WHEN common_name LIKE 'Developer ID%' THEN 'developer_id' WHEN regexp_matches(lower(coalesce(organisation, '') || ' ' || coalesce(subject, '') || ' ' || coalesce(issuer, '')), 'apple|microsoft') THEN 'platform' ELSE 'ca_signed' END AS trust
-FROM {values('id, self_issued, common_name, organisation, subject, issuer', *CERTIFICATES)}"""
+FROM {_CERTIFICATES}"""
 )
 def idy_certificate_trust(spark, sf_dir):
     """IDY-22: the tier of a signature's certificate."""
     own = rows(spark, "id int, self_issued boolean, common_name string, organisation string, subject string, issuer string", *CERTIFICATES)
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    own = own.withColumn("id", F.col("id").cast("long")).unionByName(table(spark, sf_dir, "supplier").select(
+        (1000 + key).alias("id"), (key % 5 == 0).alias("self_issued"), F.when(key % 3 == 0, F.concat(F.lit("Developer ID: "), name)).otherwise(name).alias("common_name"), F.when(key % 4 == 0, "Apple Inc.").alias("organisation"),
+        F.concat(F.lit("CN="), name).alias("subject"), F.when(key % 7 == 0, "CN=Microsoft Root").otherwise(F.concat(F.lit("CN="), "s_nationkey")).alias("issuer"),
+    ))
     return own.select("id", P.certificate_trust(*(F.col(c) for c in own.columns[1:])).alias("trust"))
 
 

@@ -67,3 +67,31 @@ def literal(value) -> str:
 def values(columns: str, *data: tuple) -> str:
     """A DuckDB table expression of literal rows, as `t(columns)`."""
     return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in data) + f") AS t({columns})"
+
+
+_ORD = "l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey"
+
+
+def lines_sql(columns: str, *cases: tuple) -> str:
+    """Typed rows, and files made of orders: each line of an order is one of the typed rows, by its part, under the order's number (and an `ord` of its own)."""
+    names = columns.split(", ")
+    text = isinstance(cases[0][0], str)
+    own = [("'o' || l_orderkey" if text else "1000 + l_orderkey") if k == 0 else _ORD if n == "ord" else f"c.{n}" for k, n in enumerate(names)]
+    numbered = ", ".join("(" + ", ".join(map(literal, (k, *r))) + ")" for k, r in enumerate(cases))
+    made = ", ".join(f"{x} AS {n}" for x, n in zip(own, names, strict=True))
+    return f"(SELECT * FROM {values(columns, *cases)} UNION ALL SELECT {made} FROM lineitem JOIN (VALUES {numbered}) AS c(k, {columns}) ON l_partkey % {len(cases)} = c.k) AS t"
+
+
+def lines(spark: SparkSession, sf_dir: str, schema: str, *cases: tuple) -> DataFrame:
+    """The same as a DataFrame."""
+    from pyspark.sql import functions as F
+
+    typed = rows(spark, schema, *cases)
+    first, *others = typed.columns
+    numbered = F.broadcast(rows(spark, "_k long, " + schema, *((k, *r) for k, r in enumerate(cases))))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("long").alias("_n"))
+    met = line.join(numbered, F.col("l_partkey") % len(cases) == F.col("_k"))
+    own = F.concat(F.lit("o"), "l_orderkey") if isinstance(cases[0][0], str) else F.lit(1000) + F.col("l_orderkey")
+    place = F.col("_n") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
+    wide = typed.select(F.col(first).cast("string" if isinstance(cases[0][0], str) else "long").alias(first), *(F.col(c).cast("long").alias(c) if c == "ord" else F.col(c) for c in others))
+    return wide.unionByName(met.select(own.alias(first), *(place.alias(c) if c == "ord" else F.col(c) for c in others)))
