@@ -17,11 +17,13 @@ The last three come from grouped aggregations over all documents of the
 language that the text alone says.  Missing evidence (null) says nothing.
 Every text is scored once; its few numbers are written down for both uses.
 
-Every declared language is modelled.  Tags count by their primary subtag
-(en-us and en_GB are en).  The text models are fitted on a bounded sample: of
-each language about SAMPLE documents, those with the least hashes of their
-texts; with more than BLOCK languages so many fewer of each that all models
-together stay as large.  A language's model doesn't depend on the others, so
+Every declared language is modelled that at least one in RARE of the declaring
+documents declares; all rarer tags (slips and private ones among them) are one
+language, `mul`, so there are RARE languages at most, whatever documents
+declare.  Tags count by their primary subtag (en-us and en_GB are en).  The text
+models are fitted on a bounded sample: of each language about SAMPLE documents,
+the different texts with the least hashes; with more than BLOCK languages so
+many fewer of each that all models together stay as large.  A language's model doesn't depend on the others, so
 they are fitted and held in blocks of BLOCK.  The rest covers every document.
 Evidence tables are joined whole; a host that holds a third of all rows is one
 partial sum a task; tables are broadcast only after a count of their rows, and
@@ -56,6 +58,8 @@ LEAST = 0.5
 #: Tasks that count the sample, each sending its counts to the driver once.
 COUNTERS = 8
 UNKNOWN = "und"
+#: Declared languages are told apart from this share (one in so many) on; what the others are called.
+RARE, OTHER = 4096, "mul"
 #: Parts that each key of a shuffled evidence table is dealt out in.
 SALTS = 32
 #: Tables of more rows with BLOCK languages (fewer rows with more languages) are joined by a shuffle instead of a broadcast.
@@ -122,15 +126,22 @@ class Model:
 
 def fit(docs: DataFrame, evidence: Evidence, sample: int = SAMPLE) -> Model | None:
     rows = docs.select(evidence.text.alias("text"), evidence.declared.alias("declared")).filter("text IS NOT NULL AND text <> ''")
-    count = {x["declared"]: x["count"] for x in rows.filter("declared IS NOT NULL").groupBy("declared").count().collect()}
-    languages = sorted(x for x in count if x not in ("", UNKNOWN))
+    tags = cut(rows.filter(F.col("declared").isNotNull() & ~F.col("declared").isin("", UNKNOWN)).groupBy("declared").agg(F.count(F.lit(1)).alias("n")))
+    total = tags.agg(F.sum("n")).first()[0] or 0
+    common = F.col("n") * RARE >= total
+    count = {x["declared"]: x["n"] for x in tags.filter(common).collect()}  # RARE at most
+    others = tags.filter(~common).agg(F.sum("n")).first()[0]
+    if others:
+        count[OTHER] = count.get(OTHER, 0) + others
+        rows = rows.withColumn("declared", F.when(F.col("declared").isin("", UNKNOWN) | F.col("declared").isin(*count), F.col("declared")).otherwise(F.when(F.col("declared").isNotNull(), OTHER)))
+    languages = sorted(count)
     if not languages:
         return None
     sample = min(sample, max(1, sample * BLOCK // len(languages)))
     share = {x: min(1.0, sample / count[x]) for x in languages}  # of the hashes, so about `sample` texts of each language
     most = [(x, i, min(2**63 - 1, int(share[x] * 2**64) - 2**63)) for i, x in enumerate(languages)]
     chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame(most, "declared string, class int, most long")), "declared")
-    chosen = chosen.filter(F.xxhash64("text") <= F.col("most")).select("text", "class")
+    chosen = chosen.filter(F.xxhash64("text") <= F.col("most")).select("text", "class").distinct()
     if len(languages) > BLOCK:
         chosen = cut(chosen)
     tables, last = [], np.full(256, 0.5)
@@ -249,6 +260,12 @@ def keep_known(docs: DataFrame, evidence: Evidence | None = None, least: float =
     return out.filter(kept(F.col("language"), F.col("posterior"), least)).select("row.*")
 
 
+def pages_language_id(spark, sf_dir: str) -> DataFrame:
+    """The same over pages, where all four kinds of evidence act."""
+    out = judged(table(spark, sf_dir, "pages"), of_pages(), [F.col("page_id")])
+    return out.select("row.page_id", "language", F.round("posterior", 6).alias("posterior"), kept(F.col("language"), F.col("posterior")).alias("kept"))
+
+
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents"), of_documents(), [F.col("doc_id")])
     return out.select("row.doc_id", "language", F.round("posterior", 6).alias("posterior"), kept(F.col("language"), F.col("posterior")).alias("kept"))

@@ -416,10 +416,11 @@ def _connected_wide(wide: DataFrame, found: DataFrame, percent: int, most: int,
     labels = cut(_mains(_labelled(found, wide.select("key", "rep").distinct(), "rep", "own")))
     if labels.isEmpty():
         return found
-    edges = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
     several = wide.join(labels.select("key").distinct(), "key", "left_semi")
-    loose = components(edges.unionByName(_linkable(several, labels.drop("key"), percent, n)))
-    parts = _mains(_labelled(loose, labels.select("rep", "own"), "rep", "key"))
+    together = _joined(_linkable(several, labels.drop("key"), percent, n), labels)
+    if together.isEmpty():
+        return found
+    parts = _mains(_labelled(together, labels.select("rep", "own"), "own", "key"))
     sizes = wide.groupBy("rep").agg(F.sum(F.size("members")).alias("size"), F.max("blocks").alias("before"))
     parts = cut(parts.join(sizes, "rep"))
     weights = parts.groupBy("key").agg(F.sum("size").alias("weight"), F.max("before").alias("before"))
@@ -429,7 +430,19 @@ def _connected_wide(wide: DataFrame, found: DataFrame, percent: int, most: int,
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     rows = rows.withColumn("block", F.explode(F.when(F.col("far"), every).otherwise(F.array(own)))).withColumn("home", F.col("block") == own)
     second = cut(links(rows.select("key", "block", "rep", "signature", "members", "own", "home", "far")))
-    return found if second.isEmpty() else components(edges.unionByName(second))
+    if second.isEmpty():
+        return found
+    joined = _joined(second, labels)
+    more = joined.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return found.join(more, "component", "left").select("node", F.coalesce("_to", "component").alias("component")).unionByName(joined)
+
+
+def _joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Components of labels that links (u, v) between their members (rep, own) join."""
+    own = labels.select("rep", "own").distinct()
+    for side in ("u", "v"):
+        pairs = pairs.join(own.withColumnsRenamed({"rep": side, "own": f"_{side}"}), side).drop(side)
+    return components(pairs.select(F.col("_u").alias("u"), F.col("_v").alias("v")).filter("u <> v"))
 
 
 def groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faktum.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from faktum.llm.html_extraction import op9_html_extraction
-from faktum.llm.language_id import op3_language_id
+from faktum.llm.language_id import op3_language_id, pages_language_id
 from faktum.llm.license_scan import op11_license_scan
 from faktum.llm.lm_scoring import op6_lm_scoring
 from faktum.llm.near_dedup import op1_near_dedup
@@ -21,7 +21,7 @@ from faktum.llm.vector_codes import OP13_SQL, op13_vector_codes
 from faktum.llm.vector_search import OP5_SQL, op5_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: tuple[Query, ...] = (op1_near_dedup, op2_url_filter, op3_language_id, op4_exact_dedup, op5_top_k, op6_lm_scoring, op7_bpe, op8_toxicity, op9_html_extraction, op10_packing, op11_license_scan, op12_phrases, op13_vector_codes)
+QUERIES: tuple[Query, ...] = (op1_near_dedup, op2_url_filter, op3_language_id, op4_exact_dedup, op5_top_k, op6_lm_scoring, op7_bpe, op8_toxicity, op9_html_extraction, op10_packing, op11_license_scan, op12_phrases, op13_vector_codes, pages_language_id)
 
 
 def queries() -> dict[str, Query]:

@@ -291,3 +291,23 @@ def test_toxicity_of_odd_rows(spark):
 
 def test_whole_table(spark):
     assert op8_toxicity(spark, SF).count() == 200
+
+
+def test_rare_tags_are_one_language(spark, monkeypatch):
+    """Tags below the share are pooled, their texts are kept, and a text that stands in a third of all rows is sampled once."""
+    monkeypatch.setattr(language_id, "RARE", 20)
+    rng = np.random.default_rng(2)
+    words = {x: [f"{x}{''.join(chr(97 + c) for c in rng.integers(0, 26, 4))}" for _ in range(40)] for x in ("aa", "bb", "odd")}
+    text = lambda x: " ".join(rng.choice(words[x], 30))
+    rows = [(i, text("aa"), "en", "s") for i in range(60)] + [(100 + i, text("bb"), "de", "s") for i in range(60)] + [(200 + i, text("odd"), f"x{i}", "t") for i in range(6)]
+    rows += [(300 + i, rows[0][1], "en", "s") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert language_id.fit(df, of_documents()).languages == ["de", "en", language_id.OTHER]
+    got = {r.row.doc_id: r.language for r in judged(df, of_documents(), [language_id.F.col("doc_id")]).collect()}
+    assert all(got[i] == {0: "en", 1: "de", 2: language_id.OTHER, 3: "en"}[i // 100] for i in got)
+    assert keep_known(df).count() == len(rows)
+
+
+def test_pages_query(spark):
+    got = language_id.pages_language_id(spark, SF).collect()
+    assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count() and sum(r.kept for r in got) >= 0.9 * len(got)
