@@ -54,17 +54,35 @@ def expired(cache: DataFrame, now: int, ttl: int = TTL_SECONDS) -> DataFrame:
     return cache.filter(F.col("used_at") < now - ttl)
 
 
+#: Seconds of the stretches of time that running sums are made of, the longest first; each is a whole number of the next.
+STRETCHES = (86_400, 3_600, 60)
+
+
 def retained(cache: DataFrame, now: int, ttl: int = TTL_SECONDS, items: int = MOST_ITEMS, size: int = MOST_BYTES, share: float = KEEP_SHARE) -> DataFrame:
     """What stays of cache (key, used_at, bytes): what is in time, newest first, down to `share` of a ceiling that is passed.
 
-    The running sums are made of partial sums by day, so that no task sorts all rows.
+    Running sums are made of partial sums by day, hour and minute, each within the one before, so a window has no more
+    than a minute's rows, or an hour's minutes, or a day's hours, or all days.
     """
-    live = cache.filter(F.col("used_at") >= now - ttl).withColumn("day", F.floor(F.col("used_at") / 86_400))
-    days = live.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
-    later = W.orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)
+    stretch = lambda k: F.floor(F.col("used_at") / STRETCHES[k]).alias(f"t{k}")
+    last = len(STRETCHES) - 1
+    live = cache.filter(F.col("used_at") >= now - ttl).select("key", "used_at", "bytes", stretch(last))
+    sums = [live.groupBy(f"t{last}").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))]
+    for k in range(last - 1, -1, -1):
+        finer = sums[0].withColumn(f"t{k}", F.floor(F.col(f"t{k + 1}") * STRETCHES[k + 1] / STRETCHES[k]))
+        sums[0] = finer
+        sums.insert(0, finer.groupBy(f"t{k}").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
     whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    days = days.select("day", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(later), F.lit(0)).alias("b0"), F.sum("n").over(whole).alias("n_all"), F.sum("b").over(whole).alias("b_all"))
-    own = W.partitionBy("day").orderBy(F.desc("used_at"), "key").rowsBetween(W.unboundedPreceding, 0)
-    rows = live.join(days, "day").withColumn("rank", F.col("n0") + F.count(F.lit(1)).over(own)).withColumn("total", F.col("b0") + F.sum("bytes").over(own))
+    before = None
+    for k, own in enumerate(sums):
+        later = (W.partitionBy(f"t{k - 1}") if k else W).orderBy(F.desc(f"t{k}")).rowsBetween(W.unboundedPreceding, -1)
+        own = own.withColumn("n0", F.coalesce(F.sum("n").over(later), F.lit(0))).withColumn("b0", F.coalesce(F.sum("b").over(later), F.lit(0)))
+        if before is None:
+            before = own.select("t0", "n0", "b0", F.sum("n").over(whole).alias("n_all"), F.sum("b").over(whole).alias("b_all"))
+        else:
+            upper = before.withColumnsRenamed({"n0": "n1", "b0": "b1"})
+            before = own.join(upper, f"t{k - 1}").select(f"t{k}", (F.col("n0") + F.col("n1")).alias("n0"), (F.col("b0") + F.col("b1")).alias("b0"), "n_all", "b_all")
+    own = W.partitionBy(f"t{last}").orderBy(F.desc("used_at"), "key").rowsBetween(W.unboundedPreceding, 0)
+    rows = live.join(before, f"t{last}").withColumn("rank", F.col("n0") + F.count(F.lit(1)).over(own)).withColumn("total", F.col("b0") + F.sum("bytes").over(own))
     full = (F.col("n_all") > items) | (F.col("b_all") > size)
     return rows.filter(~full | ((F.col("rank") <= items * share) & (F.col("total") <= size * share))).select("key", "used_at", "bytes")
