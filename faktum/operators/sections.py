@@ -83,11 +83,6 @@ def runs(rows: DataFrame, key: str, order: str, value: Column) -> DataFrame:
     return own.withColumn("island", island).groupBy(key, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("length")).drop("island")
 
 
-def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Range join of addresses and the spans that hold them, within a file."""
-    return points.join(spans, [points[key] == spans[key], points[at] >= spans[start], points[at] < spans[end]], "left").drop(spans[key])
-
-
 def inflated(sections: DataFrame) -> DataFrame:
     """Sections that take more than four times their bytes of the file in memory; sections: (file_id, ord, name, file_size, virtual_size)."""
     return sections.filter((F.col("file_size") != 0) & (F.col("virtual_size") > 4 * F.col("file_size")))
