@@ -228,13 +228,31 @@ _IMPORTED = (("a", "os", None, True), ("a", "sys", "s", True), ("a", ".x", None,
 _DEFINED = (
     ("a", "f", 5, 6, 0, "a b", False), ("a", "g", 8, 9, 0, "", False), ("a", "m", 12, 15, 0, "self", False), ("e", "outer", 1, 5, 0, "a bb", True), ("e", "inner1", 2, 3, 1, "c", False), ("e", None, 4, 4, 1, "", False), ("e", "abcdefghijklmnop", 7, 7, 0, "p1 p2 p3 p4 p5 p6 p7 p8", False), ("f", "long", 1, 101, 0, "", False), ("f", "item12", 102, 102, 0, "", False), ("f", "_7", 103, 103, 0, "", False),
 )
+#: Orders as Python sources, a statement or function for each line: what they import and define follows from their rows.
+_ORDER_IMPORTS = """SELECT 'o' || o_orderkey AS file_id, unnest(['os', 'mod' || o_custkey, '.pkg.x' || o_orderstatus]) AS name, unnest([NULL, 'm', NULL]) AS alias, unnest([true, false, false]) AS known FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'o' || l_orderkey, 'numpy', NULL, false FROM lineitem WHERE l_returnflag NOT IN ('R', 'A') AND l_orderkey IN (SELECT o_orderkey FROM orders)"""
+_ORDER_FUNCTIONS = """SELECT 'o' || l_orderkey AS file_id, CASE l_returnflag WHEN 'R' THEN 'r' || l_partkey % 100 ELSE 'wide_name_' || l_suppkey END AS name, 1 AS a, CASE l_returnflag WHEN 'R' THEN 2 ELSE 1 END AS b, 0 AS depth,
+  CASE l_returnflag WHEN 'R' THEN 'a qty' ELSE 'p1 p2 p3 p4 p5 p6 p7 p8' END AS p, false AS holds FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_orderkey IN (SELECT o_orderkey FROM orders)"""
+_ORDER_TEXTS = "SELECT 'o' || l_orderkey AS file_id, repeat('x' || chr(10), 3 + count(*) + count(*) FILTER (l_returnflag = 'R')) AS text FROM lineitem GROUP BY l_orderkey"
+
+
+def _sources(spark, sf_dir):
+    """Typed sources, and those made of orders."""
+    key = F.col("l_partkey") % 100
+    statement = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("def r"), key, F.lit("(a, qty):\n    return a\n"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("def wide_name_"), "l_suppkey", F.lit("(p1, p2, p3, p4, p5, p6, p7, p8): pass\n"))).otherwise("import numpy\n")
+    made = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", statement.alias("s")).alias("x")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    orders = table(spark, sf_dir, "orders").join(made, F.col("o_orderkey") == F.col("l_orderkey"))
+    text = F.concat(F.lit("import os\nimport mod"), "o_custkey", F.lit(" as m\nfrom .pkg import x"), "o_orderstatus", F.lit("\n"), F.array_join("x.s", ""))
+    return rows(spark, "file_id string, text string", *_FUNCTIONS).unionByName(spread(orders.select(F.concat(F.lit("o"), "o_orderkey").alias("file_id"), text.alias("text"))))
+
+
 _IMP_METRICS = f"""SELECT file_id, count(DISTINCT name) AS unique_modules, count(*) FILTER (known) AS stdlib_count, count(*) FILTER (NOT known AND name NOT LIKE '.%') AS third_party_count, count(*) FILTER (name LIKE '.%') AS relative_imports,
   count(*) FILTER (regexp_matches(name, '__import__|importlib|require')) AS dynamic_imports, count(*) FILTER (contains(name, '*')) AS wildcard_imports, count(alias) AS aliased_imports,
-  round(count(*) FILTER (known) / count(*), 6) AS stdlib_ratio, round(count(*) FILTER (NOT known AND name NOT LIKE '.%') / count(*), 6) AS third_party_ratio, round(count(*) FILTER (name LIKE '.%') / count(*), 6) AS relative_ratio FROM {values("file_id, name, alias, known", *_IMPORTED)} GROUP BY file_id"""
+  round(count(*) FILTER (known) / count(*), 6) AS stdlib_ratio, round(count(*) FILTER (NOT known AND name NOT LIKE '.%') / count(*), 6) AS third_party_ratio, round(count(*) FILTER (name LIKE '.%') / count(*), 6) AS relative_ratio FROM (SELECT * FROM {values("file_id, name, alias, known", *_IMPORTED)} UNION ALL {_ORDER_IMPORTS}) GROUP BY file_id"""
 _FUN_METRICS = f"""
-WITH f AS (SELECT *, b - a + 1 AS size, CASE WHEN p = '' THEN [] ELSE string_split(p, ' ') END AS params FROM {values("file_id, name, a, b, depth, p, holds", *_DEFINED)}),
+WITH f AS (SELECT *, b - a + 1 AS size, CASE WHEN p = '' THEN [] ELSE string_split(p, ' ') END AS params FROM (SELECT * FROM {values("file_id, name, a, b, depth, p, holds", *_DEFINED)} UNION ALL {_ORDER_FUNCTIONS})),
 e AS (SELECT name, -sum((k / n) * log2(k / n)) AS e FROM (SELECT name, strlen(name) AS n, c, count(*) AS k FROM (SELECT DISTINCT name, unnest(range(1, strlen(name) + 1)) AS i, name[i] AS c FROM f WHERE name IS NOT NULL) GROUP BY ALL) GROUP BY name),
-n AS (SELECT file_id, {_COUNT_LINES('text')} AS n FROM {values("file_id, text", *_FUNCTIONS)})
+n AS (SELECT file_id, {_COUNT_LINES('text')} AS n FROM (SELECT * FROM {values("file_id, text", *_FUNCTIONS)} UNION ALL {_ORDER_TEXTS}))
 SELECT f.file_id, count(*) AS count, count(*) FILTER (f.name IS NULL) AS anonymous, count(*) FILTER (holds) AS nested_functions, count(*) FILTER (size > 100) AS over_100_lines, count(*) FILTER (size > 500) AS over_500_lines, count(*) FILTER (size <= 1) AS one_liners,
   count(*) FILTER (p = '') AS no_params_count, count(*) FILTER (len(params) > 7) AS many_params_count, count(*) FILTER (strlen(f.name) = 1) AS single_char_names, count(*) FILTER (e > 3.5) AS high_entropy_names, count(*) FILTER (regexp_matches(f.name, '[A-Za-z][0-9]$')) AS numeric_suffix_names,
   round(avg(size), 6) AS avg_length_lines, max(size)::BIGINT AS max_length_lines, min(size)::BIGINT AS min_length_lines, round(stddev_pop(size), 6) AS length_stddev, round(avg(len(params)), 6) AS avg_params, max(len(params))::INTEGER AS max_params,
@@ -254,21 +272,21 @@ def src_python_symbols(spark, sf_dir):
 
 @query(_IMP_METRICS)
 def imp_metrics(spark, sf_dir):
-    """Import metrics over the symbols of Python sources."""
+    """Import metrics over the symbols of Python sources, typed ones and orders."""
     from faktum.operators.imports import import_metrics
     from faktum.sources.python_source import stdlib, symbols
 
-    found = symbols(rows(spark, "file_id string, text string", *_FUNCTIONS)).filter("kind = 'import'").select("file_id", "name", "alias")
+    found = symbols(_sources(spark, sf_dir)).filter("kind = 'import'").select("file_id", "name", "alias")
     return import_metrics(found, stdlib())
 
 
 @query(_FUN_METRICS)
 def fun_metrics(spark, sf_dir):
-    """Function metrics over the symbols of Python sources."""
+    """Function metrics over the symbols of Python sources, typed ones and orders."""
     from faktum.operators.imports import function_metrics
     from faktum.sources.python_source import symbols
 
-    sources = rows(spark, "file_id string, text string", *_FUNCTIONS)
+    sources = _sources(spark, sf_dir)
     return function_metrics(symbols(sources).filter("kind = 'function'"), sources)
 
 
