@@ -219,7 +219,7 @@ def lit_metrics(spark, sf_dir):
 TARGETS = ("ls", "/usr/bin/x", "$CC", "${VAR}", "b$@u", "$A$B", "b${X}u${Y}n", "python${VER}", "\\b\\u\\n", "\\rm", "$(command -v python)", "$(echo bun)", "$(printf '\\x62')", "$(echo \"$x\" | sed s/a/b/)", "`id`", "\"$VAR\"", "eval a b", "$(base64 -d)")
 
 _TARGETS = rf"""
-WITH t AS (SELECT t, regexp_replace(t, '["'']', '', 'g') AS s FROM {values("t", *((x,) for x in TARGETS))})
+WITH t AS (SELECT t, regexp_replace(t, '["'']', '', 'g') AS s FROM (SELECT * FROM {values("t", *((x,) for x in TARGETS))} UNION ALL SELECT {literal(TARGETS)}[1 + p_partkey % {len(TARGETS)}] || ' ' || p_name || ' ' || p_partkey FROM part UNION ALL SELECT {literal(TARGETS)}[1 + p_partkey % {len(TARGETS)}] || p_partkey FROM part))
 SELECT t, CASE WHEN contains(t, '/') THEN 'clean'
   WHEN contains(s, '$(') OR contains(s, '`') THEN CASE WHEN contains(s, 'base64') OR contains(s, 'xxd') OR (contains(s, 'printf') AND regexp_matches(s, '\\[xX0-7]')) OR (contains(s, 'echo') AND NOT contains(s, '|')) THEN 'obfuscated' ELSE 'dynamic' END
   WHEN regexp_matches(s, '[ \t\n\r]') THEN 'clean'
@@ -230,7 +230,11 @@ SELECT t, CASE WHEN contains(t, '/') THEN 'clean'
 
 @query(_TARGETS)
 def cal_target_kinds(spark, sf_dir):
-    return rows(spark, "t string", *((x,) for x in TARGETS)).select("t", S.call_target_kind(F.col("t")).alias("kind"))
+    """Typed targets, and these before numbers and names of parts."""
+    own = F.element_at(F.array(*map(F.lit, TARGETS)), (1 + F.col("p_partkey") % len(TARGETS)).cast("int"))
+    parts = table(spark, sf_dir, "part")
+    made = parts.select(F.concat(own, F.lit(" "), "p_name", F.lit(" "), "p_partkey").alias("t")).unionByName(parts.select(F.concat(own, "p_partkey").alias("t")))
+    return rows(spark, "t string", *((x,) for x in TARGETS)).unionByName(made).select("t", S.call_target_kind(F.col("t")).alias("kind"))
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (kind = 'obfuscated') AS obfuscated_target_count, count(*) FILTER (kind = 'dynamic') AS dynamic_target_count FROM ({_TARGETS})")
