@@ -50,6 +50,8 @@ from faktum.llm import grams, textkit
 from faktum.llm.storage import cut, table
 
 ORDER, TAU = 4, 2.0
+#: Texts are scored in runs of about this many bytes, whose arrays are some hundred times as large.
+RUN_BYTES = 1 << 18
 SAMPLE, BLOCK = 2048, 64
 TEXT_BYTES = 60
 ODD = 2.3
@@ -111,7 +113,7 @@ class Model:
         buf, offsets = grams.textkit.utf8(column)
         sizes = np.diff(offsets)
         out = np.zeros((len(sizes), len(self.languages) + 1))
-        for lo, hi in grams.textkit.runs(offsets):
+        for lo, hi in grams.textkit.runs(offsets, RUN_BYTES):
             g, places = grams.byte_grams(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ORDER)
             has = np.flatnonzero(np.diff(places))
             if len(has):
