@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faktum.queries_sources import _BODIES, _CMT_METRICS, CODE
 from faktum.queries_text import _LITERALS, _NAMES_SQL, NAMES, STRINGS
-from faktum.registry import query, spread, table, values
+from faktum.registry import dealt, query, spread, table, values
 
 #: What an order's lines become, by their flag.
 _ITEMS = {"R": "f(x.y.z, {q});", "A": "a += 1;", "N": "b = b ^ (k % 3);"}
@@ -16,10 +16,11 @@ _ITEMS = {"R": "f(x.y.z, {q});", "A": "a += 1;", "N": "b = b ^ (k % 3);"}
 def order_pages(spark, sf_dir) -> DataFrame:
     """(source, id, html): an order as a page with a script, a style and comments; strings hold what looks like tags and comments."""
     number = lambda c: F.col(c).cast("long").cast("string")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"), "l_returnflag")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    lines, orders = dealt(lines.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"), "l_returnflag"), "l_orderkey", of=(orders,)), dealt(orders, "o_orderkey", of=(lines,))
     line = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("f(x.y.z, "), number("q"), F.lit(");"))).when(F.col("l_returnflag") == "A", _ITEMS["A"]).otherwise(_ITEMS["N"])
     items = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", number("q").alias("q"), line.alias("line")))).alias("items"))
-    rows = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     key, status = number("o_orderkey"), F.col("o_orderstatus")
     parts = [
         "<html><!-- order ", key, " --><script type='module'>/* order ", key, " TODO ", F.col("o_orderpriority"), " */\nvar o", key, " = [", F.array_join(F.col("items.q"), ", "), "];\n// see http://x.org/", number("o_custkey"), " ", status,
@@ -31,7 +32,7 @@ def order_pages(spark, sf_dir) -> DataFrame:
 
 def all_pages(spark, sf_dir) -> DataFrame:
     own = table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "html")
-    return spread(own.unionByName(order_pages(spark, sf_dir)))
+    return spread(own).unionByName(order_pages(spark, sf_dir))
 
 
 def _elements(spark, sf_dir) -> DataFrame:
@@ -41,10 +42,11 @@ def _elements(spark, sf_dir) -> DataFrame:
     return elements(pages, "key", "html").select("key.source", "key.id", "ord", "kind", "body")
 
 
-def _nodes(spark, sf_dir) -> DataFrame:
+def _nodes(spark, sf_dir, fields: str | None = None, kinds: tuple[str, ...] | None = None, source: str = "source") -> DataFrame:
+    """The nodes of all scripts; only the fields and kinds that are asked for leave Python."""
     from faktum.sources.scripts import nodes
 
-    return nodes(_elements(spark, sf_dir).filter("kind = 'script'"), ["source", "id", "ord"], "body")
+    return nodes(_elements(spark, sf_dir).filter(f"kind = 'script' AND source = {source}"), ["source", "id", "ord"], "body", fields and fields.split(), kinds)
 
 
 #: By order: how many lines it has, and of each kind.
@@ -68,7 +70,7 @@ def src_script_trees(spark, sf_dir):
     """AST-1..11, 14..17, 19..23 of each inline script."""
     from faktum.operators.script_metrics import tree_metrics
 
-    return tree_metrics(_nodes(spark, sf_dir), ["source", "id", "ord"])
+    return tree_metrics(_nodes(spark, sf_dir, "depth kind name arity flag terms numbers fresh"), ["source", "id", "ord"])
 
 
 @query(
@@ -79,7 +81,7 @@ def src_script_operators(spark, sf_dir):
     """AST-12, 13: operators of each script."""
     from faktum.operators.script_metrics import operator_counts
 
-    return operator_counts(_nodes(spark, sf_dir), ["source", "id", "ord"])
+    return operator_counts(_nodes(spark, sf_dir, "op"), ["source", "id", "ord"])
 
 
 _PAGE_BODIES = """(SELECT 'orders' || o_orderkey AS file_id, unnest([0, 1, 2, 3]) AS ord, unnest([' order ' || o_orderkey || ' ', ' order ' || o_orderkey || ' TODO ' || o_orderpriority || ' ', ' see http://x.org/' || o_custkey || ' ' || o_orderstatus, ' HACK ']) AS body FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
@@ -109,7 +111,7 @@ def lit_scripts(spark, sf_dir):
     """LIT metrics of the string literals of each page's scripts (pages have negative numbers; -2 is a fixed case)."""
     from faktum.operators.names import literal_metrics
 
-    own = _nodes(spark, sf_dir).filter("kind = 'string'").select(F.when(F.col("source") == "orders", F.col("id")).otherwise(-1 - F.col("id")).alias("file_id"), F.col("name").alias("value"))
+    own = _nodes(spark, sf_dir, "name", ("string",)).select(F.when(F.col("source") == "orders", F.col("id")).otherwise(-1 - F.col("id")).alias("file_id"), F.col("name").alias("value"))
     long_ = spark.range(30).select(F.lit(-2).cast("long").alias("file_id"), F.expr("repeat(concat(chr(97 + id % 26), id, 'Qz'), 40)").alias("value"))
     return literal_metrics(own.unionByName(long_))
 
@@ -125,7 +127,7 @@ def idn_scripts(spark, sf_dir):
     """IDN metrics of the identifiers of each page's scripts."""
     from faktum.operators.names import identifier_metrics
 
-    own = _nodes(spark, sf_dir).filter("kind = 'identifier'").select(F.when(F.col("source") == "orders", F.col("id")).otherwise(-1 - F.col("id")).alias("file_id"), "name")
+    own = _nodes(spark, sf_dir, "name", ("identifier",)).select(F.when(F.col("source") == "orders", F.col("id")).otherwise(-1 - F.col("id")).alias("file_id"), "name")
     return identifier_metrics(own)
 
 
@@ -142,11 +144,12 @@ UNION ALL SELECT 'no step', NULL, NULL, NULL, 'a step is missing at 4' UNION ALL
 )
 def src_tree_patterns(spark, sf_dir):
     """§2.18: tree patterns over the elements of pages and the scripts of orders; those that can't be read give an error row."""
-    from faktum.operators.twigs import match_all
+    from faktum.operators.twigs import kinds_of, match_all
     from faktum.sources import markup
 
-    pages = markup.nodes(spread(table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "html")), ["source", "id"], "html")
-    scripts = _nodes(spark, sf_dir).filter("source = 'orders'")
+    fields = ["node", "parent", "last", "kind", "op"]
+    pages = markup.nodes(spread(table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "html")), ["source", "id"], "html", fields, kinds_of(list(_IN_PAGES.values())))
+    scripts = _nodes(spark, sf_dir, " ".join(fields), kinds_of(list(_IN_SCRIPTS.values())), "'orders'")
     return match_all(pages, ["source", "id"], _IN_PAGES).unionByName(match_all(scripts, ["source", "id"], _IN_SCRIPTS))
 
 

@@ -69,3 +69,21 @@ def test_markup():
 def test_markup_of_columns(spark):
     got = markup.nodes(spark.createDataFrame([(1, "<p>a"), (2, None)], "id int, html string"), ["id"], "html").collect()
     assert sorted((r.id, r.node, r.kind) for r in got) == [(1, 0, "document"), (1, 1, "p"), (2, 0, "document")]
+
+
+def test_all_patterns_in_one_pass_equal_a_walk(spark):
+    """Nothing is kept or broadcast, whatever the number of patterns; batches cut trees anywhere, keys may be null."""
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 4 else x[0], *x[1:]) for k in range(8) for x in random_tree(rng, f"t{k}", 50)]
+    patterns = {p: p for p in ("a", "*", "a/b", "a//b", "a[b]//c", "a[.//b:+]/c[.//*]", "a[b[.//c]/a]//b:%", "*//a//a", "a[b//a]//c/b")}
+    want = {(p, k, len(found)) for p in patterns for k in {r[0] for r in rows} if (found := {x for x in by_walk(rows, compiled(p)) if x[0] == k})}
+    for some in (patterns, {p: p for p in patterns if "*" not in p}):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+        try:
+            found = match_all(spark.createDataFrame(rows, FIELDS).repartition(3), ["k"], some)
+            got = {(r.pattern, r.k, r.n) for r in found.collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {x for x in want if x[0] in some}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "InMemory" not in plan
