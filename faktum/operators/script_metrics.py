@@ -24,10 +24,8 @@ def tree_metrics(nodes: DataFrame, keys: list[str]) -> DataFrame:
     chain = kind.isin("member", "subscript") & name.isNotNull()
     flagged = lambda x: some(F.count_if(F.array_contains(F.split(F.coalesce("flag", F.lit("")), ","), x)))
     functions = F.count_if(is_("function"))
-    numbers = nodes.filter("parent >= 0").groupBy(*keys, F.col("parent").alias("node")).agg(F.count_if(is_("number")).alias("numbers"))
-    rows = nodes.join(numbers, [*keys, "node"], "left")
     all_numbers = lambda x: F.max(F.when(is_(x) & (F.col("arity") >= 2) & (F.col("numbers") == F.col("arity")), F.col("arity")))
-    return rows.groupBy(*keys).agg(
+    return nodes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("node_count"),
         F.max("depth").alias("max_depth"),
         F.max(F.when(is_("capped"), 1)).alias("depth_capped"),
@@ -37,8 +35,8 @@ def tree_metrics(nodes: DataFrame, keys: list[str]) -> DataFrame:
         some(F.max(F.when(is_("array"), F.col("arity")))).alias("array_literal_max_length"),
         all_numbers("array").alias("numeric_array_max_length"),
         some(F.count_if(kind.isin("assign", "declare") & name.isNotNull())).alias("bind_count"),
-        some(F.count_distinct(F.when(chain, name))).alias("member_count"),
-        some(F.count_distinct(F.when(is_("identifier"), name))).alias("identifier_count"),
+        some(F.count_if(chain & F.col("fresh"))).alias("member_count"),
+        some(F.count_if(is_("identifier") & F.col("fresh"))).alias("identifier_count"),
         some(F.count_if(is_("sequence"))).alias("sequence_count"),
         all_numbers("sequence").alias("numeric_sequence_max_length"),
         flagged("identity").alias("identity_function_count"),
@@ -53,6 +51,7 @@ def tree_metrics(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 def operator_counts(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, op, n, density): how often each operator stands in a script, also by node."""
-    totals = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("nodes"))
-    counts = nodes.withColumn("op", operator(F.col("op"))).filter("op IS NOT NULL").groupBy(*keys, "op").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(totals, keys).select(*keys, "op", "n", F.round(F.col("n") / F.col("nodes"), 6).alias("density"))
+    own = nodes.select(*keys, operator(F.col("op")).alias("op"))
+    counts = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("nodes"), *(F.count_if(F.col("op") == x).alias(x) for x in OPERATORS))
+    rows = counts.select(*keys, "nodes", F.inline(F.array(*(F.struct(F.lit(x).alias("op"), F.col(x).alias("n")) for x in OPERATORS)))).filter("n > 0")
+    return rows.select(*keys, "op", "n", F.round(F.col("n") / F.col("nodes"), 6).alias("density"))

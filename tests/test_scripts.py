@@ -100,3 +100,31 @@ def test_comments_of_scripts(spark):
     texts = ["// a\n/* b */ 'c // d' /* e", "x = 1", None, "<!-- old\ny"]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", comment_bodies(F.col("t")).alias("c")).orderBy("i").collect()
     assert [r.c for r in got] == [[" a", " b ", " "], [], [], [" old"]]
+
+
+def test_kinds_and_fields_of_nodes(spark):
+    """Only what is asked for leaves Python, in batches of whole scripts; `numbers` and `fresh` need no join or distinct count."""
+    texts = [f"var a{k} = [1, 2, x]; f(x.y.z, x.y, '{k}');" * (k % 5) for k in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, body string").repartition(2)
+    rows = [(i, *x) for i, t in enumerate(texts) for x in tree(t)]
+    got = nodes(frame, ["id"], "body", ["name"], ("string",))
+    assert got.columns == ["id", "name"] and sorted(map(tuple, got.collect())) == sorted((r[0], r[7]) for r in rows if r[5] == "string")
+    every = {(r.id, r.node): r for r in nodes(frame, ["id"], "body").collect()}
+    assert {(*k, r.kind, r.numbers) for k, r in every.items()} == {(r[0], r[1], r[5], sum(x[0] == r[0] and x[2] == r[1] and x[5] == "number" for x in rows)) for r in rows}
+    assert sum(r.fresh for r in every.values() if r.kind == "identifier") == len({(r[0], r[7]) for r in rows if r[5] == "identifier"})
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(tree_metrics(nodes(frame, ["id"], "body"), ["id"])) + plan(operator_counts(nodes(frame, ["id"], "body"), ["id"]))
+
+
+def test_comments_in_one_pass_equal_tokens():
+    texts = ["// a\n/* b */ 'c // d' /* e", "a = b / c; // x", "`c${1}` // y", "`c${f(`//`)}` /* z */", "/[/]*/ // q", "x = `//", '"/* no */" <!-- old', "`\\`${n.m }//` // w"]
+    for text in texts:
+        assert scripts.comments_of(text) == [x for k, x, _ in tokens(text) if k == "comment"], text
+
+
+def test_pages_of_orders_are_dealt_over_all_tasks(spark):
+    """What is made of orders is far larger than their files, so Spark's partitions by bytes would be one or two."""
+    from faktum.queries_scripts import order_pages
+
+    made = order_pages(spark, "/root/testdata/sf0.01")
+    assert len([n for n in made.groupBy(F.spark_partition_id()).count().collect() if n["count"] > 1000]) == spark.sparkContext.defaultParallelism
