@@ -20,6 +20,11 @@ SPANS, SPAN_CAP = "array<struct<offset:bigint,len:bigint>>", 64
 ART = r"[=\-*#+|/\\_.]"
 
 
+def bound(x: Column, f) -> Column:
+    """f(x), for which x is computed once, however often and in whatever lambdas f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def positive(x: Column) -> Column:
     """The value as a double; null for zero."""
     x = x.cast("double")
@@ -38,7 +43,7 @@ def trimmed(x: Column) -> Column:
 
 def line_facts(text: Column) -> Column:
     """All line metrics as one struct, for which a text is cut into lines once; to be selected before its fields are."""
-    return F.transform(F.array(lines(text)), lambda rows: F.struct(*(v.alias(k) for k, v in _of_lines(rows).items())))[0]
+    return bound(lines(text), lambda rows: F.struct(*(v.alias(k) for k, v in _of_lines(rows).items())))
 
 
 def line_metrics(text: Column) -> dict[str, Column]:
@@ -77,29 +82,37 @@ def _of_lines(rows: Column) -> dict[str, Column]:
 
 def longest_line_spans(text: Column) -> Column:
     """The place of the first of the longest lines, in bytes of UTF-8, terminators counted; empty if all lines are."""
-    raw = F.split(text, "\n", -1)
-    sizes = F.transform(raw, lambda x: F.octet_length(F.regexp_replace(x, r"\r\z", "")))
-    most = F.array_max(sizes)
-    before = F.slice(raw, F.lit(1), (F.array_position(sizes, most) - 1).cast("int"))
-    start = F.aggregate(before, F.lit(0).cast("long"), lambda at, x: at + F.octet_length(x) + 1)
-    return F.when(most > 0, F.array(F.struct(start.alias("offset"), most.cast("long").alias("len")))).otherwise(F.array().cast(SPANS))
+
+    def first(raw: Column, sizes: Column, most: Column) -> Column:
+        before = F.slice(raw, F.lit(1), (F.array_position(sizes, most) - 1).cast("int"))
+        start = F.aggregate(before, F.lit(0).cast("long"), lambda at, x: at + F.octet_length(x) + 1)
+        return F.when(most > 0, F.array(F.struct(start.alias("offset"), most.cast("long").alias("len")))).otherwise(F.array().cast(SPANS))
+
+    def of_lines(raw: Column) -> Column:
+        sizes = F.transform(raw, lambda x: F.octet_length(x) - F.when(x.endswith("\r"), 1).otherwise(0))
+        return bound(sizes, lambda own: bound(F.array_max(own), lambda most: first(raw, own, most)))
+
+    return bound(F.split(text, "\n", -1), of_lines)
 
 
 def invisible_spans(text: Column) -> Column:
     """Where runs of invisible characters stand, in bytes of UTF-8: the first SPAN_CAP.  A leading byte order mark is none."""
     shown = F.when(text.startswith("\ufeff"), F.concat(F.lit("\u20ac"), F.substr(text, F.lit(2)))).otherwise(text)
     pattern = f"(?:{INVISIBLE})+"
-    hidden = F.slice(F.regexp_extract_all(shown, F.lit(pattern), F.lit(0)), 1, SPAN_CAP)
-    between = F.split(shown, pattern, SPAN_CAP + 1)
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.octet_length(F.get(between, i))
-        size = F.octet_length(F.get(hidden, i)).cast("long")
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + F.octet_length(x["before"])
+        size = F.octet_length(x["hidden"]).cast("long")
         return F.struct((start + size).alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("offset"), size.alias("len")))).alias("spans"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hidden) - 1), empty, step, lambda state: state["spans"])
-    return F.when(F.size(hidden) > 0, found).otherwise(F.array().cast(SPANS))
+    def of_text(shown: Column) -> Column:
+        hidden = F.slice(F.regexp_extract_all(shown, F.lit(pattern), F.lit(0)), 1, SPAN_CAP)
+        # the text before each run; behind the last one stands the rest, without a run
+        parts = F.arrays_zip(F.split(shown, pattern, SPAN_CAP + 1).alias("before"), hidden.alias("hidden"))
+        return F.aggregate(F.filter(parts, lambda x: x["hidden"].isNotNull()), empty, step, lambda state: state["spans"])
+
+    return bound(shown, of_text)
 
 
 def char_metrics(text: Column) -> dict[str, Column]:
