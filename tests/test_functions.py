@@ -1,8 +1,14 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from faktum.functions import bytes as B
+from faktum.functions import languages
 from faktum.functions import text as T
+from faktum.operators import located
 
 
 def test_windows():
@@ -40,3 +46,51 @@ def test_registered_functions(spark):
     assert tuple(row) == (True, False, True, ".b.tar", ".x")
     got = spark.createDataFrame([(sample_tar(),)], "content binary").createOrReplaceTempView("files") or spark.sql("SELECT m.path FROM files, LATERAL archive_members(content, 'tar') m").collect()
     assert [r.path for r in got] == ["t/a", "t/b", "t/link"]
+
+
+def test_histograms_of_any_stretches(monkeypatch):
+    """Pieces are counted some at a time, so that a batch of any size takes the memory of one stretch; the counts are the same."""
+    rng = np.random.default_rng(4)
+    values = [None, b"", *(rng.integers(0, 256, int(n)).astype(np.uint8).tobytes() for n in rng.integers(0, 3000, 40)), b"ab" * 9000, b"abcd\0efgh", b"x"]
+    column = pa.array(values, pa.binary())
+    monkeypatch.setattr(B, "STEP", 4096)
+    found = [(k, h) for k, h in B.histograms(*B.flat(column))]
+    assert len(found) > 10 and max(len(h) for _, h in found) <= B.TOGETHER
+    assert np.array_equal(np.concatenate([h for _, h in found]), [B.histogram(x or b"") for x in values])
+    for x, own in zip(values, B._windows(column).to_pylist(), strict=True):
+        overall, peak, size, offset, spans = B.windowed(x or b"")
+        assert np.allclose([own["overall"], own["peak"]], [overall, peak]) and (own["peak_bytes"], own["peak_offset"]) == (size, offset)
+        assert [(s["offset"], s["len"]) for s in own["spans"]] == spans
+    assert B._byte_counts(column).to_pylist()[-2:] == [[{"byte_hex": f"{b:02X}", "n": 1} for b in sorted(b"abcd\0efgh")], [{"byte_hex": "78", "n": 1}]]
+    assert [len(x) for x in located._strings(column).to_pylist()[-3:]] == [1, 2, 0]
+    rows = [x or b"" for x in values]
+    whole = languages.score_rows(rows)
+    monkeypatch.setattr(languages, "STEP", 100)
+    assert np.array_equal(languages.score_rows(rows), whole)
+
+
+def test_places_of_many_invisible_characters(spark):
+    """Each text is cut once, whatever the number of runs; the plan holds one split by them."""
+    text = "\ufeffa" + "\u200b".join("é" * (k % 5) + "x" for k in range(200))
+    spans = T.invisible_spans(F.col("t"))
+    df = spark.createDataFrame([(text,), ("plain",), ("",), (None,), ("\u200b",)], "t string").select(spans.alias("s"))
+    got = [r.s if r.s is None else [tuple(x) for x in r.s] for r in df.collect()]
+    want, at = [], 0
+    for ch in text:
+        if ch == "\u200b":
+            want.append((at, 3))
+        at += len(ch.encode())
+    assert got[0] == want[:64] and got[1] == got[2] == [] and got[4] == [(0, 3)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_definitions_are_those_among_all_symbols(spark):
+    from faktum.sources import python_source as P
+
+    text = open(P.__file__).read() + "\nf = lambda a: lambda *b: 0\nimport x.y as z, w\nasync def g(): from .q import r\n"
+    every = P.symbols_of(text)
+    for kinds in ({"import"}, {"function"}, {"import", "function"}):
+        assert P.definitions(text, frozenset(kinds)) == [x for x in every if x["kind"] in kinds]
+    sources = spark.createDataFrame([(str(k), text if k % 2 else "a b") for k in range(3)], "file_id string, text string")
+    got = P.symbols(sources, ("import",)).collect()
+    assert {r.kind for r in got} == {"import"} and len(got) == sum(x["kind"] == "import" for x in every) and P.symbols(sources, ("error",)).count() == 2
