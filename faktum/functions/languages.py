@@ -6,7 +6,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +33,8 @@ PATTERNS = {
 #: Bytes at the beginning that are looked at, those at the end where the beginning holds little, and how
 #: many bytes but white space are enough; the least score; how near, in hundredths of the best, the next may come.
 HEAD, TAIL, LITTLE, LEAST_SCORE, NEAR = 4096, 2048, 16, 10, 60
+#: Bytes that are searched at once.
+STEP = 1 << 20
 #: A language's score ends here.
 MOST_SCORE = 65_535
 LANGUAGES = tuple(PATTERNS)
@@ -46,7 +48,20 @@ def _automaton() -> Automaton:
 
 
 def score_rows(rows: list[bytes]) -> np.ndarray:
-    """(row, language): what the hits add up to.  A triple equals sign counts outside longer runs only, and a member access with a member only."""
+    """(row, language): what the hits add up to, for stretches of up to STEP bytes (one row at least), so that what a batch takes doesn't grow with it."""
+    out = np.zeros((len(rows), len(LANGUAGES)), np.int64)
+    lo = 0
+    while lo < len(rows):
+        hi, size = lo + 1, len(rows[lo])
+        while hi < len(rows) and size + len(rows[hi]) <= STEP:
+            size, hi = size + len(rows[hi]), hi + 1
+        out[lo:hi] = _scored(rows[lo:hi])
+        lo = hi
+    return out
+
+
+def _scored(rows: list[bytes]) -> np.ndarray:
+    """A triple equals sign counts outside longer runs only, and a member access with a member only."""
     out = np.zeros((len(rows), len(LANGUAGES)), np.int64)
     raw, offsets = joined(rows)
     row, end, number = _automaton().hits_in(raw, offsets)
@@ -131,20 +146,26 @@ def _ends(content: Column) -> tuple[Column, Column, Column]:
     return F.substring(content, 1, HEAD), F.when(F.octet_length(content) > HEAD, F.substring(content, -TAIL, TAIL)), F.octet_length(content)
 
 
-def _plain(x: pd.Series) -> list:
-    return [None if v is None or v is pd.NA else bytes(v) for v in x]
+#: Rows that are taken from Arrow at once.
+TOGETHER = 256
 
 
-@F.pandas_udf(T.StringType())
-def _language(head: pd.Series, tail: pd.Series, size: pd.Series) -> pd.Series:
-    sizes = [0 if pd.isna(n) else int(n) for n in size]
-    return pd.Series(decide_rows(_plain(head), _plain(tail), sizes)[0], dtype=object)
+@F.arrow_udf(T.StringType())
+def _language(head: pa.Array, tail: pa.Array, size: pa.Array) -> pa.Array:
+    out: list[str | None] = []
+    for k in range(0, len(head), TOGETHER):
+        heads, tails, sizes = (x.slice(k, TOGETHER).to_pylist() for x in (head, tail, size))
+        out += decide_rows(heads, tails, [n or 0 for n in sizes])[0]
+    return pa.array(out, pa.string())
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _scores(content: pd.Series) -> pd.Series:
-    rows = _plain(content)
-    return pd.Series([None if x is None else y for x, y in zip(rows, score_rows([x or b"" for x in rows]).tolist(), strict=True)], dtype=object)
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _scores(content: pa.Array) -> pa.Array:
+    out: list[list[int] | None] = []
+    for k in range(0, len(content), TOGETHER):
+        rows = content.slice(k, TOGETHER).to_pylist()
+        out += [None if x is None else y for x, y in zip(rows, score_rows([x or b"" for x in rows]).tolist(), strict=True)]
+    return pa.array(out, pa.list_(pa.int64()))
 
 
 def language(content: Column) -> Column:
