@@ -14,7 +14,7 @@ from faktum.operators import comments as C
 from faktum.operators import references as R
 from faktum.queries_files import member_metrics_sql
 from faktum.queries_text import long_metrics_sql
-from faktum.registry import query, rows, spread, table, values
+from faktum.registry import dealt, query, rows, spread, table, values
 
 CODE = (
     ("c1", "c", 'int a; // TODO one\nchar *s = "// no /* no */"; /* two\nlines */ int b; // see https://x.org\n//\n/* open'),
@@ -240,10 +240,12 @@ def _sources(spark, sf_dir):
     """Typed sources, and those made of orders."""
     key = F.col("l_partkey") % 100
     statement = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("def r"), key, F.lit("(a, qty):\n    return a\n"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("def wide_name_"), "l_suppkey", F.lit("(p1, p2, p3, p4, p5, p6, p7, p8): pass\n"))).otherwise("import numpy\n")
-    made = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", statement.alias("s")).alias("x")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    orders = table(spark, sf_dir, "orders").join(made, F.col("o_orderkey") == F.col("l_orderkey"))
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    lines, orders = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "l_orderkey", of=(orders,)), dealt(orders, "o_orderkey", of=(lines,))
+    made = lines.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", statement.alias("s")).alias("x")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    orders = orders.join(made, F.col("o_orderkey") == F.col("l_orderkey"))
     text = F.concat(F.lit("import os\nimport mod"), "o_custkey", F.lit(" as m\nfrom .pkg import x"), "o_orderstatus", F.lit("\n"), F.array_join("x.s", ""))
-    return rows(spark, "file_id string, text string", *_FUNCTIONS).unionByName(spread(orders.select(F.concat(F.lit("o"), "o_orderkey").alias("file_id"), text.alias("text"))))
+    return rows(spark, "file_id string, text string", *_FUNCTIONS).unionByName(orders.select(F.concat(F.lit("o"), "o_orderkey").alias("file_id"), text.alias("text")))
 
 
 _IMP_METRICS = f"""SELECT file_id, count(DISTINCT name) AS unique_modules, count(*) FILTER (known) AS stdlib_count, count(*) FILTER (NOT known AND name NOT LIKE '.%') AS third_party_count, count(*) FILTER (name LIKE '.%') AS relative_imports,
@@ -276,7 +278,7 @@ def imp_metrics(spark, sf_dir):
     from faktum.operators.imports import import_metrics
     from faktum.sources.python_source import stdlib, symbols
 
-    found = symbols(_sources(spark, sf_dir)).filter("kind = 'import'").select("file_id", "name", "alias")
+    found = symbols(_sources(spark, sf_dir), ("import",)).select("file_id", "name", "alias")
     return import_metrics(found, stdlib())
 
 
@@ -287,7 +289,7 @@ def fun_metrics(spark, sf_dir):
     from faktum.sources.python_source import symbols
 
     sources = _sources(spark, sf_dir)
-    return function_metrics(symbols(sources).filter("kind = 'function'"), sources)
+    return function_metrics(symbols(sources, ("function",)), sources)
 
 
 PDFS = (
