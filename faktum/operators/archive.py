@@ -52,7 +52,30 @@ def name_tests(path: Column) -> dict[str, Column]:
 
 
 def member_metrics(members: DataFrame) -> DataFrame:
-    """One wide row of counts and sizes for each file."""
+    """One wide row of counts and sizes for each file.
+
+    Sums are one grouping, for which a task makes one row a file before rows meet; distinct counts are another over their
+    columns alone, since a grouping with both carries all sums along with each value.  The two meet by file as they are
+    dealt out; members without a file have the one null group, in which no join is needed.
+    """
+    some, none = members.filter("file_id IS NOT NULL"), members.filter("file_id IS NULL")
+    lone = _sums(none).crossJoin(none.agg(*_distinct())).filter("member_count > 0") if members.schema["file_id"].nullable else None
+    counted = _sums(some).join(some.groupBy("file_id").agg(*_distinct()), "file_id")
+    own = counted if lone is None else counted.unionByName(lone)
+    own = own.withColumns({"duplicate_member_count": F.col("_paths") - F.col("_own_paths"), "crc_collision_count": F.col("_crcs") - F.col("_own_crcs"), "mtime_unique_count": F.col("_own_mtimes")})
+    own = own.withColumn("mtime_unique_ratio", F.round(F.try_divide("_own_mtimes", "_mtimes"), 6))
+    return own.select(*(c for c in own.columns if not c.startswith("_")))
+
+
+def _crc() -> Column:
+    return F.when(F.col("size_bytes") > 0, F.col("crc32"))
+
+
+def _distinct() -> list[Column]:
+    return [F.countDistinct("path").alias("_own_paths"), F.countDistinct(_crc()).alias("_own_crcs"), F.countDistinct("mtime_unix").alias("_own_mtimes")]
+
+
+def _sums(members: DataFrame) -> DataFrame:
     m = members
     for k, test in name_tests(F.col("path")).items():
         m = m.withColumn(f"is_{k}", test)
@@ -80,12 +103,11 @@ def member_metrics(members: DataFrame) -> DataFrame:
         F.sum("extra_bytes").alias("extra_field_size"),
         count(F.col("comment_bytes") > 0).alias("entry_comment_count"),
         F.sum("comment_bytes").alias("entry_comment_size"),
-        (F.count("path") - F.countDistinct("path")).alias("duplicate_member_count"),
-        (F.count(F.when(F.col("size_bytes") > 0, F.col("crc32"))) - F.countDistinct(F.when(F.col("size_bytes") > 0, F.col("crc32")))).alias("crc_collision_count"),
+        F.count("path").alias("_paths"),
+        F.count(_crc()).alias("_crcs"),
         count(F.col("mtime_unix").isNull()).alias("sentinel_mtime_count"),
         (F.max("mtime_unix") - F.min("mtime_unix")).alias("mtime_spread_seconds"),
-        F.countDistinct("mtime_unix").alias("mtime_unique_count"),
-        F.round(F.try_divide(F.countDistinct("mtime_unix"), F.count("mtime_unix")), 6).alias("mtime_unique_ratio"),
+        F.count("mtime_unix").alias("_mtimes"),
         count(F.col("mtime_unix") > FAR_FUTURE).alias("future_mtime_count"),
     )
 
