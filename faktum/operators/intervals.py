@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +44,20 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_bounds: tu
     own = [f"_{k}" for k in keys]
     levels = lambda df, s, e: sorted(r[0] for r in df.select(_level(F.col(e) - F.col(s)).alias("l")).distinct().collect())  # noqa: E731  # 32 at most
     in_left, in_right = levels(left, s1, e1), levels(right, s2, e2)
-    # the left's rows at the levels of right ones that are at least as long, and the other way round but for equal levels
-    short_left = _cells(left, s1, e1, in_right, False).unionByName(_cells(left, s1, e1, [], True))
-    short_right = _cells(right, s2, e2, in_left, False)
+    # the left's rows at the levels of right ones that are at least as long, and the other way round but for equal levels;
+    # rows of levels that the other side lacks go before the join, and what no row can be in isn't made
+    at = lambda df, s, e, other: df.filter(_level(F.col(e) - F.col(s)).isin(other))
+    sides = []
+    if set(in_left) & set(in_right):
+        sides.append((_cells(at(left, s1, e1, in_right), s1, e1, [], True), _cells(at(right, s2, e2, in_left), s2, e2, [], True)))
+    for short, long in ((in_left, in_right), (in_right, in_left)):
+        met = sorted({x for x in long if x > min(short, default=x)})
+        if met and short is in_left:
+            sides.append((_cells(left, s1, e1, met, False), _cells(at(right, s2, e2, met), s2, e2, [], True)))
+        elif met:
+            sides.append((_cells(at(left, s1, e1, met), s1, e1, [], True), _cells(right, s2, e2, met, False)))
     both = []
-    for a, b in ((short_left, _cells(right, s2, e2, [], True)), (_cells(left, s1, e1, [], True), short_right)):
+    for a, b in sides or [(_cells(left, s1, e1, [], True), _cells(right, s2, e2, [], True))]:
         b = b.withColumnsRenamed({"_level": "_l", "_cell": "_c"})
         same = (F.col("_level") == F.col("_l")) & (F.col("_cell") == F.col("_c"))
         for k, other in zip(keys, own, strict=True):
@@ -56,7 +66,7 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_bounds: tu
         # a pair that shares several cells is given in the one of its first common point
         first = F.floor(F.greatest(F.col(s1), F.col(s2)) / _width(F.col("_level")))
         both.append(met.filter(first == F.col("_cell")).drop("_level", "_cell", "_l", "_c", *own))
-    return both[0].unionByName(both[1])
+    return reduce(DataFrame.unionByName, both)
 
 
 def counts_below(points: DataFrame, asked: DataFrame, keys: list[str], value: str, id_: str) -> DataFrame:

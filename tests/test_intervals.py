@@ -32,3 +32,11 @@ def test_counts(spark, monkeypatch, stretches):
     got = {r.i: r.n for r in overlap_counts(*frames, ["k"], ("a", "b"), "i").collect()}
     assert got == {i: sum(k == o and max(a, c) < min(b, d) for o, _, c, d in others) for k, i, a, b in asked if k and b > a}
     assert overlap_counts(frames[0], frames[1].limit(0), ["k"], ("a", "b"), "i").filter("n <> 0").count() == 0
+
+
+def test_levels_that_the_other_side_lacks_are_not_joined(spark):
+    points = spark.createDataFrame([("k", i, i, i + 1) for i in range(20)], "k string, y long, c long, d long")
+    spans = spark.createDataFrame([("k", i, i, i + 9) for i in range(20)], "k string, x long, a long, b long")
+    found = overlaps(spans, points, ["k"], ("a", "b"), ("c", "d"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    assert sorted((r.x, r.y) for r in found.collect()) == [(x, y) for x in range(20) for y in range(20) if x <= y < x + 9]
