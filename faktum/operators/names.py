@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faktum.functions import strings as S
-from faktum.functions.bytes import byte_facts
+from faktum.functions.bytes import byte_entropy
 
 
 def entropy(s: Column) -> Column:
-    return byte_facts(F.encode(s, "UTF-8"))["entropy"]
+    return byte_entropy(F.encode(s, "UTF-8"))
 
 
 def identifier_metrics(names: DataFrame) -> DataFrame:
-    """names: (file_id, name), a row for each occurrence.  All but total are over a file's distinct names."""
-    counted = names.filter("name <> ''").groupBy("file_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    """names: (file_id, name), a row for each occurrence, or (file_id, name, n) for n of them.  All but total are over a file's distinct names."""
+    counted = names.filter("name <> ''").groupBy("file_id", "name").agg((F.sum("n") if "n" in names.columns else F.count(F.lit(1))).alias("n"))
     s, size = F.col("name"), F.octet_length("name")
     counted = counted.withColumn("entropy", entropy(s)).withColumn("size", size)
     count = lambda test: F.count_if(test).cast("double")

@@ -49,6 +49,14 @@ def _nodes(spark, sf_dir, fields: str | None = None, kinds: tuple[str, ...] | No
     return nodes(_elements(spark, sf_dir).filter(f"kind = 'script' AND source = {source}"), ["source", "id", "ord"], "body", fields and fields.split(), kinds)
 
 
+def _names(spark, sf_dir, kind: str) -> DataFrame:
+    """(file_id, name, n) of the scripts' nodes of a kind; pages have negative numbers."""
+    from faktum.sources.scripts import names
+
+    scripts = _elements(spark, sf_dir).filter("kind = 'script'").select(F.when(F.col("source") == "orders", F.col("id")).otherwise(-1 - F.col("id")).alias("file_id"), "body")
+    return names(scripts, ["file_id"], "body", kind)
+
+
 #: By order: how many lines it has, and of each kind.
 _LINES = """l AS (SELECT o_orderkey AS id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag NOT IN ('R', 'A')) AS x FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
 p AS (SELECT page_id AS id, html, len(regexp_extract_all(left(html, instr(html, '<script>')), '<!--|<style')) AS ord FROM pages WHERE regexp_matches(html, '<script>var t="</p>";track\\([0-9]+\\);</script>'))"""
@@ -111,7 +119,7 @@ def lit_scripts(spark, sf_dir):
     """LIT metrics of the string literals of each page's scripts (pages have negative numbers; -2 is a fixed case)."""
     from faktum.operators.names import literal_metrics
 
-    own = _nodes(spark, sf_dir, "name", ("string",)).select(F.when(F.col("source") == "orders", F.col("id")).otherwise(-1 - F.col("id")).alias("file_id"), F.col("name").alias("value"))
+    own = _names(spark, sf_dir, "string").select("file_id", F.explode(F.array_repeat("name", F.col("n").cast("int"))).alias("value"))
     long_ = spark.range(30).select(F.lit(-2).cast("long").alias("file_id"), F.expr("repeat(concat(chr(97 + id % 26), id, 'Qz'), 40)").alias("value"))
     return literal_metrics(own.unionByName(long_))
 
@@ -127,8 +135,7 @@ def idn_scripts(spark, sf_dir):
     """IDN metrics of the identifiers of each page's scripts."""
     from faktum.operators.names import identifier_metrics
 
-    own = _nodes(spark, sf_dir, "name", ("identifier",)).select(F.when(F.col("source") == "orders", F.col("id")).otherwise(-1 - F.col("id")).alias("file_id"), "name")
-    return identifier_metrics(own)
+    return identifier_metrics(_names(spark, sf_dir, "identifier"))
 
 
 #: Patterns by name; the last two can't be read.

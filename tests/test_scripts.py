@@ -128,3 +128,26 @@ def test_pages_of_orders_are_dealt_over_all_tasks(spark):
 
     made = order_pages(spark, "/root/testdata/sf0.01")
     assert len([n for n in made.groupBy(F.spark_partition_id()).count().collect() if n["count"] > 1000]) == spark.sparkContext.defaultParallelism
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("a b1 o12 5 0x1F 5x1 1e5 .5 , ; ; ; ( ) [ ] { } `a${b1}c9` ${ /* // \n ' \"a1\" 'b22' / /a[/]1/g class 5class function(q1) return => = + ** ! ? : . var let if for(;;) else case of new null é5 5é 1_0 $1 ...".split(" ")), max_size=40))
+def test_names_are_those_of_the_tree(parts):
+    """Whatever is kept of known statements and scripts, and however they are cut."""
+    for text in ("".join(parts), " ".join(parts)):
+        rows = tree(text)
+        for kind in ("identifier", "string"):
+            want = [x[6] for x in rows if x[4] == kind and x[6] is not None]
+            assert scripts.names_of(text, kind) == {x: want.count(x) for x in want}
+
+
+def test_scripts_that_differ_by_numbers_share_their_trees(spark, monkeypatch):
+    """A statement is parsed once, whatever its numbers are; names come out with theirs."""
+    read = []
+    monkeypatch.setattr(scripts, "tree", lambda text: read.append(text) or tree(text))
+    for k in range(500):
+        text = f"/* {k} */ var o{k} = [{k}, 7];\nf(o{k}.length, 'a{k} b', \"{k}\");\n" + "a += 1;\n" * (k % 9)
+        assert scripts.names_of(text, "identifier") == {"o%d" % k: 2, "f": 1, **({"a": k % 9} if k % 9 else {})}
+    assert len(read) <= 8
+    own = scripts.names(spark.createDataFrame([(1, "x1; x1; y"), (2, None)], "id long, body string"), ["id"], "body", "identifier")
+    assert sorted(map(tuple, own.collect())) == [(1, "x1", 2), (1, "y", 1)]
