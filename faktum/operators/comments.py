@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faktum.functions import strings as S
-from faktum.functions.bytes import byte_facts
-from faktum.functions.text import lines, trimmed
+from faktum.functions.bytes import byte_entropy
+from faktum.functions.text import line_count, trimmed
 
 _STRINGS = r""""(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?"""
 #: What begins and ends comments, by style; the body is the one group that isn't empty.
@@ -63,10 +63,12 @@ def comments(sources: DataFrame) -> DataFrame:
     return sources.select("file_id", F.posexplode(own).alias("ord", "body"))
 
 
-def metrics(found: DataFrame, sources: DataFrame) -> DataFrame:
-    """Counts over each file's comments."""
-    body, bare = F.col("body"), trimmed(F.col("body"))
-    found = found.withColumn("bare", bare).withColumn("lines", F.size(lines(body))).withColumn("entropy", byte_facts(F.encode("bare", "UTF-8"))["entropy"])
+def metrics(found: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Counts over each file's comments; a file's lines come from its text in sources, or as `all_lines` with its comments."""
+    bare = trimmed(F.col("body"))
+    found = found.withColumn("bare", bare).withColumn("lines", line_count(F.col("body")))
+    # a text of up to 22 bytes has less than 4.5 bits a byte
+    found = found.withColumn("entropy", byte_entropy(F.when(F.octet_length("bare") > 22, F.encode("bare", "UTF-8"))))
     b = F.col("bare")
     filled = b != ""
     mark = lambda x: F.count_if(filled & F.upper(b).contains(x))
@@ -80,7 +82,9 @@ def metrics(found: DataFrame, sources: DataFrame) -> DataFrame:
         F.count_if(filled & S.has_code_patterns(b)).alias("code_in_comments"),
         F.count_if(filled & (S.hits(b, ["http://", "https://", "ftp://"]) > 0)).alias("url_in_comments"),
         F.count_if(filled & S.has_base64_pattern(b)).alias("base64_in_comments"),
+        *([] if sources is not None else [F.max("all_lines").alias("all_lines")]),
     )
-    whole = sources.select("file_id", F.size(lines(F.col("text"))).alias("all_lines"))
     code = F.col("all_lines") - F.col("lines")
-    return out.join(whole, "file_id").withColumn("to_code_ratio", F.when(code > 0, F.round(F.col("lines") / code, 6))).drop("all_lines")
+    if sources is not None:
+        out = out.join(sources.select("file_id", line_count(F.col("text")).alias("all_lines")), "file_id")
+    return out.withColumn("to_code_ratio", F.when(code > 0, F.round(F.col("lines") / code, 6))).drop("all_lines")

@@ -101,12 +101,14 @@ _PAGE_TEXTS = "(SELECT 'orders' || l_orderkey AS file_id, repeat('x' || chr(10),
 def cmt_pages(spark, sf_dir):
     """CMT-1..13 of each page: comments of its markup, scripts and styles."""
     from faktum.operators.comments import metrics
-    from faktum.sources.scripts import comment_bodies
-
-    key = F.concat("source", "id").alias("file_id")
-    own = F.when(F.col("kind") == "script", comment_bodies(F.when(F.col("kind") == "script", F.col("body")))).when(F.col("kind") == "style", F.regexp_extract_all("body", F.lit(r"(?s)/\*(.*?)\*/"), F.lit(1))).otherwise(F.array("body"))
-    found = _elements(spark, sf_dir).select(key, "ord", F.explode(own).alias("body"))
-    return metrics(found, all_pages(spark, sf_dir).select(key, F.col("html").alias("text")))
+    from faktum.functions.text import line_count
+    from faktum.sources.scripts import comment_bodies, elements, plain_comments
+
+    key = F.struct(F.concat("source", "id").alias("file_id"), line_count(F.col("html")).alias("all_lines"))
+    parts = elements(all_pages(spark, sf_dir).select(key.alias("key"), "html"), "key", "html").withColumn("plain", plain_comments(F.when(F.col("kind") == "script", F.col("body"))))
+    script = F.coalesce("plain", comment_bodies(F.when((F.col("kind") == "script") & F.col("plain").isNull(), F.col("body"))))
+    own = F.when(F.col("kind") == "script", script).when(F.col("kind") == "style", F.regexp_extract_all("body", F.lit(r"(?s)/\*(.*?)\*/"), F.lit(1))).otherwise(F.array("body"))
+    return metrics(parts.select("key.file_id", "key.all_lines", "ord", F.explode(own).alias("body")))
 
 
 _OF_PARTS = "SELECT p_partkey AS file_id, unnest(string_split(p_name || '  ' || p_brand || ' ' || p_type, ' ')) AS s FROM part UNION ALL SELECT -1, s FROM " + values("s", *((x,) for x in STRINGS)) + " UNION ALL"

@@ -151,3 +151,27 @@ def test_scripts_that_differ_by_numbers_share_their_trees(spark, monkeypatch):
     assert len(read) <= 8
     own = scripts.names(spark.createDataFrame([(1, "x1; x1; y"), (2, None)], "id long, body string"), ["id"], "body", "identifier")
     assert sorted(map(tuple, own.collect())) == [(1, "x1", 2), (1, "y", 1)]
+
+
+def test_plain_comments_are_those_of_the_lexer(spark):
+    """Spark's expressions find the same comments, or leave the script to the lexer; long pieces need no stack."""
+    texts = ["a /* b */ + c // d\n<!-- e\nf", "/* open", "/*/", "'/* no */' + \"// no\" // yes", "`// no ${a.b} /* no */` /* yes */", "'\\'// no' // yes\n'open // no\n// yes", "a / b // lexer", "`${a + b}` // lexer", "", "'" + "\\x" * 50_000 + "' // yes", "/*" + "* /" * 50_000 + "*/ // \u00e9"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, body string").select("k", scripts.plain_comments(F.col("body")).alias("plain"), comment_bodies(F.col("body")).alias("lexed"))
+    for k, plain, lexed in df.collect():
+        assert (plain is None) == (k in (6, 7)) and (plain is None or plain == lexed), texts[k][:50]
+
+
+def test_line_count(spark):
+    from faktum.functions.text import line_count, lines
+
+    texts = ["", "a", "a\n", "\n", "\n\n", "a\r\nb", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select(line_count(F.col("t")).alias("n"), F.size(lines(F.col("t"))).alias("want"))
+    assert all(r.n == r.want for r in df.collect()) and df.schema["n"].dataType == df.schema["want"].dataType
+
+
+def test_pages_of_comments_are_read_once(spark):
+    """cmt_pages makes and reads its pages once: each table is scanned once."""
+    from faktum.queries import QUERIES
+
+    plan = QUERIES["cmt_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(x.strip(" :+-").startswith("Relation ") for x in plan.splitlines()) == 3
