@@ -12,7 +12,9 @@ in the same containers), which slots hold the article: slots that vary and
 aren't mostly links can belong to it, and those in the innermost element that
 holds most of such text do.  A line that most pages have in a slot, between
 texts that vary, is the site's and goes; paragraphs that copies of an article
-share stay.  Tags and classes are evidence about slots.  Article and main
+share stay.  Rare texts aren't counted, and a wrapper knows by how much a count
+can be short; hosts where that could matter are aligned again with the texts in
+question counted from the start.  Tags and classes are evidence about slots.  Article and main
 elements tell which slots are the article's if they hold a fair share of the
 template's text.  Elements that are menus, forms, adverts, comments and the like
 by their tag or by nothing but such words go.  A class that may mean furniture
@@ -58,9 +60,10 @@ def _infer(batches):
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(salts, pa.int32()), pa.array([pickle.dumps(w) for w in held.values()], pa.binary())], schema=WRAPPER)
 
     for batch in batches:
-        for host, seed, html in zip(batch.column("host").to_pylist(), batch.column("seed").to_pylist(), batch.column("html"), strict=True):
+        for host, seed, html, pinned in zip(batch.column("host").to_pylist(), batch.column("seed").to_pylist(), batch.column("html"), batch.column("pinned").to_pylist(), strict=True):
             part = part or seed
             _, tree = page.read(html.as_py() or "")
+            tree.pinned = frozenset(pinned or ())
             if host in held:
                 page.align(held[host], tree)
             else:
@@ -88,8 +91,9 @@ def _merge(rows: pa.Table) -> pa.Table:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (a pickled tree) of every host of pages (url, html)."""
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html", F.spark_partition_id().alias("seed"))
+    """host, wrapper (a pickled tree) of every host of pages (url, html), whose texts in `pinned`, if there is such a column, are counted however rare."""
+    pinned = F.col("pinned") if "pinned" in pages.columns else F.lit(None).cast("array<long>")
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html", F.spark_partition_id().alias("seed"), pinned.alias("pinned"))
     own = rows.mapInArrow(textkit.tidy(_infer), WRAPPER_DDL)
     own = own.groupBy("host", "salt").applyInArrow(_merge, WRAPPER_DDL)
     return own.groupBy("host").applyInArrow(_merge, WRAPPER_DDL).select("host", "wrapper")
@@ -97,10 +101,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def _paths(batches):
     for batch in batches:
-        own = [(h, t, *x) for h, w in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True) for t, x in page.content(pickle.loads(w)).items()]
-        host, template, constant, paths = zip(*own, strict=True) if own else ((), (), (), ())
+        own = []
+        for host, tree in zip(batch.column("host").to_pylist(), batch.column("wrapper"), strict=True):
+            whole = pickle.loads(tree.as_py())
+            unsure = page.unsure(whole)
+            pinned = sorted(unsure | whole.pinned) if unsure else None
+            own += [(host, template, *x, pinned) for template, x in page.content(whole).items()]
+        host, template, constant, paths, pinned = zip(*own, strict=True) if own else ((), (), (), (), ())
         keys = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(template, pa.int64()), pa.array(constant, keys), pa.array(paths, keys)], names=["host", "template", "constant", "paths"])
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(template, pa.int64()), pa.array(constant, keys), pa.array(paths, keys), pa.array(pinned, keys)], names=["host", "template", "constant", "paths", "pinned"])
 
 
 def _read(batches):
@@ -124,13 +133,31 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def _content(pages: DataFrame) -> DataFrame:
+    """host, template, constant, paths, pinned: what the wrappers say of each template, and, of hosts where counts can be short by something that matters, the texts to be counted whole."""
+    return cut(wrappers(pages).mapInArrow(textkit.tidy(_paths), "host string, template long, constant array<long>, paths array<long>, pinned array<long>"))
+
+
+def _unsure(paths: DataFrame) -> int:
+    """The size of what is to be counted whole; 0 for nothing."""
+    return paths.agg(F.sum(F.when(F.col("pinned").isNotNull(), 8 * F.size("pinned") + F.octet_length("host") + 64))).first()[0] or 0
+
+
+def _sent(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    paths = cut(wrappers(pages).mapInArrow(textkit.tidy(_paths), "host string, template long, constant array<long>, paths array<long>"))
+    paths = _content(pages)
+    while unsure := _unsure(paths):
+        again = _sent(paths.filter("pinned IS NOT NULL").groupBy("host").agg(F.first("pinned").alias("pinned")), unsure)
+        paths = cut(paths.filter("pinned IS NULL").unionByName(_content(pages.join(again, "host"))))
+    paths = paths.drop("pinned")
     size = paths.agg(F.sum(8 * (F.size("constant") + F.size("paths")) + F.octet_length("host") + 64)).first()[0] or 0
     read = pages.mapInArrow(textkit.tidy(_read), "page_id long, url string, host string, template long, blocks binary")
-    joined = read.join(F.broadcast(paths) if size <= BROADCAST_BYTES else paths, ["host", "template"], "left")
+    joined = read.join(_sent(paths, size), ["host", "template"], "left")
     return joined.select("page_id", "url", "blocks", "constant", "paths").mapInArrow(textkit.tidy(_extract), "page_id long, url string, text string, n_chars long")
 
 

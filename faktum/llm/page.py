@@ -81,7 +81,9 @@ class Node:
     links: int = 0
     pages: int = 1
     text: int | None = None  # a hash of the one text that was always seen; None: it varies
-    texts: dict = field(default_factory=dict)  # of a slot: hash of a text to (pages that have it, hashes of up to MANY different ones, of texts before it, of texts after it)
+    texts: dict = field(default_factory=dict)  # of a slot: hash of a text to (pages that have it, hashes of up to MANY different ones, of texts before it, of texts after it, pages that it can have beyond the counted)
+    lost: int = 0  # of a slot: pages that a text can have that isn't counted
+    pinned: frozenset = frozenset()  # of the root: texts that are always counted
     templates: dict = field(default_factory=dict)  # of the root: template to its paths: [characters, those in links, those inside article or main, what is known before times characters]
 
 
@@ -246,7 +248,7 @@ def _fill(root: Node, page: int, slots: list[Node]) -> None:
     """Tells the slots of a page which page it is and which texts stand around theirs (0: none, or one outside the article that the slot is in)."""
     for k, c in enumerate(slots):
         around = [slots[j].text if 0 <= j < len(slots) and slots[j].main == c.main else 0 for j in (k - 1, k + 1)]
-        c.texts = {c.text: (1, (page,), (around[0],), (around[1],))}
+        c.texts = {c.text: (1, (page,), (around[0],), (around[1],), 0)}
 
 
 @lru_cache(maxsize=65536)
@@ -277,8 +279,8 @@ DEPTH = 200
 SEVERAL = 3
 #: A text can be constant from so many different pages on, which are at least this share (in tenths) of those with its slot.
 MANY, MOST = 5, 8
-#: Of a slot that varies: texts that are counted (the most frequent ones), and the length from which one can be constant.
-TEXTS, LINE = 32, 20
+#: Of a slot that varies: texts that are counted however rare (the most frequent ones), what part of its pages a text has that isn't counted, at most, and the length from which one can be constant.
+TEXTS, RARE, LINE = 32, 20, 20
 #: Stands for all templates of a host.
 EVERY = -1
 #: The elements that tell templates apart.
@@ -314,8 +316,9 @@ def fold(node: Node) -> None:
     node.children = out
 
 
-def align(a: Node, b: Node, same_page: bool = False) -> None:
+def align(a: Node, b: Node, same_page: bool = False, pinned: frozenset = frozenset()) -> None:
     """Makes `a` the union-free expression of both: children in common stay, mismatches become optional."""
+    pinned = pinned or a.pinned
     a.repeated |= b.repeated
     a.optional |= b.optional
     a.level = min(a.level, b.level)
@@ -329,7 +332,7 @@ def align(a: Node, b: Node, same_page: bool = False) -> None:
     if a.text != b.text:
         a.text = None
     if b.texts:
-        _count_texts(a, b, same_page)
+        _count_texts(a, b, same_page, pinned)
     for template, paths in b.templates.items():
         into = a.templates.setdefault(template, {})
         for path, own in paths.items():
@@ -337,7 +340,7 @@ def align(a: Node, b: Node, same_page: bool = False) -> None:
     x, y = a.children, b.children
     if [c.label for c in x] == [c.label for c in y]:
         for c, d in zip(x, y, strict=True):
-            align(c, d, same_page)
+            align(c, d, same_page, pinned)
         return
     out, i, j = [], 0, 0
     for k, l in [*_matches([c.label for c in x], [c.label for c in y]), (len(x), len(y))]:
@@ -345,12 +348,12 @@ def align(a: Node, b: Node, same_page: bool = False) -> None:
             lone.optional = True
             out.append(lone)
         if k < len(x):
-            align(x[k], y[l], same_page)
+            align(x[k], y[l], same_page, pinned)
             out.append(x[k])
         i, j = k + 1, l + 1
     a.children = out
     if not same_page:
-        fold_aligned(a)
+        fold_aligned(a, pinned)
 
 
 def _matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
@@ -385,27 +388,66 @@ def _matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _count_texts(a: Node, b: Node, same_page: bool) -> None:
-    """Counts are never too high: of a slot's texts the most frequent stay, the latest first."""
+def _count_texts(a: Node, b: Node, same_page: bool, pinned: frozenset = frozenset()) -> None:
+    """Counts are never too high, and by how much they can be too low is known: of a slot's texts the most frequent (the
+    latest first) and the pinned stay, and all that one in RARE of its pages can have; what goes can't be constant before
+    it comes again, and then counts as one that may have been there."""
+
+    def both(n, n_more, m, m_more):  # (pages that have it, pages that it can have beyond these)
+        k = max(n, m) if same_page else n + m
+        return k, (max(n + n_more, m + m_more) if same_page else k + n_more + m_more) - k
+
     out = dict(b.texts)
-    for text, (n, *own) in a.texts.items():
-        if text in out:
-            m, *other = out[text]
-            out[text] = (max(n, m) if same_page else n + m, *(x if x == y else tuple(sorted({*x, *y})[:MANY]) for x, y in zip(own, other, strict=True)))
+    if a.lost:
+        for text, (m, *other, m_more) in b.texts.items():
+            m, m_more = both(0, 0 if text in pinned else a.lost, m, m_more)
+            out[text] = (m, *other, m_more)
+    for text, (n, *own, n_more) in a.texts.items():
+        if text in b.texts:
+            m, *other, m_more = b.texts[text]
+            k, more = both(n, n_more, m, m_more)
+            out[text] = (k, *(x if x == y else tuple(sorted({*x, *y})[:MANY]) for x, y in zip(own, other, strict=True)), more)
         else:
-            out[text] = (n, *own)
+            k, more = both(n, n_more, 0, 0 if text in pinned else b.lost)
+            out[text] = (k, *own, more)
+    a.lost = max(a.lost, b.lost) if same_page else a.lost + b.lost
     if not same_page and len(out) > TEXTS:
-        out = dict(sorted(out.items(), key=lambda x: -x[1][0])[:TEXTS])
+        ranked = sorted(out.items(), key=lambda x: -x[1][0])
+        rare = [x for x in ranked[TEXTS:] if x[0] not in pinned and RARE * (x[1][0] + x[1][-1]) <= a.pages]
+        if rare:
+            a.lost = max(a.lost, *(x[0] + x[-1] for _, x in rare))
+            gone = {text for text, _ in rare}
+            ranked = [x for x in ranked if x[0] not in gone]
+        out = dict(ranked)
     a.texts = out
 
 
-def fold_aligned(node: Node) -> None:
+def _constant(node: Node, text: int) -> bool:
+    """Whether a text of a slot is the site's own, by what is counted of it."""
+    n, pages, before, after, _ = node.texts[text]
+    alone = all(len(x) >= SEVERAL or 0 in x for x in (before, after))
+    return len(pages) >= MANY and 10 * n >= MOST * node.pages and alone and (node.text is not None or text >> 32 >= LINE)
+
+
+def unsure(wrapper: Node) -> set[int]:
+    """Texts that would be constant if they had all pages that they can have; with these pinned, an alignment counts them whole."""
+    out: set[int] = set()
+    open_ = [wrapper]
+    while open_:
+        node = open_.pop()
+        open_ += node.children
+        if node.label == "#" and node.level != OUT:
+            out |= {t for t, (n, *_, more) in node.texts.items() if more and 10 * (n + more) >= MOST * node.pages and t >> 32 >= LINE and not _constant(node, t)}
+    return out
+
+
+def fold_aligned(node: Node, pinned: frozenset = frozenset()) -> None:
     """Neighbours that alignment has brought together fold like any others."""
     out: list[Node] = []
     for child in node.children:
         if out and out[-1].label == child.label:
             optional = out[-1].optional and child.optional
-            align(out[-1], child, same_page=True)
+            align(out[-1], child, same_page=True, pinned=pinned)
             out[-1].repeated, out[-1].optional = True, optional
         else:
             out.append(child)
@@ -459,9 +501,8 @@ def content(wrapper: Node) -> dict[int, tuple[list[int], list[int]]]:
     for s in slots:
         if s.node.level == OUT:
             continue
-        for text, (n, pages, before, after) in s.node.texts.items():
-            alone = all(len(x) >= SEVERAL or 0 in x for x in (before, after))
-            if len(pages) >= MANY and 10 * n >= MOST * s.node.pages and alone and (s.node.text is not None or text >> 32 >= LINE):
+        for text in s.node.texts:
+            if _constant(s.node, text):
                 constant.setdefault(s.path, set()).add(key_of(s.path, text))
         if s.node.text is None or any(len(pages) < SEVERAL for _, pages, *_ in s.node.texts.values()):
             varied.add(s.path)
