@@ -10,8 +10,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+_NODES = "array<struct<path:array<string>,kind:string,value:string>>"
+
 
 def segments(path: str) -> list[str]:
     """A dotted path with `[i]` for places; brackets that hold no number belong to the key."""
@@ -62,56 +65,59 @@ def lookup(nodes: DataFrame, keys: list[str], path: str) -> DataFrame:
     return nodes.filter(F.col("path") == _literal(segments(path))).select(*keys, "kind", "value")
 
 
+def lookup_all(nodes: DataFrame, keys: list[str], paths: dict[str, str]) -> DataFrame:
+    """(keys, a column for each name): the values of the nodes at dotted paths, of all documents, in one grouping."""
+    at = {name: F.col("path") == _literal(segments(path)) for name, path in paths.items()}
+    return nodes.groupBy(*keys).agg(*(F.max(F.when(own, F.col("value"))).alias(name) for name, own in at.items()))
+
+
 def insert(nodes: DataFrame, keys: list[str], path: str, kind: str, value: Column | None = None) -> DataFrame:
     """nodes with a node put at a dotted path (places aren't known here): objects are made on the way, and what is no object there goes.
 
-    What stands on the way is one aggregate a document; no document is gathered.
+    What stands on the way is told to all nodes of a document by a window, and its first node brings the new ones; nodes
+    that are dealt out by their keys stay where they are.
     """
     own = path.split(".")
-    on_way = [own[:k] for k in range(len(own))]
-    found = nodes.groupBy(*keys).agg(F.array(*(F.coalesce(F.max(F.when(F.col("path") == _literal(p), F.col("kind"))), F.lit("")) for p in on_way)).alias("_way"))
+    whole = W.partitionBy(*keys)
+    on_way = F.array(*(F.coalesce(F.max(F.when(F.col("path") == _literal(own[:k]), F.col("kind"))).over(whole), F.lit("")) for k in range(len(own))))
+    marked = nodes.select(*keys, "path", "kind", "value", on_way.alias("_way"), F.row_number().over(whole.orderBy(F.size("path"))).alias("_nr"))
     # the first place on the way that has no object; from there on all is made anew
-    found = found.select(*keys, (F.array_position(F.transform("_way", lambda x: x == "object"), False) - 1).cast("int").alias("_at"))
-    found = found.withColumn("_at", F.when(F.col("_at") < 0, len(own)).otherwise(F.col("_at")))
+    at = (F.array_position(F.transform("_way", lambda x: x == "object"), False) - 1).cast("int")
+    marked = marked.withColumn("_at", F.when(at < 0, len(own)).otherwise(at))
     gone = F.lit(False)
     for k in range(len(own) + 1):
         gone = gone | ((F.col("_at") == k) & _under(own[:k]))
-    marked = found.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    kept = nodes.join(marked, same).filter(~gone).select(*keys, "path", "kind", "value")
-    made = [F.struct(F.lit(k).alias("k"), _literal(own[:k]).alias("path")) for k in range(len(own))]
-    objects = found.select(*keys, "_at", F.inline(F.array(*made))).filter(F.col("k") >= F.col("_at")).select(*keys, "path", F.lit("object").alias("kind"), F.lit(None).cast("string").alias("value"))
-    leaf = found.select(*keys, _literal(own).alias("path"), F.lit(kind).alias("kind"), (F.lit(None) if value is None else value).cast("string").alias("value"))
-    return kept.unionByName(objects).unionByName(leaf)
-
-
-def assemble(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, json): documents as text, keys in order.  From the deepest level up, children are gathered by their parents."""
+    node = lambda path, kind, value: F.struct(path.alias("path"), kind.alias("kind"), value.cast("string").alias("value"))
+    none = F.lit(None).cast("string")
+    objects = F.concat(*(F.when(F.col("_at") <= k, F.array(node(_literal(own[:k]), F.lit("object"), none))).otherwise(F.array().cast(_NODES)) for k in range(len(own))))
+    made = F.concat(objects, F.array(node(_literal(own), F.lit(kind), none if value is None else value)))
+    kept = F.when(gone, F.array().cast(_NODES)).otherwise(F.array(node(F.col("path"), F.col("kind"), F.col("value"))))
+    return marked.select(*keys, F.inline(F.when(F.col("_nr") == 1, F.concat(kept, made)).otherwise(kept)))
+
+
+def depth_of(nodes: DataFrame) -> int:
+    return nodes.agg(F.max(F.size("path"))).first()[0] or 0
+
+
+def assemble(nodes: DataFrame, keys: list[str], deepest: int | None = None) -> DataFrame:
+    """(keys, json): documents as text, keys in order; no path is longer than `deepest`, if that is known.  From the deepest level up, each node is grouped with its children; nodes that are dealt out by their keys stay where they are."""
     text = lambda x: F.expr(f"substring(to_json(named_struct('v', {x})), 6, length(to_json(named_struct('v', {x}))) - 6)")
     own = F.when(F.col("kind") == "string", text("value")).when(F.col("kind") == "null", "null").when(F.col("kind").isin("object", "array"), F.lit(None)).otherwise(F.col("value"))
-    rows = nodes.withColumn("json", own)
-    deepest = nodes.agg(F.max(F.size("path"))).first()[0]
-    below = None
-    for depth in range(deepest or 0, -1, -1):
-        level = rows.filter(F.size("path") == depth)
-        if below is not None:
-            place = F.element_at("path", -1)
-            child = F.struct(F.coalesce(F.try_to_number(F.regexp_extract(place, r"\A\[(\d+)\]\z", 1), F.lit("9999999999")).cast("long"), F.lit(-1)).alias("at"), place.alias("own"), "json")
-            parents = below.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), F.slice("path", 1, depth).alias("_path")).agg(F.collect_list(child).alias("_children"))
-            same = F.col("path") == F.col("_path")
-            for k in keys:
-                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-            level = level.join(parents, same, "left").drop("_path", *(f"_{k}" for k in keys))
-        else:
-            level = level.withColumn("_children", F.lit(None).cast("array<struct<at:bigint,own:string,json:string>>"))
-        items = F.coalesce("_children", F.array().cast("array<struct<at:bigint,own:string,json:string>>"))
-        pairs = F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["own"].alias("own"), x["json"].alias("json")))), lambda x: F.concat(_quoted(x["own"]), F.lit(":"), x["json"]))
-        values = F.transform(F.array_sort(items), lambda x: x["json"])
-        whole = F.when(F.col("kind") == "object", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).when(F.col("kind") == "array", F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))).otherwise(F.col("json"))
-        below = level.select(*keys, "path", whole.alias("json"))
-    return below.select(*keys, "json")
+    leaf = F.when(F.col("kind") == "object", "{}").when(F.col("kind") == "array", "[]").otherwise(own)
+    rows = nodes.select(*keys, "path", "kind", leaf.alias("json"))
+    for depth in range(depth_of(nodes) if deepest is None else deepest, 0, -1):
+        below = F.size("path") == depth
+        place = F.element_at("path", -1)
+        child = F.struct(F.coalesce(F.try_to_number(F.regexp_extract(place, r"\A\[(\d+)\]\z", 1), F.lit("9999999999")).cast("long"), F.lit(-1)).alias("at"), place.alias("own"), "json")
+        met = rows.groupBy(*keys, F.when(below, F.slice("path", 1, depth - 1)).otherwise(F.col("path")).alias("path")).agg(
+            F.max(F.when(~below, F.struct("kind", "json"))).alias("_own"), F.collect_list(F.when(below, child)).alias("_children")
+        )
+        pairs = F.transform(F.array_sort(F.transform("_children", lambda x: F.struct(x["own"].alias("own"), x["json"].alias("json")))), lambda x: F.concat(_quoted(x["own"]), F.lit(":"), x["json"]))
+        values = F.transform(F.array_sort("_children"), lambda x: x["json"])
+        kind, some = F.col("_own.kind"), F.size("_children") > 0
+        whole = F.when(some & (kind == "object"), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).when(some & (kind == "array"), F.concat(F.lit("["), F.array_join(values, ","), F.lit("]"))).otherwise(F.col("_own.json"))
+        rows = met.filter("_own IS NOT NULL").select(*keys, "path", kind.alias("kind"), whole.alias("json"))
+    return rows.filter(F.size("path") == 0).select(*keys, "json")
 
 
 def _quoted(x: Column) -> Column:

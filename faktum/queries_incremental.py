@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faktum.registry import query, table
+from faktum.registry import dealt, query, table
 
 
 @query(
@@ -108,15 +108,14 @@ UNION ALL SELECT 'events', event_id, NULL, NULL, NULL, '{{"id":{{"value":7}},"k"
 )
 def jsn_tree_edits(spark, sf_dir):
     """JSN-11: looked up by dotted paths with places, inserted with objects on the way and over a number, and put together again."""
-    from faktum.operators.trees import assemble, flatten, insert, lookup
+    from faktum.operators.trees import assemble, depth_of, flatten, insert, lookup_all
 
     keys = ["source", "id"]
-    nodes = flatten(_talks(spark, sf_dir), keys, "json").persist()  # asked for at every level and by each look-up
-    changed = insert(insert(nodes, keys, "meta.from.table", "string", F.lit("talks")), keys, "id.value", "number", F.lit(7)).persist()
-    out = assemble(changed, keys)
-    for name, path in (("first_role", "turns[0].role"), ("second_turn", "turns[1].turn"), ("n", "meta.n")):
-        out = out.join(lookup(nodes, keys, path).select(*keys, F.col("value").alias(name)), keys, "left")
-    return out.select(*keys, "first_role", "second_turn", "n", "json")
+    # dealt out by document once; everything after meets there
+    nodes = dealt(flatten(_talks(spark, sf_dir), keys, "json"), *keys).persist()
+    changed = insert(insert(nodes, keys, "meta.from.table", "string", F.lit("talks")), keys, "id.value", "number", F.lit(7))
+    found = lookup_all(nodes, keys, {"first_role": "turns[0].role", "second_turn": "turns[1].turn", "n": "meta.n"})
+    return assemble(changed, keys, max(3, depth_of(nodes))).join(found, keys, "left").select(*keys, "first_role", "second_turn", "n", "json")
 
 
 _PAIRS = """p AS (SELECT page_id, html || html AS t, regexp_extract_all(html || html, '<a href="[^"]*">') AS e FROM pages),

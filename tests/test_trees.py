@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from faktum.operators.trees import assemble, flatten, insert, lookup, segments
+from faktum.operators.trees import assemble, flatten, insert, lookup, lookup_all, segments
 
 
 def made(rng, depth=0):
@@ -64,3 +64,15 @@ def test_round_trip_insertion_and_lookup(spark):
 def test_segments():
     assert segments("a.b[3].c") == ["a", "b", "[3]", "c"] and segments("[0].x") == ["[0]", "x"]
     assert segments("a[.b") == ["a[", "b"] and segments("a[b]") == ["a[b]"] and segments("m[12]") == ["m", "[12]"]
+
+
+def test_edits_move_no_nodes_that_are_dealt_by_document(spark):
+    """Insertion, assembly and look-ups of nodes dealt out by their keys need no exchange beyond that one."""
+    docs = spark.createDataFrame([(k, '{"a": [1, {"b": "x"}], "c": 2}') for k in range(5)], "id long, json string")
+    nodes = flatten(docs, ["id"], "json").repartition(4, "id")
+    found = lookup_all(nodes, ["id"], {"x": "a[1].b", "none": "d"})
+    out = assemble(insert(insert(nodes, ["id"], "c.d", "number", F.lit(7)), ["id"], "e", "string", F.lit("y")), ["id"], 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert {json.dumps(json.loads(r.json)) for r in out.collect()} == {'{"a": [1, {"b": "x"}], "c": {"d": 7}, "e": "y"}'}
+    assert {(r.x, r.none) for r in found.collect()} == {("x", None)}
