@@ -63,11 +63,15 @@ def _of_lines(rows: Column) -> dict[str, Column]:
     squares = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
     # n * squares - total * total, in longs where these hold it
     spread = F.coalesce(F.try_subtract(F.try_multiply(F.size(rows).cast("long"), squares), F.try_multiply(total, total)).cast("double"), n * squares - total.cast("double") * total) / n
-    filled = F.filter(rows, lambda x: trimmed(x) != "")
+    filled = F.filter(rows, lambda x: x.rlike(r"(?U)\S"))
     over = lambda k: positive(F.size(F.filter(sizes, lambda x: x > k)))
     lead = lambda x: F.regexp_extract(x, r"\A[ \t]*", 0)
-    inner = F.flatten(F.transform(rows, lambda x: F.regexp_extract_all(F.regexp_replace(x, r"(?U)\A\s+", ""), F.lit(r"[ \t]+(?=[^ \t])"), F.lit(0))))
-    art = lambda x: (F.octet_length(x) >= 20) & (F.length(F.regexp_replace(x, f"(?s)(?!{ART}).", "")) * 10 > F.octet_length(x) * 7)
+    # runs of white space within lines; single ones are most, and need not be taken out
+    longer = F.flatten(F.transform(F.filter(rows, lambda x: x.rlike(r"[ \t]{2}")), lambda x: F.regexp_extract_all(F.regexp_replace(x, r"(?U)\A\s+", ""), F.lit(r"[ \t]{2,}(?=[^ \t])"), F.lit(0))))
+    single = F.exists(rows, lambda x: x.rlike(r"(?sU)\A\s*+\S.*?[ \t][^ \t]"))
+    marks = lambda x: F.length(x) - F.length(F.regexp_replace(x, f"{ART}+", ""))
+    # over seven tenths of at least 20 bytes are more than 14 marks
+    art = lambda x: (F.octet_length(x) >= 20) & (marks(x) > 14) & (F.octet_length(trimmed(x)) >= 20) & (marks(x) * 10 > F.octet_length(trimmed(x)) * 7)
     return {
         "total_lines": n,
         "avg_line_length": mean,
@@ -80,8 +84,8 @@ def _of_lines(rows: Column) -> dict[str, Column]:
         "empty_line_ratio": positive((F.size(rows) - F.size(filled)) / n),
         "mixed_indent": positive((F.exists(rows, lambda x: lead(x).contains("\t")) & F.exists(rows, lambda x: lead(x).contains(" "))).cast("int")),
         "trailing_whitespace_lines": positive(F.size(F.filter(rows, lambda x: x.rlike(r"(?U)\s\z")))),
-        "max_inline_whitespace_run": positive(F.array_max(F.transform(inner, F.length))),
-        "ascii_art_lines": positive(F.size(F.filter(rows, lambda x: art(trimmed(x))))),
+        "max_inline_whitespace_run": positive(F.coalesce(F.array_max(F.transform(longer, F.length)), single.cast("int"))),
+        "ascii_art_lines": positive(F.size(F.filter(rows, art))),
     }
 
 
@@ -123,12 +127,13 @@ def invisible_spans(text: Column) -> Column:
 def char_metrics(text: Column) -> dict[str, Column]:
     n = F.octet_length(text)
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    digits, letters = count("[0-9]"), count("[A-Za-z]")
+    without = lambda pattern: F.regexp_replace(text, f"{pattern}+", "")  # noqa: E731 - runs are fewer than the characters of common kinds
+    digits, letters = n - F.octet_length(without("[0-9]")), n - F.octet_length(without("[A-Za-z]"))
     tokens = F.split(text, r"(?U)\s+")
     return {
-        "whitespace_ratio": positive(count(SPACE) / n),
+        "whitespace_ratio": positive((F.length(text) - F.length(without(SPACE))) / n),
         "tab_count": positive(count("\t")),
-        "space_count": positive(count(" ")),
+        "space_count": positive(n - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))),
         "unusual_whitespace": positive(count(UNUSUAL)),
         "invisible_chars": positive(count(INVISIBLE) - F.when(text.startswith("\ufeff"), 1).otherwise(0)),
         "long_token_count": positive(F.size(F.filter(tokens, lambda x: F.octet_length(x) > 100))),
@@ -139,10 +144,12 @@ def char_metrics(text: Column) -> dict[str, Column]:
 
 def escape_metrics(text: Column) -> dict[str, Column]:
     """Escapes are taken from left to right: \\xHH is four bytes; \\u and \\U two, if 4 or 8 bytes follow; \\0 to \\7 two."""
+    some = text.contains("\\")
     raw = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")  # a character for each byte
-    short, long_ = F.regexp_count(raw, F.lit(r"(?s)\\u(?=.{4})")), F.regexp_count(raw, F.lit(r"(?s)\\U(?=.{8})"))
-    hexes = F.regexp_count(text, F.lit(r"\\x[0-9a-fA-F]{2}"))
-    octal = F.regexp_count(text, F.lit(r"\\[0-7]"))
+    count = lambda x, pattern: F.when(some, F.regexp_count(x, F.lit(pattern))).otherwise(0)
+    short, long_ = count(raw, r"(?s)\\u(?=.{4})"), count(raw, r"(?s)\\U(?=.{8})")
+    hexes = count(text, r"\\x[0-9a-fA-F]{2}")
+    octal = count(text, r"\\[0-7]")
     return {
         "hex_escape_count": positive(hexes),
         "unicode_escape_count": positive(short + long_),

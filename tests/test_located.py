@@ -96,3 +96,16 @@ def test_spans_of_texts(spark):
     assert len(spans[6]) == 64 and spans[6][63] == (2 + 63 * 4, 3) and hidden
     lines = [[tuple(x) for x in r.l] if r.l is not None else None for r in got]
     assert lines[9] == [(8, 5)] and lines[10] == [] and lines[11] == [(0, 4)] and lines[8] == [(0, 5)]
+
+
+def test_runs_and_art_within_lines(spark):
+    """White space at both ends of a line counts for nothing; art is over seven tenths of what is between."""
+    from pyspark.sql import functions as F
+
+    from faktum.functions.text import text_metrics
+
+    texts = ["  a b\t", "   a", "a  \t b   ", "  a b", "  " + "=" * 20 + "  ", "=" * 14 + "x" * 6, "=" * 15 + "x" * 5, "=" * 19]
+    own = text_metrics(F.col("t"))
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string").orderBy("k")
+    got = df.select(own["max_inline_whitespace_run"].alias("run"), own["ascii_art_lines"].alias("art")).collect()
+    assert [r.run for r in got] == [1, None, 4, 1, None, None, None, None] and [r.art for r in got] == [None, None, None, None, 1, None, 1, None]
