@@ -15,7 +15,7 @@ from faktum.functions.bytes import byte_facts
 SPACE = r"(?U)\s"
 #: White space other than the plain kinds, and characters that show nothing.
 UNUSUAL = "[\u00a0\u2000-\u200a\u202f\u205f\u3000]"
-INVISIBLE = "[\ufe00-\ufe0f\u200b-\u200d\u2060\ufeff]|[\\x{E0100}-\\x{E01EF}]|[\\x{E0001}-\\x{E007F}]"
+INVISIBLE = "[\ufe00-\ufe0f\u200b-\u200d\u2060\ufeff\\x{E0100}-\\x{E01EF}\\x{E0001}-\\x{E007F}]"
 SPANS, SPAN_CAP = "array<struct<offset:bigint,len:bigint>>", 64
 ART = r"[=\-*#+|/\\_.]"
 
@@ -56,9 +56,9 @@ def line_metrics(text: Column) -> dict[str, Column]:
 
 
 def _of_lines(rows: Column) -> dict[str, Column]:
-    n = F.size(rows).cast("double")
     sizes = F.transform(rows, F.octet_length)
     total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
+    n = F.when(F.size(rows) > 0, F.size(rows)).cast("double")  # null for no lines, as all that is divided by it
     mean = total / n
     squares = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
     # n * squares - total * total, in longs where these hold it
@@ -73,7 +73,7 @@ def _of_lines(rows: Column) -> dict[str, Column]:
     # over seven tenths of at least 20 bytes are more than 14 marks
     art = lambda x: (F.octet_length(x) >= 20) & (marks(x) > 14) & (F.octet_length(trimmed(x)) >= 20) & (marks(x) * 10 > F.octet_length(trimmed(x)) * 7)
     return {
-        "total_lines": n,
+        "total_lines": F.size(rows).cast("double"),
         "avg_line_length": mean,
         "max_line_length": positive(F.array_max(sizes)),
         "line_length_stddev": positive(F.sqrt(spread / n)),
@@ -107,7 +107,7 @@ def longest_line_spans(text: Column) -> Column:
 def invisible_spans(text: Column) -> Column:
     """Where runs of invisible characters stand, in bytes of UTF-8: the first SPAN_CAP.  A leading byte order mark is none."""
     shown = F.when(text.startswith("\ufeff"), F.concat(F.lit("\u20ac"), F.substr(text, F.lit(2)))).otherwise(text)
-    pattern = f"(?:{INVISIBLE})+"
+    pattern = f"{INVISIBLE}+"  # one class: alternatives would be matched by a call for each character of a run
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def step(state: Column, x: Column) -> Column:

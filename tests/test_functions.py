@@ -84,6 +84,23 @@ def test_places_of_many_invisible_characters(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
 
 
+def test_metrics_of_empty_texts_and_long_runs(spark):
+    """A text without lines divides nothing; a run of any length is one match."""
+    from faktum.plans.facts import metrics
+    from faktum.sources.files import from_documents
+
+    hidden = "\u200b\u2060\U000e0101"
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "x" + hidden * 30_000 + "y")], "doc_id long, text string")
+    got = {}
+    for r in metrics(from_documents(docs)).select("file_id", "key", "value", "spans").collect():
+        got.setdefault(r.file_id, {})[r.key] = (r.value, [tuple(x) for x in r.spans])
+    assert sorted(len(x) for x in got.values())[:2] == [4, 5]
+    whole = next(x for x in got.values() if len(x) > 5)
+    assert whole["text.invisible_chars"] == (90_000.0, [(1, 300_000)])
+    lines = docs.select("doc_id", *(v.alias(k) for k, v in T.line_metrics(F.col("text")).items())).orderBy("doc_id").collect()
+    assert lines[0].total_lines == 0.0 and all(v is None for v in lines[0][2:]) and lines[2].total_lines == 1.0
+
+
 def test_definitions_are_those_among_all_symbols(spark):
     from faktum.sources import python_source as P
 
