@@ -49,6 +49,10 @@ def _nodes(spark, sf_dir, fields: str | None = None, kinds: tuple[str, ...] | No
     return nodes(_elements(spark, sf_dir).filter(f"kind = 'script' AND source = {source}"), ["source", "id", "ord"], "body", fields and fields.split(), kinds)
 
 
+def _scripts(spark, sf_dir, source: str = "source") -> DataFrame:
+    return _elements(spark, sf_dir).filter(f"kind = 'script' AND source = {source}")
+
+
 def _names(spark, sf_dir, kind: str) -> DataFrame:
     """(file_id, name, n) of the scripts' nodes of a kind; pages have negative numbers."""
     from faktum.sources.scripts import names
@@ -153,13 +157,13 @@ UNION ALL SELECT 'no step', NULL, NULL, NULL, 'a step is missing at 4' UNION ALL
 )
 def src_tree_patterns(spark, sf_dir):
     """§2.18: tree patterns over the elements of pages and the scripts of orders; those that can't be read give an error row."""
+    from faktum.operators import script_sums
     from faktum.operators.twigs import kinds_of, match_all
     from faktum.sources import markup
 
     fields = ["node", "parent", "last", "kind", "op"]
     pages = markup.nodes(spread(table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "html")), ["source", "id"], "html", fields, kinds_of(list(_IN_PAGES.values())))
-    scripts = _nodes(spark, sf_dir, " ".join(fields), kinds_of(list(_IN_SCRIPTS.values())), "'orders'")
-    return match_all(pages, ["source", "id"], _IN_PAGES).unionByName(match_all(scripts, ["source", "id"], _IN_SCRIPTS))
+    return match_all(pages, ["source", "id"], _IN_PAGES).unionByName(script_sums.match_all(_scripts(spark, sf_dir, "'orders'"), ["source", "id"], "body", _IN_SCRIPTS))
 
 
 #: What all scripts of pages have in common; the call's argument is their own.

@@ -175,3 +175,36 @@ def test_pages_of_comments_are_read_once(spark):
 
     plan = QUERIES["cmt_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert sum(x.strip(" :+-").startswith("Relation ") for x in plan.splitlines()) == 3
+
+
+#: Statements that cuts, numbers and comments could go wrong in.
+_STATEMENTS = [
+    "var o12 = [3, 4, 3];", "f(x.y.z, 12);", "b = b ^ (k % 3);", "let s = 'a' + \"b\" + 7 + 'c';", "if (o1 === o12) g();", "if (o12 === o12) for (;;) g();", "while(1) x();", "while (2) y();", "while(1===1);", "else z;", "/* c 12; */", "// x 5;\n", "<!-- y\n",
+    "var h = function (q) { return q; }, e = () => \"1-X\";", "class A { m(a) { return a } }", "`u${a+1}`;", "`t${1}`;", "/re;x/g.test(a);", "a['1.5'].b;", "0x1F + 0x2F;", "12 == 12px;", "(a/*1*/) == (a/*2*/);", "x ? y ; z", ")", "(", "}", "'un\n", "return", "1, 2, 3;", "10 == 10;", "a1b2 == a1b3;", "switch (a) { case 1: b; default: c }", "a.b.c(1, 2);",
+]
+
+
+def _texts(n: int) -> list[str]:
+    import random
+
+    rand = random.Random(7)
+    return ["", "1"] + ["".join(rand.choice(_STATEMENTS) + rand.choice(["", "\n", " "]) for _ in range(rand.randint(1, 8))) for _ in range(n)]
+
+
+def test_patterns_of_statements_are_those_of_scripts(spark, monkeypatch):
+    """Counts of statements add up to those of the scripts' nodes, and known statements are not read again."""
+    from faktum.operators import script_sums
+    from faktum.operators.twigs import match_all
+    from faktum.sources import scripts
+
+    patterns = {"xor": "binary:^//binary:%", "names": "declaration/declare[function[params/identifier]]//return/identifier", "sums": "declare/binary:+[.//string]", "calls": "statement//call/identifier", "bad": "a["}
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(_texts(60))], "id int, body string")
+    rows = lambda df: sorted(map(tuple, df.select("pattern", "id", "n", "error").collect()), key=repr)
+    assert rows(script_sums.match_all(frame, ["id"], "body", patterns)) == rows(match_all(scripts.nodes(frame, ["id"], "body"), ["id"], patterns))
+    read = []
+    monkeypatch.setattr(script_sums, "tree", lambda text: read.append(text) or scripts.tree(text))
+    own = script_sums._operators()
+    for k in range(2, 500):
+        text = f"// order {k}\nvar o{k} = [{k}, {k + 7}];\nf(o{k}, {k} + 1);"
+        assert own(text)[0] == len(tree(text))
+    assert len(read) == 3
