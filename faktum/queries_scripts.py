@@ -80,9 +80,9 @@ SELECT source, id, CAST(ord AS INTEGER) AS ord, CAST(node_count AS BIGINT) AS no
 )
 def src_script_trees(spark, sf_dir):
     """AST-1..11, 14..17, 19..23 of each inline script."""
-    from faktum.operators.script_metrics import tree_metrics
+    from faktum.operators.script_sums import tree_metrics
 
-    return tree_metrics(_nodes(spark, sf_dir, "depth kind name arity flag terms numbers fresh"), ["source", "id", "ord"])
+    return tree_metrics(_scripts(spark, sf_dir), ["source", "id", "ord"], "body")
 
 
 @query(

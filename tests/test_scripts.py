@@ -208,3 +208,12 @@ def test_patterns_of_statements_are_those_of_scripts(spark, monkeypatch):
         text = f"// order {k}\nvar o{k} = [{k}, {k + 7}];\nf(o{k}, {k} + 1);"
         assert own(text)[0] == len(tree(text))
     assert len(read) == 3
+
+
+def test_metrics_of_statements_are_those_of_trees(spark):
+    """Sums and maxima over statements are those over all nodes, and no node goes through a shuffle."""
+    from faktum.operators import script_sums
+
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(_texts(150))], "id int, body string")
+    got, want = script_sums.tree_metrics(frame, ["id"], "body"), tree_metrics(nodes(frame, ["id"], "body"), ["id"])
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
