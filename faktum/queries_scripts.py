@@ -42,13 +42,6 @@ def _elements(spark, sf_dir) -> DataFrame:
     return elements(pages, "key", "html").select("key.source", "key.id", "ord", "kind", "body")
 
 
-def _nodes(spark, sf_dir, fields: str | None = None, kinds: tuple[str, ...] | None = None, source: str = "source") -> DataFrame:
-    """The nodes of all scripts; only the fields and kinds that are asked for leave Python."""
-    from faktum.sources.scripts import nodes
-
-    return nodes(_elements(spark, sf_dir).filter(f"kind = 'script' AND source = {source}"), ["source", "id", "ord"], "body", fields and fields.split(), kinds)
-
-
 def _scripts(spark, sf_dir, source: str = "source") -> DataFrame:
     return _elements(spark, sf_dir).filter(f"kind = 'script' AND source = {source}")
 
@@ -91,9 +84,9 @@ SELECT 'orders' AS source, id, CAST(1 AS INTEGER) AS ord, op, CAST(n AS BIGINT)
 )
 def src_script_operators(spark, sf_dir):
     """AST-12, 13: operators of each script."""
-    from faktum.operators.script_metrics import operator_counts
+    from faktum.operators.script_sums import operator_counts
 
-    return operator_counts(_nodes(spark, sf_dir, "op"), ["source", "id", "ord"])
+    return operator_counts(_scripts(spark, sf_dir), ["source", "id", "ord"], "body")
 
 
 _PAGE_BODIES = """(SELECT 'orders' || o_orderkey AS file_id, unnest([0, 1, 2, 3]) AS ord, unnest([' order ' || o_orderkey || ' ', ' order ' || o_orderkey || ' TODO ' || o_orderpriority || ' ', ' see http://x.org/' || o_custkey || ' ' || o_orderstatus, ' HACK ']) AS body FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)

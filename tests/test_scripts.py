@@ -217,3 +217,11 @@ def test_metrics_of_statements_are_those_of_trees(spark):
     frame = spark.createDataFrame([(k, x) for k, x in enumerate(_texts(150))], "id int, body string")
     got, want = script_sums.tree_metrics(frame, ["id"], "body"), tree_metrics(nodes(frame, ["id"], "body"), ["id"])
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_operators_of_statements_are_those_of_trees(spark):
+    from faktum.operators import script_sums
+
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(_texts(150))], "id int, body string")
+    got, want = script_sums.operator_counts(frame, ["id"], "body"), operator_counts(nodes(frame, ["id"], "body"), ["id"])
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
