@@ -148,6 +148,31 @@ def test_urls_equal_brute_force(spark):
             assert (rows[p.page_id].rule, rows[p.page_id].verdict) == by_hand(p.url)[2:]
 
 
+def test_models_are_fitted_on_all_urls(spark, monkeypatch):
+    """Spread over tasks the fit is what the driver's is, and no url is left out, however many there are."""
+    rand = np.random.default_rng(5)
+    words = ["a", "bcd", "shop", "news", "en", "de"]
+    rows = [("".join(f"/{words[i]}{rand.integers(40)}" for i in rand.integers(0, 4 if k % 3 else 6, 3)), "allow" if k % 3 else "block") for k in range(3000)]
+    frame = spark.createDataFrame([*rows, *rows[:50], ("x", None)], "address string, verdict string").repartition(3)
+    model, least = url_filter.fit(frame)
+    monkeypatch.setattr(url_filter, "BINS", 16)
+    spread, at = url_filter.fit(frame, 100)
+    assert at == least and all(np.array_equal(model.keys[k], spread.keys[k]) and np.array_equal(model.value[k], spread.value[k]) for k in model.keys)
+    keys, _ = grams.counts(pa.array(sorted({t for t, _ in rows})), np.zeros(len({t for t, _ in rows}), np.int64), 1, url_filter.ORDER)
+    assert np.array_equal(keys, model.keys[url_filter.ORDER])
+
+
+def test_threshold_of_bins(spark, monkeypatch):
+    """Equal to that of arrays, with many equal values and many equal costs."""
+    monkeypatch.setattr(url_filter, "BINS", 4)
+    rand = np.random.default_rng(9)
+    for n, digits in ((40, 0), (400, 1), (400, 9)):
+        y = rand.integers(0, 2, n)
+        x = np.round(rand.normal(0, 1, n) + y * 0.7, digits)
+        scored = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y, strict=True)], "x double, y int")
+        assert url_filter.threshold_of(scored, 20) == url_filter.threshold(x, y)
+
+
 def test_threshold():
     x, y = np.array([1.0, 2, 3, 4]), np.array([0, 0, 1, 1])
     assert url_filter.threshold(x, y) == 2.5
